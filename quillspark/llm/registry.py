@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from quillspark.llm import token_file
+from quillspark.llm import quality_rules, token_file
 
 
 def queries() -> dict:
     """One query for each operator."""
-    return {"op10_token_file": token_file.op10_token_file}
+    return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op10_token_file": token_file.op10_token_file,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
