@@ -64,3 +64,13 @@ def words_of(text) -> "F.Column":
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and reread: lineage and partitioning are cut.
+
+    Unlike after a checkpoint, a join deals out both sides anew, so adaptive execution can split skew.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
