@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillspark.llm import quality_rules, secret_scan, simhash, token_file
+from quillspark.llm import packing, quality_rules, secret_scan, simhash, token_file
 
 
 def queries() -> dict:
     """One query for each operator."""
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op3_pattern_packing": packing.op3_pattern_packing,
         "op4_simhash_dedup": simhash.op4_simhash_dedup,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op10_token_file": token_file.op10_token_file,
