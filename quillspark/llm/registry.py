@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillspark.llm import packing, quality_rules, secret_scan, simhash, token_file
+from quillspark.llm import packing, quality_rules, secret_scan, simhash, token_file, warc
 
 
 def queries() -> dict:
     """One query for each operator."""
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_warc_roundtrip": warc.op2_warc_roundtrip,
         "op3_pattern_packing": packing.op3_pattern_packing,
         "op4_simhash_dedup": simhash.op4_simhash_dedup,
         "op5_secret_scan": secret_scan.op5_secret_scan,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those queries that SQL can express."""
-    return {}
+    return {**warc.ORACLE_SQL}
