@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import ann_forest, factorization, packing, quality_rules, secret_scan, sentencepiece_codec, simhash, token_file, warc
+from quillspark.llm import ann_forest, factorization, language_id, packing, quality_rules, secret_scan, sentencepiece_codec, simhash, token_file, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op4_simhash_dedup": simhash.op4_simhash_dedup,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_quality_classifier": factorization.op6_quality_classifier,
+        "op7_language_id": language_id.op7_language_id,
         "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
         "op9_ann_forest": ann_forest.op9_ann_forest,
         "op10_token_file": token_file.op10_token_file,
