@@ -200,9 +200,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Cutoffs come from the labelled rows of ``docs``. Texts are read twice and never shuffled.
     """
-    cutoffs = checkpoint(certified_cutoffs(_narrow(docs), labels))
+    cutoffs = checkpoint(certified_cutoffs(checkpoint(_narrow(docs)), labels))
     d = with_features(docs)
-    return verdict(d.withColumn("stratum", stratum(F.col("doc.lang"))), cutoffs).where("kept").select("doc.*")
+    d = verdict(d.withColumn("stratum", stratum(F.col("doc.lang"))), cutoffs)
+    # not a filter: the optimizer would push it below the features and so write them out in it again and again
+    return d.select(F.inline(F.when(F.col("kept"), F.array("doc"))))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quillspark.llm import ann_forest, factorization, language_id, packing, quality_rules, secret_scan, sentencepiece_codec, simhash, token_file, warc
 
 
 def queries() -> dict:
     """One query for each operator."""
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_warc_roundtrip": warc.op2_warc_roundtrip,
         "op3_pattern_packing": packing.op3_pattern_packing,
