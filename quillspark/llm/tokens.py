@@ -9,16 +9,17 @@ library's ``encode``. Ids are kept as little-endian 32-bit bytes, so that a text
 from __future__ import annotations
 
 import re
-import struct
+from array import array
 from functools import lru_cache
 
 #: Most entries of each of a worker's two caches, so that memory stays bounded.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 800_000
 #: Longer chunks are encoded each time and not kept.
 CACHE_CHARS = 40
 
-_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SIMPLE = re.compile(rf"( ?)([{_LATIN}]*)([.,;:!?%&#*$|()\"-]*)")
+#: Marks that end simple chunks; the tokenizers' splitting keeps a run of them in one piece.
+_MARKS = ".,;:!?%&#*$|()\"-"
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SPACED = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _RARE_SPACE = re.compile(r"[^\S \t\n\r]|[\x1c-\x1f\x85]")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
@@ -33,7 +34,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return array("I", ids).tobytes()
 
 
 class _Cache(dict):
@@ -69,30 +70,43 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.lower = spec["normalizer"] is not None
         self.table = _byte_letters()
         self.chunks = _Cache(self._chunk)
+        self.spaced = _Cache(self._spaced)
         self.pieces = _Cache(self._piece)
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() and piece[0] != " " else piece.encode("utf-8").decode("latin-1").translate(self.table)
-        return _packed([t.id for t in self.tokenizer.model.tokenize(shown)])
+        if piece.isascii():
+            shown = "\u0120" + piece[1:] if piece[0] == " " else piece
+        else:
+            shown = piece.encode("utf-8").decode("latin-1").translate(self.table)
+        return _packed([t.id for t in self.tokenize(shown)])
 
     def _chunk(self, chunk: str) -> bytes:
-        found = _SIMPLE.fullmatch(chunk)
-        if found is None:
-            return self._whole(chunk)
-        space, letters, marks = found.groups()
-        if self.lower:
-            return (self.pieces[letters.lower()] if letters else b"") + (self.pieces[marks] if marks else b"")
-        if not letters:
-            return self.pieces[space + marks]
-        return self.pieces[space + letters] + (self.pieces[marks] if marks else b"")
+        """Ids of one chunk: an optional space, Latin letters and marks, or else by the library."""
+        core = chunk.rstrip(_MARKS)
+        marks = chunk[len(core) :]
+        letters = core[1:] if core[:1] == " " else core
+        if letters:
+            if not letters.isalpha() or not (letters.isascii() or _LATIN.fullmatch(letters)):
+                return self._whole(chunk)
+            ids = self.pieces[letters.lower() if self.lower else core]
+            return ids + self.pieces[marks] if marks else ids
+        # marks alone, with the space before them, are one piece
+        return self.pieces[chunk] if marks else self._whole(chunk)
+
+    def _spaced(self, rest: str) -> bytes:
+        """Ids of a space and what follows it up to the next space."""
+        if "\n" not in rest and "\t" not in rest and "\r" not in rest:
+            return self._chunk(" " + rest)
+        return b"".join(map(self.chunks.__getitem__, _SPACED.findall(" " + rest)))
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
@@ -102,6 +116,10 @@ class TextEncoder:
             chunks = _UNSPACED.findall(text) if _CONTROL.search(text) else text.split()
         elif _RARE_SPACE.search(text):
             return self._whole(text)
+        elif "  " not in text and text[-1] != " ":
+            first, *rest = text.split(" ")
+            head = b"".join(map(self.chunks.__getitem__, _SPACED.findall(first)))
+            return head + b"".join(map(self.spaced.__getitem__, rest))
         else:
             chunks = _SPACED.findall(text)
         return b"".join(map(self.chunks.__getitem__, chunks))
