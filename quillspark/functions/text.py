@@ -45,7 +45,8 @@ def confidence(c: Column) -> Column:
 
 def clamped(c: Column, default: float = 0.0) -> Column:
     """A share in [0, 1]; outside it is brought to the nearer end, unreadable is ``default``."""
-    return F.coalesce(F.greatest(F.least(_number(c), F.lit(1.0)), F.lit(0.0)), F.lit(default))
+    x = _number(c)
+    return F.when(x.isNull(), default).otherwise(F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)))
 
 
 def integer(c: Column, default: int = 0) -> Column:
