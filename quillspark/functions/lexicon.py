@@ -60,3 +60,30 @@ FALSE_WORDS = ("false", "f", "no", "n", "0")
 #: Latin-1 letters that decompose into a base letter and a mark, lower case, and the base letters.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# Fixed values of the sentence policy and of claim extraction.
+CLARIFICATION_MARKERS = (
+    "need clarification", "needs clarification", "please clarify", "could you clarify", "ambiguous", "unclear",
+    "necesito una aclaración", "necesito una aclaracion", "podrías aclarar", "podrias aclarar", "pregunta ambigua",
+)
+INTRO_MARKERS = (
+    "this question asks", "to answer this question", "the answer depends", "we need to determine", "la pregunta pide", "para responder",
+)
+DOCUMENT_CUES = (
+    "document", "documents", "corpus", "evidence", "retrieved", "available context", "according to the available corpus",
+    "documento", "documentos", "evidencia", "contexto",
+)
+FACTUAL_CUES = (
+    " was born ", " were born ", " born in ", " born on ", " is located ", " are located ", " located in ", " founded ",
+    " written by ", " directed by ", " produced by ", " starring ", " capital of ", " author of ", " singer of ",
+    " member of ", " part of ", " belongs to ", " according to ", " completed in ", " released in ", " published in ",
+    " nació ", " nacio ", " ubicado ", " fundada ", " fundado ", " escrito por ", " dirigida por ", " dirigido por ",
+    " según ", " segun ",
+)
+COMPARISON_CUES = (
+    " both ", " either ", " compare ", " comparison ", " same ", " different ", " higher ", " lower ", " older ",
+    " younger ", " before ", " after ", " ambos ", " ambas ", " comparar ", " mismo ", " misma ", " diferente ",
+)
+META_MARKERS = ("i think", "i believe", "in my opinion", "as an ai", "creo que", "en mi opinión", "en mi opinion")
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+)

@@ -72,3 +72,143 @@ def open_answer(correct: Column, incorrect: Column, n_tokens: Column, abstained:
         .when(right & ~wrong, n_tokens >= informative)
         .when(wrong & ~right, F.lit(False))
     )
+
+
+#: A letter alone, or "the answer is", "option" and their Spanish forms before it.
+CHOICE = r"(?i)^\s*(?:(?:the\s+)?answer\s+is\s+|(?:la\s+)?respuesta\s+es\s+|option\s+|opci[oó]n\s+)?([ABCD])\.?\s*$"
+
+
+def has_number_or_date(c: Column) -> Column:
+    """A number of two to four digits as a word, or the name of a month."""
+    return c.rlike(r"\b\d{2,4}\b") | c.rlike(rf"(?i)\b({'|'.join(L.MONTHS)})\b")
+
+
+def retrieval_policy(question: Column, sentence: Column, confidence: Column, task: Column, bias: Column) -> Column:
+    """Struct (needs_retrieval, confidence, rule): must evidence be retrieved for a sentence that is about to be said?
+
+    Weak signals (names, comparisons) and factual ones (numbers, relations) are suppressed by task,
+    by bias, and by how sure the sentence is; an unknown confidence counts as -1.
+    """
+    said = F.trim(F.coalesce(sentence, F.lit("")))
+    low = F.trim(F.regexp_replace(F.lower(said), r"\s+", " "))
+    padded = F.concat(F.lit(" "), low, F.lit(" "))
+    asked = F.lower(F.coalesce(question, F.lit("")))
+    explicit = T.contains_any(asked, L.DOCUMENT_CUES) | T.contains_any(low, L.DOCUMENT_CUES)
+    sure = F.coalesce(confidence, F.lit(-1.0))
+    choice = task == "multiple_choice"
+    weak = choice | (bias == "conservative") | ((bias == "balanced") & (sure >= 0.85))
+    factual = choice | ((bias == "conservative") & (sure >= 0.7))
+    yes = lambda c, n: {"needs_retrieval": True, "confidence": c, "rule": n}
+    no = lambda c, n: {"needs_retrieval": False, "confidence": c, "rule": n}
+
+    def unless(suppressed, when, name, confidence, quiet):
+        return [(when & suppressed, no(quiet, f"suppressed_{name}")), (when, yes(confidence, name))]
+
+    many = (T.entity_count(question) >= 2) & (F.size(F.split(low, " ")) >= 6)
+    return cascade(
+        [
+            (said == "", no(1.0, "empty_candidate")),
+            (T.contains_any(low, L.ABSTENTION_MARKERS), no(0.94, "abstention_sentence")),
+            (T.contains_any(low, L.CLARIFICATION_MARKERS), no(0.94, "clarification_sentence")),
+            (T.contains_any(low, L.INTRO_MARKERS), no(0.82, "generic_intro")),
+            (choice & ~explicit, no(0.95, "multiple_choice_direct_no_retrieval")),
+            (explicit & choice, no(0.92, "suppressed_documental_cue_multiple_choice")),
+            (explicit, yes(F.when(bias == "aggressive", 0.9).otherwise(0.86), "documental_cue")),
+            ((task == "open_direct") & (bias == "conservative"), no(0.92, "open_direct_conservative_no_retrieval")),
+            *unless(factual, has_number_or_date(said), "number_or_date", 0.84, 0.78),
+            *unless(factual, T.contains_any(padded, L.FACTUAL_CUES), "factual_relation_cue", 0.83, 0.78),
+            *unless(weak, T.contains_any(padded, L.COMPARISON_CUES), "comparison_cue", 0.78, 0.78),
+            *unless(weak, T.entity_count(said) >= 1, "named_entity", 0.74, 0.8),
+            *unless(weak, many, "question_multi_entity", 0.7, 0.78),
+            (None, no(0.62, "fallback_no_retrieval")),
+        ]
+    )
+
+
+def claims(answer: Column, most: int = 5) -> Column:
+    """Array of (claim_text, claim_type, requires_evidence, importance) of an answer, ``most`` at most.
+
+    A chosen letter, a request to clarify and an abstention are one claim; else each sentence is
+    one, short remarks left out. The first is the core.
+    """
+    said = F.trim(F.coalesce(answer, F.lit("")))
+    chosen = F.upper(F.regexp_extract(said, CHOICE, 1))
+    kind = lambda s: (
+        F.when(T.contains_any(F.lower(s), L.ABSTENTION_MARKERS), "abstention")
+        .when(T.contains_any(F.lower(s), L.CLARIFICATION_MARKERS), "clarification")
+        .when(T.contains_any(F.lower(s), L.META_MARKERS), "meta")
+        .when(s.rlike(CHOICE), "answer_choice")
+        .otherwise("factual")
+    )
+    one = lambda text, k: F.struct(text.alias("claim_text"), k.alias("claim_type"))
+    short = lambda c: (c["claim_type"] == "meta") & (F.size(F.split(c["claim_text"], r"\s+")) <= 5)
+    each = F.transform(F.filter(T.sentences(said), lambda s: F.length(s) >= 2), lambda s: one(s, kind(s)))
+    whole = kind(said)
+    found = (
+        F.when(said == "", F.array().cast("array<struct<claim_text:string,claim_type:string>>"))
+        .when(chosen != "", F.array(one(F.concat(F.lit("The selected answer is "), chosen, F.lit(".")), F.lit("answer_choice"))))
+        .when(T.contains_any(F.lower(said), L.CLARIFICATION_MARKERS), F.array(one(said, F.lit("clarification"))))
+        .when(whole == "abstention", F.array(one(said, F.lit("abstention"))))
+        .otherwise(F.slice(F.filter(each, lambda c: ~short(c)), 1, most))
+    )
+    return F.transform(
+        found,
+        lambda c, i: F.struct(
+            c["claim_text"].alias("claim_text"),
+            c["claim_type"].alias("claim_type"),
+            (c["claim_type"] == "factual").alias("requires_evidence"),
+            F.when(i == 0, "core").otherwise("supporting").alias("importance"),
+        ),
+    )
+
+
+def search_terms(claim_tokens: Column, question_tokens: Column, most: int = 12) -> Column:
+    """The next search: the claim's words, then the question's, each once."""
+    return F.array_join(F.slice(F.array_distinct(F.concat(claim_tokens, question_tokens)), 1, most), " ")
+
+
+def answer_error(correct: Column, abstained: Column, hit: Column, full: Column, run_error: Column, valid: Column) -> Column:
+    """What went wrong with an answer from retrieved passages, as one of nine kinds."""
+    return (
+        F.when(run_error, "run_error")
+        .when(~valid, "format_error")
+        .when(correct, "correct")
+        .when(abstained & full, "wrong_abstention_despite_full_retrieval")
+        .when(abstained & hit, "wrong_abstention_with_partial_retrieval")
+        .when(abstained, "wrong_abstention_no_gold_retrieved")
+        .when(~hit, "retrieval_miss")
+        .when(~full, "partial_retrieval_or_generation_error")
+        .otherwise("generation_error_after_full_retrieval")
+    )
+
+
+def route_error(expected: Column, predicted: Column, acceptable: Column, mode: Column, expected_mode: Column) -> Column:
+    """What went wrong with a predicted route; without acceptable routes only the expected one is."""
+    valid = predicted.isin("direct", "retrieve", "abstain", "clarify")
+    consistent = F.when(predicted == "retrieve", mode.isin("single_step", "multi_step")).otherwise(mode == "none")
+    fine = F.when(F.size(acceptable) > 0, F.array_contains(acceptable, predicted)).otherwise(predicted == expected)
+    return (
+        F.when(~valid, "invalid_route")
+        .when(~consistent, "inconsistent_retrieval_mode")
+        .when((predicted == expected) & (expected == "retrieve") & (mode != expected_mode), "route_correct_mode_wrong")
+        .when(predicted == expected, "correct")
+        .when(fine, "acceptable_alternative")
+        .when(expected == "retrieve", "under_retrieval")
+        .when(predicted == "retrieve", "over_retrieval")
+        .when(expected == "clarify", "missed_clarify")
+        .when(expected == "abstain", "missed_abstain")
+        .when(predicted == "clarify", "unnecessary_clarify")
+        .when(predicted == "abstain", "unnecessary_abstain")
+        .otherwise("wrong_route")
+    )
+
+
+def repair(n_claims: Column, core_refuted: Column, core_open: Column, n_supported: Column) -> Column:
+    """What becomes of an answer after its claims were verified."""
+    return (
+        F.when(n_claims == 0, "keep_without_claims")
+        .when(core_refuted, "replace")
+        .when(core_open, "abstain")
+        .when(n_supported == n_claims, "keep")
+        .otherwise("keep_supported_claims")
+    )

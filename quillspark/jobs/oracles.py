@@ -157,6 +157,99 @@ _BEST = f"""
 _RIGHT = "r2 >= 0.35 AND r2 >= w2 + 0.05"
 _WRONG = "w2 >= 0.45 AND w2 >= r2 + 0.05"
 
+_CHOICE = r"^\s*(?:(?:the\s+)?answer\s+is\s+|(?:la\s+)?respuesta\s+es\s+|option\s+|opci[oó]n\s+)?([ABCD])\.?\s*$"
+
+
+def _names(c: str) -> str:
+    return rf"""len(list_distinct(list_filter(
+      regexp_extract_all(translate(replace(coalesce({c}, ''), '’', ''''), '{L.ACCENTED}', '{L.PLAIN}'), '{_NAMES}'),
+      lambda m: regexp_extract(m, '^(\S+)', 1) NOT IN {_in(L.ENTITY_OPENERS)} AND length(m) > 2)))"""
+
+
+def _kind(s: str) -> str:
+    return f"""CASE WHEN {_any(f"lower({s})", L.ABSTENTION_MARKERS)} THEN 'abstention' WHEN {_any(f"lower({s})", L.CLARIFICATION_MARKERS)} THEN 'clarification'
+      WHEN {_any(f"lower({s})", L.META_MARKERS)} THEN 'meta' WHEN regexp_matches({s}, '{_CHOICE}', 'i') THEN 'answer_choice' ELSE 'factual' END"""
+
+
+_POLICY = rf"""
+    parts AS (SELECT conv_id, turn, question, unnest({_sentences("answer")}) AS said, generate_subscripts({_sentences("answer")}, 1) - 1 AS pos FROM pairs),
+    lowered AS (
+      SELECT *, trim(regexp_replace(lower(said), '\s+', ' ', 'g')) AS low, length(said) / 100.0 AS sure, {_names("said")} AS said_names, {_names("question")} AS asked_names,
+             CASE conv_id % 5 WHEN 0 THEN 'multiple_choice' WHEN 1 THEN 'open_direct' ELSE 'open_qa' END AS task,
+             CASE turn % 3 WHEN 0 THEN 'conservative' WHEN 1 THEN 'balanced' ELSE 'aggressive' END AS bias FROM parts
+    ),
+    flags AS (
+      SELECT *, {_any("lower(coalesce(question, ''))", L.DOCUMENT_CUES)} OR {_any("low", L.DOCUMENT_CUES)} AS explicit, task = 'multiple_choice' AS choice,
+             task = 'multiple_choice' OR bias = 'conservative' OR (bias = 'balanced' AND sure >= 0.85) AS weak,
+             task = 'multiple_choice' OR (bias = 'conservative' AND sure >= 0.7) AS factual,
+             regexp_matches(said, '\b\d{{2,4}}\b') OR regexp_matches(said, '\b({"|".join(L.MONTHS)})\b', 'i') AS dated,
+             {_any("(' ' || low || ' ')", L.FACTUAL_CUES)} AS related, {_any("(' ' || low || ' ')", L.COMPARISON_CUES)} AS compared,
+             asked_names >= 2 AND len(string_split(low, ' ')) >= 6 AS many FROM lowered
+    ),
+    decided AS (
+      SELECT *, CASE WHEN said = '' THEN 'empty_candidate' WHEN {_any("low", L.ABSTENTION_MARKERS)} THEN 'abstention_sentence'
+        WHEN {_any("low", L.CLARIFICATION_MARKERS)} THEN 'clarification_sentence' WHEN {_any("low", L.INTRO_MARKERS)} THEN 'generic_intro'
+        WHEN choice AND NOT explicit THEN 'multiple_choice_direct_no_retrieval' WHEN explicit AND choice THEN 'suppressed_documental_cue_multiple_choice'
+        WHEN explicit THEN 'documental_cue' WHEN task = 'open_direct' AND bias = 'conservative' THEN 'open_direct_conservative_no_retrieval'
+        WHEN dated THEN CASE WHEN factual THEN 'suppressed_' ELSE '' END || 'number_or_date'
+        WHEN related THEN CASE WHEN factual THEN 'suppressed_' ELSE '' END || 'factual_relation_cue'
+        WHEN compared THEN CASE WHEN weak THEN 'suppressed_' ELSE '' END || 'comparison_cue'
+        WHEN said_names >= 1 THEN CASE WHEN weak THEN 'suppressed_' ELSE '' END || 'named_entity'
+        WHEN many THEN CASE WHEN weak THEN 'suppressed_' ELSE '' END || 'question_multi_entity'
+        ELSE 'fallback_no_retrieval' END AS rule FROM flags
+    )
+"""
+
+_CLAIMS = rf"""
+    stated AS (SELECT *, trim(coalesce(answer, '')) AS said FROM pairs),
+    chosen AS (SELECT *, upper(regexp_extract(said, '{_CHOICE}', 1, 'i')) AS letter FROM stated),
+    pieces AS (
+      SELECT conv_id, turn, question, q, q_tokens, CASE
+        WHEN said = '' THEN []
+        WHEN letter <> '' THEN [{{'t': 'The selected answer is ' || letter || '.', 'k': 'answer_choice'}}]
+        WHEN {_any("lower(said)", L.CLARIFICATION_MARKERS)} THEN [{{'t': said, 'k': 'clarification'}}]
+        WHEN {_any("lower(said)", L.ABSTENTION_MARKERS)} THEN [{{'t': said, 'k': 'abstention'}}]
+        ELSE list_filter(list_transform(list_filter({_sentences("said")}, lambda s: length(s) >= 2), lambda s: {{'t': s, 'k': {_kind("s")}}}),
+                         lambda c: NOT (c.k = 'meta' AND len(regexp_split_to_array(c.t, '\s+')) <= 5))[1:5] END AS cs FROM chosen
+    ),
+    unnested AS (SELECT conv_id, turn, question, q, q_tokens, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS pos FROM pieces),
+    claims AS (SELECT conv_id, turn, question, q, q_tokens, c.t AS claim, c.k AS claim_type, pos FROM unnested)
+"""
+
+
+def _f1(p: str, r: str) -> str:
+    return f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0 END"
+
+
+def _verdict(e: str, f: str, p: str, r: str) -> str:
+    return f"""CASE WHEN c = '' OR {e} = '' THEN 'not_enough_info' WHEN {f} >= 0.6 AND {_negated("c")} <> {_negated(e)} THEN 'refuted'
+      WHEN {f} >= 0.45 OR ({p} >= 0.55 AND {r} >= 0.25) THEN 'supported' ELSE 'not_enough_info' END"""
+
+
+_ROUNDS = f"""
+    cn AS (SELECT conv_id, turn, pos, claim_type, q AS e, q_tokens AS et, {_normal("claim")} AS c FROM claims),
+    ct AS (SELECT *, {_tokens("c")} AS ct FROM cn),
+    later AS (SELECT conv_id, turn - 1 AS turn, {_normal("text")} AS e2 FROM conversations),
+    both_ AS (SELECT ct.*, e2, {_tokens("e2")} AS e2t FROM ct LEFT JOIN later ON later.conv_id = ct.conv_id AND later.turn = ct.turn),
+    laps AS (SELECT *, {_overlap("ct", "et")} AS n1, {_overlap("ct", "e2t")} AS n2 FROM both_),
+    prs AS (
+      SELECT *, CASE WHEN len(ct) > 0 AND len(et) > 0 THEN n1 / len(ct) ELSE 0 END AS p1, CASE WHEN len(ct) > 0 AND len(et) > 0 THEN n1 / len(et) ELSE 0 END AS r1,
+             CASE WHEN len(ct) > 0 AND len(e2t) > 0 THEN n2 / len(ct) ELSE 0 END AS p2, CASE WHEN len(ct) > 0 AND len(e2t) > 0 THEN n2 / len(e2t) ELSE 0 END AS r2 FROM laps
+    ),
+    f AS (
+      SELECT *, CAST(CASE WHEN length(c) > 0 AND contains(e, c) THEN greatest({_f1("p1", "r1")}, 0.98) ELSE {_f1("p1", "r1")} END AS DOUBLE) AS f1,
+             CAST(CASE WHEN length(c) > 0 AND contains(e2, c) THEN greatest({_f1("p2", "r2")}, 0.98) ELSE {_f1("p2", "r2")} END AS DOUBLE) AS f2 FROM prs
+    ),
+    vs AS (SELECT *, {_verdict("e", "f1", "p1", "r1")} AS v1, {_verdict("e2", "f2", "p2", "r2")} AS v2 FROM f),
+    verified AS (
+      SELECT conv_id, turn, pos, CASE WHEN v1 = 'not_enough_info' AND e2 IS NOT NULL THEN v2 ELSE v1 END AS verdict,
+             CASE WHEN v1 = 'not_enough_info' AND e2 IS NOT NULL THEN 2 ELSE 1 END AS rounds,
+             CASE WHEN v1 = 'not_enough_info' AND e2 IS NOT NULL
+               THEN array_to_string(list_filter(list_concat(ct, et), lambda x, i: list_position(list_concat(ct, et), x) = i)[1:12], ' ') END AS next_search FROM vs
+    )
+"""
+
+
 ORACLES = {
     "vec_topk": f"WITH {_SEARCH} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM ranked WHERE rank <= 5",
     "vec_topk_exclude_seen": f"WITH {_SEARCH} SELECT query_id, CAST(rank - 3 AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM ranked WHERE rank BETWEEN 4 AND 8",
@@ -270,4 +363,52 @@ ORACLES = {
       UNION ALL SELECT 'turn', conv_id || ':' || turn, '', length(text) FROM conversations WHERE role = 'user'
       UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR), source, length(text) FROM documents""",
     "turn_positions": "SELECT conv_id, role, count(*) AS n, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY ALL",
+    "retrieval_policy": f"""WITH {_PAIRS}, {_POLICY}
+      SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos,
+        rule IN ('documental_cue', 'number_or_date', 'factual_relation_cue', 'comparison_cue', 'named_entity', 'question_multi_entity') AS needs_retrieval,
+        CAST(CASE rule WHEN 'empty_candidate' THEN 1.0 WHEN 'abstention_sentence' THEN 0.94 WHEN 'clarification_sentence' THEN 0.94 WHEN 'generic_intro' THEN 0.82
+          WHEN 'multiple_choice_direct_no_retrieval' THEN 0.95 WHEN 'suppressed_documental_cue_multiple_choice' THEN 0.92
+          WHEN 'documental_cue' THEN CASE WHEN bias = 'aggressive' THEN 0.9 ELSE 0.86 END WHEN 'open_direct_conservative_no_retrieval' THEN 0.92
+          WHEN 'number_or_date' THEN 0.84 WHEN 'factual_relation_cue' THEN 0.83 WHEN 'comparison_cue' THEN 0.78 WHEN 'named_entity' THEN 0.74
+          WHEN 'question_multi_entity' THEN 0.7 WHEN 'suppressed_named_entity' THEN 0.8 WHEN 'fallback_no_retrieval' THEN 0.62 ELSE 0.78 END AS DOUBLE) AS confidence,
+        rule FROM decided""",
+    "answer_claims": f"""WITH {_PAIRS}, {_CLAIMS}
+      SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, claim_type, claim_type = 'factual' AS requires_evidence,
+             CASE WHEN pos = 0 THEN 'core' ELSE 'supporting' END AS importance, md5(claim) AS claim_md5 FROM claims""",
+    "verify_rounds": f"""WITH {_PAIRS}, {_CLAIMS}, {_ROUNDS}
+      SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, verdict, rounds, md5(next_search) AS search_md5 FROM verified""",
+    "answer_repairs": f"""WITH {_PAIRS}, {_CLAIMS}, {_ROUNDS},
+      sums AS (
+        SELECT conv_id, turn, count(*) AS n_claims, count(*) FILTER (verdict = 'supported') AS n_supported, count(*) FILTER (verdict = 'refuted') AS n_refuted,
+               bool_or(pos = 0 AND verdict = 'refuted') AS cr, bool_or(pos = 0 AND verdict = 'not_enough_info') AS co FROM verified GROUP BY ALL
+      )
+      SELECT p.conv_id, p.turn, coalesce(n_claims, 0) AS n_claims, coalesce(n_supported, 0) AS n_supported, coalesce(n_refuted, 0) AS n_refuted,
+        CASE WHEN coalesce(n_claims, 0) = 0 THEN 'keep_without_claims' WHEN cr THEN 'replace' WHEN co THEN 'abstain' WHEN n_supported = n_claims THEN 'keep'
+             ELSE 'keep_supported_claims' END AS decision
+      FROM pairs p LEFT JOIN sums s ON s.conv_id = p.conv_id AND s.turn = p.turn""",
+    "answer_errors": f"""WITH {_PAIRS},
+      ids AS (
+        SELECT *, list_filter(q_tokens, lambda x, i: list_position(q_tokens, x) = i)[1:3] AS gold, list_filter(a_tokens, lambda x, i: list_position(a_tokens, x) = i)[1:40] AS got FROM pairs
+      ),
+      met AS (SELECT *, len(list_intersect(gold, got)) AS met, {_any("lower(answer)", L.ABSTENTION_MARKERS)} AS abstained FROM ids)
+      SELECT conv_id, turn, round(CASE WHEN len(gold) > 0 THEN met / len(gold) ELSE 0 END, 6) AS recall, round(CASE WHEN len(got) > 0 THEN met / len(got) ELSE 0 END, 6) AS precision,
+        CASE WHEN conv_id % 11 = 0 THEN 'run_error' WHEN conv_id % 7 = 0 THEN 'format_error' WHEN f1 >= 0.3 THEN 'correct'
+          WHEN abstained AND len(gold) > 0 AND met = len(gold) THEN 'wrong_abstention_despite_full_retrieval'
+          WHEN abstained AND met > 0 THEN 'wrong_abstention_with_partial_retrieval' WHEN abstained THEN 'wrong_abstention_no_gold_retrieved'
+          WHEN met = 0 THEN 'retrieval_miss' WHEN met < len(gold) THEN 'partial_retrieval_or_generation_error'
+          ELSE 'generation_error_after_full_retrieval' END AS error_type FROM met""",
+    "route_errors": f"""WITH {_ROUTES},
+      e AS (SELECT *, (['direct', 'retrieve', 'abstain', 'clarify'])[conv_id % 4 + 1] AS expected FROM routed),
+      k AS (
+        SELECT expected, route AS predicted, CASE
+          WHEN route = expected AND expected = 'retrieve' AND retrieval_mode <> 'single_step' THEN 'route_correct_mode_wrong'
+          WHEN route = expected THEN 'correct' WHEN turn % 4 = 0 AND route = 'direct' THEN 'acceptable_alternative'
+          WHEN expected = 'retrieve' THEN 'under_retrieval' WHEN route = 'retrieve' THEN 'over_retrieval' WHEN expected = 'clarify' THEN 'missed_clarify'
+          WHEN expected = 'abstain' THEN 'missed_abstain' WHEN route = 'clarify' THEN 'unnecessary_clarify' WHEN route = 'abstain' THEN 'unnecessary_abstain'
+          ELSE 'wrong_route' END AS error_type FROM e
+      )
+      SELECT expected, predicted, error_type, count(*) AS n FROM k GROUP BY ALL""",
+    "json_answers": """SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN md5(trim(text) || ' {"}') END AS answer_md5, CASE WHEN turn % 4 < 3 THEN CAST(0.82 AS DOUBLE) END AS confidence,
+      CASE WHEN turn % 4 < 3 THEN FALSE END AS abstained, turn % 4 < 3 AS valid, CASE WHEN turn % 4 < 3 THEN 'json' ELSE 'fallback' END AS method
+      FROM conversations WHERE role = 'assistant'""",
 }

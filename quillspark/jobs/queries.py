@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as L
 from quillspark.functions import match as M
+from quillspark.functions import payload
 from quillspark.functions import rules as R
 from quillspark.functions import text as T
 from quillspark.operators import metrics as AG
@@ -326,12 +327,147 @@ def turn_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
 
 
+# -- policies, claims, evaluation ---------------------------------------------------------------
+
+
+def retrieval_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every sentence of every answer: is evidence needed, and by which rule."""
+    d = _turn_pairs(spark, sf_dir).select("conv_id", "turn", "question", F.posexplode(T.sentences(F.col("answer"))).alias("pos", "sentence"))
+    task = F.when(F.col("conv_id") % 5 == 0, "multiple_choice").when(F.col("conv_id") % 5 == 1, "open_direct").otherwise("open_qa")
+    bias = F.when(F.col("turn") % 3 == 0, "conservative").when(F.col("turn") % 3 == 1, "balanced").otherwise("aggressive")
+    sure = F.length("sentence") / 100.0
+    d = d.withColumn("p", R.retrieval_policy(F.col("question"), F.col("sentence"), sure, task, bias))
+    return d.select("conv_id", "turn", "pos", "p.*")
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _turn_pairs(spark, sf_dir)
+    return d.select("conv_id", "turn", "question", "answer", F.posexplode(R.claims(F.col("answer"))).alias("pos", "c"))
+
+
+def answer_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims of every answer."""
+    c = F.col("c")
+    return _claims(spark, sf_dir).select(
+        "conv_id",
+        "turn",
+        "pos",
+        c["claim_type"].alias("claim_type"),
+        c["requires_evidence"].alias("requires_evidence"),
+        c["importance"].alias("importance"),
+        F.md5(c["claim_text"].cast("binary")).alias("claim_md5"),
+    )
+
+
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims after at most two rounds: against the question, and where that is not enough, against the turn after the answer.
+
+    Rounds are unrolled; the second joins the next turn on conversation and turn, so a long
+    conversation is spread.
+    """
+    d = _claims(spark, sf_dir).select("conv_id", "turn", "pos", "question", F.col("c.claim_text").alias("claim"), F.col("c.importance").alias("importance"))
+    c, e = T.normal(F.col("claim")), T.normal(F.col("question"))
+    d = d.select("conv_id", "turn", "pos", "importance", c.alias("c"), T.tokens(c).alias("ct"), e.alias("e"), T.tokens(e).alias("et"))
+    d = d.withColumn("v", R.claim_verdict(F.col("c"), F.col("ct"), F.col("e"), F.col("et"))["verdict"])
+    later = _read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), T.normal(F.col("text")).alias("e2"))
+    again = d.join(later, ["conv_id", "turn"], "left").withColumn("open", (F.col("v") == "not_enough_info") & F.col("e2").isNotNull())
+    second = R.claim_verdict(F.col("c"), F.col("ct"), F.col("e2"), T.tokens(F.col("e2")))["verdict"]
+    terms = R.search_terms(F.col("ct"), F.col("et"))
+    return again.select(
+        "conv_id",
+        "turn",
+        "pos",
+        "importance",
+        F.when(F.col("open"), second).otherwise(F.col("v")).alias("verdict"),
+        F.when(F.col("open"), 2).otherwise(1).alias("rounds"),
+        F.when(F.col("open"), terms).alias("next_search"),
+    )
+
+
+def verify_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict, rounds and follow-up search of every claim."""
+    d = _verified(spark, sf_dir)
+    return d.select("conv_id", "turn", "pos", "verdict", "rounds", F.md5(F.col("next_search").cast("binary")).alias("search_md5"))
+
+
+def answer_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims' verdicts summed up for each answer, and what becomes of it; answers without claims stay."""
+    core = F.col("importance") == "core"
+    is_ = lambda v: F.col("verdict") == v
+    sums = (
+        _verified(spark, sf_dir)
+        .groupBy("conv_id", "turn")
+        .agg(
+            F.count("*").alias("n_claims"),
+            F.count_if(is_("supported")).alias("n_supported"),
+            F.count_if(is_("refuted")).alias("n_refuted"),
+            F.bool_or(core & is_("refuted")).alias("core_refuted"),
+            F.bool_or(core & is_("not_enough_info")).alias("core_open"),
+        )
+    )
+    d = _turn_pairs(spark, sf_dir).select("conv_id", "turn").join(sums, ["conv_id", "turn"], "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_claims", "n_supported", "n_refuted")]
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("core_refuted", "core_open")]
+    d = d.select("conv_id", "turn", *counts, *flags)
+    decision = R.repair(F.col("n_claims"), F.col("core_refuted"), F.col("core_open"), F.col("n_supported"))
+    return d.select("conv_id", "turn", "n_claims", "n_supported", "n_refuted", decision.alias("decision"))
+
+
+def answer_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval overlap and kind of error of every answer: the question's first words are wanted, the answer's are found."""
+    d = _turn_pairs(spark, sf_dir)
+    gold, got = F.slice(F.array_distinct("q_tokens"), 1, 3), F.slice(F.array_distinct("a_tokens"), 1, 40)
+    met = F.size(F.array_intersect(gold, got))
+    share = lambda xs: F.when(F.size(xs) > 0, met / F.size(xs)).otherwise(0.0)
+    d = d.select(
+        "conv_id",
+        "turn",
+        (M.token_scores(F.col("a_tokens"), F.col("q_tokens"))["f1"] >= 0.3).alias("correct"),
+        T.contains_any(F.lower("answer"), L.ABSTENTION_MARKERS).alias("abstained"),
+        (met > 0).alias("hit"),
+        ((F.size(gold) > 0) & (met == F.size(gold))).alias("full"),
+        share(gold).alias("recall"),
+        share(got).alias("precision"),
+    )
+    kind = R.answer_error(F.col("correct"), F.col("abstained"), F.col("hit"), F.col("full"), F.col("conv_id") % 11 == 0, F.col("conv_id") % 7 != 0)
+    return d.select("conv_id", "turn", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), kind.alias("error_type"))
+
+
+def route_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted routes against expected ones that the conversation's number gives, with an acceptable alternative for some."""
+    wanted = F.get(F.array(*map(F.lit, ("direct", "retrieve", "abstain", "clarify"))), (F.col("conv_id") % 4).cast("int"))
+    d = route_turns(spark, sf_dir).withColumn("expected", wanted)
+    d = d.withColumn("mode", F.when(F.col("expected") == "retrieve", "single_step").otherwise("none"))
+    cell = F.when(F.col("turn") % 4 == 0, F.concat(F.lit('["direct", "'), F.col("expected"), F.lit('"]'))).otherwise("")
+    kind = R.route_error(F.col("expected"), F.col("route"), T.list_cell(cell), F.col("retrieval_mode"), F.col("mode"))
+    d = d.select("expected", F.col("route").alias("predicted"), kind.alias("error_type"))
+    return d.groupBy("expected", "predicted", "error_type").agg(F.count("*").alias("n"))
+
+
+def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant turn wrapped as raw model output (plain, fenced, inside prose, cut off) and parsed back."""
+    c = _read(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    said = F.concat(F.trim("text"), F.lit(' {"}'))
+    body = F.to_json(F.struct(said.alias("answer"), F.lit("82%").alias("confidence"), F.lit("no").alias("abstained")))
+    kind = F.col("turn") % 4
+    raw = (
+        F.when(kind == 0, body)
+        .when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(kind == 2, F.concat(F.lit("Here: "), body, F.lit(" done.")))
+        .otherwise(F.left(body, F.length(body) - 2))
+    )
+    d = c.select("conv_id", "turn", payload.answer(raw).alias("p"))
+    digest = F.when(F.col("p.valid"), F.md5(F.col("p.answer").cast("binary")))
+    return d.select("conv_id", "turn", digest.alias("answer_md5"), "p.confidence", "p.abstained", "p.valid", "p.method")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vec_ir_metrics, vec_topk, vec_topk_exclude_seen, vec_index_check, text_normalise_stats, sentence_stats, turn_token_f1, text_ladder,
         best_match, claim_verdicts, open_answers, route_turns, routed_prompts, route_counts, coerce_confidences, json_payload_fields,
         list_cells, group_summary, confusion_quality, prf_quality, question_rollup, value_counts, dq_issue_counts, dq_status, dq_keys,
-        reconcile_orders, review_reasons, resume_todo, head_n_per_group, hash_sample, qrels_remap, strata_union, turn_positions,
+        reconcile_orders, review_reasons, resume_todo, head_n_per_group, hash_sample, qrels_remap, strata_union, turn_positions, retrieval_policy,
+        answer_claims, verify_rounds, answer_repairs, answer_errors, route_errors, json_answers,
     )
 }
