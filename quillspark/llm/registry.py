@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import ann_forest, factorization, language_id, packing, quality_rules, quality_sql, secret_scan, sentencepiece_codec, simhash, token_file, warc
+from quillspark.llm import ann_forest, factorization, language_id, packing, quality_rules, quality_sql, secret_scan, secret_sql, sentencepiece_codec, simhash, token_file, warc
 
 
 def queries() -> dict:
@@ -25,4 +25,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those queries that SQL can express."""
-    return {"op1_quality_rules": quality_sql.OP1, **warc.ORACLE_SQL}
+    return {"op1_quality_rules": quality_sql.OP1, "op5_secret_scan": secret_sql.OP5, **warc.ORACLE_SQL}
