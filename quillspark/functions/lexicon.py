@@ -87,3 +87,10 @@ META_MARKERS = ("i think", "i believe", "in my opinion", "as an ai", "creo que",
 MONTHS = (
     "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
 )
+#: Words that tell topics apart; here the topics are languages and the words their commonest ones.
+TOPICS = {
+    "english": ("the", "of", "and", "that", "with", "for"),
+    "german": ("der", "die", "und", "nicht", "ist", "mit"),
+    "french": ("le", "les", "des", "une", "pour", "est"),
+    "spanish": ("el", "los", "que", "para", "una", "con"),
+}

@@ -212,3 +212,13 @@ def repair(n_claims: Column, core_refuted: Column, core_open: Column, n_supporte
         .when(n_supported == n_claims, "keep")
         .otherwise("keep_supported_claims")
     )
+
+
+def topic(words: Column, topics: dict[str, tuple[str, ...]], default: str = "other") -> Column:
+    """The topic with the most of its words among distinct ``words``; the first of equals, ``default`` without any."""
+    counts = {name: F.size(F.array_intersect(words, F.array(*map(F.lit, keys)))) for name, keys in topics.items()}
+    best = F.greatest(*counts.values())
+    out = F.when(best == 0, default)
+    for name, n in counts.items():
+        out = out.when(n == best, name)
+    return out

@@ -411,4 +411,13 @@ ORACLES = {
     "json_answers": """SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN md5(trim(text) || ' {"}') END AS answer_md5, CASE WHEN turn % 4 < 3 THEN CAST(0.82 AS DOUBLE) END AS confidence,
       CASE WHEN turn % 4 < 3 THEN FALSE END AS abstained, turn % 4 < 3 AS valid, CASE WHEN turn % 4 < 3 THEN 'json' ELSE 'fallback' END AS method
       FROM conversations WHERE role = 'assistant'""",
+    "claim_rows": f"""WITH {_PAIRS}, {_CLAIMS}
+      SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, claim_type, CAST(length(claim) AS BIGINT) AS claim_chars FROM claims WHERE pos < 3
+      UNION ALL SELECT conv_id, turn, 0, 'no_claims', 0 FROM pieces WHERE len(cs) = 0""",
+    "vec_merge_evidence": f"""WITH {_SEARCH}
+      SELECT query_id, string_agg(CAST(vec_id AS VARCHAR), '|' ORDER BY rank) AS evidence FROM ranked WHERE rank <= 6 GROUP BY query_id""",
+    "keyword_topics": f"""WITH w AS (SELECT doc_id, list_distinct(string_split({_normal("text")}, ' ')) AS words FROM documents),
+      n AS (SELECT doc_id, {", ".join(f"len(list_intersect(words, [{', '.join(map(_q, words))}])) AS t{i}" for i, words in enumerate(L.TOPICS.values()))} FROM w),
+      b AS (SELECT *, greatest({", ".join(f"t{i}" for i in range(len(L.TOPICS)))}) AS best FROM n)
+      SELECT doc_id, CASE WHEN best = 0 THEN 'other' {" ".join(f"WHEN t{i} = best THEN '{name}'" for i, name in enumerate(L.TOPICS))} END AS topic FROM b""",
 }

@@ -241,7 +241,7 @@ def question_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of every language, source and event-free cell of documents."""
+    """Counts of every language and source of documents, in one pass."""
     return AG.value_counts(_read(spark, sf_dir, "documents"), ["lang", "source"])
 
 
@@ -461,6 +461,32 @@ def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", "turn", digest.alias("answer_md5"), "p.confidence", "p.abstained", "p.valid", "p.method")
 
 
+def claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each claim, and one for an answer without any, so that no answer disappears."""
+    d = _turn_pairs(spark, sf_dir).withColumn("cs", R.claims(F.col("answer"), 3))
+    none = F.array(F.struct(F.lit("").alias("claim_text"), F.lit("no_claims").alias("claim_type"), F.lit(False).alias("requires_evidence"), F.lit("none").alias("importance")))
+    d = d.select("conv_id", "turn", F.posexplode(F.when(F.size("cs") > 0, F.col("cs")).otherwise(none)).alias("pos", "c"))
+    return d.select("conv_id", "turn", "pos", F.col("c.claim_type").alias("claim_type"), F.length("c.claim_text").cast("long").alias("claim_chars"))
+
+
+def vec_merge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows shown in two rounds as one list: the first round's, then the next unseen, six at most."""
+    queries, corpus = _vectors(spark, sf_dir)
+    first = VE.top_k(queries, corpus, 3)
+    second = VE.top_k_unseen(queries, corpus, first.select("query_id", "id"), 5, 3)
+    rows = lambda d: d.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("r"))  # noqa: E731  k entries at most
+    ids = lambda c: F.transform(c, lambda x: x["id"])
+    a, b = rows(first).withColumnRenamed("r", "a"), rows(second).withColumnRenamed("r", "b")
+    merged = F.slice(F.array_distinct(F.concat(ids(F.col("a")), F.coalesce(ids(F.col("b")), F.array().cast("array<bigint>")))), 1, 6)
+    return a.join(b, "query_id", "left").select("query_id", F.array_join(merged.cast("array<string>"), "|").alias("evidence"))
+
+
+def keyword_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's topic: the one whose words it holds most of, the first of equals, "other" without any."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(T.normal(F.col("text")), " ")).alias("words"))
+    return d.select("doc_id", R.topic(F.col("words"), L.TOPICS).alias("topic"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -469,5 +495,6 @@ QUERIES = {
         list_cells, group_summary, confusion_quality, prf_quality, question_rollup, value_counts, dq_issue_counts, dq_status, dq_keys,
         reconcile_orders, review_reasons, resume_todo, head_n_per_group, hash_sample, qrels_remap, strata_union, turn_positions, retrieval_policy,
         answer_claims, verify_rounds, answer_repairs, answer_errors, route_errors, json_answers,
+        claim_rows, vec_merge_evidence, keyword_topics,
     )
 }
