@@ -21,7 +21,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     ``queries (query_id, v)``; a row is not its own neighbour. Every query meets every row, in
     blocks: rows are copied once for each chunk of queries and queries once for each block, a task
     multiplies one block by one chunk and keeps ``k`` rows for each query, and a window picks the
-    best of those. Ties go to the smaller id.
+    best of those. Ties go to the smaller id: all rows within rounding of a block's k-th best are
+    scored again one by one, however many they are.
     """
     n, q = corpus.count(), queries.count()
     blocks, chunks = max(1, -(-n // BLOCK)), max(1, -(-q // CHUNK))
@@ -40,11 +41,16 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
             d = d.sort_values("id")
             x, ids = np.stack(d["v"].to_numpy()), d["id"].to_numpy()
             y, q_ids = np.stack(q["v"].to_numpy()), q["query_id"].to_numpy()
+            length = lambda a: np.sqrt(np.square(a).sum(axis=1))
+            long = length(x)
+            # a product of d numbers is off by d roundings at most, and two products are compared
+            slack = 4 * x.shape[1] * np.finfo(float).eps * length(y) * max(long[np.isfinite(long)], default=0.0)
             for i in range(0, len(y), 256):
                 scores = y[i : i + 256] @ x.T
-                scores[q_ids[i : i + 256, None] == ids] = -np.inf
-                m = min(k + 8, len(ids))
-                near = np.argpartition(-scores, m - 1, axis=1)[:, :m]
+                scores[(q_ids[i : i + 256, None] == ids) | ~np.isfinite(scores)] = -np.inf
+                last = max(0, len(ids) - k)
+                least = np.partition(scores, last, axis=1)[:, last] - np.nan_to_num(slack[i : i + 256], nan=np.inf)
+                near = map(np.flatnonzero, scores >= least[:, None])
                 for row, cols in enumerate(near):
                     cols = cols[np.isfinite(scores[row, cols])]
                     exact = (x[cols] * y[i + row]).sum(axis=1)

@@ -27,6 +27,21 @@ def test_top_k_is_exact_and_breaks_ties_by_id(spark):
         assert got[i] == sorted(range(60), key=lambda j: (-round(scores[j], 9), j))[:4]
 
 
+def test_ties_of_many_copies_go_to_the_smallest_ids(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((400, 16))
+    ids = rng.permutation(400)
+    copies = ids[:100]
+    x[copies] = x[copies[0]]
+    corpus = spark.createDataFrame([(int(i), x[i].tolist()) for i in ids], "id long, v array<double>")
+    queries = spark.createDataFrame([(int(q), x[copies[0]].tolist()) for q in (*copies[:3], *range(1000, 1003))], "query_id long, v array<double>")
+    for k in (3, 5):
+        got = {}
+        for r in VE.top_k(queries, corpus, k).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["id"])
+        assert got == {r["query_id"]: sorted(int(i) for i in copies if i != r["query_id"])[:k] for r in queries.collect()}
+
+
 def test_top_k_of_few_rows_and_of_none(spark):
     corpus = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id long, v array<double>")
     queries = corpus.select(F.col("id").alias("query_id"), "v")
