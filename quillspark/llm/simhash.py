@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspark.llm.common import read, stored
 from quillspark.llm.components import connected_components
@@ -212,15 +213,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def _tagged(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_fp``, the fingerprint."""
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            prints = [x - (1 << 64) if x >> 63 else x for x in (fingerprint(t.as_py()) for t in batch.column("text"))]
+            yield pa.record_batch([*batch.columns, pa.array(prints, pa.int64())], names=[*batch.schema.names, "_fp"])
+
+    return docs.mapInArrow(rows, StructType([*docs.schema.fields]).add("_fp", "long"))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: its smallest doc_id; of repeated rows of that id one stays.
+    """``docs`` with one row of each component: that of its smallest doc_id, whatever other components hold that id.
 
     A component without any doc_id keeps one of its rows.
     """
-    d = near_duplicates(docs)
-    kept = d.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return found.dropDuplicates(["doc_id"])
+    rows = stored(_tagged(docs).withColumn("_row", F.monotonically_increasing_id()), "tagged")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    entries = stored(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(best).alias("best")), "entries")
+    links = near_links(entries.select("fp"))
+    roots = connected_components(links).select(F.col("node").alias("fp"), "root")
+    kept = entries.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    kept = stored(kept.select(F.col("best._row").alias("_row")), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

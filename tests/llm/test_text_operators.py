@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -177,6 +178,16 @@ def test_near_duplicates_and_keepers(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keepers_of_null_and_reused_ids(spark):
+    rnd = random.Random(8)
+    texts = [fixtures.sentence(rnd, 80) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (3, texts[4]), (9, texts[5]), (9, texts[5])]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (3, texts[4]), (9, texts[5])}
+    got = [tuple(r) for r in kept.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_packing_places_every_token_once(spark, docs):
     path = tokenizer_path("word_bpe_49k.json")
     got = packing.pack(docs.withColumn("length", F.lit(0)), path).collect()
