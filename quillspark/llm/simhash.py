@@ -19,10 +19,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from quillspark.llm.common import read, stored
 from quillspark.llm.components import connected_components
+from quillspark.llm.near_copies import copy_links, sketch
 
 SHINGLE, SEED, BITS, BUDGET = 3, 42, 64, 3
 #: Entries of a trie beyond which its key is split by a second block.
@@ -213,28 +214,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def _tagged(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_fp``, the fingerprint."""
+def _tagged(docs: DataFrame, shingle: int | None) -> DataFrame:
+    """``docs`` with ``_fp`` and, for shingles of so many words, ``_key``, ``_n`` and ``_bands`` of ``near_copies.sketch``."""
 
     def rows(batches):
         import pyarrow as pa
 
         for batch in batches:
-            prints = [x - (1 << 64) if x >> 63 else x for x in (fingerprint(t.as_py()) for t in batch.column("text"))]
-            yield pa.record_batch([*batch.columns, pa.array(prints, pa.int64())], names=[*batch.schema.names, "_fp"])
+            texts = [t.as_py() for t in batch.column("text")]
+            prints = [x - (1 << 64) if x >> 63 else x for x in map(fingerprint, texts)]
+            keys, sizes, bands = zip(*(sketch(t, shingle) if shingle else (x, 0, []) for t, x in zip(texts, prints, strict=True)), strict=True) if texts else ((), (), ())
+            more = [pa.array(prints, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.record_batch([*batch.columns, *more], names=[*batch.schema.names, "_fp", "_key", "_n", "_bands"])
 
-    return docs.mapInArrow(rows, StructType([*docs.schema.fields]).add("_fp", "long"))
+    schema = StructType([*docs.schema.fields]).add("_fp", "long").add("_key", "long").add("_n", "long").add("_bands", ArrayType(LongType()))
+    return docs.mapInArrow(rows, schema)
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float | None = None, shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest doc_id, whatever other components hold that id.
 
-    A component without any doc_id keeps one of its rows.
+    Links are those of ``near_duplicates``; with ``similarity`` also pairs of texts whose sets of
+    ``shingle``-word runs have at least that Jaccard similarity (``near_copies``). A component without
+    any doc_id keeps one of its rows.
     """
-    rows = stored(_tagged(docs).withColumn("_row", F.monotonically_increasing_id()), "tagged")
-    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    rows = stored(_tagged(docs, shingle if similarity is not None else None).withColumn("_row", F.monotonically_increasing_id()), "tagged")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_row")
     entries = stored(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(best).alias("best")), "entries")
     links = near_links(entries.select("fp"))
+    if similarity is not None:
+        links = links.union(copy_links(rows, similarity, shingle, BUDGET))
     roots = connected_components(links).select(F.col("node").alias("fp"), "root")
     kept = entries.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
     kept = stored(kept.select(F.col("best._row").alias("_row")), "kept")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillspark.llm import packing, quality_rules, secret_scan, simhash
 from quillspark.llm.tokens import encoder, tokenizer_path
 from tests.llm import fixtures
@@ -188,6 +189,25 @@ def test_keepers_of_null_and_reused_ids(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_stage_drops_near_copies_by_jaccard(spark):
+    rnd = random.Random(9)
+    rows, pairs = [], []
+    for i in range(0, 120, 2):
+        words = fixtures.sentence(rnd, rnd.randint(60, 300)).split()
+        other = list(words)
+        for at in rnd.sample(range(len(words)), max(1, rnd.randint(len(words) // 100, len(words) // 25))):
+            other[at] = f"changed{i}"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+    runs = lambda t: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    sets = [runs(t) for _, t in rows]
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    prints = [brute_print(t) for _, t in rows]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 3 for i, j in pairs) >= 20
+    linked = {j for j in range(len(rows)) for i in range(j) if (i, j) in pairs or (prints[i] ^ prints[j]).bit_count() <= 3}
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _ in rows if i not in linked]
+
+
 def test_packing_places_every_token_once(spark, docs):
     path = tokenizer_path("word_bpe_49k.json")
     got = packing.pack(docs.withColumn("length", F.lit(0)), path).collect()
