@@ -18,7 +18,8 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local mode) a fresh local folder is used.
+    Only where that setting is absent and the master is local (tests) a fresh local folder is used;
+    on a cluster its absence is an error, as executors and driver would not see each other's files.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 

@@ -87,8 +87,12 @@ class TokenFile:
         return self._column("ids", k).flatten().to_numpy(zero_copy_only=True)
 
     def mask(self, k: int):
-        """True where sequence ``k`` holds tokens, false in its padding."""
-        return self._column("mask", k).flatten().to_numpy(zero_copy_only=False)
+        """True where sequence ``k`` holds tokens, false in its padding; unpacked from the file's bits."""
+        return self.mask_view(k).to_numpy(zero_copy_only=False)
+
+    def mask_view(self, k: int):
+        """The mask of sequence ``k`` as an Arrow array over the file's own bits, nothing copied."""
+        return self._column("mask", k).flatten()
 
     def batch(self, b: int):
         """All ids of batch ``b`` in a row, a view of the file."""

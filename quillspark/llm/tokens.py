@@ -60,7 +60,8 @@ class _Cache(dict):
 class TextEncoder:
     """Encodes texts as the library's ``encode(text, add_special_tokens=False)`` does.
 
-    Strings of special tokens inside a text are ordinary text. A null text is an empty one.
+    A text that holds an added token of the file (such as an end mark) goes to the library whole, so
+    it gets that token's id as there. A null text is an empty one.
     """
 
     def __init__(self, path: str):
@@ -69,11 +70,12 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.lower = spec["normalizer"] is not None
+        added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.table = _byte_letters()
         self.chunks = _Cache(self._chunk)
         self.spaced = _Cache(self._spaced)
@@ -112,6 +114,8 @@ class TextEncoder:
         """The text's ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if self.added and self.added.search(text):
+            return self._whole(text)
         if self.lower:
             chunks = _UNSPACED.findall(text) if _CONTROL.search(text) else text.split()
         elif _RARE_SPACE.search(text):
