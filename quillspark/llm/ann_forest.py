@@ -1,22 +1,24 @@
 """Approximate nearest neighbours by a hash-prefix forest (operator 9).
 
-Vectors become strings of ``HASH_BITS`` signs of random projections, one string for each of
-``TREES`` trees; a tree is the sorted array of its strings. Rows are dealt out in blocks of bounded
-size and each block has a forest of its own. A query looks up its longest-prefix match in every tree
-and then ascends all trees together, one bit shorter at a time, which widens the matching ranges of
-the arrays; the vectors met are scored exactly. It stops at the prefix length where a vector as near
-as the k-th best so far would have been met with probability ``RECALL`` at least: two vectors at
-angle t agree on a bit with probability 1 - t / pi, so on x bits in one of L trees with probability
-1 - (1 - (1 - t / pi) ** x) ** L. Where neighbours stand out this ends early; where they do not,
-the ascent goes on to the root, which is the exact answer of the block. Lengths at which the stop
-cannot come yet, by the k-th best so far, are passed without scoring. Every row is in a block and
-no range is capped.
+Vectors become long hash strings, one for each of ``TREES`` trees: ``SYMBOLS`` symbols of four bits,
+each the nearest of the 16 signed axes after a random projection to eight dimensions. A tree is the
+sorted array of the strings of a block of rows. A query looks up its longest-prefix match in every
+tree and then ascends all trees together, one bit shorter at a time, which widens the matching
+ranges of the arrays; the rows met for the first time are scored exactly. It stops at the prefix
+length where a vector as near as the k-th best so far would have been met in one tree at least with
+probability ``RECALL``: with p the chance that two vectors at that angle share such a prefix, in one
+of L trees that is 1 - (1 - p) ** L; p is measured once on random vectors (``collisions``), for it
+depends on the angle alone. There is no other stop and no switch by size: where neighbours do not
+stand out the ascent goes on, to the root if need be, and no range is capped.
 
 Largest inner product: for the hashes only, a row gets one more component that lifts all rows to the
 same norm, and a query a zero there, so the order by angle is the order by inner product.
 
-Queries meet blocks by (block, chunk of queries): rows are copied once for each chunk of
-``QUERY_CHUNK`` queries and queries once for each block, so a task holds one block and one chunk.
+Rows are never copied: a task takes the rows of its partition in blocks of at most ``BLOCK`` and
+reads the queries, which are stored once, in chunks. All blocks are looked at twice. The first look
+scores only the longest matches (``LOOK`` of them and more); the k-th best of all blocks together is
+a bound that is stored with the query. The second goes on from there, stops by that bound or the
+block's own k-th best, whichever is nearer, and hands on only rows that reach the bound.
 """
 
 from __future__ import annotations
@@ -24,13 +26,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read, stored
+from quillspark.llm.common import filesystem, read, stored
 
-TREES, HASH_BITS, SEED = 10, 64, 7
-RECALL = 0.95
-BLOCK, QUERY_CHUNK = 16_384, 16_384
-#: Queries whose matching ranges would hold more than this share of a block ascend to its root at once.
-ROOT_SHARE = 0.4
+TREES, SYMBOLS, AXES, SEED = 72, 8, 8, 7
+BITS = 4 * SYMBOLS
+#: Chance of having met the k-th best by which the ascent stops; the nearer ones are met more surely.
+RECALL = 0.85
+#: Rows of a block (its vectors and trees lie in a task's memory) and queries read at once.
+BLOCK, QUERY_CHUNK = 65_536, 4_096
+#: Matches, over all trees and counted with repeats, at which a query's rows in a block are scored first.
+LOOK = 320
+#: Queries that ascend together; each has a mark for every row of the block.
+TOGETHER = 128
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -43,114 +50,126 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _planes(width: int):
-    """The projections of all trees, the same in every task."""
+def _symbols(y):
+    """The symbol (axis * 2 + sign) of each group of ``AXES`` numbers along the last axis."""
     import numpy as np
 
-    return np.random.default_rng(SEED).standard_normal((width, TREES * HASH_BITS))
+    axis = np.abs(y).argmax(axis=-1)
+    sign = np.take_along_axis(y, axis[..., None], axis=-1)[..., 0] > 0
+    return (axis * 2 + sign).astype(np.uint8)
 
 
-def _strings(x, planes):
-    """Hash strings of the rows of ``x`` as unsigned numbers, one column for each tree."""
+def collisions(draws: int = 40_000, angles: int = 91):
+    """(angles, p): p[b, a] is the chance that strings at angle number a share their first b bits."""
     import numpy as np
 
-    bits = (x @ planes > 0).reshape(len(x), TREES, HASH_BITS)
-    return np.packbits(bits, axis=2).view(">u8").astype(np.uint64).reshape(len(x), TREES)
+    rng = np.random.default_rng(SEED)
+    grid = np.linspace(0, np.pi, angles)
+    a, other = rng.standard_normal((2, draws, AXES))
+    own = _symbols(a)
+    part = np.ones((5, angles))
+    for i, t in enumerate(grid):
+        unlike = own ^ _symbols(np.cos(t) * a + np.sin(t) * other)
+        for b in range(1, 5):
+            part[b, i] = (unlike >> (4 - b) == 0).mean()
+    return grid, np.stack([part[4] ** (b // 4) * part[b % 4] for b in range(BITS + 1)])
+
+
+def _strings(x, extra):
+    """Hash strings of the rows of ``x`` with one more component, one column for each tree."""
+    import numpy as np
+
+    rng = np.random.default_rng(SEED)
+    x = np.column_stack([x, extra])
+    out = np.zeros((len(x), TREES), dtype=np.uint32)
+    for t in range(TREES):
+        symbols = _symbols((x @ rng.standard_normal((x.shape[1], SYMBOLS * AXES))).reshape(len(x), SYMBOLS, AXES))
+        for s in range(SYMBOLS):
+            out[:, t] = out[:, t] << np.uint32(4) | symbols[:, s]
+    return out
 
 
 class Forest:
-    """The trees of one block of rows."""
+    """The trees of one block of rows, all of one width."""
 
-    def __init__(self, ids, x, top_norm: float):
+    def __init__(self, ids, x, top_norm: float, chances):
         import numpy as np
 
-        self.ids, self.x, self.top = ids, x, top_norm
-        self.planes = _planes(x.shape[1] + 1)
-        lift = np.sqrt(np.maximum(top_norm**2 - (x**2).sum(axis=1), 0))
-        strings = _strings(np.column_stack([x, lift]), self.planes)
-        self.order = np.argsort(strings, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(strings, self.order, axis=0)
+        self.ids, self.x, self.top, self.chances = ids, x, top_norm, chances
+        strings = _strings(x, np.sqrt(np.maximum(top_norm**2 - (x**2).sum(axis=1), 0)))
+        order = np.argsort(strings, axis=0, kind="stable")
+        self.sorted = np.ascontiguousarray(np.take_along_axis(strings, order, axis=0).T)
+        self.order = np.ascontiguousarray(order.T.astype(np.int32))
 
     def ranges(self, strings, length: int):
         """For queries' strings, the range of rows of each tree that share the first ``length`` bits."""
         import numpy as np
 
         if not length:
-            return np.zeros_like(strings, dtype=np.int64), np.full(strings.shape, len(self.ids))
-        low = strings >> np.uint64(HASH_BITS - length) << np.uint64(HASH_BITS - length)
-        high = low | np.uint64((1 << (HASH_BITS - length)) - 1)
-        cut = lambda s, side: np.column_stack([np.searchsorted(self.sorted[:, t], s[:, t], side) for t in range(TREES)])
-        return cut(low, "left"), cut(high, "right")
-
-    def search(self, q_ids, q, k: int):
-        """(query place, row place, score) of the ``k`` nearest met for each query."""
+            return np.zeros(strings.shape, dtype=np.int64), np.full(strings.shape, len(self.ids))
+        rest = np.uint32((1 << (BITS - length)) - 1)
+        cut = lambda s, side: np.column_stack([np.searchsorted(self.sorted[t], s[:, t], side) for t in range(TREES)])
+        return cut(strings & ~rest, "left"), cut(strings | rest, "right")
+
+    def met_chance(self, length: int, angle):
+        """Chance that a vector at ``angle`` shares a prefix of ``length`` bits with a query in one tree at least."""
+        import numpy as np
+
+        grid, p = self.chances
+        return 1 - (1 - np.interp(angle, grid, p[length])) ** TREES
+
+    def search(self, q_ids, q, bounds, k: int, look_only: bool = False):
+        """(query place, row place, score, rows scored) of the ``k`` nearest met that reach each query's bound.
+
+        With ``look_only`` the ascent ends where it first scores.
+        """
+        import numpy as np
+
+        strings = _strings(q, np.zeros(len(q)))
+        starts = range(0, len(q), TOGETHER)
+        parts = [self._together(np.arange(i, min(i + TOGETHER, len(q))), strings, q_ids, q, bounds, k, look_only) for i in starts]
+        return tuple(np.concatenate([p[j] for p in parts]) for j in range(4))
+
+    def _together(self, places, strings, q_ids, q, bounds, k: int, look_only: bool):
         import numpy as np
 
         n = len(self.ids)
-        strings = _strings(np.column_stack([q, np.zeros(len(q))]), self.planes)
-        norms = np.sqrt((q**2).sum(axis=1))
-        found_q, found_r, found_s = [], [], []
-
-        def keep(place, rows):
-            """Of the near ones of a query, the k with the best exact score, ties to the smaller vec_id."""
-            exact = _dot(self.x[rows], np.broadcast_to(q[place], (len(rows), q.shape[1])))
-            first = np.lexsort((self.ids[rows], -exact))[:k]
-            found_q.append(np.full(len(first), place))
-            found_r.append(rows[first])
-            found_s.append(exact[first])
-
-        def best(place, rows, scores):
-            """The k best of a query's rows by score, and those within rounding of the last."""
-            other = self.ids[rows] != q_ids[place]
-            rows, scores = rows[other], scores[other]
-            if len(rows) > k:
-                last = np.partition(scores, len(scores) - k)[len(scores) - k]
-                near = scores >= last - 1e-9 * max(1.0, abs(last))
-                rows, scores = rows[near], scores[near]
-            return rows, scores
-
-        waiting = np.arange(len(q))
-        asked = np.full(len(q), HASH_BITS)  # the next prefix length at which a query's matches are scored
-        least = np.log(1 - (1 - RECALL) ** (1 / TREES))
-        seen: dict[int, tuple] = {}
-        whole = []
-        for length in range(HASH_BITS, -1, -1):
+        seen = np.zeros((len(places), n), dtype=bool)
+        norms = np.sqrt((q[places] ** 2).sum(axis=1))
+        tops = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(places)
+        waiting, out = np.arange(len(places)), [(np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0), np.zeros(0, dtype=np.int64))]
+        for length in range(BITS, -1, -1):
             if not len(waiting):
                 break
-            lo, hi = self.ranges(strings[waiting], length)
-            size = (hi - lo).sum(axis=1)
-            # of ranges that overlap at random, so many rows differ
-            share = 1 - np.prod(1 - (hi - lo) / n, axis=1)
-            up = (share > ROOT_SHARE) | (length == 0)
-            whole.append(waiting[up])
-            for p in waiting[up]:
-                seen.pop(int(p), None)
-            ready = np.flatnonzero(~up & (size >= 2 * k) & (length <= asked[waiting]))
-            done = up.copy()
-            for i in ready.tolist():
-                place = int(waiting[i])
-                rows = np.unique(np.concatenate([self.order[a:b, t] for t, (a, b) in enumerate(zip(lo[i].tolist(), hi[i].tolist(), strict=True))]))
-                old_rows, old_scores = seen.get(place, (np.zeros(0, dtype=np.int64), np.zeros(0)))
-                new = np.setdiff1d(rows, old_rows, assume_unique=True)
-                rows, scores = np.concatenate([old_rows, new]), np.concatenate([old_scores, self.x[new] @ q[place]])
-                top, top_scores = best(place, rows, scores)
-                if len(top) >= k:
-                    last = np.partition(top_scores, len(top_scores) - k)[len(top_scores) - k]
-                    angle = np.arccos(np.clip(last / (norms[place] * self.top), -1, 1))
-                    asked[place] = min(length - 1, least / np.log(max(1 - angle / np.pi, 1e-9))) if angle > 0 else length
-                    if length <= asked[place] or (1 - angle / np.pi) ** length >= np.exp(least):
-                        keep(place, top)
-                        done[i] = True
-                        seen.pop(place, None)
-                        continue
-                seen[place] = rows, scores
-            waiting = waiting[~done]
-        whole = np.concatenate(whole) if whole else np.zeros(0, dtype=np.int64)
-        for i in range(0, len(whole), 512):
-            part = whole[i : i + 512]
-            for place, scores in zip(part.tolist(), q[part] @ self.x.T, strict=True):
-                keep(place, best(place, np.arange(n), scores)[0])
-        return tuple(np.concatenate(x) for x in (found_q, found_r, found_s))
+            lo, hi = self.ranges(strings[places[waiting]], length)
+            ready = ((hi - lo).sum(axis=1) >= LOOK) | (length == 0)
+            for i, a, b in zip(waiting[ready].tolist(), lo[ready], hi[ready], strict=True):
+                place = int(places[i])
+                met = np.full(n, length == 0)
+                if length:
+                    for t in np.flatnonzero(b > a).tolist():
+                        met[self.order[t, a[t] : b[t]]] = True
+                new = np.flatnonzero(met & ~seen[i])
+                seen[i, new] = True
+                scores, slack = self.x[new] @ q[place], 1e-9 * max(1.0, abs(bounds[place]) if np.isfinite(bounds[place]) else 1.0)
+                fine = (self.ids[new] != q_ids[place]) & (scores >= bounds[place] - slack)
+                rows, scores = np.concatenate([tops[i][0], new[fine]]), np.concatenate([tops[i][1], scores[fine]])
+                last = bounds[place]
+                if len(rows) >= k:
+                    # the k best, and those within rounding of the last
+                    last = np.partition(scores, len(scores) - k)[len(scores) - k]
+                    near = scores >= last - 1e-9 * max(1.0, abs(last))
+                    rows, scores = rows[near], scores[near]
+                tops[i] = rows, scores
+                cosine = np.clip(last / max(norms[i] * self.top, 1e-300), -1, 1)
+                if look_only or not length or self.met_chance(length, np.arccos(cosine)) >= RECALL:
+                    exact = _dot(self.x[rows], np.broadcast_to(q[place], (len(rows), q.shape[1])))
+                    first = np.lexsort((self.ids[rows], -exact))[:k]
+                    # one row more, of no vector, says how many rows were scored
+                    found = [(place, -1, -np.inf, int(seen[i].sum())), *((place, r, s, 0) for r, s in zip(rows[first].tolist(), exact[first].tolist(), strict=True))]
+                    out.append(tuple(np.array(c) for c in zip(*found, strict=True)))
+                    waiting = waiting[waiting != i]
+        return tuple(np.concatenate([o[j] for o in out]) for j in range(4))
 
 
 def _dot(a, b):
@@ -163,39 +182,93 @@ def _dot(a, b):
     return out
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's ``k`` nearest of ``vectors (vec_id, embedding)``.
+def _by_width(batch) -> dict:
+    """(places in the batch, ids, vectors) of a record batch (vec_id, v) for each width of its vectors."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ids, lists = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("v")
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+    out = {}
+    for w in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == w)
+        out[w] = at, ids[at], flat[(ends[at] - w)[:, None] + np.arange(w)]
+    return out
 
-    ``is_query`` is a condition on vec_id. A row is no candidate of its own vec_id. Nearest first,
-    ties to the smaller vec_id; with fewer candidates than ``k``, all of them.
+
+def _query_chunks(files: list[str]):
+    """The stored queries, ``QUERY_CHUNK`` at a time."""
+    import pyarrow.parquet as pq
+
+    for name in files:
+        store, where = filesystem(name)
+        with store.open_input_file(where) as f:
+            yield from pq.ParquetFile(f).iter_batches(QUERY_CHUNK)
+
+
+def _met(rows: DataFrame, queries: DataFrame, top_norm: float, chances, k: int, look_only: bool) -> DataFrame:
+    """(query_id, vec_id, score, scored): what the forests of all blocks of ``rows`` find for stored ``queries (vec_id, v, bound)``.
+
+    For each query and block one row without vec_id counts the rows that were scored.
     """
-    rows = stored(usable(vectors), "vectors")
-    facts = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()
-    blocks, chunks = max(1, -(-facts["n"] // BLOCK)), max(1, -(-facts["q"] // QUERY_CHUNK))
-    top_norm = float(facts["top"] or 0.0) ** 0.5
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    data = rows.select("vec_id", "v", own(blocks, 1).alias("block"), all_of(chunks).alias("chunk"))
-    asked = rows.where(is_query).select("vec_id", "v", own(chunks, 2).alias("chunk"), all_of(blocks).alias("block"))
-
-    def run(key, d, q):
+    files = queries.inputFiles()  # names only, one for each task that wrote queries
+
+    def answers(held):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+
+        blocks = {}
+        for batch in held:
+            for width, (_, ids, x) in _by_width(batch).items():
+                blocks.setdefault(width, []).append((ids, x))
+        forests = {w: Forest(np.concatenate([i for i, _ in b]), np.concatenate([x for _, x in b]), top_norm, chances) for w, b in blocks.items()}
+        for chunk in _query_chunks(files):
+            bounds = chunk.column("bound").to_numpy(zero_copy_only=False)
+            for width, (at, q_ids, q) in _by_width(chunk).items():
+                if width in forests:
+                    places, found, score, scored = forests[width].search(q_ids, q, bounds[at], k, look_only)
+                    ids = pa.array(forests[width].ids[found], mask=found < 0)
+                    yield pa.record_batch([pa.array(q_ids[places]), ids, pa.array(score), pa.array(scored)], names=["query_id", "vec_id", "score", "scored"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, BLOCK - n)
+                held, n, batch = [*held, part], n + part.num_rows, batch.slice(part.num_rows)
+                if n == BLOCK:
+                    yield from answers(held)
+                    held, n = [], 0
+        if n:
+            yield from answers(held)
+
+    return rows.mapInArrow(run, "query_id long, vec_id long, score double, scored long")
 
-        if not len(d) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        x, y = np.stack(d["v"].to_numpy()), np.stack(q["v"].to_numpy())
-        ids, q_ids = d["vec_id"].to_numpy(), q["vec_id"].to_numpy()
-        places, found, score = Forest(ids, x, top_norm).search(q_ids, y, k)
-        return pd.DataFrame({"query_id": q_ids[places], "vec_id": ids[found], "score": score})
 
-    met = data.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
+    """(query_id, rank, vec_id, score, n_scored): each query's ``k`` nearest of ``vectors (vec_id, embedding)``.
+
+    ``is_query`` is a condition on vec_id. A row is no candidate of its own vec_id. Nearest first,
+    ties to the smaller vec_id; with fewer candidates than ``k``, all of them. Vectors of different
+    widths have no inner product: a query meets those of its own width only. ``n_scored`` is the
+    number of rows whose vectors the query was compared with. Null, zero and non-finite vectors, null
+    vec_ids and other columns take no part; an empty table gives no row.
+    """
+    rows = stored(usable(vectors), "vectors")
+    top = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    top_norm, chances = float(top or 0.0) ** 0.5, collisions()
+    asked = rows.where(is_query)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    looked = _met(rows, stored(asked.withColumn("bound", F.lit(float("-inf"))), "queries"), top_norm, chances, k, True)
+    bounds = looked.withColumn("rank", F.row_number().over(order)).where((F.col("rank") == k) & F.col("vec_id").isNotNull()).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    bounded = asked.join(bounds, "vec_id", "left").select("vec_id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    met = _met(rows, stored(bounded, "bounded"), top_norm, chances, k, False)
+    each = Window.partitionBy("query_id")
+    ranked = met.withColumn("n_scored", F.sum("scored").over(each)).withColumn("rank", F.row_number().over(order))
+    return ranked.where((F.col("rank") <= k) & F.col("vec_id").isNotNull()).select("query_id", "rank", "vec_id", "score", "n_scored")
 
 
 def op9_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of each row of ``embeddings`` whose vec_id is divisible by 20."""
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
-

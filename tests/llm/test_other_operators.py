@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quillspark.llm import ann_forest, factorization, language_id, sentencepiece_codec, token_file, warc
@@ -79,13 +80,26 @@ PARTS = ["a", "B", "é", " ", "  ", "\n", "\t", ".", "!!", "***", "'s", "9", "ß
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_are_the_library_s(name):
-    enc, rnd = encoder(tokenizer_path(name)), random.Random(2)
+    enc, plain, rnd = encoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name)), random.Random(2)
     for _ in range(1500):
         text = "".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 12)))
-        assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    for mark in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"):
+        for text in (mark, f"a {mark} b", f"x{mark}{mark}", mark[:-1]):
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
     assert enc.encode(None) == b""
 
 
+def test_token_crcs_are_the_library_s(spark, small):
+    plain = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    at = 0
+    got = {r["doc_id"]: r for r in token_file.op10_token_file(spark, small).collect()}
+    for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect():
+        ids = np.array([*plain.encode(r["text"], add_special_tokens=False).ids, 0], "<u4")
+        assert got[r["doc_id"]].asDict() == {"doc_id": r["doc_id"], "start": at, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.tobytes())}
+        at += len(ids)
+
+
 def test_token_files_come_back(spark, docs):
     path = tokenizer_path("byte_bpe_50k.json")
     manifest = token_file.write_token_files(docs.withColumn("start", F.lit(9)), work_dir(spark, "t"), path)
@@ -253,11 +267,30 @@ def test_few_vectors_and_none(spark):
     assert ann_forest.nearest(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_widths_do_not_mix(spark):
+    rows = [(i, [float(i), 1.0] if i % 3 else [1.0, float(i), 2.0]) for i in range(90)]
+    got = ann_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 5).collect()
+    width = {i: len(v) for i, v in rows}
+    assert len(got) == 25 and all(width[r["query_id"]] == width[r["vec_id"]] for r in got)
+
+
+def test_clusters_are_found_without_scoring_all(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((200, 32))
+    x = (centres[np.arange(12_000) % 200] + 0.2 * rng.standard_normal((12_000, 32))).astype("float32")
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann_forest.nearest(table, F.col("vec_id") % 400 == 0, 20).collect()
+    want = {q: set((-(x.astype(float) @ x[q].astype(float)) + 1e9 * (np.arange(len(x)) == q)).argsort()[:20].tolist()) for q in range(0, 12_000, 400)}
+    assert sum(r["vec_id"] in want[r["query_id"]] for r in got) >= 0.9 * 20 * len(want)
+    assert sum(r["n_scored"] for r in got if r["rank"] == 1) <= 0.4 * len(x) * len(want)
+
+
 def test_recall_on_the_table(spark):
     rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     want = brute_neighbours(rows, 20)
     got = ann_forest.op9_ann_forest(spark, "/root/testdata/sf0.01").collect()
     assert sum(r["vec_id"] in want[r["query_id"]] for r in got) >= 0.9 * 20 * len(want)
+    assert sum(r["n_scored"] for r in got if r["rank"] == 1) <= 0.8 * len(rows) * len(want)
 
 
 # -- pipeline -----------------------------------------------------------------------------------
