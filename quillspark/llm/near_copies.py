@@ -2,10 +2,13 @@
 
 Shingles are runs of words of the text with A-Z lower-cased; a text of fewer words is one shingle.
 A text has ``BANDS`` keys, each of ``ROWS`` minima of hashed shingles; two of similarity 0.8 agree on
-one at least with probability 1 - (1 - 0.8^5)^24 = 0.9999. In a key of up to ``ALL_PAIRS`` texts all
-pairs are candidates; in a larger one each text is paired with ``PIVOTS`` texts that hashes choose,
-so candidates grow with the texts and not with a group's square. Every candidate's similarity is
-counted from the words of both whole texts.
+one at least with probability 1 - (1 - 0.8^5)^24 = 0.9999. Every candidate's similarity is counted
+from the words of both whole texts.
+
+A group of n copies has n^2 pairs, but n - 1 links connect it. So the texts of a key are first
+compared with one of them, the key's pivot. Keys whose texts are connected after that are done: no
+further link of theirs could join anything. In the others all pairs of texts of unlike components are
+compared, however many they are.
 """
 
 from __future__ import annotations
@@ -14,78 +17,137 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import stored
+from quillspark.llm.components import connected_components
+from quillspark.llm.tokens import _Cache
 
 BANDS, ROWS, SEED = 24, 5, 42
-ALL_PAIRS, PIVOTS = 16, 8
+#: Sets of shingles that a task keeps at hand while it compares pairs.
+SETS = 512
 
 
-def shingles(text: str | None, length: int) -> set[bytes]:
-    """The distinct runs of ``length`` words; none of a text without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return {b" ".join(words[i : i + length]) for i in range(max(1, len(words) - length + 1))} if words else set()
+def _hashes() -> _Cache:
+    from xxhash import xxh64_intdigest
+
+    return _Cache(lambda w: xxh64_intdigest(w, SEED))
 
 
-def jaccard(a: str | None, b: str | None, length: int) -> float:
-    """Share of the shingles of either text that both have; 0 without any."""
-    x, y = shingles(a, length), shingles(b, length)
-    both = len(x & y)
-    return both / (len(x) + len(y) - both) if x or y else 0.0
+_WORD_HASHES: list[_Cache] = []
 
 
-def sketch(text: str | None, length: int) -> tuple[int, int, list[int]]:
-    """(hash of the words, number of distinct shingles, keys of the bands), hashes as signed longs."""
+def shingle_hashes(text: str | None, length: int):
+    """A 64-bit hash of each run of ``length`` words, in order; none of a text without words."""
     import numpy as np
-    from xxhash import xxh64_digest, xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    if not _WORD_HASHES:
+        _WORD_HASHES.append(_hashes())
+    w = np.fromiter(map(_WORD_HASHES[0].__getitem__, words), dtype=np.uint64, count=len(words))
+    n = max(1, len(w) - length + 1)
+    out = np.full(n, np.uint64(min(len(w), length)))
+    for i in range(min(len(w), length)):
+        out = (out ^ w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def jaccard(x, y) -> float:
+    """Share of the shingles of either set (sorted hashes) that both have; 0 without any."""
+    import numpy as np
+
+    if not len(x) or not len(y):
+        return 0.0
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return both / (len(x) + len(y) - both)
+
+
+def sketch(text: str | None, length: int) -> tuple[int, int, int, list[int]]:
+    """(hash of the words, SimHash over the shingles, number of distinct ones, keys of the bands), as signed longs."""
+    import numpy as np
+    from xxhash import xxh64_digest
 
     own = xxh64_digest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()) if text else b"", SEED)
     key = int.from_bytes(own, "big", signed=True)
-    found = shingles(text, length)
-    if not found:
-        return key, 0, []
-    x = np.fromiter((xxh64_intdigest(s, SEED) for s in found), dtype=np.uint64, count=len(found))
+    found = shingle_hashes(text, length)
+    if not len(found):
+        return key, 0, 0, []
+    counts = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(found), 8192):
+        counts += np.unpackbits(found[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fp = int.from_bytes(np.packbits(2 * counts > len(found), bitorder="little").tobytes(), "little", signed=True)
+    x = np.unique(found)
     rng = np.random.default_rng(SEED)
     turn, shift = rng.integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
+    turn |= np.uint64(1)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(x), 1024):
-        least = np.minimum(least, (x[i : i + 1024, None] * (turn | np.uint64(1)) + shift).min(axis=0))
+    for i in range(0, len(x), 512):
+        least = np.minimum(least, (x[i : i + 512, None] * turn + shift).min(axis=0))
     parts = least.astype("<u8").reshape(BANDS, ROWS)
-    return key, len(found), [int.from_bytes(xxh64_digest(p.tobytes(), k), "big", signed=True) for k, p in enumerate(parts)]
+    return key, fp, len(x), [int.from_bytes(xxh64_digest(p.tobytes(), k), "big", signed=True) for k, p in enumerate(parts)]
 
 
-def copy_links(rows: DataFrame, similarity: float, length: int, near_bits: int) -> DataFrame:
-    """(a, b): fingerprints of texts whose similarity is ``similarity`` or more.
+def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, length: int) -> DataFrame:
+    """Those ``pairs (a, b)`` of keys whose ``texts (_key, text)`` have at least the similarity."""
+    of = lambda key, name: texts.select(F.col("_key").alias(key), F.col("text").alias(name))
+    both = pairs.join(of("a", "ta"), "a").join(of("b", "tb"), "b").select("a", "b", "ta", "tb")
 
-    ``rows (text, _fp, _key, _n, _bands)``, stored: a fingerprint and what ``sketch`` gives. Pairs whose
-    fingerprints differ in ``near_bits`` or fewer are left out, as they are linked already.
-    """
-    texts = rows.where("_n > 0").select("_key", "_fp", "_n", "_bands").dropDuplicates(["_key"])
-    cells = stored(texts.select(F.struct("_key", "_n", "_fp").alias("e"), F.explode("_bands").alias("band")), "bands")
-    sizes = cells.groupBy("band").count().where("count > 1")
-    live = stored(cells.join(sizes, "band"), "candidates")
-    lists = live.where(F.col("count") <= ALL_PAIRS).groupBy("band").agg(F.array_sort(F.collect_list("e")).alias("es"))  # ALL_PAIRS entries at most
-    small = lists.select("es", F.posexplode("es").alias("i", "e")).select("e", F.explode(F.expr("slice(es, i + 2, size(es))")).alias("o"))
-    large = live.where(F.col("count") > ALL_PAIRS)
-    chosen = large.groupBy("band").agg(*[F.min(F.struct(F.xxhash64("e._key", F.lit(i)).alias("h"), "e"))["e"].alias(f"p{i}") for i in range(PIVOTS)])
-    others = chosen.select("band", F.array(*[f"p{i}" for i in range(PIVOTS)]).alias("ps"))
-    met = small.union(large.join(others, "band").select("e", F.explode("ps").alias("o")))
-    bits = F.bit_count(F.col("e._fp").bitwiseXOR(F.col("o._fp")))
-    # the smaller set's share of the larger bounds the similarity
-    able = F.least("e._n", "o._n") >= F.lit(similarity - 1e-9) * F.greatest("e._n", "o._n")
-    met = met.where((F.col("e._key") != F.col("o._key")) & (bits > near_bits) & able)
-    first, second = F.least("e", "o"), F.greatest("e", "o")
-    pairs = met.select(first["_key"].alias("ka"), second["_key"].alias("kb"), first["_fp"].alias("a"), second["_fp"].alias("b"))
-    pairs = stored(pairs.dropDuplicates(["ka", "kb"]), "pairs")
-    named = pairs.select(F.explode(F.array("ka", "kb")).alias("_key")).distinct()
-    held = stored(rows.select("_key", "text").join(named, "_key", "left_semi").dropDuplicates(["_key"]), "texts")
-    of = lambda key, name: held.select(F.col("_key").alias(key), F.col("text").alias(name))
-    both = pairs.join(of("ka", "ta"), "ka").join(of("kb", "tb"), "kb").select("a", "b", "ta", "tb")
-
-    def alike(batches):
+    def near(batches):
+        import numpy as np
         import pyarrow as pa
 
+        sets: dict = {}
+
+        def held(key, text):
+            if key not in sets:
+                if len(sets) >= SETS:
+                    sets.clear()
+                sets[key] = np.unique(shingle_hashes(text.as_py(), length))
+            return sets[key]
+
         for batch in batches:
-            texts = zip(batch.column("ta"), batch.column("tb"), strict=True)
-            near = pa.array([jaccard(x.as_py(), y.as_py(), length) >= similarity for x, y in texts], pa.bool_())
-            yield batch.select(["a", "b"]).filter(near)
+            rows = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True)
+            fine = pa.array([jaccard(held(a, ta), held(b, tb)) >= similarity for a, b, ta, tb in rows], pa.bool_())
+            yield batch.select(["a", "b"]).filter(fine)
 
-    return both.mapInArrow(alike, "a long, b long")
+    return both.mapInArrow(near, "a long, b long")
+
+
+def copy_links(rows: DataFrame, near: DataFrame, similarity: float, length: int) -> DataFrame:
+    """(a, b): edges between keys of texts, all of at least ``similarity``, that connect all such texts.
+
+    ``rows (text, _key, _fp, _n, _bands)``, stored, as ``sketch`` gives them; ``near (a, b)``: links
+    between fingerprints, whose texts are candidates as well.
+    """
+    texts = rows.where("_n > 0").groupBy("_key").agg(*[F.any_value(c).alias(c) for c in ("_fp", "_n", "_bands")])
+    texts = stored(texts.select(F.struct(F.xxhash64("_key").alias("h"), "_key", "_n").alias("e"), "_fp", "_bands"), "texts")
+    cells = texts.select("e", F.explode("_bands").alias("band"))
+    shared = cells.groupBy("band").agg(F.min("e").alias("p"), F.count("*").alias("n")).where("n > 1").select("band", "p")
+    live = stored(cells.join(shared, "band"), "candidates")
+
+    def pairs_of(met: DataFrame) -> DataFrame:
+        # the smaller set's share of the larger bounds the similarity
+        able = F.least("e._n", "o._n") >= F.lit(similarity - 1e-9) * F.greatest("e._n", "o._n")
+        met = met.where((F.col("e._key") != F.col("o._key")) & able)
+        pairs = met.select(F.least("e._key", "o._key").alias("a"), F.greatest("e._key", "o._key").alias("b"))
+        return stored(pairs.distinct(), "pairs")
+
+    def held(pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+        return stored(rows.select("_key", "text").join(named, "_key", "left_semi").groupBy("_key").agg(F.any_value("text").alias("text")), "held")
+
+    first = texts.groupBy("_fp").agg(F.min("e").alias("o"))
+    of = lambda fp, e: first.select(F.col("_fp").alias(fp), F.col("o").alias(e))
+    met = live.select("e", F.col("p").alias("o")).union(texts.join(first, "_fp").select("e", "o"))
+    met = met.union(near.join(of("a", "e"), "a").join(of("b", "o"), "b").select("e", "o"))
+    pairs = pairs_of(met)
+    links = stored(_alike(pairs, held(pairs), similarity, length), "links")
+    roots = connected_components(links)
+    placed = live.join(roots.select(F.col("node").alias("key"), "root"), F.col("e._key") == F.col("key"), "left")
+    placed = stored(placed.select("band", "e", F.coalesce("root", "e._key").alias("root")), "placed")
+    open_bands = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    left = stored(placed.join(open_bands, "band", "left_semi"), "open")
+    right = left.select("band", F.col("e").alias("o"), F.col("root").alias("other"))
+    rest = pairs_of(left.join(right, "band").where("root < other").select("e", "o"))
+    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    return links.union(_alike(rest, held(rest), similarity, length))

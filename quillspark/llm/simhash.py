@@ -220,34 +220,45 @@ def _tagged(docs: DataFrame, shingle: int | None) -> DataFrame:
     def rows(batches):
         import pyarrow as pa
 
+        def of(text):
+            if shingle:
+                return sketch(text, shingle)
+            x = fingerprint(text)
+            signed = x - (1 << 64) if x >> 63 else x
+            return signed, signed, 0, []
+
         for batch in batches:
-            texts = [t.as_py() for t in batch.column("text")]
-            prints = [x - (1 << 64) if x >> 63 else x for x in map(fingerprint, texts)]
-            keys, sizes, bands = zip(*(sketch(t, shingle) if shingle else (x, 0, []) for t, x in zip(texts, prints, strict=True)), strict=True) if texts else ((), (), ())
-            more = [pa.array(prints, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.record_batch([*batch.columns, *more], names=[*batch.schema.names, "_fp", "_key", "_n", "_bands"])
+            found = [of(t.as_py()) for t in batch.column("text")]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            more = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.record_batch([*batch.columns, *more], names=[*batch.schema.names, "_key", "_fp", "_n", "_bands"])
 
-    schema = StructType([*docs.schema.fields]).add("_fp", "long").add("_key", "long").add("_n", "long").add("_bands", ArrayType(LongType()))
+    schema = StructType([*docs.schema.fields]).add("_key", "long").add("_fp", "long").add("_n", "long").add("_bands", ArrayType(LongType()))
     return docs.mapInArrow(rows, schema)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float | None = None, shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest doc_id, whatever other components hold that id.
 
-    Links are those of ``near_duplicates``; with ``similarity`` also pairs of texts whose sets of
-    ``shingle``-word runs have at least that Jaccard similarity (``near_copies``). A component without
-    any doc_id keeps one of its rows.
+    Without ``similarity`` the links are those of ``near_duplicates``. With it, texts are linked whose
+    sets of ``shingle``-word runs have at least that Jaccard similarity; candidates are the links of
+    fingerprints over those runs and the bands of ``near_copies``. Texts of the same words are one. A
+    component without any doc_id keeps one of its rows; of repeated rows one stays; null, empty and
+    wordless texts are one component.
     """
-    rows = stored(_tagged(docs, shingle if similarity is not None else None).withColumn("_row", F.monotonically_increasing_id()), "tagged")
-    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_row")
-    entries = stored(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(best).alias("best")), "entries")
-    links = near_links(entries.select("fp"))
+    names = docs.columns
+    packed = docs.select(F.struct("*").alias("_doc"), "doc_id", "text")
+    rows = stored(_tagged(packed, shingle if similarity is not None else None).withColumn("_row", F.monotonically_increasing_id()), "tagged")
+    links = near_links(rows.select(F.col("_fp").alias("fp")).distinct())
     if similarity is not None:
-        links = links.union(copy_links(rows, similarity, shingle, BUDGET))
-    roots = connected_components(links).select(F.col("node").alias("fp"), "root")
-    kept = entries.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
-    kept = stored(kept.select(F.col("best._row").alias("_row")), "kept")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+        links = copy_links(rows, stored(links, "near"), similarity, shingle)
+    roots = connected_components(links).select("node", "root")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_row")
+    entries = rows.groupBy(F.col("_fp" if similarity is None else "_key").alias("node")).agg(F.min(best).alias("best"))
+    kept = entries.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    # the rows that go are far fewer than those that stay
+    gone = stored(rows.select("_row").join(kept.select(F.col("best._row").alias("_row")), "_row", "left_anti"), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"_doc.`{c}`").alias(c) for c in names])
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
