@@ -1,15 +1,19 @@
 r"""Secret scans over a trigram inverted index (operator 5), in DataFrame functions only.
 
 From each rule's regular expression a Boolean trigram query is derived: alternatives ("clauses"),
-each a set of trigrams that any match of the clause must contain. The index has a posting
-(trigram, doc_id) for each trigram of any query and each document whose text, lower-cased, holds
-it. The postings of a clause's trigrams are intersected by grouping on (doc_id, clause); a document
-is a candidate of a rule if one of its clauses is complete. Only candidates are verified with the
-rule's expression. Rules without mandatory trigrams ("hex") scan every text.
+each a set of trigrams that any match of the clause must contain. The index has postings
+(trigram, doc_id): the document's text, lower-cased, holds the trigram. One trigram of each clause
+is its gate, and the others are looked for only in texts that hold it, as no other could complete
+the clause; a few gates serve all clauses. The index is stored and serves any number of scans. The
+postings of a clause's trigrams are intersected by grouping on (doc_id, clause); a document is a
+candidate of a rule if one of its clauses is complete. Only candidates are verified with the rule's
+expression. Rules without mandatory trigrams ("hex") scan every text. Texts are not shuffled as long
+as the candidates' ids are few enough to go to all tasks (``MOST_SENT``).
 
 Matches are leftmost and non-overlapping for each rule; their places, in code points, follow from
-the lengths of the matches and of the gaps between them. Null text is empty and has no span. Rows
-that share a doc_id share candidates, which verification makes exact; null doc_ids are one such id.
+the lengths of the matches and of the gaps between them, summed in blocks so that time grows in
+proportion. Null text is empty and has no span. Rows that share a doc_id share candidates, which
+verification makes exact; null doc_ids are one such id.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read
+from quillspark.llm.common import read, stored
 
 
 class Rule(NamedTuple):
@@ -53,6 +57,12 @@ BASE = RULES[:3]
 MASK = "[SECRET]"
 #: Sets of strings beyond this size are cut off into a clause of their own.
 MOST_STRINGS = 64
+#: Candidates (an id and a number each) that are sent to all tasks at most; more are joined by a shuffle.
+MOST_SENT = 1_000_000
+#: Elements of a block of a running sum.
+BLOCK = 256
+#: English letters by falling frequency: a gate of rarer letters is met less.
+_COMMON = "etaoinshrdlucmfwypvbgkjqxz"
 
 
 def _trigrams(strings: set[str]) -> list[frozenset[str]]:
@@ -117,12 +127,29 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return sorted((c for c in found if not any(o < c for o in found)), key=sorted)
 
 
+def gates(clauses: set[frozenset[str]]) -> dict[str, set[frozenset[str]]]:
+    """A trigram for each of a few groups of ``clauses``, one that all of the group ask for."""
+    left, out = set(clauses), {}
+    rare = lambda g: sum(_COMMON.find(c) if c in _COMMON else len(_COMMON) for c in g)
+    while left:
+        asked = {g: {c for c in left if g in c} for g in set().union(*left)}
+        best = max(asked, key=lambda g: (len(asked[g]), rare(g), g))
+        out[best] = asked[best]
+        left -= asked[best]
+    return out
+
+
 def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Postings (trigram, doc_id) of the rules' trigrams over ``docs`` (doc_id, text)."""
-    grams = sorted({g for r in rules for c in trigram_query(r.pattern) for g in c})
     low = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    held = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("low"), g))
-    return low.select("doc_id", F.explode(held).alias("trigram"))
+    none = F.array().cast("array<string>")
+    held = []
+    for gate, clauses in sorted(gates({c for r in rules for c in trigram_query(r.pattern)}).items()):
+        others = sorted(set().union(*clauses) - {gate})
+        more = F.filter(F.array(*map(F.lit, others)), lambda g: F.contains(F.col("low"), g)) if others else none
+        held.append(F.when(F.contains("low", F.lit(gate)), F.concat(F.array(F.lit(gate)), more)).otherwise(none))
+    found = low.select("doc_id", F.flatten(F.array(*held)).alias("held")) if held else low.select("doc_id", none.alias("held"))
+    return found.select("doc_id", F.explode("held").alias("trigram")).distinct()
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -145,50 +172,66 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     return whole.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
-def _spans(text: Column, k: int, rule: Rule) -> Column:
-    """Array of (start, kind's number, end) of a rule's matches in a text."""
-    pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    counted = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    each = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), whole.alias("m"), counted.alias("c"))
-    placed = F.aggregate(
-        F.filter(each, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-            F.when(
-                F.length(x["c"]) >= rule.least,
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["gap"])).alias("start"),
-                            F.lit(k).alias("kind"),
-                            (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
+def _before(values: Column, combine, zero: Column) -> Column:
+    """For each element of an array column the combination of all before it, in blocks, so that appending stays cheap.
+
+    ``values`` is a column of the row: an expression would be evaluated again for each block.
+    """
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+
+    def within(start, block):
+        step = lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("out")), step)
+
+    done = F.aggregate(
+        starts,
+        F.array(F.struct(zero.alias("at"), none.alias("out"))),
+        lambda acc, i: F.array_append(acc, within(F.element_at(acc, -1)["at"], F.slice(values, i, BLOCK))),
+    )
+    return F.flatten(F.transform(done, lambda x: x["out"]))
+
+
+def _matches(text: Column, rule: Rule) -> Column:
+    """Array of (gap, size, counts): code points before, in, and in the counted group of each match; null without any."""
+    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    counts = lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group) if rule.group else m)
+    sized = F.zip_with(
+        F.split(text, rule.pattern, -1), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), counts(m).alias("counts"))
     )
-    return F.when(text.rlike(rule.pattern), placed)
+    return F.when(text.rlike(rule.pattern), F.filter(sized, lambda x: x["size"].isNotNull()))
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` packed into the struct ``doc``, with ``spans``: (start, kind's number, end), sorted."""
-    found = candidates(build_index(docs.select("doc_id", "text"), rules), rules)
+def _spans(sized: Column, before: Column, k: int, rule: Rule) -> Column:
+    """Array of (start, kind's number, end) of those matches, as ``_matches`` gives them, that count."""
+    placed = F.zip_with(sized, before, lambda x, b: F.struct((b + x["gap"]).alias("start"), x["size"].alias("size"), x["counts"].alias("counts")))
+    fine = F.filter(placed, lambda x: x["counts"] >= rule.least)
+    return F.transform(fine, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), (x["start"] + x["size"]).alias("end")))
+
+
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
+    """``docs`` packed into the struct ``doc``, with ``spans``: (start, kind's number, end), sorted.
+
+    ``index``: postings that ``build_index`` gave for these documents and rules, if they are stored already.
+    """
+    index = stored(build_index(docs.select("doc_id", "text"), rules), "postings") if index is None else index
+    found = stored(candidates(index, rules), "found")
+    if found.count() <= MOST_SENT:
+        found = F.broadcast(found)
     d = docs.select(F.struct("*").alias("doc")).select("doc", F.coalesce("doc.text", F.lit("")).alias("text"))
-    d = d.join(found, F.col("doc.doc_id").eqNullSafe(found["doc_id"]), "left").select("doc", "text", "rules")
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    parts = []
+    d = d.join(found, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")), "left").select("doc", "text", "rules")
+    sized = []
     for k, rule in enumerate(rules):
-        spans = _spans(F.col("text"), k, rule)
+        each = _matches(F.col("text"), rule)
         if trigram_query(rule.pattern):
-            spans = F.when(F.col("rules").bitwiseAND(F.lit(1 << k)) != 0, spans)
-        parts.append(F.coalesce(spans, empty))
+            each = F.when(F.col("rules").bitwiseAND(F.lit(1 << k)) != 0, each)
+        sized.append(each.alias(f"m{k}"))
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    d = d.select("doc", *sized)
+    each = range(len(rules))
+    d = d.select("*", *[F.transform(f"m{k}", lambda x: x["gap"] + x["size"]).alias(f"v{k}") for k in each])
+    d = d.select("*", *[F.when(F.col(f"v{k}").isNotNull(), _before(F.col(f"v{k}"), lambda a, b: a + b, F.lit(0))).alias(f"b{k}") for k in each])
+    parts = [F.coalesce(_spans(F.col(f"m{k}"), F.col(f"b{k}"), k, rule), empty) for k, rule in enumerate(rules)]
     return d.select("doc", F.sort_array(F.concat(*parts)).alias("spans"))
 
 
@@ -197,24 +240,35 @@ def _shown(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
 
 
+#: Code points of a block of a text; a place far into a text is dear to reach, one in a block is not.
+TEXT_BLOCK = 4096
+
+
+def _piece(a: Column, b: Column) -> Column:
+    """Code points ``a`` to ``b`` of the text whose blocks are the column ``blocks``."""
+    part = lambda i, a, b: F.coalesce(F.substring(F.get("blocks", i), a + 1, b - a), F.lit(""))
+    first, last = F.floor(a / TEXT_BLOCK).cast("int"), F.floor(b / TEXT_BLOCK).cast("int")
+    inner = F.array_join(F.slice("blocks", first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    many = F.concat(part(first, a - first * TEXT_BLOCK, F.lit(TEXT_BLOCK)), inner, part(last, F.lit(0), b - last * TEXT_BLOCK))
+    return F.when(a >= b, "").when(first == last, part(first, a - first * TEXT_BLOCK, b - first * TEXT_BLOCK)).otherwise(many)
+
+
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with each secret, or run of overlapping ones, replaced by ``MASK``; n_chars follows if present."""
     d = find_secrets(docs, rules).select("doc", "spans", F.col("doc.text").alias("text"))
-    cut = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(
-                s["start"] >= acc["at"],
-                F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK)),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
+    some = F.size("spans") > 0
+    d = d.select(
+        "*",
+        F.when(some, F.transform("spans", lambda s: s["end"])).alias("ends"),
+        F.when(some, F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % TEXT_BLOCK), F.lit(0))).alias("blocks"),
     )
-    d = d.select("doc", "spans", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")).alias("text"))
+    d = d.select("*", F.when(some, _before(F.col("ends"), lambda a, b: F.greatest(a, b), F.lit(0))).alias("before"))
+    # a span that starts where all before it have ended begins a new run; the gap before it is kept
+    gaps = F.filter(F.zip_with("spans", "before", lambda s, e: F.struct(e.alias("a"), s["start"].alias("b"))), lambda g: g["a"] <= g["b"])
+    d = d.select("*", F.array_max("ends").alias("last"), F.length("text").alias("size"))
+    kept = F.array_join(F.transform(gaps, lambda g: _piece(g["a"], g["b"])), MASK)
+    cut = F.concat(kept, F.lit(MASK), _piece(F.col("last"), F.col("size")))
+    d = d.select("doc", "spans", F.when(some, cut).otherwise(F.col("text")).alias("text"))
     made = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]

@@ -106,6 +106,40 @@ def test_trigram_queries():
     assert any(all(g in text for g in c) for c in secret_scan.trigram_query(secret_scan.RULES[4].pattern))
 
 
+def test_gates_and_postings(spark, docs):
+    clauses = {c for r in secret_scan.RULES for c in secret_scan.trigram_query(r.pattern)}
+    chosen = secret_scan.gates(clauses)
+    assert set().union(*chosen.values()) == clauses and all(g in c for g, cs in chosen.items() for c in cs)
+    assert len(chosen) < len(clauses)
+    texts = {r["doc_id"]: (r["text"] or "").lower() for r in docs.collect()}
+    got = {}
+    for r in secret_scan.build_index(docs).collect():
+        got.setdefault(r["doc_id"], set()).add(r["trigram"])
+        assert r["trigram"] in texts[r["doc_id"]]
+    for i, text in texts.items():
+        for c in clauses:
+            assert (c <= got.get(i, set())) == all(g in text for g in c)
+    index = secret_scan.build_index(docs)
+    pair = lambda d: sorted((r["doc"]["doc_id"], str(r["spans"])) for r in d.select("doc", "spans").collect())
+    assert pair(secret_scan.find_secrets(docs, index=index)) == pair(secret_scan.find_secrets(docs))
+
+
+def test_many_secrets_in_one_text(spark):
+    rnd = random.Random(4)
+    parts = [rnd.choice([f"token = é{i:06d} ", f"password=a{i:06d} ", "AKIA" + "B" * 16 + " ", "0a" * 12 + " ", "😀 words "]) for i in range(20_000)]
+    text = "".join(parts)
+    d = spark.createDataFrame([(1, text), (2, "x"), (3, None)], "doc_id long, text string")
+    got = {r["doc"]["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in secret_scan.find_secrets(d).collect()}
+    assert [s for s in got[1] if s[1] < 3] == base_spans(text) and got[2] == got[3] == []
+    want, at = [], 0
+    for start, _, end in got[1]:
+        if start >= at:
+            want.append(text[at:start])
+        at = max(at, end)
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(d).collect()}
+    assert out == {1: secret_scan.MASK.join([*want, text[at:]]), 2: "x", 3: None}
+
+
 def test_redaction(spark, docs):
     odd = docs.withColumn("spans", F.lit("mine"))
     out = secret_scan.redact_secrets(odd)
