@@ -1,14 +1,14 @@
 """Quality rules with risk-controlled cutoffs (operator 1), in DataFrame functions only.
 
-Each rule rejects a document whose value reaches the rule's cutoff. The cutoffs are chosen, for each
-stratum (language) by itself, on labelled holdout documents: walking a fixed grid from lenient to
-strict, a cutoff is certified while the exact binomial test rejects "more than ``ALPHA / rules`` of
-the good documents are lost" at level ``DELTA / (rules * strata)``. Fixed-sequence testing needs no
-correction along a grid; the Bonferroni divisor covers all rules and strata; the shares of ALPHA add
-up. So with probability 1 - DELTA, in every stratum at once, at most ALPHA of the good documents
-that pass the base checks are rejected. Among certified cutoffs the one that rejects the most
-labelled bad documents is used, the most lenient on ties; where none is certified (few labels), the
-rule rests in that stratum.
+Each rule rejects a document whose value reaches the rule's cutoff. The cutoffs of all rules are
+chosen together, for each stratum (language) by itself, on labelled holdout documents: level g sets
+every rule to the g-th cutoff of its grid, from lenient to strict, and rejects what any rule rejects.
+Walking the levels in order, one is certified while the exact binomial test rejects "more than
+``ALPHA`` of the good documents are lost" at level ``DELTA / strata``. Testing a fixed sequence needs
+no correction along it; the Bonferroni divisor covers the strata. So with probability 1 - DELTA, in
+every stratum at once, at most ALPHA of the good documents that pass the base checks are rejected.
+Among certified levels the one that rejects the most labelled bad documents is used, the most lenient
+on ties; where none is certified (under 90 good labelled documents), the rules rest in that stratum.
 
 Null text counts as empty. Documents without a word have shares of 0 and fail the base check.
 Languages outside ``LANGUAGES`` and null are the stratum "other". Of several labels of one doc_id
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import checkpoint, read, words_of
+from quillspark.llm.common import checkpoint, read, stored, words_of
 
 #: Most good documents lost, as a share, in each stratum; the chance that this does not hold.
 ALPHA, DELTA = 0.05, 0.05
@@ -140,44 +140,32 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def certified_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, and a cutoff or null for each rule), of at most ``len(LANGUAGES) + 1`` rows.
+    """(stratum, and a cutoff for each rule), of at most ``len(LANGUAGES) + 1`` rows: strata with a certified level.
 
     ``features``: doc_id, stratum, base_failed and the rules' values. Every labelled document counts.
     """
-    rules, strata = len(GRIDS), len(LANGUAGES) + 1
+    strata, levels = len(LANGUAGES) + 1, len(next(iter(GRIDS.values())))
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     marked = marked.groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     held = features.where(~F.col("base_failed")).join(marked, "doc_id")
-    levels = [
-        F.struct(
-            F.lit(rule).alias("rule"),
-            sum((F.col(rule) < cutoff).cast("int") for cutoff in grid).alias("first"),
-        )
-        for rule, grid in GRIDS.items()
-    ]
-    size = len(next(iter(GRIDS.values())))
+    # the first level at which a rule rejects is the number of its cutoffs above the value
+    first = F.least(*[sum((F.col(rule) < cutoff).cast("int") for cutoff in grid) for rule, grid in GRIDS.items()])
     hit = lambda g, good: F.count_if((F.col("first") <= g) & (F.col("good") == good))
     counts = (
-        held.select("stratum", "good", F.inline(F.array(*levels)))
-        .groupBy("stratum", "rule")
+        held.select("stratum", "good", first.alias("first"))
+        .groupBy("stratum")
         .agg(
             F.count_if("good").alias("n"),
-            F.array(*[F.struct(hit(g, True).alias("lost"), hit(g, False).alias("caught")) for g in range(size)]).alias("at"),
+            F.array(*[F.struct(hit(g, True).alias("lost"), hit(g, False).alias("caught")) for g in range(levels)]).alias("at"),
         )
     )
-    grid_of = F.create_map(*[x for rule, grid in GRIDS.items() for x in (F.lit(rule), F.array(*map(F.lit, grid)))])
-    tested = counts.select("stratum", "rule", "n", F.posexplode("at").alias("g", "at")).select(
-        "stratum",
-        "rule",
-        "g",
-        "at.caught",
-        F.get(grid_of[F.col("rule")], F.col("g")).alias("cutoff"),
-        ((F.col("n") > 0) & (binomial_tail(F.col("at.lost"), F.col("n"), alpha / rules) <= delta / (rules * strata))).alias("ok"),
+    tested = counts.select("stratum", "n", F.posexplode("at").alias("g", "at")).select(
+        "stratum", "g", "at.caught", ((F.col("n") > 0) & (binomial_tail(F.col("at.lost"), F.col("n"), alpha) <= delta / strata)).alias("ok")
     )
-    so_far = Window.partitionBy("stratum", "rule").orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("stratum").orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
     passed = tested.withColumn("ok", F.min("ok").over(so_far)).where("ok")
-    best = passed.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("caught", -F.col("g"))).alias("cutoff"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in GRIDS])
+    best = passed.groupBy("stratum").agg(F.max_by("g", F.struct("caught", -F.col("g"))).alias("g"))
+    return best.select("stratum", *[F.get(F.array(*map(F.lit, grid)), F.col("g")).alias(f"cut_{rule}") for rule, grid in GRIDS.items()])
 
 
 def verdict(features: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -198,13 +186,13 @@ def _narrow(docs: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang and any others, all returned) that the rules keep.
 
-    Cutoffs come from the labelled rows of ``docs``. Texts are read twice and never shuffled.
+    Cutoffs come from the labelled rows of ``docs``. Features are computed once and stored beside the
+    rows, so texts are never shuffled. Repeated rows are judged each by itself.
     """
-    cutoffs = checkpoint(certified_cutoffs(checkpoint(_narrow(docs)), labels))
     d = with_features(docs)
-    d = verdict(d.withColumn("stratum", stratum(F.col("doc.lang"))), cutoffs)
-    # not a filter: the optimizer would push it below the features and so write them out in it again and again
-    return d.select(F.inline(F.when(F.col("kept"), F.array("doc"))))
+    d = stored(d.withColumn("stratum", stratum(F.col("doc.lang"))), "features")
+    cutoffs = checkpoint(certified_cutoffs(d.select("doc.doc_id", *d.columns[1:]), labels))
+    return verdict(d, cutoffs).where("kept").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

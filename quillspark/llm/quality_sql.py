@@ -2,9 +2,10 @@
 
 from quillspark.llm.quality_rules import ALPHA, DELTA, GRIDS, LANGUAGES, MIN_WORDS
 
-_RULES, _STRATA = len(GRIDS), len(LANGUAGES) + 1
-_GRID = ", ".join(f"('{rule}', {g}, CAST({cutoff} AS DOUBLE))" for rule, grid in GRIDS.items() for g, cutoff in enumerate(grid))
-_P = f"({ALPHA}::DOUBLE / {_RULES})"
+_STRATA, _LEVELS = len(LANGUAGES) + 1, len(next(iter(GRIDS.values())))
+_P = f"{ALPHA}::DOUBLE"
+#: Does any rule reject at level g?
+_HIT = " OR ".join(f"{rule} >= CAST([{', '.join(map(str, grid))}] AS DOUBLE[])[g + 1]" for rule, grid in GRIDS.items())
 _SHARES = {
     "symbol_share": ("n_symbols", "n_words"),
     "repeat_share": ("n_repeat_words", "n_words"),
@@ -13,7 +14,6 @@ _SHARES = {
     "shout_share": ("n_shouts", "n_words"),
     "word_length": ("word_chars", "n_words"),
 }
-_VALUE = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in GRIDS) + " END"
 
 OP1 = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IN {LANGUAGES} THEN lang ELSE 'other' END AS stratum FROM documents),
@@ -37,20 +37,18 @@ f AS (
   FROM base
 ),
 marked AS (SELECT doc_id, avg(quality) >= 0.5 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-grid(rule, g, cutoff) AS (VALUES {_GRID}),
 tested AS (
-  SELECT stratum, rule, g, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND {_VALUE} >= cutoff) AS lost,
-         count(*) FILTER (NOT good AND {_VALUE} >= cutoff) AS caught
-  FROM f JOIN marked USING (doc_id), grid WHERE NOT base_failed GROUP BY ALL
+  SELECT stratum, g, count(*) FILTER (good) AS n, count(*) FILTER (good AND ({_HIT})) AS lost, count(*) FILTER (NOT good AND ({_HIT})) AS caught
+  FROM f JOIN marked USING (doc_id), range({_LEVELS}) AS levels(g) WHERE NOT base_failed GROUP BY ALL
 ),
 tails AS (
   SELECT *, n > 0 AND lost < n * {_P} AND list_sum(list_transform(range(0, lost + 1), lambda j:
-    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_P}) + (n - j) * ln(1 - {_P})))) <= {DELTA}::DOUBLE / {_RULES * _STRATA} AS ok
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_P}) + (n - j) * ln(1 - {_P})))) <= {DELTA}::DOUBLE / {_STRATA} AS ok
   FROM tested
 ),
-so_far AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY g) AS certified FROM tails),
-best AS (SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum, rule ORDER BY caught DESC, g) AS k FROM so_far WHERE certified),
-hit AS (SELECT DISTINCT doc_id FROM f JOIN best USING (stratum) WHERE k = 1 AND {_VALUE} >= cutoff)
+so_far AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY g) AS certified FROM tails),
+best AS (SELECT stratum, g, row_number() OVER (PARTITION BY stratum ORDER BY caught DESC, g) AS k FROM so_far WHERE certified),
+hit AS (SELECT DISTINCT doc_id FROM f JOIN best USING (stratum) WHERE k = 1 AND ({_HIT}))
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND hit.doc_id IS NULL AS kept, stratum,
        {", ".join(GRIDS)}
 FROM f LEFT JOIN hit ON hit.doc_id = f.doc_id

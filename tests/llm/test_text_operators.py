@@ -6,12 +6,13 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import packing, quality_rules, secret_scan, simhash
+from quillspark.llm import packing, quality_rules, quality_sql, secret_scan, simhash
 from quillspark.llm.tokens import encoder, tokenizer_path
 from tests.llm import fixtures
 
@@ -64,6 +65,33 @@ def test_cutoffs_catch_bad_and_keep_good(spark):
     assert all(kept[i] == (i % 10 != 0) for i in range(3000)) and kept[9000]
 
 
+def test_rules_query_with_live_cutoffs_in_every_stratum(spark, tmp_path):
+    """The whole query against its SQL on a table with enough labels to certify cutoffs in all five strata."""
+    rnd = random.Random(11)
+    rows, marks = [], []
+    for i in range(1500):
+        lang = ("en", "de", "fr", "es", "pt", None)[i % 6]
+        text = fixtures.sentence(rnd, rnd.randint(55, 90))
+        bad = i % 7 == 0
+        if bad:
+            text = " ".join(w + rnd.choice(["", "##$$", "!!!", "***"]) for w in text.split())
+        elif i % 97 == 0:
+            text = text.upper()
+        rows.append((i, text, lang, "s", len(text)))
+        marks.append((i, 0 if bad else 1, 0))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality_rules.op1_quality_rules(spark, str(tmp_path)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(quality_sql.OP1).df().sort_values("doc_id").reset_index(drop=True)
+    assert (got[want.columns] == want).all().all()
+    by = got.assign(gone=~got["kept"] & ~got["base_failed"], good=[bool(m[1]) for m in marks]).groupby(["stratum", "good"])["gone"].mean()
+    for s in ("en", "de", "fr", "es", "other"):
+        assert by[s, False] > 0.8 and by[s, True] <= 0.05
+
+
 def test_quality_stage_keeps_columns_and_rows(spark, docs):
     odd = docs.withColumn("kept", F.lit(1)).withColumn("n_words", F.lit("x"))
     out = quality_rules.quality_rules(odd, fixtures.labels(spark, docs))
