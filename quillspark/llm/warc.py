@@ -30,7 +30,7 @@ MOST_HEADER_BYTES = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Upper halves of record UUIDs: a page's number is the lower half; the second is for rows without one.
 _NUMBERED, _UNNUMBERED = 0x77617263_0000_4000, 0x77617263_0001_4000
-OUT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean"
+OUT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean, error string"
 
 
 def record_id(page_id: int | None) -> str:
@@ -42,7 +42,10 @@ def record_id(page_id: int | None) -> str:
 
 def page_of(urn: str | None) -> int | None:
     """The page of a record's URN; null for records of rows without a page_id, and for foreign URNs."""
-    number = uuid.UUID(urn.strip("<>")).int if urn else 0
+    try:
+        number = uuid.UUID(urn.strip("<>")).int if urn else 0
+    except ValueError:
+        return None
     if number >> 64 != _NUMBERED:
         return None
     low = number & (1 << 64) - 1
@@ -53,6 +56,20 @@ def _sha1(digest: bytes) -> str:
     return "sha1:" + base64.b32encode(digest).decode()
 
 
+def _stated(value: str) -> tuple[str, bytes] | None:
+    """(algorithm, digest) of a digest field, in base 32 or hex; null if absent or of a kind that is not known."""
+    name, _, text = value.partition(":")
+    name, text = name.strip().lower().replace("-", ""), text.strip()
+    if name not in ("sha1", "sha256", "sha512", "md5"):
+        return None
+    size = hashlib.new(name).digest_size
+    try:
+        digest = bytes.fromhex(text) if len(text) == 2 * size else base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except ValueError:
+        return None
+    return (name, digest) if len(digest) == size else None
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, level: int = 6) -> bytes:
     """One gzip member with the page's response record, or with a revisit record if ``refers_to`` is given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -89,7 +106,10 @@ class _Members:
         """The member's next bytes; none at its end."""
         d = self.inflater
         while not d.eof:
-            out = d.decompress(self.raw, STEP)
+            try:
+                out = d.decompress(self.raw, STEP)
+            except zlib.error as damage:
+                raise ValueError(f"a member that cannot be inflated: {damage}") from damage
             self.raw = d.unused_data if d.eof else d.unconsumed_tail
             if out:
                 return out
@@ -105,60 +125,90 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-def read_records(stream, with_payload: bool = False) -> Iterator[dict]:
+def _one(members: _Members, with_payload: bool) -> dict:
+    """The record of the present member."""
+    held = b""
+    while (end := held.find(b"\r\n\r\n")) < 0:
+        more = members.read()
+        if not more or len(held) > MOST_HEADER_BYTES:
+            raise ValueError("a record without a complete header")
+        held += more
+    if not held.startswith(b"WARC/"):
+        raise ValueError("a member that is no WARC record")
+    fields = _fields(held[:end])
+    if "warc-type" not in fields or not fields.get("content-length", "").isdigit():
+        raise ValueError("a record without its type or length")
+    left, held = int(fields["content-length"]), held[end + 4 :]
+    stated = {of: _stated(fields.get(f"warc-{of}-digest", "")) for of in ("block", "payload")}
+    running = {of: {name: hashlib.new(name) for name in {"sha1", *([known[0]] if known else [])}} for of, known in stated.items()}
+    # records of other kinds than HTTP messages are payload throughout
+    body = not fields.get("content-type", "").lower().startswith("application/http")
+    http, kept, size = bytearray(), [], 0
+    while left:
+        held = held or members.read()
+        if not held:
+            raise ValueError("a record shorter than its Content-Length")
+        part, held = held[:left], held[left:]
+        left -= len(part)
+        for digest in running["block"].values():
+            digest.update(part)
+        if not body:
+            seen = max(0, len(http) - 3)
+            http += part
+            cut = http.find(b"\r\n\r\n", seen)
+            if cut < 0 and len(http) <= MOST_HEADER_BYTES:
+                continue
+            # a message whose header does not end is payload as well
+            body, part, http = True, bytes(http[cut + 4 :] if cut >= 0 else http), http[: max(cut, 0)]
+        for digest in running["payload"].values():
+            digest.update(part)
+        size += len(part)
+        if with_payload:
+            kept.append(part)
+    while more := members.read():
+        held += more
+        if len(held) > 4:
+            break
+    if held != b"\r\n\r\n":
+        raise ValueError("a record that does not end with its Content-Length")
+    revisit = fields["warc-type"] == "revisit"
+    checked = [running[of][known[0]].digest() == known[1] for of, known in stated.items() if known and not (revisit and of == "payload")]
+    length = _fields(bytes(http)).get("content-length", "")
+    sha1 = stated["payload"][1].hex() if stated["payload"] and stated["payload"][0] == "sha1" else None
+    out = {
+        "page_id": page_of(fields.get("warc-record-id")),
+        "url": fields.get("warc-target-uri"),
+        "payload_bytes": (int(length) if length.isdigit() else None) if revisit else size,
+        "payload_digest": sha1 if revisit else running["payload"]["sha1"].hexdigest(),
+        "record_type": fields["warc-type"],
+        "refers_to": page_of(fields.get("warc-refers-to")),
+        "digest_ok": all(checked) if checked else None,
+        "error": None,
+    }
+    return out | {"payload": b"".join(kept)} if with_payload else out
+
+
+def read_records(stream, with_payload: bool = False, keep_on: bool = False) -> Iterator[dict]:
     """The records of one archive in order: their fields, what the bytes say, and whether digests hold.
 
-    A record whose framing is broken (no header, a wrong length, bytes after its end) raises
-    ValueError; one whose digests do not hold is returned with ``digest_ok`` false.
+    ``digest_ok`` is null where a record states no digest of a known kind. A record whose framing is
+    broken (no header, type or length, a wrong length, bytes after its end, damage) raises ValueError;
+    with ``keep_on`` it is a row of nulls with ``error``, and reading goes on at the next member, or
+    ends where the members cannot be told apart any more.
     """
     members = _Members(stream)
     while members.next_member():
-        held = b""
-        while (end := held.find(b"\r\n\r\n")) < 0:
-            more = members.read()
-            if not more or len(held) > MOST_HEADER_BYTES:
-                raise ValueError("a record without a complete header")
-            held += more
-        if not held.startswith(b"WARC/1."):
-            raise ValueError("a member that is no WARC record")
-        fields = _fields(held[:end])
-        left, held = int(fields["content-length"]), held[end + 4 :]
-        block, payload, http, kept, size = hashlib.sha1(), hashlib.sha1(), b"", [], 0
-        body = False
-        while left:
-            held = held or members.read()
-            if not held:
-                raise ValueError("a record shorter than its Content-Length")
-            part, held = held[:left], held[left:]
-            left -= len(part)
-            block.update(part)
-            if not body:
-                http += part
-                cut = http.find(b"\r\n\r\n")
-                if cut < 0:
-                    continue
-                body, part, http = True, http[cut + 4 :], http[:cut]
-            payload.update(part)
-            size += len(part)
-            if with_payload:
-                kept.append(part)
-        while more := members.read():
-            held += more
-        if held != b"\r\n\r\n":
-            raise ValueError("a record that does not end with its Content-Length")
-        stated = fields.get("warc-payload-digest", "")
-        revisit = fields["warc-type"] == "revisit"
-        ok = fields.get("warc-block-digest") == _sha1(block.digest()) and (revisit or stated == _sha1(payload.digest()))
-        out = {
-            "page_id": page_of(fields.get("warc-record-id")),
-            "url": fields.get("warc-target-uri"),
-            "payload_bytes": int(_fields(http).get("content-length", 0)) if revisit else size,
-            "payload_digest": base64.b32decode(stated.partition(":")[2]).hex() if revisit else payload.hexdigest(),
-            "record_type": fields["warc-type"],
-            "refers_to": page_of(fields.get("warc-refers-to")),
-            "digest_ok": ok,
-        }
-        yield out | {"payload": b"".join(kept)} if with_payload else out
+        try:
+            yield _one(members, with_payload)
+        except ValueError as broken:
+            if not keep_on:
+                raise
+            yield dict.fromkeys([x.split()[0] for x in OUT.split(", ")]) | {"error": str(broken)}
+            try:
+                while members.read():
+                    pass
+            except ValueError:
+                return
 
 
 def mark_revisits(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -169,7 +219,9 @@ def mark_revisits(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame
     a page_id, all are kept in full.
     """
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    p = p.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
+    # short payloads meet no other; a key of their own spreads them over the join
+    own = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+    p = p.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")).otherwise(own))
     narrow = pages.select("page_id", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     groups = narrow.where(F.octet_length("payload") >= least).groupBy(F.sha1("payload").alias("digest"))
     firsts = stored(groups.agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1").select("digest", "target"), "firsts")
@@ -218,21 +270,21 @@ def write_archives(pages: DataFrame, path: str, *, date: str = "1970-01-01T00:00
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """One row for each record of the archives: see ``OUT``; archives are dealt out to tasks by name."""
+    """One row for each record of the archives: see ``OUT``; broken ones have ``error``. Archives are dealt out to tasks by name."""
 
     def rows(batches):
         import pyarrow as pa
 
         schema = pa.schema(
             [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
-            + [("record_type", pa.string()), ("refers_to", pa.int64()), ("digest_ok", pa.bool_())]
+            + [("record_type", pa.string()), ("refers_to", pa.int64()), ("digest_ok", pa.bool_()), ("error", pa.string())]
         )
         for batch in batches:
             for name in batch.column("path").to_pylist():
                 store, where = filesystem(name)
                 held = []
                 with store.open_input_stream(where, compression=None) as f:
-                    for r in read_records(f):
+                    for r in read_records(f, keep_on=True):
                         held.append(r)
                         if len(held) == 4096:
                             yield pa.RecordBatch.from_pylist(held, schema=schema)
