@@ -11,8 +11,8 @@ Tries are sorted arrays, nodes are intervals of them. All tries of a task are wa
 pairs of nodes descend together, a pair of unlike children costs one bit, and a pair that has cost
 more than 3 is dropped. Links found are merged within the task at once, and one edge for each linked
 entry goes on, never all pairs of a group. Entries in a key that holds more than ``MOST_IN_TRIE`` are
-dealt again by the same argument on their other 48 bits, in four parts of 12, so a task stays
-bounded; no partner is lost.
+dealt again by the same argument on their other bits: four parts of 12 of the 48, then of 9 of the
+36, and so on while 16 bits are left. No partner is lost, and a task holds a few keys at a time.
 """
 
 from __future__ import annotations
@@ -140,22 +140,43 @@ def trie_links(group, x, first_bit: int, budget: int = BUDGET):
 
 
 def _walk(first_bit: int):
-    """A task's walk over its whole tries: (key, x) rows in, one (a, b) row for each linked entry out."""
+    """A task's walk over its tries: (key, x, fp) rows sorted by key in, one (a, b) row for each linked entry out.
 
-    def run(batches):
+    Whole keys are taken as soon as ``MOST_IN_TRIE`` rows are held, so memory does not grow with the task.
+    """
+
+    def links(table, first_bit):
         import numpy as np
         import pyarrow as pa
 
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
         key, x = table.column("key").to_numpy(), table.column("x").to_numpy().view(np.uint64)
         order = np.lexsort((x, key))
         key, x, fp = key[order], x[order], table.column("fp").to_numpy()[order]
         root = trie_links(key, x, first_bit)
         linked = np.flatnonzero(root != np.arange(len(root)))
-        yield pa.record_batch([pa.array(fp[linked]), pa.array(fp[root[linked]])], names=["a", "b"])
+        return pa.record_batch([pa.array(fp[linked]), pa.array(fp[root[linked]])], names=["a", "b"])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            start = int(np.searchsorted(key, key[-1]))  # rows before it belong to keys that are complete
+            if n + start >= MOST_IN_TRIE and (start or held):
+                if start:
+                    held.append(batch.slice(0, start))
+                elif held[-1].column("key")[held[-1].num_rows - 1].as_py() == key[0]:
+                    held, n = [*held, batch], n + batch.num_rows
+                    continue
+                yield links(pa.Table.from_batches(held), first_bit)
+                held, n, batch = [], 0, batch.slice(start)
+            held, n = [*held, batch], n + batch.num_rows
+        if held:
+            yield links(pa.Table.from_batches(held), first_bit)
 
     return run
 
@@ -174,28 +195,28 @@ def _rotated(x, bits: int, part: int, width: int):
 
 def near_links(entries: DataFrame, most: int = MOST_IN_TRIE) -> DataFrame:
     """(a, b): edges between the fingerprints of ``entries (fp)``, distinct, enough to connect all that link."""
-    turned = [
+    blocks = [
         F.struct(x.alias("x"), F.shiftrightunsigned(x, 48).bitwiseOR(F.lit(k << 16)).alias("key"))
         for k, x in enumerate(_rotated(F.col("fp"), 64, k, 16) for k in range(4))
     ]
-    dealt = entries.select("fp", F.inline(F.array(*turned)))
-    large = stored(dealt.groupBy("key").count().where(F.col("count") > most).select("key", F.lit(True).alias("large")), "large")
-    if large.isEmpty():
-        small, again = dealt, None
-    else:
-        marked = dealt.join(large, "key", "left")
-        small, again = marked.where("large is null"), marked.where("large")
-    links = small.select("key", "x", "fp").repartition("key").mapInArrow(_walk(16), "a long, b long")
-    if again is not None:
-        # 16 bits agree and the other 48 may differ in 3: one of their four 12-bit parts agrees as well
-        inner = [
-            F.struct(F.xxhash64("key", F.lit(k), F.shiftrightunsigned(y, 52)).alias("key2"), F.shiftrightunsigned(y, 0).alias("x2"))
-            for k, y in enumerate(_rotated(F.col("x"), 48, k, 12) for k in range(4))
+    dealt, bits, links = entries.select("fp", F.inline(F.array(*blocks))), 64, None
+    walked = lambda d, first: d.select("key", "x", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_walk(first), "a long, b long")
+    while True:
+        large = stored(dealt.groupBy("key").count().where(F.col("count") > most).select("key", F.lit(True).alias("large")), "large")
+        last = bits - bits // 4 < 16 or large.isEmpty()
+        marked = dealt if last else dealt.join(large, "key", "left")
+        small = walked(marked if last else marked.where("large is null"), 16 if bits == 64 else 0)
+        links = small if links is None else links.union(small)
+        if last:
+            return links
+        # a quarter of the bits agrees, and the rest may differ in 3: one of its four parts agrees as well
+        agreed, bits = bits // 4, bits - bits // 4
+        rest, width = F.shiftrightunsigned(F.shiftleft("x", agreed), 64 - bits), bits // 4
+        parts = [
+            F.struct(F.xxhash64("key", F.lit(k), F.shiftrightunsigned(y, 64 - width)).alias("key"), y.alias("x"))
+            for k, y in enumerate(_rotated(rest, bits, k, width) for k in range(4))
         ]
-        deeper = again.select("fp", F.col("key"), F.col("x"), F.inline(F.array(*inner)))
-        deeper = deeper.select(F.col("key2").alias("key"), F.col("x2").alias("x"), "fp")
-        links = links.union(deeper.repartition("key").mapInArrow(_walk(0), "a long, b long"))
-    return links
+        dealt = stored(marked.where("large").select("fp", F.inline(F.array(*parts))), "deeper")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
