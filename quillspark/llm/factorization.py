@@ -64,7 +64,8 @@ def inputs(text: str | None, n_chars: int | None):
     counts = Counter(words)
     n, total = len(words), max(1, len(words))
     idx = np.fromiter(map(_buckets().__getitem__, counts), dtype=np.int64, count=len(counts))
-    val = np.sqrt(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) / total)
+    idx, place = np.unique(idx, return_inverse=True)  # words that share a bucket are one input
+    val = np.sqrt(np.bincount(place, np.fromiter(counts.values(), dtype=np.float64, count=len(counts)), len(idx)) / total)
     raw = np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)
     upper, digit = _kinds()
     chars = max(1, len(raw))
@@ -168,6 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
     # at most `rows` rows of two numbers are broadcast
     sample = _with_length(docs).select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")
+    # of rows that share a doc_id one teaches, so what is gathered stays within the bound
+    sample = sample.groupBy("doc_id", "label").agg(F.min(F.struct("text", "n_chars")).alias("d")).select("doc_id", "label", "d.text", "d.n_chars")
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"idx array<int>, val array<double>, stats array<double>, label int, doc_id {kind}"
     got = sample.select("text", "n_chars", "label", "doc_id").mapInArrow(features, schema).toArrow().sort_by("doc_id")
@@ -176,9 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with ``score`` as the last column."""
+    """``docs`` with ``score`` as the last column, in place of any column of that name; repeated rows are scored each."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    names = docs.columns
+    names = [c for c in docs.columns if c != "score"]
 
     def rows(batches):
         import pyarrow as pa
