@@ -31,7 +31,47 @@ HOST_WEIGHT, DOMAIN_WEIGHT, SUFFIX_WEIGHT = 5.0, 20.0, 50.0
 #: Imagined pages for each (declared code, language): these for agreement and for each of the others.
 TRUST, DISTRUST = 8.0, 0.5
 NONE = "none"
-_TAGS = re.compile(r"(?is)<(script|style|head|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: Where a page names its language, best first; the bounded gaps keep unclosed tags cheap.
+_DECLARED = (
+    r"""(?i)<html\b[^<>]{0,2000}?\s(?:xml:)?lang\s*=\s*["']?([a-zA-Z]{2,3})""",
+    r"""(?i)<meta\b[^<>]{0,2000}?content-language[^<>]{0,2000}?content\s*=\s*["']?([a-zA-Z]{2,3})""",
+)
+#: Labels below a country's suffix under which names are given out.
+_SECOND = r"(?:co|com|org|net|ac|gov|edu)\.[a-z]{2}"
+_HIDDEN = re.compile(r"(?i)<(script|style|head|nav)\b")
+_ENDS = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "head", "nav")}
+
+
+def visible(html: str) -> str:
+    """The text of a page without tags, comments, and what lies in elements that are not shown.
+
+    One pass: an end that was not found once is not looked for again, so that unclosed marks cost no more.
+    """
+    parts, at, missing = [], 0, set()
+
+    def end_of(name: str, place: int):
+        if name in missing:
+            return None
+        if name in _ENDS:
+            found = _ENDS[name].search(html, place)
+            end = found.end() if found else -1
+        else:
+            end = html.find(name, place)
+            end = end + len(name) if end >= 0 else -1
+        if end < 0:
+            missing.add(name)
+        return end if end >= 0 else None
+
+    while (start := html.find("<", at)) >= 0:
+        parts.append(html[at:start])
+        hidden = _HIDDEN.match(html, start)
+        end = end_of("-->", start + 4) if html.startswith("<!--", start) else end_of(hidden[1].lower(), start) if hidden else None
+        end = end or end_of(">", start)
+        if end is None:
+            at = start
+            break
+        at = end
+    return " ".join([*parts, html[at:]])
 
 
 def _trigrams(text: str):
@@ -96,14 +136,16 @@ def page_evidence(pages: DataFrame, model, languages: tuple[str, ...] = LANGUAGE
         for batch in batches:
             found = []
             for value in batch.column("html"):
-                buckets = _trigrams(html.unescape(_TAGS.sub(" ", value.as_py() or "")))
+                buckets = _trigrams(html.unescape(visible(value.as_py() or "")))
                 found.append(np.bincount(buckets, minlength=BUCKETS) @ logs.T)
             yield pa.record_batch(
                 [batch.column(c) for c in ("page_id", "url", "declared")] + [pa.array(found, pa.list_(pa.float64()))],
                 names=["page_id", "url", "declared", "text_log"],
             )
 
-    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"""(?i)<html[^>]*\slang\s*=\s*["']?([a-zA-Z]{2,3})""", 1))
+    page = F.coalesce("html", F.lit(""))
+    said = [F.nullif(F.lower(F.regexp_extract(page, p, 1)), F.lit("")) for p in _DECLARED]
+    declared = F.coalesce(*said, F.lit(""))
     d = pages.select("page_id", "url", "html", declared.alias("declared"))
     d = d.mapInArrow(rows, f"page_id {kind}, url string, declared string, text_log array<double>")
     url = F.coalesce("url", F.lit(""))
@@ -113,7 +155,7 @@ def page_evidence(pages: DataFrame, model, languages: tuple[str, ...] = LANGUAGE
     return d.select(
         "page_id",
         host.alias("host"),
-        F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"),
+        F.regexp_extract(host, rf"([^.]+\.(?:{_SECOND}|[^.]+))$", 1).alias("domain"),
         F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"),
         known(F.col("declared")).alias("declared"),
         known(code).alias("in_address"),
@@ -169,7 +211,11 @@ def host_priors(d: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFra
 
 
 def identify(pages: DataFrame, docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """(page_id, host, declared, lang, confidence, text_lang, beliefs) of each of ``pages`` (page_id, url, html)."""
+    """(page_id, host, declared, lang, confidence, text_lang, beliefs) of each of ``pages`` (page_id, url, html).
+
+    Repeated rows are pages of their own; other columns are ignored; an empty table gives no row. A
+    page's own belief is taken out of its host's sum, and stays in those of domain and suffix.
+    """
     own = stored(page_evidence(pages, text_model(docs, languages), languages), "evidence")
     text = F.transform("text_log", lambda x: x * TEXT_WEIGHT)
     text_belief = _belief(text)

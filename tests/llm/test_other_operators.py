@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -39,7 +40,7 @@ def pages_table(spark):
 
 def test_archives_come_back(spark):
     manifest = warc.write_archives(pages_table(spark), work_dir(spark, "w"))
-    got = Counter(tuple(r) for r in warc.read_archives(manifest).drop("url").collect())
+    got = Counter(tuple(r) for r in warc.read_archives(manifest).drop("url", "error").collect())
     want = Counter()
     for page_id, _, html in PAGES:
         payload = (html or "").encode()
@@ -69,6 +70,46 @@ def test_damage_is_noticed():
         list(warc.read_records(io.BytesIO(gzip.compress(whole)[:-20])))
 
 
+def foreign(kind, block, *fields, length=None):
+    head = [f"WARC-Type: {kind}", *fields, f"Content-Length: {len(block) if length is None else length}"]
+    return gzip.compress(("WARC/1.0\r\n" + "\r\n".join(head)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_others(spark, tmp_path):
+    """No digests, digests of other kinds, records that are no HTTP messages, and broken ones between good ones."""
+    page = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"
+    http = "Content-Type: application/http; msgtype=response"
+    md5, sha = hashlib.md5(b"body").hexdigest(), hashlib.sha256(page).hexdigest()
+    members = [
+        foreign("warcinfo", b"software: x\r\n\r\nmore", "Content-Type: application/warc-fields", "WARC-Record-ID: <http://x/y>"),
+        foreign("response", page, http, "WARC-Record-ID: <urn:uuid:not-one>"),
+        foreign("response", page, http, f"WARC-Payload-Digest: md5:{md5}", f"WARC-Block-Digest: sha-256:{sha}"),
+        foreign("response", page, http, "WARC-Payload-Digest: md5:" + "0" * 32),
+        foreign("response", page, http, "WARC-Payload-Digest: blake9:xyz"),
+        foreign("response", page, http, length=999),
+        gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n"),
+        gzip.compress(b"hello"),
+        foreign("conversion", b"z" * 300_000, "Content-Type: text/plain"),
+        foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n", http),
+        foreign("response", b"y" * 2_000_000, http),
+        foreign("resource", b"cut")[:-9],
+    ]
+    whole = b"".join(members)
+    with pytest.raises(ValueError):
+        list(warc.read_records(io.BytesIO(whole)))
+    got = list(warc.read_records(io.BytesIO(whole), keep_on=True))
+    seen = [(r["record_type"], r["payload_bytes"], r["digest_ok"], r["error"] is None) for r in got]
+    body = ("response", 4, None, True)
+    assert seen == [
+        ("warcinfo", 19, None, True), body, ("response", 4, True, True), ("response", 4, False, True), body, (None, None, None, False), (None, None, None, False),
+        (None, None, None, False), ("conversion", 300_000, None, True), ("revisit", None, None, True), ("response", 2_000_000, None, True), (None, None, None, False),
+    ]
+    assert all(r["page_id"] is None for r in got)
+    (tmp_path / "a.warc.gz").write_bytes(whole)
+    rows = warc.read_archives(spark.createDataFrame([(f"{tmp_path}/a.warc.gz",)], "path string")).collect()
+    assert len(rows) == 12 and sum(r["error"] is not None for r in rows) == 4
+
+
 def test_record_ids_hold_the_page():
     assert [warc.page_of(warc.record_id(i)) for i in (0, -1, 2**62, None)] == [0, -1, 2**62, None]
 
@@ -202,6 +243,9 @@ def test_scores(spark, docs):
     assert kept.columns == odd.columns and kept.count() == sum(r["score"] >= factorization.CUTOFF for r in got)
     assert factorization.keep_good(odd.limit(0), marks.limit(0)).count() == 0
     assert factorization.score(docs.drop("n_chars"), m).count() == docs.count()
+    assert factorization.score(odd, m).columns == docs.columns + ["score"] and factorization.score(odd, m).where("score between 0 and 1").count() == docs.count()
+    again = factorization.train(docs.union(docs).union(docs), marks)
+    assert np.array_equal(again.w, m.w)
 
 
 def test_classifier_on_held_out_rows(spark):
@@ -224,6 +268,65 @@ def test_languages(spark):
     assert language_id.identify(spark.createDataFrame([], "page_id long, url string, html string"), docs.limit(0)).count() == 0
 
 
+def test_visible_text_in_one_pass():
+    v = language_id.visible
+    assert v("a<b>c</b><!-- x > y -->d<SCRIPT>if (1 < 2)</script >e").split() == ["a", "c", "d", "e"]
+    assert v("1 < 2 and <script>open").split()[0] == "1"
+    began = time.perf_counter()
+    for mark in ("<script>", "<", "<!--", "<style", "<nav x"):
+        v(mark * 100_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_fusion_against_brute_force(spark, docs):
+    """All steps from the evidence on, in plain Python: trust in codes, host, domain and suffix priors, beliefs."""
+    rnd = random.Random(3)
+    words = {"en": "the and of that with", "de": "und der nicht ist mit", "fr": "les des est une pour", "es": "los que para una del"}
+    docs = spark.createDataFrame([(" ".join(rnd.choices(t.split(), k=60)), lang) for lang, t in words.items() for _ in range(5)], "text string, lang string")
+    pages = []
+    for i in range(120):
+        lang = rnd.choice(list(words))
+        host = rnd.choice([f"{lang}.a.example.co.uk", f"h{i % 7}.example.com", "big.example.org", "solo%d.de" % i])
+        code = rnd.choice([lang, "en", "xx", None])
+        body = " ".join(rnd.choices(words[lang].split(), k=rnd.choice([0, 1, 3, 40])))
+        head = f"<html lang={code}>" if i % 3 else f'<meta http-equiv="content-language" content="{code}">'
+        pages.append((i, f"http://{host}/{rnd.choice([lang, 'p', 'es'])}/x" if i % 11 else None, (head if code else "") + f"<p>{body}</p>" if i % 13 else None))
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    names = language_id.LANGUAGES
+    own = {r["page_id"]: r for r in language_id.page_evidence(table, language_id.text_model(docs)).collect()}
+    norm = lambda xs: (lambda e: e / e.sum())(np.exp(np.array(xs) - max(xs)))
+    text = {i: np.array(r["text_log"]) * language_id.TEXT_WEIGHT for i, r in own.items()}
+
+    def trust(column):
+        held = np.array([[language_id.TRUST if c == x else language_id.DISTRUST for x in names] for c in names])
+        for i, r in own.items():
+            if r[column] in names:
+                held[names.index(r[column])] += norm(text[i])
+        logs = np.log(held / held.sum(axis=0))
+        return {i: logs[names.index(r[column])] if r[column] in names else np.zeros(4) for i, r in own.items()}
+
+    said, at = trust("declared"), trust("in_address")
+    log = {i: text[i] + said[i] + at[i] for i in own}
+    belief = {i: norm(x) for i, x in log.items()}
+    total = lambda keep: (sum((belief[i] for i, r in own.items() if keep(r)), np.zeros(4)), sum(map(keep, own.values())))
+    got = {r["page_id"]: r for r in language_id.identify(table, docs).collect()}
+    assert {own[i]["domain"] for i in own if own[i]["host"].endswith("co.uk")} == {"example.co.uk"}
+    for i, r in own.items():
+        sums, n = total(lambda x: True)
+        prior = (sums + 1) / (n + 4)
+        for key, weight in (("suffix", language_id.SUFFIX_WEIGHT), ("domain", language_id.DOMAIN_WEIGHT)):
+            sums, n = total(lambda x: x[key] == r[key] and x["suffix"] == r["suffix"])  # noqa: B023
+            prior = (sums + weight * prior) / (n + weight)
+        sums, n = total(lambda x: x["host"] == r["host"])  # noqa: B023
+        prior = (np.maximum(sums - belief[i], 0) + language_id.HOST_WEIGHT * prior) / (n - 1 + language_id.HOST_WEIGHT)
+        want = norm(log[i] + np.log(prior))
+        assert np.allclose(got[i]["beliefs"], want, atol=1e-9) and got[i]["confidence"] == pytest.approx(want.max())
+    known = [(i, rnd.choice(list(words))) for i in range(400)]
+    rows = [(i, f"http://{x}{i % 9}.example.net/", f"<p>{' '.join(rnd.choices(words[x].split(), k=12))}</p>") for i, x in known]
+    out = {r["page_id"]: r["lang"] for r in language_id.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
+    assert sum(out[i] == x for i, x in known) >= 0.97 * len(known)
+
+
 def test_trigram_counts_cover_all_documents(spark, docs):
     n = {r["lang"]: r["n"] for r in language_id.trigram_counts(docs).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     assert n == {"en": sum(len(language_id._trigrams(r["text"])) for r in docs.collect() if r["lang"] == "en" and r["text"] is not None)}
