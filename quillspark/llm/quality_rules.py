@@ -22,12 +22,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import checkpoint, read, stored, words_of
+from quillspark.llm.common import checkpoint, read, words_of
 
 #: Most good documents lost, as a share, in each stratum; the chance that this does not hold.
 ALPHA, DELTA = 0.05, 0.05
 LANGUAGES = ("en", "de", "fr", "es")
 MIN_WORDS = 50
+#: Ids of labelled documents that are sent to all tasks at most.
+MOST_SENT = 4_000_000
 #: Each rule's cutoffs, from lenient to strict.
 GRIDS = {
     "symbol_share": (8.0, 6.0, 5.0, 4.0, 3.5, 3.0, 2.5, 2.0, 1.5, 1.0, 0.75, 0.5, 0.35, 0.25, 0.15, 0.1),
@@ -186,13 +188,17 @@ def _narrow(docs: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang and any others, all returned) that the rules keep.
 
-    Cutoffs come from the labelled rows of ``docs``. Features are computed once and stored beside the
-    rows, so texts are never shuffled. Repeated rows are judged each by itself.
+    Cutoffs come from the labelled rows of ``docs``: their ids go to all tasks if they are few enough
+    (``MOST_SENT``), else the features of all rows are worked out for them as well; texts are never
+    shuffled. Repeated rows are judged each by itself.
     """
+    ids = checkpoint(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct())
+    labelled = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= MOST_SENT else docs
+    cutoffs = checkpoint(certified_cutoffs(checkpoint(_narrow(labelled)), labels))
     d = with_features(docs)
-    d = stored(d.withColumn("stratum", stratum(F.col("doc.lang"))), "features")
-    cutoffs = checkpoint(certified_cutoffs(d.select("doc.doc_id", *d.columns[1:]), labels))
-    return verdict(d, cutoffs).where("kept").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    d = verdict(d.withColumn("stratum", stratum(F.col("doc.lang"))), cutoffs)
+    # not a filter: the optimizer would push it below the features and so write them out in it again and again
+    return d.select(F.inline(F.when(F.col("kept"), F.array("doc"))))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
