@@ -3,52 +3,80 @@
 Shingles are runs of words of the text with A-Z lower-cased; a text of fewer words is one shingle.
 A text has ``BANDS`` keys, each of ``ROWS`` minima of hashed shingles; two of similarity 0.8 agree on
 one at least with probability 1 - (1 - 0.8^5)^24 = 0.9999. Every candidate's similarity is counted
-from the words of both whole texts.
+from the words of both whole texts, but for pairs that fewer than ``LEAST_EQUAL`` of their 120 minima
+put far below it (at 0.8 that happens to 1 pair in 20 000).
 
 A group of n copies has n^2 pairs, but n - 1 links connect it. So the texts of a key are first
-compared with one of them, the key's pivot. Keys whose texts are connected after that are done: no
+compared with one of them, the key's pivot: the one that shares most keys with others. Keys whose texts are connected after that are done: no
 further link of theirs could join anything. In the others all pairs of texts of unlike components are
 compared, however many they are.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import stored
 from quillspark.llm.components import connected_components
-from quillspark.llm.tokens import _Cache
 
 BANDS, ROWS, SEED = 24, 5, 42
-#: Sets of shingles that a task keeps at hand while it compares pairs.
-SETS = 512
+#: Minima (their low bytes) that a pair has in common at least: 4 deviations below the mean at 0.8.
+LEAST_EQUAL = 78
+#: Shingles of the sets that a task keeps at hand while it compares pairs.
+SHINGLES_HELD = 4_000_000
+
 
+def _mixed(x):
+    """A 64-bit finaliser of unsigned numbers."""
+    import numpy as np
 
-def _hashes() -> _Cache:
-    from xxhash import xxh64_intdigest
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    return _Cache(lambda w: xxh64_intdigest(w, SEED))
 
+@lru_cache(maxsize=1)
+def _numbers():
+    """Random numbers: one for each byte, and the factors and terms of the minima's hashes."""
+    import numpy as np
 
-_WORD_HASHES: list[_Cache] = []
+    rng = np.random.default_rng(SEED)
+    turn, shift = rng.integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
+    return rng.integers(1, 1 << 64, 256, dtype=np.uint64), turn | np.uint64(1), shift
+
+
+def word_hashes(text: str | None):
+    """A 64-bit hash of each word, in order: random numbers of its bytes, weighted by place, summed."""
+    import numpy as np
+
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+    inside = (raw != 32) & ((raw < 9) | (raw > 13))
+    edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    numbers = _numbers()[0]
+    powers = np.cumprod(np.full(int((ends - starts).max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
+    kept = raw[inside]
+    first = np.concatenate(([0], np.cumsum(ends - starts)[:-1]))
+    place = np.arange(len(kept)) - np.repeat(first, ends - starts)
+    return _mixed(np.add.reduceat(numbers[kept] * powers[place], first))
 
 
 def shingle_hashes(text: str | None, length: int):
     """A 64-bit hash of each run of ``length`` words, in order; none of a text without words."""
     import numpy as np
 
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    if not _WORD_HASHES:
-        _WORD_HASHES.append(_hashes())
-    w = np.fromiter(map(_WORD_HASHES[0].__getitem__, words), dtype=np.uint64, count=len(words))
+    w = word_hashes(text)
+    if not len(w):
+        return w
     n = max(1, len(w) - length + 1)
     out = np.full(n, np.uint64(min(len(w), length)))
     for i in range(min(len(w), length)):
-        out = (out ^ w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
+        out = _mixed((out ^ w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15))
     return out
 
 
@@ -62,8 +90,8 @@ def jaccard(x, y) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def sketch(text: str | None, length: int) -> tuple[int, int, int, list[int]]:
-    """(hash of the words, SimHash over the shingles, number of distinct ones, keys of the bands), as signed longs."""
+def sketch(text: str | None, length: int) -> tuple[int, int, int, list[int], bytes]:
+    """(hash of the words, SimHash over the shingles, number of distinct ones, keys of the bands, low bytes of the minima)."""
     import numpy as np
     from xxhash import xxh64_digest
 
@@ -71,20 +99,19 @@ def sketch(text: str | None, length: int) -> tuple[int, int, int, list[int]]:
     key = int.from_bytes(own, "big", signed=True)
     found = shingle_hashes(text, length)
     if not len(found):
-        return key, 0, 0, []
+        return key, 0, 0, [], b""
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(found), 8192):
         counts += np.unpackbits(found[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     fp = int.from_bytes(np.packbits(2 * counts > len(found), bitorder="little").tobytes(), "little", signed=True)
     x = np.unique(found)
-    rng = np.random.default_rng(SEED)
-    turn, shift = rng.integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
-    turn |= np.uint64(1)
+    _, turn, shift = _numbers()
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(x), 512):
         least = np.minimum(least, (x[i : i + 512, None] * turn + shift).min(axis=0))
     parts = least.astype("<u8").reshape(BANDS, ROWS)
-    return key, fp, len(x), [int.from_bytes(xxh64_digest(p.tobytes(), k), "big", signed=True) for k, p in enumerate(parts)]
+    bands = [int.from_bytes(xxh64_digest(p.tobytes(), k), "big", signed=True) for k, p in enumerate(parts)]
+    return key, fp, len(x), bands, least.astype(np.uint8).tobytes()
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, length: int) -> DataFrame:
@@ -97,12 +124,16 @@ def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, length: int) -
         import pyarrow as pa
 
         sets: dict = {}
+        size = 0
 
         def held(key, text):
+            nonlocal size
             if key not in sets:
-                if len(sets) >= SETS:
+                if size >= SHINGLES_HELD:
                     sets.clear()
+                    size = 0
                 sets[key] = np.unique(shingle_hashes(text.as_py(), length))
+                size += len(sets[key])
             return sets[key]
 
         for batch in batches:
@@ -113,17 +144,37 @@ def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, length: int) -
     return both.mapInArrow(near, "a long, b long")
 
 
+def _promising(met: DataFrame) -> DataFrame:
+    """Those rows of ``met (e, o, s, t)`` whose minima ``s`` and ``t`` allow for the similarity."""
+
+    def fine(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("s", "t"))
+                yield batch.select(["e", "o"]).filter(pa.array((s == t).sum(axis=1) >= LEAST_EQUAL))
+
+    return met.select("e", "o", "s", "t").mapInArrow(fine, met.select("e", "o").schema)
+
+
 def copy_links(rows: DataFrame, near: DataFrame, similarity: float, length: int) -> DataFrame:
     """(a, b): edges between keys of texts, all of at least ``similarity``, that connect all such texts.
 
-    ``rows (text, _key, _fp, _n, _bands)``, stored, as ``sketch`` gives them; ``near (a, b)``: links
+    ``rows (text, _key, _fp, _n, _bands, _sig)``, stored, as ``sketch`` gives them; ``near (a, b)``: links
     between fingerprints, whose texts are candidates as well.
     """
-    texts = rows.where("_n > 0").groupBy("_key").agg(*[F.any_value(c).alias(c) for c in ("_fp", "_n", "_bands")])
-    texts = stored(texts.select(F.struct(F.xxhash64("_key").alias("h"), "_key", "_n").alias("e"), "_fp", "_bands"), "texts")
+    texts = rows.where("_n > 0").groupBy("_key").agg(*[F.any_value(c).alias(c) for c in ("_fp", "_n", "_bands", "_sig")])
+    texts = stored(texts.select(F.struct(F.xxhash64("_key").alias("h"), "_key", "_n").alias("e"), "_fp", "_bands", "_sig"), "texts")
     cells = texts.select("e", F.explode("_bands").alias("band"))
-    shared = cells.groupBy("band").agg(F.min("e").alias("p"), F.count("*").alias("n")).where("n > 1").select("band", "p")
-    live = stored(cells.join(shared, "band"), "candidates")
+    met = cells.groupBy("band").agg(F.count("*").alias("met")).where("met > 1")
+    alive = stored(cells.join(met, "band"), "cells")
+    # the text that meets most others over all its keys: the original among its copies
+    weight = alive.groupBy("e").agg(F.sum("met").alias("weight"))
+    weighed = stored(alive.join(weight, "e").select("band", "e", "weight"), "weighed")
+    pivots = weighed.groupBy("band").agg(F.max_by("e", F.struct("weight", "e")).alias("p"))
+    live = stored(weighed.join(pivots, "band").select("band", "e", "p"), "candidates")
 
     def pairs_of(met: DataFrame) -> DataFrame:
         # the smaller set's share of the larger bounds the similarity
@@ -146,8 +197,11 @@ def copy_links(rows: DataFrame, near: DataFrame, similarity: float, length: int)
     placed = live.join(roots.select(F.col("node").alias("key"), "root"), F.col("e._key") == F.col("key"), "left")
     placed = stored(placed.select("band", "e", F.coalesce("root", "e._key").alias("root")), "placed")
     open_bands = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    left = stored(placed.join(open_bands, "band", "left_semi"), "open")
-    right = left.select("band", F.col("e").alias("o"), F.col("root").alias("other"))
-    rest = pairs_of(left.join(right, "band").where("root < other").select("e", "o"))
+    left = placed.join(open_bands, "band", "left_semi")
+    left = stored(left.join(texts.select("e", F.col("_sig").alias("s")), "e"), "open")
+    right = left.select("band", F.col("e").alias("o"), F.col("root").alias("other"), F.col("s").alias("t"))
+    # unlike components, and sizes that allow for the similarity
+    able = F.least("e._n", "o._n") >= F.lit(similarity - 1e-9) * F.greatest("e._n", "o._n")
+    rest = pairs_of(_promising(left.join(right, "band").where((F.col("root") < F.col("other")) & able)))
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     return links.union(_alike(rest, held(rest), similarity, length))

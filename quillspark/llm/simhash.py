@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _tagged(docs: DataFrame, shingle: int | None) -> DataFrame:
-    """``docs`` with ``_fp`` and, for shingles of so many words, ``_key``, ``_n`` and ``_bands`` of ``near_copies.sketch``."""
+    """``docs`` with ``_fp`` and, for shingles of so many words, ``_key``, ``_n``, ``_bands`` and ``_sig`` of ``near_copies.sketch``."""
 
     def rows(batches):
         import pyarrow as pa
@@ -246,15 +246,15 @@ def _tagged(docs: DataFrame, shingle: int | None) -> DataFrame:
                 return sketch(text, shingle)
             x = fingerprint(text)
             signed = x - (1 << 64) if x >> 63 else x
-            return signed, signed, 0, []
+            return signed, signed, 0, [], b""
 
         for batch in batches:
             found = [of(t.as_py()) for t in batch.column("text")]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             more = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
-            yield pa.record_batch([*batch.columns, *more], names=[*batch.schema.names, "_key", "_fp", "_n", "_bands"])
+            yield pa.record_batch([*batch.columns, *more], names=[*batch.schema.names, "_key", "_fp", "_n", "_bands", "_sig"])
 
-    schema = StructType([*docs.schema.fields]).add("_key", "long").add("_fp", "long").add("_n", "long").add("_bands", ArrayType(LongType()))
+    schema = StructType([*docs.schema.fields]).add("_key", "long").add("_fp", "long").add("_n", "long").add("_bands", ArrayType(LongType())).add("_sig", "binary")
     return docs.mapInArrow(rows, schema)
 
 
