@@ -94,3 +94,6 @@ TOPICS = {
     "french": ("le", "les", "des", "une", "pour", "est"),
     "spanish": ("el", "los", "que", "para", "una", "con"),
 }
+
+# Fixed values.
+NEGATION_BEFORE = ("no", "not", "never", "nunca")

@@ -5,23 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions import lexicon as L
 from quillspark.functions import text as T
 
 
 def overlap(a: Column, b: Column) -> Column:
     """How many tokens two lists share, repeated ones as often as both have them."""
-    count = lambda xs, t: F.size(F.filter(xs, lambda y: y == t))
-    shared = F.array_intersect(a, b)
-    return F.aggregate(shared, F.lit(0), lambda n, t: n + F.least(count(a, t), count(b, t)))
+    whole = lambda xs: F.size(F.array_distinct(xs)) == F.size(xs)
+    # without repeats on one side each shared token counts once
+    return T.let(F.size(F.array_intersect(a, b)), lambda n: F.when((n <= 0) | whole(a) | whole(b), F.greatest(n, F.lit(0))).otherwise(_repeated_overlap(a, b)))
+
+
+def _repeated_overlap(a: Column, b: Column) -> Column:
+    """``overlap`` of lists with repeats: one walk over both, sorted together."""
+    side = lambda xs, k: F.transform(xs, lambda t: F.struct(t.alias("t"), F.lit(k).alias("side")))
+    both = F.sort_array(F.concat(side(a, 0), side(b, 1)))
+
+    def step(acc, x):
+        same = acc["t"].eqNullSafe(x["t"])
+        held = F.when(same, acc["left"]).otherwise(0)
+        met = (x["side"] == 1) & (held > 0)
+        left = F.when(x["side"] == 0, held + 1).otherwise(F.when(met, held - 1).otherwise(held))
+        return F.struct(x["t"].alias("t"), left.alias("left"), (acc["n"] + met.cast("int")).alias("n"))
+
+    zero = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("left"), F.lit(0).alias("n"))
+    return F.coalesce(F.aggregate(both, zero, step, lambda acc: acc["n"]), F.lit(0))
 
 
 def token_scores(answer: Column, gold: Column) -> Column:
     """Struct of precision, recall and f1 of two token lists; all 0 without a shared token."""
-    n = overlap(answer, gold)
     some = (F.size(answer) > 0) & (F.size(gold) > 0)
-    p = F.when(some, n / F.size(answer)).otherwise(0.0)
-    r = F.when(some, n / F.size(gold)).otherwise(0.0)
-    return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+    share = lambda n, xs: F.when(some, n / F.size(xs)).otherwise(0.0)
+    f1 = lambda p, r: F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    parts = T.let(overlap(answer, gold), lambda n: F.struct(share(n, answer).alias("p"), share(n, gold).alias("r")))
+    return T.let(parts, lambda s: F.struct(s["p"].alias("precision"), s["r"].alias("recall"), f1(s["p"], s["r"]).alias("f1")))
 
 
 def coverage(wanted: Column, answer: Column) -> Column:
@@ -41,13 +58,30 @@ def similarity(wanted: Column, wanted_tokens: Column, answer: Column, answer_tok
     )
 
 
-def best_match(candidates: Column, answer: Column, answer_tokens: Column) -> Column:
-    """Struct (score, candidate) of the first candidate with the highest similarity; 0 and "" if none has any."""
+def falsehood(wanted: Column, wanted_tokens: Column, answer: Column, answer_tokens: Column) -> Column:
+    """Likeness to a wrong answer: equal 1; held whole .98, or .25 if one of the four words before it negates; else F1."""
+    at = F.instr(answer, wanted)
+    before = F.substring(answer, F.greatest(at - 25, F.lit(1)), F.least(at - 1, F.lit(25)))
+    words = F.filter(F.split(before, " "), lambda w: w != "")
+    last = F.slice(words, F.greatest(F.size(words) - 3, F.lit(1)), 4)
+    negated = F.arrays_overlap(last, F.array(*map(F.lit, L.NEGATION_BEFORE)))
+    return (
+        F.when((wanted == "") | (answer == ""), 0.0)
+        .when(wanted == answer, 1.0)
+        .when((F.length(wanted) >= 12) & answer.contains(wanted), F.when(negated, 0.25).otherwise(0.98))
+        .otherwise(token_scores(answer_tokens, wanted_tokens)["f1"])
+    )
+
+
+def best_of(candidates: Column, score) -> Column:
+    """Struct (score, candidate) of the first candidate with the highest ``score(norm, tokens)``; 0 and "" if none has any."""
     zero = F.struct(F.lit(0.0).alias("score"), F.lit("").alias("candidate"))
+    scored = F.transform(
+        candidates, lambda c: F.struct(T.let(T.normal(c), lambda n: T.let(T.tokens(n), lambda t: score(n, t))).alias("score"), c.alias("candidate"))
+    )
+    return F.aggregate(scored, zero, lambda best, x: F.when(x["score"] > best["score"], x).otherwise(best))
 
-    def better(best, c):
-        norm = T.normal(c)
-        found = F.struct(similarity(norm, T.tokens(norm), answer, answer_tokens).alias("score"), c.alias("candidate"))
-        return F.when(found["score"] > best["score"], found).otherwise(best)
 
-    return F.aggregate(candidates, zero, better)
+def best_match(candidates: Column, answer: Column, answer_tokens: Column) -> Column:
+    """Struct (score, candidate) of the candidate that resembles the answer most, by ``similarity``."""
+    return best_of(candidates, lambda n, t: similarity(n, t, answer, answer_tokens))

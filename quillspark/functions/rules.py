@@ -22,44 +22,66 @@ def cascade(rules: list[tuple[Column | None, dict[str, object]]]) -> Column:
 def route(question: Column) -> Column:
     """Struct (route, retrieval_mode, confidence, rule) of a question, before any model is asked."""
     q = F.trim(F.regexp_replace(F.coalesce(question, F.lit("")), r"\s+", " "))
-    low = T.rule_text(q)
-    padded = F.concat(F.lit(" "), low, F.lit(" "))
-    words, names = T.word_count(q), T.entity_count(q)
-    multi = T.contains_any(padded, L.MULTI_STEP_CUES)
-    refers = F.arrays_overlap(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)")), F.array(*map(F.lit, L.AMBIGUOUS_REFERENCES)))
+    texts = T.let(q, lambda q: F.struct(q.alias("q"), T.rule_text(q).alias("low")))
+
+    def signs(t: Column) -> Column:
+        padded = F.concat(F.lit(" "), t["low"], F.lit(" "))
+        refers = F.arrays_overlap(F.regexp_extract_all(t["low"], F.lit(r"([\p{L}\p{N}_]+)")), F.array(*map(F.lit, L.AMBIGUOUS_REFERENCES)))
+        return F.struct(
+            (t["q"] == "").alias("empty"),
+            t["low"].alias("low"),
+            T.word_count(t["q"]).alias("words"),
+            T.entity_count(t["q"]).alias("names"),
+            T.contains_any(padded, L.MULTI_STEP_CUES).alias("multi"),
+            refers.alias("refers"),
+            T.contains_any(padded, L.CONCEPTUAL_CUES).alias("conceptual"),
+        )
+
+    # the confidences and thresholds are fixed values
     says = lambda r, m, c, n: {"route": r, "retrieval_mode": m, "confidence": c, "rule": n}
-    mode = F.when(multi, "multi_step").otherwise("single_step")
-    return cascade(
-        [
-            (q == "", says("clarify", "none", 1.0, "empty_question")),
-            (F.regexp_replace(low, r"\?+$", "").isin(*L.AMBIGUOUS_QUESTIONS), says("clarify", "none", 0.96, "ambiguous_exact")),
-            ((words <= 8) & refers, says("clarify", "none", 0.9, "short_with_unresolved_reference")),
-            (
-                low.contains("according to the available corpus") & T.contains_any(low, L.NO_ANSWER_MARKERS),
-                says("abstain", "none", 0.93, "synthetic_no_answer_marker"),
-            ),
-            (T.contains_any(low, L.RETRIEVAL_CUES), says("retrieve", mode, 0.84, "explicit_corpus_or_document_cue")),
-            ((names >= 2) & multi, says("retrieve", "multi_step", 0.82, "multi_entity_multi_step_cue")),
-            ((names >= 3) & (words >= 9), says("retrieve", "single_step", 0.74, "many_named_entities")),
-            (T.contains_any(padded, L.CONCEPTUAL_CUES) & (names <= 1), says("direct", "none", 0.72, "conceptual_or_general_question")),
-            (None, says("direct", "none", 0.58, "fallback_direct")),
-        ]
+    return T.let(
+        T.let(texts, signs),
+        lambda s: cascade(
+            [
+                (s["empty"], says("clarify", "none", 1.0, "empty_question")),
+                (F.regexp_replace(s["low"], r"\?+$", "").isin(*L.AMBIGUOUS_QUESTIONS), says("clarify", "none", 0.96, "ambiguous_exact")),
+                ((s["words"] <= 8) & s["refers"], says("clarify", "none", 0.9, "short_with_unresolved_reference")),
+                (
+                    s["low"].contains("according to the available corpus") & T.contains_any(s["low"], L.NO_ANSWER_MARKERS),
+                    says("abstain", "none", 0.93, "synthetic_no_answer_marker"),
+                ),
+                (
+                    T.contains_any(s["low"], L.RETRIEVAL_CUES),
+                    says("retrieve", F.when(s["multi"], "multi_step").otherwise("single_step"), 0.84, "explicit_corpus_or_document_cue"),
+                ),
+                ((s["names"] >= 2) & s["multi"], says("retrieve", "multi_step", 0.82, "multi_entity_multi_step_cue")),
+                ((s["names"] >= 3) & (s["words"] >= 9), says("retrieve", "single_step", 0.74, "many_named_entities")),
+                (s["conceptual"] & (s["names"] <= 1), says("direct", "none", 0.72, "conceptual_or_general_question")),
+                (None, says("direct", "none", 0.58, "fallback_direct")),
+            ]
+        ),
     )
 
 
 def claim_verdict(claim_norm: Column, claim_tokens: Column, evidence_norm: Column, evidence_tokens: Column) -> Column:
     """Struct (verdict, f1): a claim against one piece of evidence, by shared tokens and polarity."""
-    s = M.token_scores(claim_tokens, evidence_tokens)
     inside = (F.length(claim_norm) > 0) & evidence_norm.contains(claim_norm)
-    f1 = F.when(inside, F.greatest(s["f1"], F.lit(0.98))).otherwise(s["f1"])
+    lifted = lambda s: F.when(inside, F.greatest(s["f1"], F.lit(0.98))).otherwise(s["f1"])
+    scores = T.let(
+        M.token_scores(claim_tokens, evidence_tokens),
+        lambda s: F.struct(lifted(s).alias("f1"), s["precision"].alias("precision"), s["recall"].alias("recall")),
+    )
     unlike = T.negated(claim_norm) != T.negated(evidence_norm)
-    return cascade(
-        [
-            ((claim_norm == "") | (evidence_norm == ""), {"verdict": "not_enough_info", "f1": f1}),
-            ((f1 >= 0.6) & unlike, {"verdict": "refuted", "f1": f1}),
-            ((f1 >= 0.45) | ((s["precision"] >= 0.55) & (s["recall"] >= 0.25)), {"verdict": "supported", "f1": f1}),
-            (None, {"verdict": "not_enough_info", "f1": f1}),
-        ]
+    return T.let(
+        scores,
+        lambda s: cascade(
+            [
+                ((claim_norm == "") | (evidence_norm == ""), {"verdict": "not_enough_info", "f1": s["f1"]}),
+                ((s["f1"] >= 0.6) & unlike, {"verdict": "refuted", "f1": s["f1"]}),
+                ((s["f1"] >= 0.45) | ((s["precision"] >= 0.55) & (s["recall"] >= 0.25)), {"verdict": "supported", "f1": s["f1"]}),
+                (None, {"verdict": "not_enough_info", "f1": s["f1"]}),
+            ]
+        ),
     )
 
 
@@ -74,6 +96,7 @@ def open_answer(correct: Column, incorrect: Column, n_tokens: Column, abstained:
     )
 
 
+# Fixed values.
 #: A letter alone, or "the answer is", "option" and their Spanish forms before it.
 CHOICE = r"(?i)^\s*(?:(?:the\s+)?answer\s+is\s+|(?:la\s+)?respuesta\s+es\s+|option\s+|opci[oó]n\s+)?([ABCD])\.?\s*$"
 
@@ -83,76 +106,102 @@ def has_number_or_date(c: Column) -> Column:
     return c.rlike(r"\b\d{2,4}\b") | c.rlike(rf"(?i)\b({'|'.join(L.MONTHS)})\b")
 
 
-def retrieval_policy(question: Column, sentence: Column, confidence: Column, task: Column, bias: Column) -> Column:
+def question_signs(question: Column) -> Column:
+    """Struct (cues, names): what ``retrieval_policy`` asks of a question."""
+    return F.struct(T.contains_any(F.lower(F.coalesce(question, F.lit(""))), L.DOCUMENT_CUES).alias("cues"), T.entity_count(question).alias("names"))
+
+
+def retrieval_policy(question: Column, sentence: Column, confidence: Column, task: Column, bias: Column, asked: Column | None = None) -> Column:
     """Struct (needs_retrieval, confidence, rule): must evidence be retrieved for a sentence that is about to be said?
 
     Weak signals (names, comparisons) and factual ones (numbers, relations) are suppressed by task,
-    by bias, and by how sure the sentence is; an unknown confidence counts as -1.
+    by bias, and by how sure the sentence is; an unknown confidence counts as -1. ``asked``: the
+    question's signs, where they were worked out once for all its sentences.
     """
     said = F.trim(F.coalesce(sentence, F.lit("")))
-    low = F.trim(F.regexp_replace(F.lower(said), r"\s+", " "))
-    padded = F.concat(F.lit(" "), low, F.lit(" "))
-    asked = F.lower(F.coalesce(question, F.lit("")))
-    explicit = T.contains_any(asked, L.DOCUMENT_CUES) | T.contains_any(low, L.DOCUMENT_CUES)
+    asked = question_signs(question) if asked is None else asked
+    texts = T.let(said, lambda s: F.struct(s.alias("said"), F.trim(F.regexp_replace(F.lower(s), r"\s+", " ")).alias("low")))
+    signs = lambda t: F.struct(
+        t["said"].alias("said"),
+        t["low"].alias("low"),
+        F.concat(F.lit(" "), t["low"], F.lit(" ")).alias("padded"),
+        (asked["cues"] | T.contains_any(t["low"], L.DOCUMENT_CUES)).alias("explicit"),
+    )
     sure = F.coalesce(confidence, F.lit(-1.0))
     choice = task == "multiple_choice"
     weak = choice | (bias == "conservative") | ((bias == "balanced") & (sure >= 0.85))
     factual = choice | ((bias == "conservative") & (sure >= 0.7))
+    # the confidences are fixed values
     yes = lambda c, n: {"needs_retrieval": True, "confidence": c, "rule": n}
     no = lambda c, n: {"needs_retrieval": False, "confidence": c, "rule": n}
 
     def unless(suppressed, when, name, confidence, quiet):
-        return [(when & suppressed, no(quiet, f"suppressed_{name}")), (when, yes(confidence, name))]
-
-    many = (T.entity_count(question) >= 2) & (F.size(F.split(low, " ")) >= 6)
-    return cascade(
-        [
-            (said == "", no(1.0, "empty_candidate")),
-            (T.contains_any(low, L.ABSTENTION_MARKERS), no(0.94, "abstention_sentence")),
-            (T.contains_any(low, L.CLARIFICATION_MARKERS), no(0.94, "clarification_sentence")),
-            (T.contains_any(low, L.INTRO_MARKERS), no(0.82, "generic_intro")),
-            (choice & ~explicit, no(0.95, "multiple_choice_direct_no_retrieval")),
-            (explicit & choice, no(0.92, "suppressed_documental_cue_multiple_choice")),
-            (explicit, yes(F.when(bias == "aggressive", 0.9).otherwise(0.86), "documental_cue")),
-            ((task == "open_direct") & (bias == "conservative"), no(0.92, "open_direct_conservative_no_retrieval")),
-            *unless(factual, has_number_or_date(said), "number_or_date", 0.84, 0.78),
-            *unless(factual, T.contains_any(padded, L.FACTUAL_CUES), "factual_relation_cue", 0.83, 0.78),
-            *unless(weak, T.contains_any(padded, L.COMPARISON_CUES), "comparison_cue", 0.78, 0.78),
-            *unless(weak, T.entity_count(said) >= 1, "named_entity", 0.74, 0.8),
-            *unless(weak, many, "question_multi_entity", 0.7, 0.78),
-            (None, no(0.62, "fallback_no_retrieval")),
-        ]
-    )
-
-
-def claims(answer: Column, most: int = 5) -> Column:
-    """Array of (claim_text, claim_type, requires_evidence, importance) of an answer, ``most`` at most.
+        """One outcome for a sign, so that it is looked for once: suppressed or not."""
+        values = {
+            "needs_retrieval": ~suppressed,
+            "confidence": F.when(suppressed, quiet).otherwise(confidence),
+            "rule": F.when(suppressed, f"suppressed_{name}").otherwise(name),
+        }
+        return (when, values)
+
+    def rules(s: Column) -> Column:
+        many = (asked["names"] >= 2) & (F.size(F.split(s["low"], " ")) >= 6)
+        return cascade(
+            [
+                (s["said"] == "", no(1.0, "empty_candidate")),
+                (T.contains_any(s["low"], L.ABSTENTION_MARKERS), no(0.94, "abstention_sentence")),
+                (T.contains_any(s["low"], L.CLARIFICATION_MARKERS), no(0.94, "clarification_sentence")),
+                (T.contains_any(s["low"], L.INTRO_MARKERS), no(0.82, "generic_intro")),
+                (choice & ~s["explicit"], no(0.95, "multiple_choice_direct_no_retrieval")),
+                (s["explicit"] & choice, no(0.92, "suppressed_documental_cue_multiple_choice")),
+                (s["explicit"], yes(F.when(bias == "aggressive", 0.9).otherwise(0.86), "documental_cue")),
+                ((task == "open_direct") & (bias == "conservative"), no(0.92, "open_direct_conservative_no_retrieval")),
+                unless(factual, has_number_or_date(s["said"]), "number_or_date", 0.84, 0.78),
+                unless(factual, T.contains_any(s["padded"], L.FACTUAL_CUES), "factual_relation_cue", 0.83, 0.78),
+                unless(weak, T.contains_any(s["padded"], L.COMPARISON_CUES), "comparison_cue", 0.78, 0.78),
+                unless(weak, T.entity_count(s["said"]) >= 1, "named_entity", 0.74, 0.8),
+                unless(weak, many, "question_multi_entity", 0.7, 0.78),
+                (None, no(0.62, "fallback_no_retrieval")),
+            ]
+        )
+
+    return T.let(T.let(texts, signs), rules)
+
+
+def claims(answer: Column, most: int | None = None) -> Column:
+    """Array of (claim_text, claim_type, requires_evidence, importance) of an answer, all or ``most`` at most.
 
     A chosen letter, a request to clarify and an abstention are one claim; else each sentence is
     one, short remarks left out. The first is the core.
     """
     said = F.trim(F.coalesce(answer, F.lit("")))
-    chosen = F.upper(F.regexp_extract(said, CHOICE, 1))
-    kind = lambda s: (
-        F.when(T.contains_any(F.lower(s), L.ABSTENTION_MARKERS), "abstention")
-        .when(T.contains_any(F.lower(s), L.CLARIFICATION_MARKERS), "clarification")
-        .when(T.contains_any(F.lower(s), L.META_MARKERS), "meta")
-        .when(s.rlike(CHOICE), "answer_choice")
-        .otherwise("factual")
-    )
+
+    def kind(s: Column) -> Column:
+        return T.let(
+            F.lower(s),
+            lambda low: F.when(T.contains_any(low, L.ABSTENTION_MARKERS), "abstention")
+            .when(T.contains_any(low, L.CLARIFICATION_MARKERS), "clarification")
+            .when(T.contains_any(low, L.META_MARKERS), "meta")
+            .when(s.rlike(CHOICE), "answer_choice")
+            .otherwise("factual"),
+        )
+
     one = lambda text, k: F.struct(text.alias("claim_text"), k.alias("claim_type"))
     short = lambda c: (c["claim_type"] == "meta") & (F.size(F.split(c["claim_text"], r"\s+")) <= 5)
-    each = F.transform(F.filter(T.sentences(said), lambda s: F.length(s) >= 2), lambda s: one(s, kind(s)))
-    whole = kind(said)
-    found = (
-        F.when(said == "", F.array().cast("array<struct<claim_text:string,claim_type:string>>"))
-        .when(chosen != "", F.array(one(F.concat(F.lit("The selected answer is "), chosen, F.lit(".")), F.lit("answer_choice"))))
-        .when(T.contains_any(F.lower(said), L.CLARIFICATION_MARKERS), F.array(one(said, F.lit("clarification"))))
-        .when(whole == "abstention", F.array(one(said, F.lit("abstention"))))
-        .otherwise(F.slice(F.filter(each, lambda c: ~short(c)), 1, most))
-    )
+
+    def found(s: Column) -> Column:
+        each = F.filter(F.transform(F.filter(T.sentences(s), lambda x: F.length(x) >= 2), lambda x: one(x, kind(x))), lambda c: ~short(c))
+        chosen = F.concat(F.lit("The selected answer is "), F.upper(F.regexp_extract(s, CHOICE, 1)), F.lit("."))
+        return (
+            F.when(s == "", F.array().cast("array<struct<claim_text:string,claim_type:string>>"))
+            .when(s.rlike(CHOICE), F.array(one(chosen, F.lit("answer_choice"))))
+            .when(T.contains_any(F.lower(s), L.CLARIFICATION_MARKERS), F.array(one(s, F.lit("clarification"))))
+            .when(T.contains_any(F.lower(s), L.ABSTENTION_MARKERS), F.array(one(s, F.lit("abstention"))))
+            .otherwise(each if most is None else F.slice(each, 1, most))
+        )
+
     return F.transform(
-        found,
+        T.let(said, found),
         lambda c, i: F.struct(
             c["claim_text"].alias("claim_text"),
             c["claim_type"].alias("claim_type"),
@@ -162,9 +211,10 @@ def claims(answer: Column, most: int = 5) -> Column:
     )
 
 
-def search_terms(claim_tokens: Column, question_tokens: Column, most: int = 12) -> Column:
-    """The next search: the claim's words, then the question's, each once."""
-    return F.array_join(F.slice(F.array_distinct(F.concat(claim_tokens, question_tokens)), 1, most), " ")
+def search_terms(claim_tokens: Column, question_tokens: Column, most: int | None = 12) -> Column:
+    """The next search: the claim's words, then the question's, each once, all or ``most`` at most."""
+    words = F.array_distinct(F.concat(claim_tokens, question_tokens))
+    return F.array_join(words if most is None else F.slice(words, 1, most), " ")
 
 
 def answer_error(correct: Column, abstained: Column, hit: Column, full: Column, run_error: Column, valid: Column) -> Column:

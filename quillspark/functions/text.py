@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as L
 
-#: A capitalised word and those that follow, joined by small connecting words; applied to plain letters.
+# Fixed values.
+#: A capitalised word and those that follow, joined by small connecting words; applied to plain letters, typographic apostrophes made plain.
 ENTITY = r"\b(?:[A-Z][a-zA-Z'.-]+(?:\s+(?:of|the|and|de|del|la|le|du|von|van|da|di|[A-Z][a-zA-Z'.-]+))*)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank(c: Column) -> Column:
     """Missing: null or only white space (numbers: null or NaN read as text "NaN" stay)."""
     return c.isNull() | (F.trim(c.cast("string")) == "")
@@ -49,6 +57,12 @@ def clamped(c: Column, default: float = 0.0) -> Column:
     return F.when(x.isNull(), default).otherwise(F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)))
 
 
+def plain_float(c: Column) -> Column:
+    """A number as it is written, without any reading of percentages; unreadable and NaN is null."""
+    x = F.trim(c.cast("string")).try_cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def integer(c: Column, default: int = 0) -> Column:
     """A number cut to a whole one."""
     return F.coalesce(c.try_cast("double").cast("long"), F.lit(default).cast("long"))
@@ -66,8 +80,8 @@ def plain_letters(c: Column) -> Column:
 
 def normal(c: Column) -> Column:
     """For matching: lower case, plain letters, no ASCII punctuation, single spaces."""
-    low = F.translate(plain_letters(F.lower(F.coalesce(c, F.lit("")))), "’", "'")
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"\p{Punct}", ""), r"\s+", " "))
+    low = F.translate(F.lower(F.coalesce(c, F.lit(""))), L.ACCENTED + "’", L.PLAIN + "'")
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"\p{Punct}+", ""), r"\s+", " "))
 
 
 def rule_text(c: Column) -> Column:
@@ -78,15 +92,19 @@ def rule_text(c: Column) -> Column:
 
 def tokens(norm: Column) -> Column:
     """Words of two or more letters or digits of a normalised text that are no stopwords."""
-    return F.filter(F.regexp_extract_all(norm, F.lit("([a-z0-9]+)")), lambda t: (F.length(t) > 1) & ~t.isin(*L.STOPWORDS))
+    return F.filter(F.regexp_extract_all(norm, F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) > 1) & ~t.isin(*L.STOPWORDS))
 
 
 def contains_any(c: Column, phrases) -> Column:
-    """Is any phrase a part of the text (of a word, too)?"""
-    out = F.lit(False)
-    for p in phrases:
-        out = out | c.contains(p)
-    return out
+    """Is any phrase a part of the text (of a word, too)? The text is worked out once, however many phrases there are."""
+
+    def any_of(text: Column) -> Column:
+        out = F.lit(False)
+        for p in phrases:
+            out = out | text.contains(p)
+        return out
+
+    return let(c, any_of)
 
 
 def negated(norm: Column) -> Column:

@@ -210,7 +210,7 @@ _CLAIMS = rf"""
         WHEN {_any("lower(said)", L.CLARIFICATION_MARKERS)} THEN [{{'t': said, 'k': 'clarification'}}]
         WHEN {_any("lower(said)", L.ABSTENTION_MARKERS)} THEN [{{'t': said, 'k': 'abstention'}}]
         ELSE list_filter(list_transform(list_filter({_sentences("said")}, lambda s: length(s) >= 2), lambda s: {{'t': s, 'k': {_kind("s")}}}),
-                         lambda c: NOT (c.k = 'meta' AND len(regexp_split_to_array(c.t, '\s+')) <= 5))[1:5] END AS cs FROM chosen
+                         lambda c: NOT (c.k = 'meta' AND len(regexp_split_to_array(c.t, '\s+')) <= 5)) END AS cs FROM chosen
     ),
     unnested AS (SELECT conv_id, turn, question, q, q_tokens, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS pos FROM pieces),
     claims AS (SELECT conv_id, turn, question, q, q_tokens, c.t AS claim, c.k AS claim_type, pos FROM unnested)
@@ -285,11 +285,17 @@ ORACLES = {
         WHEN f >= 0.6 AND {_negated("q")} <> {_negated("a")} THEN 'refuted'
         WHEN f >= 0.45 OR (p >= 0.55 AND r >= 0.25) THEN 'supported' ELSE 'not_enough_info' END AS verdict, round(f, 6) AS f1 FROM lifted""",
     "open_answers": f"""WITH {_PAIRS},
-      heads AS (SELECT *, a_tokens[1:12] AS h FROM pairs),
-      laps AS (SELECT *, {_overlap("q_tokens", "h")} AS s2 FROM heads),
-      sh AS (SELECT *, CASE WHEN nq > 0 AND len(h) > 0 THEN s2 / nq ELSE 0 END AS hp, CASE WHEN nq > 0 AND len(h) > 0 THEN s2 / len(h) ELSE 0 END AS hr FROM laps),
+      later AS (SELECT conv_id, turn - 1 AS turn, {_normal("text")} AS x FROM conversations),
+      nexts AS (SELECT pairs.*, coalesce(x, '') AS x FROM pairs LEFT JOIN later ON later.conv_id = pairs.conv_id AND later.turn = pairs.turn),
+      heads AS (SELECT *, {_tokens("x")} AS h, instr(a, x) AS place FROM nexts),
+      laps AS (SELECT *, {_overlap("a_tokens", "h")} AS s2 FROM heads),
+      sh AS (SELECT *, CASE WHEN na > 0 AND len(h) > 0 THEN s2 / na ELSE 0 END AS hp, CASE WHEN na > 0 AND len(h) > 0 THEN s2 / len(h) ELSE 0 END AS hr,
+             list_filter(string_split(substring(a, CAST(greatest(place - 25, 1) AS BIGINT), CAST(least(place - 1, 25) AS BIGINT)), ' '), lambda w: w <> '') AS before FROM laps),
       two AS (
-        SELECT *, CAST({_ladder("q", "q_tokens", "a", "a_tokens", "f1")} AS DOUBLE) AS r2, CASE WHEN hp + hr > 0 THEN 2 * hp * hr / (hp + hr) ELSE 0 END AS w2,
+        SELECT *, CAST({_ladder("q", "q_tokens", "a", "a_tokens", "f1")} AS DOUBLE) AS r2,
+               CASE WHEN x = '' OR a = '' THEN 0 WHEN x = a THEN 1 WHEN length(x) >= 12 AND place > 0
+                 THEN CASE WHEN list_has_any(before[-4:], [{", ".join(map(_q, L.NEGATION_BEFORE))}]) THEN 0.25 ELSE 0.98 END
+                 ELSE CASE WHEN hp + hr > 0 THEN 2 * hp * hr / (hp + hr) ELSE 0 END END AS w2,
                {_any("lower(answer)", L.ABSTENTION_MARKERS)} AS abstained FROM sh
       ),
       done AS (
@@ -302,7 +308,7 @@ ORACLES = {
         SELECT conv_id, turn, route,
           CASE route WHEN 'retrieve' THEN 'Answer from the passages.' WHEN 'clarify' THEN 'Ask what is meant.' ELSE 'Answer.' END
           || chr(10) || chr(10) || 'Question: '
-          || CASE WHEN length(trim(text)) <= 900 THEN trim(text) ELSE rtrim(left(trim(text), 900)) || ' [...]' END AS prompt
+          || trim(text) AS prompt
         FROM routed
       )
       SELECT conv_id, turn, route, CAST(length(prompt) AS BIGINT) AS prompt_chars, md5(prompt) AS prompt_md5 FROM built""",
@@ -358,7 +364,7 @@ ORACLES = {
     "head_n_per_group": """WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents)
       SELECT source, doc_id, CAST(place AS INTEGER) AS place FROM p WHERE place <= 5""",
     "hash_sample": "SELECT doc_id, md5(doc_id || ':s1') AS mark FROM documents ORDER BY mark, doc_id LIMIT 100",
-    "qrels_remap": "SELECT 'en_' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS doc_id, quality FROM labels JOIN documents USING (doc_id) WHERE lang = 'en'",
+    "qrels_remap": "SELECT coalesce(lang, 'xx') || '_' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS doc_id, quality FROM labels JOIN documents USING (doc_id)",
     "strata_union": """SELECT 'benchmark' AS stratum, CAST(item_id AS VARCHAR) AS id, '' AS source, CAST(length(text) AS BIGINT) AS chars FROM benchmark
       UNION ALL SELECT 'turn', conv_id || ':' || turn, '', length(text) FROM conversations WHERE role = 'user'
       UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR), source, length(text) FROM documents""",
@@ -388,7 +394,7 @@ ORACLES = {
       FROM pairs p LEFT JOIN sums s ON s.conv_id = p.conv_id AND s.turn = p.turn""",
     "answer_errors": f"""WITH {_PAIRS},
       ids AS (
-        SELECT *, list_filter(q_tokens, lambda x, i: list_position(q_tokens, x) = i)[1:3] AS gold, list_filter(a_tokens, lambda x, i: list_position(a_tokens, x) = i)[1:40] AS got FROM pairs
+        SELECT *, list_filter(q_tokens, lambda x, i: list_position(q_tokens, x) = i) AS gold, list_filter(a_tokens, lambda x, i: list_position(a_tokens, x) = i) AS got FROM pairs
       ),
       met AS (SELECT *, len(list_intersect(gold, got)) AS met, {_any("lower(answer)", L.ABSTENTION_MARKERS)} AS abstained FROM ids)
       SELECT conv_id, turn, round(CASE WHEN len(gold) > 0 THEN met / len(gold) ELSE 0 END, 6) AS recall, round(CASE WHEN len(got) > 0 THEN met / len(got) ELSE 0 END, 6) AS precision,
@@ -412,7 +418,7 @@ ORACLES = {
       CASE WHEN turn % 4 < 3 THEN FALSE END AS abstained, turn % 4 < 3 AS valid, CASE WHEN turn % 4 < 3 THEN 'json' ELSE 'fallback' END AS method
       FROM conversations WHERE role = 'assistant'""",
     "claim_rows": f"""WITH {_PAIRS}, {_CLAIMS}
-      SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, claim_type, CAST(length(claim) AS BIGINT) AS claim_chars FROM claims WHERE pos < 3
+      SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, claim_type, CAST(length(claim) AS BIGINT) AS claim_chars FROM claims
       UNION ALL SELECT conv_id, turn, 0, 'no_claims', 0 FROM pieces WHERE len(cs) = 0""",
     "vec_merge_evidence": f"""WITH {_SEARCH}
       SELECT query_id, string_agg(CAST(vec_id AS VARCHAR), '|' ORDER BY rank) AS evidence FROM ranked WHERE rank <= 6 GROUP BY query_id""",

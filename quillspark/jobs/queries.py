@@ -130,10 +130,12 @@ def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def open_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tri-state outcome of each answer, by its likeness to its own question and to its reversed role: undecided is null."""
+    """Tri-state outcome of each answer, with its question as the right answer and the turn after it as a wrong one: undecided is null."""
     d = _turn_pairs(spark, sf_dir)
+    later = _read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), T.normal(F.col("text")).alias("x"))
+    d = d.join(later, ["conv_id", "turn"], "left").withColumn("x", F.coalesce("x", F.lit("")))
     right = M.similarity(F.col("q"), F.col("q_tokens"), F.col("a"), F.col("a_tokens"))
-    wrong = M.token_scores(F.col("q_tokens"), F.slice("a_tokens", 1, 12))["f1"]
+    wrong = M.falsehood(F.col("x"), T.tokens(F.col("x")), F.col("a"), F.col("a_tokens"))
     gone = T.contains_any(F.lower("answer"), L.ABSTENTION_MARKERS)
     d = d.select("conv_id", "turn", right.alias("r"), wrong.alias("w"), gone.alias("abstained"), F.size("a_tokens").alias("n"))
     verdict = R.open_answer(F.col("r"), F.col("w"), F.col("n"), F.col("abstained"))
@@ -147,11 +149,11 @@ def route_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt built for every user turn, as length and MD5: the instruction of its route, then the question, cut."""
+    """The prompt built for every user turn, as length and MD5: the instruction of its route, then the whole question."""
     c = _read(spark, sf_dir, "conversations").where(F.col("role") == "user")
     c = c.select("conv_id", "turn", "text", R.route(F.col("text"))["route"].alias("route"))
     head = F.when(F.col("route") == "retrieve", "Answer from the passages.").when(F.col("route") == "clarify", "Ask what is meant.").otherwise("Answer.")
-    prompt = F.concat(head, F.lit("\n\nQuestion: "), T.truncated(F.trim("text"), 900))
+    prompt = F.concat(head, F.lit("\n\nQuestion: "), F.trim("text"))
     return c.select("conv_id", "turn", "route", F.length(prompt).cast("long").alias("prompt_chars"), F.md5(prompt.cast("binary")).alias("prompt_md5"))
 
 
@@ -307,8 +309,8 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels under new document ids; the map knows English documents only."""
-    ids = _read(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", F.concat(F.lit("en_"), F.lpad("doc_id", 9, "0")).alias("new_id"))
+    """Labels under new document ids: language, then number."""
+    ids = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("lang", F.lit("xx")), F.lit("_"), F.lpad("doc_id", 9, "0")).alias("new_id"))
     return DP.remap(_read(spark, sf_dir, "labels").select("doc_id", "quality"), ids, "doc_id").select("doc_id", "quality")
 
 
@@ -332,17 +334,18 @@ def turn_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every sentence of every answer: is evidence needed, and by which rule."""
-    d = _turn_pairs(spark, sf_dir).select("conv_id", "turn", "question", F.posexplode(T.sentences(F.col("answer"))).alias("pos", "sentence"))
+    d = _turn_pairs(spark, sf_dir).select("conv_id", "turn", "question", "answer", R.question_signs(F.col("question")).alias("asked"))
+    d = d.select("conv_id", "turn", "question", "asked", F.posexplode(T.sentences(F.col("answer"))).alias("pos", "sentence"))
     task = F.when(F.col("conv_id") % 5 == 0, "multiple_choice").when(F.col("conv_id") % 5 == 1, "open_direct").otherwise("open_qa")
     bias = F.when(F.col("turn") % 3 == 0, "conservative").when(F.col("turn") % 3 == 1, "balanced").otherwise("aggressive")
     sure = F.length("sentence") / 100.0
-    d = d.withColumn("p", R.retrieval_policy(F.col("question"), F.col("sentence"), sure, task, bias))
+    d = d.withColumn("p", R.retrieval_policy(F.col("question"), F.col("sentence"), sure, task, bias, F.col("asked")))
     return d.select("conv_id", "turn", "pos", "p.*")
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _turn_pairs(spark, sf_dir)
-    return d.select("conv_id", "turn", "question", "answer", F.posexplode(R.claims(F.col("answer"))).alias("pos", "c"))
+    return d.select("conv_id", "turn", "q", "q_tokens", F.posexplode(R.claims(F.col("answer"))).alias("pos", "c"))
 
 
 def answer_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,13 +368,14 @@ def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rounds are unrolled; the second joins the next turn on conversation and turn, so a long
     conversation is spread.
     """
-    d = _claims(spark, sf_dir).select("conv_id", "turn", "pos", "question", F.col("c.claim_text").alias("claim"), F.col("c.importance").alias("importance"))
-    c, e = T.normal(F.col("claim")), T.normal(F.col("question"))
-    d = d.select("conv_id", "turn", "pos", "importance", c.alias("c"), T.tokens(c).alias("ct"), e.alias("e"), T.tokens(e).alias("et"))
+    importance = F.col("c.importance").alias("importance")
+    d = _claims(spark, sf_dir).select("conv_id", "turn", "pos", importance, T.normal(F.col("c.claim_text")).alias("c"), F.col("q").alias("e"), F.col("q_tokens").alias("et"))
+    d = d.withColumn("ct", T.tokens(F.col("c")))
     d = d.withColumn("v", R.claim_verdict(F.col("c"), F.col("ct"), F.col("e"), F.col("et"))["verdict"])
     later = _read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), T.normal(F.col("text")).alias("e2"))
+    later = later.withColumn("e2t", T.tokens(F.col("e2")))
     again = d.join(later, ["conv_id", "turn"], "left").withColumn("open", (F.col("v") == "not_enough_info") & F.col("e2").isNotNull())
-    second = R.claim_verdict(F.col("c"), F.col("ct"), F.col("e2"), T.tokens(F.col("e2")))["verdict"]
+    second = R.claim_verdict(F.col("c"), F.col("ct"), F.col("e2"), F.col("e2t"))["verdict"]
     terms = R.search_terms(F.col("ct"), F.col("et"))
     return again.select(
         "conv_id",
@@ -414,10 +418,10 @@ def answer_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieval overlap and kind of error of every answer: the question's first words are wanted, the answer's are found."""
-    d = _turn_pairs(spark, sf_dir)
-    gold, got = F.slice(F.array_distinct("q_tokens"), 1, 3), F.slice(F.array_distinct("a_tokens"), 1, 40)
-    met = F.size(F.array_intersect(gold, got))
+    """Retrieval overlap and kind of error of every answer: all words of the question are wanted, all of the answer are found."""
+    d = _turn_pairs(spark, sf_dir).withColumn("gold", F.array_distinct("q_tokens")).withColumn("got", F.array_distinct("a_tokens"))
+    d = d.withColumn("met", F.size(F.array_intersect("gold", "got")))
+    gold, got, met = F.col("gold"), F.col("got"), F.col("met")
     share = lambda xs: F.when(F.size(xs) > 0, met / F.size(xs)).otherwise(0.0)
     d = d.select(
         "conv_id",
@@ -463,7 +467,7 @@ def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each claim, and one for an answer without any, so that no answer disappears."""
-    d = _turn_pairs(spark, sf_dir).withColumn("cs", R.claims(F.col("answer"), 3))
+    d = _turn_pairs(spark, sf_dir).withColumn("cs", R.claims(F.col("answer")))
     none = F.array(F.struct(F.lit("").alias("claim_text"), F.lit("no_claims").alias("claim_type"), F.lit(False).alias("requires_evidence"), F.lit("none").alias("importance")))
     d = d.select("conv_id", "turn", F.posexplode(F.when(F.size("cs") > 0, F.col("cs")).otherwise(none)).alias("pos", "c"))
     return d.select("conv_id", "turn", "pos", F.col("c.claim_type").alias("claim_type"), F.length("c.claim_text").cast("long").alias("claim_chars"))
