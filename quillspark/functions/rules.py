@@ -168,8 +168,8 @@ def retrieval_policy(question: Column, sentence: Column, confidence: Column, tas
     return T.let(T.let(texts, signs), rules)
 
 
-def claims(answer: Column, most: int | None = None) -> Column:
-    """Array of (claim_text, claim_type, requires_evidence, importance) of an answer, all or ``most`` at most.
+def claims(answer: Column, most: int | None = 5) -> Column:
+    """Array of (claim_text, claim_type, requires_evidence, importance) of an answer, ``most`` at most (None: all).
 
     A chosen letter, a request to clarify and an abstention are one claim; else each sentence is
     one, short remarks left out. The first is the core.
@@ -212,7 +212,7 @@ def claims(answer: Column, most: int | None = None) -> Column:
 
 
 def search_terms(claim_tokens: Column, question_tokens: Column, most: int | None = 12) -> Column:
-    """The next search: the claim's words, then the question's, each once, all or ``most`` at most."""
+    """The next search: the claim's words, then the question's, each once, ``most`` at most (None: all)."""
     words = F.array_distinct(F.concat(claim_tokens, question_tokens))
     return F.array_join(words if most is None else F.slice(words, 1, most), " ")
 

@@ -200,6 +200,12 @@ _POLICY = rf"""
     )
 """
 
+_SURENESS = """CAST(CASE rule WHEN 'empty_candidate' THEN 1.0 WHEN 'abstention_sentence' THEN 0.94 WHEN 'clarification_sentence' THEN 0.94 WHEN 'generic_intro' THEN 0.82
+          WHEN 'multiple_choice_direct_no_retrieval' THEN 0.95 WHEN 'suppressed_documental_cue_multiple_choice' THEN 0.92
+          WHEN 'documental_cue' THEN CASE WHEN bias = 'aggressive' THEN 0.9 ELSE 0.86 END WHEN 'open_direct_conservative_no_retrieval' THEN 0.92
+          WHEN 'number_or_date' THEN 0.84 WHEN 'factual_relation_cue' THEN 0.83 WHEN 'comparison_cue' THEN 0.78 WHEN 'named_entity' THEN 0.74
+          WHEN 'question_multi_entity' THEN 0.7 WHEN 'suppressed_named_entity' THEN 0.8 WHEN 'fallback_no_retrieval' THEN 0.62 ELSE 0.78 END AS DOUBLE) AS confidence,"""
+
 _CLAIMS = rf"""
     stated AS (SELECT *, trim(coalesce(answer, '')) AS said FROM pairs),
     chosen AS (SELECT *, upper(regexp_extract(said, '{_CHOICE}', 1, 'i')) AS letter FROM stated),
@@ -372,11 +378,7 @@ ORACLES = {
     "retrieval_policy": f"""WITH {_PAIRS}, {_POLICY}
       SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos,
         rule IN ('documental_cue', 'number_or_date', 'factual_relation_cue', 'comparison_cue', 'named_entity', 'question_multi_entity') AS needs_retrieval,
-        CAST(CASE rule WHEN 'empty_candidate' THEN 1.0 WHEN 'abstention_sentence' THEN 0.94 WHEN 'clarification_sentence' THEN 0.94 WHEN 'generic_intro' THEN 0.82
-          WHEN 'multiple_choice_direct_no_retrieval' THEN 0.95 WHEN 'suppressed_documental_cue_multiple_choice' THEN 0.92
-          WHEN 'documental_cue' THEN CASE WHEN bias = 'aggressive' THEN 0.9 ELSE 0.86 END WHEN 'open_direct_conservative_no_retrieval' THEN 0.92
-          WHEN 'number_or_date' THEN 0.84 WHEN 'factual_relation_cue' THEN 0.83 WHEN 'comparison_cue' THEN 0.78 WHEN 'named_entity' THEN 0.74
-          WHEN 'question_multi_entity' THEN 0.7 WHEN 'suppressed_named_entity' THEN 0.8 WHEN 'fallback_no_retrieval' THEN 0.62 ELSE 0.78 END AS DOUBLE) AS confidence,
+        {_SURENESS}
         rule FROM decided""",
     "answer_claims": f"""WITH {_PAIRS}, {_CLAIMS}
       SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, claim_type, claim_type = 'factual' AS requires_evidence,

@@ -345,7 +345,7 @@ def retrieval_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _turn_pairs(spark, sf_dir)
-    return d.select("conv_id", "turn", "q", "q_tokens", F.posexplode(R.claims(F.col("answer"))).alias("pos", "c"))
+    return d.select("conv_id", "turn", "q", "q_tokens", F.posexplode(R.claims(F.col("answer"), None)).alias("pos", "c"))
 
 
 def answer_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,7 +467,7 @@ def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each claim, and one for an answer without any, so that no answer disappears."""
-    d = _turn_pairs(spark, sf_dir).withColumn("cs", R.claims(F.col("answer")))
+    d = _turn_pairs(spark, sf_dir).withColumn("cs", R.claims(F.col("answer"), None))
     none = F.array(F.struct(F.lit("").alias("claim_text"), F.lit("no_claims").alias("claim_type"), F.lit(False).alias("requires_evidence"), F.lit("none").alias("importance")))
     d = d.select("conv_id", "turn", F.posexplode(F.when(F.size("cs") > 0, F.col("cs")).otherwise(none)).alias("pos", "c"))
     return d.select("conv_id", "turn", "pos", F.col("c.claim_type").alias("claim_type"), F.length("c.claim_text").cast("long").alias("claim_chars"))

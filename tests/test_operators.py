@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.jobs.evaluation_sql import EVALUATION_SQL
+from quillspark.jobs.evaluations import EVALUATIONS
 from quillspark.jobs.oracles import ORACLES
 from quillspark.jobs.queries import QUERIES
 from quillspark.operators import metrics as AG
@@ -107,18 +109,18 @@ def test_preparation(spark):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) and set(EVALUATIONS) == set(EVALUATION_SQL)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", QUERIES | EVALUATIONS)
 def test_query_against_sql(spark, small, name):
     duckdb = pytest.importorskip("duckdb")
     base = duckdb.connect()
     for table in ("embeddings", "documents", "labels", "conversations", "events", "part", "lineitem", "orders", "benchmark"):
         base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
-    found = base.execute(ORACLES[name])
+    found = base.execute((ORACLES | EVALUATION_SQL)[name])
     names = [x[0] for x in found.description]
-    got = QUERIES[name](spark, small)
+    got = (QUERIES | EVALUATIONS)[name](spark, small)
     assert sorted(got.columns) == sorted(names)
     shown = lambda v: "" if v is None else repr(v)
     wanted = sorted(tuple(shown(r[names.index(c)]) for c in sorted(names)) for r in found.fetchall())
