@@ -26,6 +26,8 @@ from quillspark.llm.tokens import _Cache
 
 BUCKETS, RANK = 1 << 16, 8
 TRAIN_ROWS = 6_000
+#: Words whose buckets a worker keeps at hand.
+WORDS_HELD = 100_000
 EPOCHS, RATE, DECAY = 8, 0.1, 1e-5
 #: Documents from this score on are predicted to be of label 1.
 CUTOFF = 0.7
@@ -41,7 +43,7 @@ def held_out(doc_id: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _buckets() -> _Cache:
-    return _Cache(lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS)
+    return _Cache(lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS, WORDS_HELD)
 
 
 @lru_cache(maxsize=1)

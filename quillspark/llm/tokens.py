@@ -40,9 +40,9 @@ def _packed(ids: list[int]) -> bytes:
 class _Cache(dict):
     """A dictionary that fills itself by ``make`` and keeps the entries of at least its last half capacity."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.before = make, {}
+        self.make, self.before, self.most = make, {}, entries // 2
 
     def __missing__(self, key):
         value = self.before.get(key)
@@ -50,7 +50,7 @@ class _Cache(dict):
             value = self.make(key)
             if len(key) > CACHE_CHARS:
                 return value
-        if len(self) >= CACHE_ENTRIES // 2:
+        if len(self) >= self.most:
             self.before = dict(self)
             self.clear()
         self[key] = value
