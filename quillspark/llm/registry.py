@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import ann_forest, factorization, language_id, packing, quality_rules, quality_sql, secret_scan, secret_sql, sentencepiece_codec, simhash, token_file, warc
+from quillspark.llm import ann_forest, collocation, factorization, language_id, packing, quality_rules, quality_sql, secret_scan, secret_sql, sentencepiece_codec, simhash, token_file, warc
 
 
 def queries() -> dict:
@@ -20,9 +20,10 @@ def queries() -> dict:
         "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
         "op9_ann_forest": ann_forest.op9_ann_forest,
         "op10_token_file": token_file.op10_token_file,
+        "op12_collocations": collocation.op12_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those queries that SQL can express."""
-    return {"op1_quality_rules": quality_sql.OP1, "op5_secret_scan": secret_sql.OP5, **warc.ORACLE_SQL}
+    return {"op1_quality_rules": quality_sql.OP1, "op5_secret_scan": secret_sql.OP5, **warc.ORACLE_SQL, **collocation.ORACLE_SQL}
