@@ -5,8 +5,12 @@ tabs into words. Every word opens one window of the longest phrases' length: lea
 words after it in its piece, null where the piece has ended. Only these windows are counted. The
 counts of all shorter phrases are sums over them: a phrase of k words occurs as often as windows
 start with it, so a ROLLUP over the lead columns gives, level by level, each prefix's count, and at
-its last level the number of words of the language. Windows are counted partly before each shuffle,
-and are keyed by all their words, so that neither a frequent word nor a frequent pair is one task.
+its last level the number of words of the language.
+
+A task counts its windows by ``CHUNK_WORDS`` words at a time before they are shuffled, by all words but
+the last. What a frequent word or pair sends to one task is then at most one row for each follower
+and chunk. Heads that are rarer than ``least`` cannot be part of a candidate; their last word is
+dropped before the ROLLUP, which leaves the sums of their shorter prefixes as they are.
 
 Null texts are empty, a null language is ``und``; texts without words and empty tables give no rows.
 Repeated rows count each time. Ties in the score go to the larger count, then to the phrase's bytes.
@@ -19,40 +23,97 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import read, stored
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONGEST, LEAST, FIRST = 3, 10, 2000
 #: A candidate is dropped if a longer one that holds it occurs in at least this percentage of its places.
 HELD_PERCENT = 50
+#: Words whose windows a task counts at once.
+CHUNK_WORDS = 2_000_000
+#: Rows whose texts are split at once.
+SLICE_ROWS = 500
 #: Digits of a count: products of three counts' digits and the scale stay within 38.
 COUNT = "decimal(14,0)"
 
 
-def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(lang, w1, ..., w``longest``): one row for each word, with the words that follow it in its piece or null."""
-    low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    d = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(low, r"[.,;:!?\x0A-\x0D]+", -1)).alias("piece"))
-    d = d.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
-    d = d.select("lang", F.split("piece", r"[ \t]+", -1).alias("words"))
-    leads = [F.col("words"), *[F.slice("words", i, F.size("words")) for i in range(2, longest + 1)]]
-    names = [f"w{i}" for i in range(1, longest + 1)]
-    return d.select("lang", F.inline(F.arrays_zip(*[c.alias(n) for c, n in zip(leads, names, strict=True)])).alias(*names))
+def _counted(longest: int):
+    """A task's windows, counted a chunk at a time: (lang, text) rows in, (lang, head, last, n) rows out, sorted within a chunk.
+
+    ``head``: the window's words but the last, as many as its piece has; ``last`` is null where the piece has ended.
+    """
+
+    def windows(held):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words, langs = (pa.chunked_array([h[k] for h in held]).unify_dictionaries().combine_chunks() for k in (0, 1))
+        shift = np.cumsum([0, *(h[3] for h in held[:-1])])
+        piece = np.concatenate([h[2] + s for h, s in zip(held, shift, strict=True)])
+        code, base = words.indices.to_numpy().astype(np.int64), len(words.dictionary) + 1
+        leads = [code]
+        for k in range(1, longest):
+            lead = np.full(len(code), -1, dtype=np.int64)
+            same = piece[k:] == piece[:-k]
+            lead[:-k][same] = code[k:][same]
+            leads.append(lead)
+        # windows are numbered column by column, so a number never passes rows * words
+        number, n = langs.indices.to_numpy().astype(np.int64), None
+        for lead in leads:
+            _, first, number, n = np.unique(number * base + lead + 1, return_index=True, return_inverse=True, return_counts=True)
+        columns = [words.dictionary.take(pa.array(lead[first], mask=lead[first] < 0)) for lead in leads]
+        head = pc.binary_join_element_wise(*columns[:-1], pa.scalar(" ", columns[0].type), null_handling="skip") if longest > 2 else columns[0]
+        out = [langs.dictionary.take(pa.array(langs.indices.to_numpy()[first])), head, columns[-1]]
+        return pa.record_batch([*[c.cast(pa.string()) for c in out], pa.array(n)], names=["lang", "head", "last", "n"])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held, size = [], 0
+        # rows are copied: some compute functions misread a slice that starts inside its array
+        for batch in (b.take(pa.array(range(i, min(i + SLICE_ROWS, b.num_rows)))) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
+            low = pc.ascii_lower(pc.fill_null(batch.column("text"), "").cast(pa.large_string()))
+            pieces = pc.split_pattern_regex(low, r"[.,;:!?\n\x0b\x0c\r]+")
+            lang = batch.column("lang").cast(pa.large_string()).take(pc.list_parent_indices(pieces))
+            split = pc.split_pattern_regex(pieces.flatten(), r"[ \t]+")
+            words, piece = split.flatten(), pc.list_parent_indices(split)
+            full = pc.not_equal(words, "")
+            words, piece = words.filter(full), piece.filter(full)
+            if not len(words):
+                continue
+            held.append((words.dictionary_encode(), lang.take(piece).dictionary_encode(), piece.to_numpy().astype(np.int64), len(split)))
+            size += len(words)
+            if size >= CHUNK_WORDS:
+                yield windows(held)
+                held, size = [], 0
+        if held:
+            yield windows(held)
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, words, f): each phrase of 1 to ``longest`` words that occurs ``least`` times or more; no words: all words of the language."""
-    names = [f"w{i}" for i in range(1, longest + 1)]
-    full = windows(docs, longest).groupBy("lang", *names).agg(F.count("*").alias("f"))
-    # the windows' own counts are the top level; the rollup sums the levels below it
-    below = full.rollup("lang", *names[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("absent"))
-    levels = [full.select("lang", F.array(*names).alias("words"), "f")]
-    for k in range(longest):
-        level = below.where(F.col("absent") == (1 << (longest - 1 - k)) - 1)
-        levels.append(level.select("lang", F.array(*names[:k]).cast("array<string>").alias("words"), "f"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
-    # a null inside the words is padding, not a phrase
-    return out.where(((F.col("f") >= least) | (F.size("words") == 0)) & ~F.exists("words", lambda w: w.isNull()))
+    if longest < 2:
+        raise ValueError("the longest phrases must have two words at least")
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    dealt = texts.mapInArrow(_counted(longest), "lang string, head string, last string, n long").repartition("lang", "head")
+    full = dealt.groupBy("lang", "head", "last").agg(F.sum("n").alias("f"))
+    # one condition over both columns: a condition on ``last`` alone would be moved below the shuffle, which then were made twice
+    top = full.select("lang", F.when(F.col("f") >= least, F.concat(F.split("head", " "), F.array("last"))).alias("words"), "f")
+    top = top.where(F.size(F.filter("words", lambda w: w.isNotNull())) == longest)
+    heads = full.groupBy("lang", "head").agg(F.sum("f").alias("f")).select("lang", F.split("head", " ").alias("words"), "f")
+    names = [f"w{i}" for i in range(1, longest)]
+    kept = lambda i: F.when((F.col("f") >= least) | (i < longest - 2) | (i == 0), F.get("words", F.lit(i)))
+    below = heads.select("lang", *[kept(i).alias(n) for i, n in enumerate(names)], "f")
+    below = below.rollup("lang", *names).agg(F.sum("f").alias("f"), F.grouping_id().alias("absent"))
+    depth = longest - F.length(F.bin("absent")) - 1  # of the words that a level keeps
+    depth = F.when(F.col("absent") == 0, longest - 1).otherwise(depth)
+    level = F.slice(F.array(*names), 1, depth)
+    # a null inside a level's words is padding, not a phrase; the grand total has no language
+    shorter = below.where(F.col("absent") < (1 << (longest - 1)))
+    shorter = shorter.select("lang", level.alias("words"), "f").where(~F.exists("words", lambda w: w.isNull()))
+    return top.union(shorter.where((F.col("f") >= least) | (F.size("words") == 0)))
 
 
 def _phrase(words: Column) -> Column:
