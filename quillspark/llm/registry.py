@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import ann_forest, collocation, factorization, language_id, packing, quality_rules, quality_sql, secret_scan, secret_sql, sentencepiece_codec, simhash, token_file, warc
+from quillspark.llm import ann_forest, collocation, factorization, language_id, packing, quality_rules, quality_sql, secret_scan, secret_sql, sentencepiece_codec, simhash, token_file, warc, weighted_sampling
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
         "op9_ann_forest": ann_forest.op9_ann_forest,
         "op10_token_file": token_file.op10_token_file,
+        "op11_fingerprints": weighted_sampling.op11_fingerprints,
         "op12_collocations": collocation.op12_collocations,
     }
 
