@@ -10,7 +10,9 @@ samples estimates it without bias; its standard error is at most 0.5 / sqrt(``SA
 
 A sample is kept as 16 bits of its hash, so unlike ones agree once in 65 536; the fingerprint is their
 hexadecimal digits. ln a is compared to 40 binary places, together with those bits, as one long, so
-that a sample is a plain minimum inside a hash aggregation. A text of no words has the fingerprint
+that a sample is a plain minimum inside a hash aggregation. The least a of a text of total weight W is
+exponential with rate W, so it passes ``RARELY / W`` once in e**24 times; draws that a bound without
+logarithms shows to lie beyond are not worked out (if all of a text do, its sample is that of the least bound). A text of no words has the fingerprint
 "", alike to "" alone. Weights over 32 767 are rounded to 0.2 %.
 
 Null texts are empty. Documents are in order of doc_id, nulls first; of equal doc_ids that of the
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import read, stored, words_of
 
-SHINGLE, SAMPLES, SEED = 5, 64, 42
+SHINGLE, SAMPLES, SEED = 5, 48, 42
 #: Ranges of the order of documents, and documents that their bounds are taken from.
 RANGES, SAMPLED = 4096, 65_536
+#: Draws over this many times the mean least draw of a text are not worked out.
+RARELY = 24.0
 #: Bits of a term's hash that hold its weight.
 WEIGHT_BITS, EXACT = 16, 32_767
 
@@ -39,12 +43,8 @@ def _weight_code(n: Column) -> Column:
     return F.when(n <= EXACT, n).otherwise(EXACT + F.round(500 * F.log(n.cast("double"))).cast("long"))
 
 
-def _log_weight(code: Column) -> Column:
-    return F.when(code <= EXACT, F.log(code.cast("double"))).otherwise((code - EXACT) / 500.0)
-
-
 def with_terms(d: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """``d`` with, for each pair of names, an array of the text's terms: distinct hashes whose last 16 bits are the weight's code."""
+    """``d`` with, for each pair of names, an array of the text's terms, distinct hashes whose last 16 bits are the weight's code, and ``<name>_size``, their number with repeats."""
     mask = F.lit(-1 << WEIGHT_BITS)
     kept = [c for c in d.columns if c not in texts]
     d = d.select(*kept, *[words_of(F.col(t)).alias(f"_{name}") for t, name in texts.items()])
@@ -75,7 +75,7 @@ def with_terms(d: DataFrame, texts: dict[str, str]) -> DataFrame:
         many = F.transform(runs, lambda at, j: F.get(a, at).bitwiseOR(_weight_code(size(at, j))))
         return F.when(F.col(f"_{name}_repeats"), many).otherwise(F.transform(a, lambda h: h.bitwiseOR(F.lit(1))))
 
-    return d.select(*kept, *[terms(n).alias(n) for n in texts.values()])
+    return d.select(*kept, *[terms(n).alias(n) for n in texts.values()], *[F.size(f"_{n}").alias(f"{n}_size") for n in texts.values()])
 
 
 def _uniform(bits: Column, width: int) -> Column:
@@ -83,26 +83,38 @@ def _uniform(bits: Column, width: int) -> Column:
     return (bits.cast("double") + 0.5) * (1.0 / (1 << width))
 
 
-def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """Sample ``k`` of one term as a long: ln a to 40 binary places, then 16 bits that name the term and its t."""
+def sample(term: Column, code: Column, most: Column, k: int) -> Column:
+    """Sample ``k`` of one term as a long: ln a to 40 binary places, then 16 bits that name the term and its t.
+
+    a is at least c exp(-r) / w, and c at least 1 - exp(-c): where that passes ``most``, it stands for a, after all others.
+    """
     g = F.xxhash64(term, F.lit(k), F.lit(SEED))
     h = F.xxhash64(g)
-    r = -F.log(_uniform(F.shiftrightunsigned(g, 32), 32) * _uniform(g.bitwiseAND(F.lit(0xFFFFFFFF)), 32))
     part = lambda at: _uniform(F.shiftrightunsigned(h, at).bitwiseAND(F.lit(0x1FFFFF)), 21)
-    c, b = -F.log(part(0) * part(21)), part(42)
-    t = F.floor(log_weight / r + b)
+    u, v = _uniform(F.shiftrightunsigned(g, 32), 32) * _uniform(g.bitwiseAND(F.lit(0xFFFFFFFF)), 32), part(0) * part(21)
+    log_weight = F.when(code == 1, 0.0).when(code <= EXACT, F.log(code.cast("double"))).otherwise((code - EXACT) / 500.0)
+    weight = F.when(code <= EXACT, code.cast("double")).otherwise(F.exp((code - EXACT) / 500.0))
+    r, c, b = -F.log(u), -F.log(v), part(42)
+    t = F.when(code == 1, F.lit(0).cast("long")).otherwise(F.floor(log_weight / r + b))
     log_a = F.log(c) - r * (t - b) - r
-    named = (F.shiftrightunsigned(g, 17) + t * 40_503).bitwiseAND(F.lit(0xFFFF))
-    # ln a lies within (-64, 64): floors of 1/2**43 of c, and weights below exp(40)
-    return F.shiftleft(F.floor((log_a + 64.0) * float(1 << 39)), 16).bitwiseOR(named)
+    name = F.shiftrightunsigned(g, 17)
+    of = lambda x, n: F.shiftleft(F.floor(x * float(1 << 39)), 16).bitwiseOR(n.bitwiseAND(F.lit(0xFFFF)))
+    # ln a lies within (-64, 64): c is 2**-43 at least, and weights are below exp(40)
+    beyond = (1 - v) * u
+    return F.when(beyond > most * weight, of(128.0 + F.least(beyond, F.lit(1.0)), name)).otherwise(of(log_a + 64.0, name + t * 40_503))
 
 
-def _samples(d: DataFrame, keys: list[str], terms: str, samples: int) -> DataFrame:
+def _samples(d: DataFrame, keys: list[str], terms: str, most: str, samples: int) -> DataFrame:
     """``keys`` and s0, s1, ...: the least of each sample over the terms of all rows of the keys; null without terms."""
-    d = d.select(*keys, F.explode_outer(terms).alias("code"))
+    d = d.select(*keys, most, F.explode_outer(terms).alias("code"))
     low = F.lit((1 << WEIGHT_BITS) - 1)
-    d = d.select(*keys, F.col("code").bitwiseAND(F.bitwise_not(low)).alias("term"), _log_weight(F.col("code").bitwiseAND(low)).alias("weight"))
-    return d.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("weight"), k)).alias(f"s{k}") for k in range(samples)])
+    d = d.select(*keys, most, F.col("code").bitwiseAND(F.bitwise_not(low)).alias("term"), F.col("code").bitwiseAND(low).alias("code"))
+    return d.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("code"), F.col(most), k)).alias(f"s{k}") for k in range(samples)])
+
+
+def _most(*sizes: Column) -> Column:
+    """The bound of draws for texts of so many terms, repeats included."""
+    return RARELY / F.greatest(F.lit(1), F.least(*sizes, F.lit(1 << 62)))
 
 
 def _digits(samples: list[Column]) -> Column:
@@ -120,7 +132,8 @@ def likeness(x: Column, y: Column) -> Column:
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, fingerprint) of each row's whole text; texts stay where they are, only samples are shuffled."""
     d = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    found = _samples(with_terms(d, {"text": "terms"}), ["row", "doc_id"], "terms", samples)
+    d = with_terms(d, {"text": "terms"}).withColumn("most", _most(F.col("terms_size")))
+    found = _samples(d, ["row", "doc_id"], "terms", "most", samples)
     return found.select("doc_id", _digits([F.col(f"s{k}") for k in range(samples)]).alias("fingerprint"))
 
 
@@ -182,8 +195,8 @@ def edited_likeness(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     d = with_terms(d, {"text": "own", "edited": "other"})
     # terms of one weight in both texts, and the rest of each
     parts = [F.array_intersect("own", "other"), F.array_except("own", "other"), F.array_except("other", "own")]
-    d = d.select(*keys, F.posexplode(F.array(*parts)).alias("part", "terms"))
-    d = _samples(d, [*keys, "part"], "terms", samples)
+    d = d.select(*keys, _most(F.col("own_size"), F.col("other_size")).alias("most"), F.posexplode(F.array(*parts)).alias("part", "terms"))
+    d = _samples(d, [*keys, "part"], "terms", "most", samples)
     least = lambda k, part: F.min(F.when(F.col("part") != part, F.col(f"s{k}")))
     names = [f"{side}{k}" for side in ("own", "other") for k in range(samples)]
     d = d.groupBy(*keys).agg(*[least(k, part).alias(f"{side}{k}") for side, part in (("own", 2), ("other", 1)) for k in range(samples)])
