@@ -27,9 +27,9 @@ LONGEST, LEAST, FIRST = 3, 10, 2000
 #: A candidate is dropped if a longer one that holds it occurs in at least this percentage of its places.
 HELD_PERCENT = 50
 #: Words whose windows a task counts at once.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 500_000
 #: Rows whose texts are split at once.
-SLICE_ROWS = 500
+SLICE_ROWS = 100
 #: Digits of a count: products of three counts' digits and the scale stay within 38.
 COUNT = "decimal(14,0)"
 
