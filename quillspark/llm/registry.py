@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import ann_forest, collocation, factorization, language_id, packing, quality_rules, quality_sql, secret_scan, secret_sql, sentencepiece_codec, simhash, token_file, warc, weighted_sampling
+from quillspark.llm import ann_forest, collocation, factorization, language_id, packing, quality_rules, quality_sql, role_repair, secret_scan, secret_sql, sentencepiece_codec, simhash, token_file, warc, weighted_sampling
 
 
 def queries() -> dict:
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op10_token_file": token_file.op10_token_file,
         "op11_fingerprints": weighted_sampling.op11_fingerprints,
         "op12_collocations": collocation.op12_collocations,
+        "op13_role_repair": role_repair.op13_role_repair,
     }
 
 
