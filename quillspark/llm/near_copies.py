@@ -23,8 +23,12 @@ from quillspark.llm.common import stored
 from quillspark.llm.components import connected_components
 
 BANDS, ROWS, SEED = 24, 5, 42
+#: The least similarity that the bands and ``LEAST_EQUAL`` are made for.
+LEAST = 0.8
 #: Minima (their low bytes) that a pair has in common at least: 4 deviations below the mean at 0.8.
 LEAST_EQUAL = 78
+#: Texts of a block, of which a task compares two at once.
+BLOCK = 2048
 #: Shingles of the sets that a task keeps at hand while it compares pairs.
 SHINGLES_HELD = 4_000_000
 
@@ -144,19 +148,56 @@ def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, length: int) -
     return both.mapInArrow(near, "a long, b long")
 
 
-def _promising(met: DataFrame) -> DataFrame:
-    """Those rows of ``met (e, o, s, t)`` whose minima ``s`` and ``t`` allow for the similarity."""
+def _promising(left: DataFrame, similarity: float) -> DataFrame:
+    """(e, o): pairs of texts of ``left (band, e, root, s)`` that share a band and lie in unlike components, whose sizes and minima allow for the similarity.
 
-    def fine(batches):
+    Texts of a band are dealt into blocks by a hash; each block goes to the tasks of its pairs of blocks.
+    """
+    size = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    d = left.join(size, "band").withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pairs = F.transform(other, lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
+    d = d.select("band", F.col("e._key").alias("key"), F.col("e._n").alias("n"), F.col("e.h").alias("h"), "root", "s", "block", F.inline(pairs))
+    dealt = d.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+
+    def alike(rows):
         import numpy as np
+
+        key, n, h, root, block, x, y = (np.array([r[k] for r in rows], dtype=np.int64) for k in ("key", "n", "h", "root", "block", "x", "y"))
+        minima = np.frombuffer(b"".join(r["s"] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+        first, second = np.flatnonzero(block == x[0]), np.flatnonzero(block == y[0])
+        for k, i in enumerate(first):
+            # within one block each pair once
+            met = second[k + 1 :] if x[0] == y[0] else second
+            met = met[(root[met] != root[i]) & (np.minimum(n[met], n[i]) >= (similarity - 1e-9) * np.maximum(n[met], n[i]))]
+            met = met[(minima[met] == minima[i]).sum(axis=1) >= LEAST_EQUAL]
+            for j in met:
+                yield (h[i], key[i], n[i]), (h[j], key[j], n[j])
+
+    def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            if batch.num_rows:
-                s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("s", "t"))
-                yield batch.select(["e", "o"]).filter(pa.array((s == t).sum(axis=1) >= LEAST_EQUAL))
+        def out(found):
+            part = lambda side: pa.array([dict(zip(("h", "_key", "_n"), map(int, f[side]), strict=True)) for f in found], shape)
+            return pa.record_batch([part(0), part(1)], names=["e", "o"])
 
-    return met.select("e", "o", "s", "t").mapInArrow(fine, met.select("e", "o").schema)
+        shape = pa.struct([("h", pa.int64()), ("_key", pa.int64()), ("_n", pa.int64())])
+        held, at, found = [], None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["band"], r["x"], r["y"]) != at:
+                    found += alike(held) if held else []
+                    held, at = [], (r["band"], r["x"], r["y"])
+                    if len(found) > 10_000:
+                        yield out(found)
+                        found = []
+                held.append(r)
+        found += alike(held) if held else []
+        if found:
+            yield out(found)
+
+    kind = dict(left.dtypes)["e"]
+    return dealt.mapInArrow(run, f"e {kind}, o {kind}")
 
 
 def copy_links(rows: DataFrame, near: DataFrame, similarity: float, length: int) -> DataFrame:
@@ -165,6 +206,8 @@ def copy_links(rows: DataFrame, near: DataFrame, similarity: float, length: int)
     ``rows (text, _key, _fp, _n, _bands, _sig)``, stored, as ``sketch`` gives them; ``near (a, b)``: links
     between fingerprints, whose texts are candidates as well.
     """
+    if similarity < LEAST:
+        raise ValueError(f"the bands find similarities of {LEAST} and more")
     texts = rows.where("_n > 0").groupBy("_key").agg(*[F.any_value(c).alias(c) for c in ("_fp", "_n", "_bands", "_sig")])
     texts = stored(texts.select(F.struct(F.xxhash64("_key").alias("h"), "_key", "_n").alias("e"), "_fp", "_bands", "_sig"), "texts")
     cells = texts.select("e", F.explode("_bands").alias("band"))
@@ -199,9 +242,6 @@ def copy_links(rows: DataFrame, near: DataFrame, similarity: float, length: int)
     open_bands = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
     left = placed.join(open_bands, "band", "left_semi")
     left = stored(left.join(texts.select("e", F.col("_sig").alias("s")), "e"), "open")
-    right = left.select("band", F.col("e").alias("o"), F.col("root").alias("other"), F.col("s").alias("t"))
-    # unlike components, and sizes that allow for the similarity
-    able = F.least("e._n", "o._n") >= F.lit(similarity - 1e-9) * F.greatest("e._n", "o._n")
-    rest = pairs_of(_promising(left.join(right, "band").where((F.col("root") < F.col("other")) & able)))
+    rest = pairs_of(_promising(left, similarity))
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     return links.union(_alike(rest, held(rest), similarity, length))
