@@ -82,9 +82,9 @@ def gold_match(golds: Column, answer: Column, answer_tokens: Column) -> Column:
     return F.when(answer != "", F.array_max(F.filter(F.transform(golds, against), lambda x: x["score"] > 0)))
 
 
-def says(c: Column, markers) -> Column:
-    """Does a text hold one of the markers, both in lower case?"""
-    return T.contains_any(F.lower(F.coalesce(c, F.lit(""))), markers)
+def markers(phrases) -> list[str]:
+    """Normalised markers, each once."""
+    return list(dict.fromkeys(map(T.plain_phrase, phrases)))
 
 
 def outcome(expected: Column, abstained: Column, clarified: Column, right: Column) -> Column:
@@ -103,6 +103,7 @@ def _misbehaviour(expected: Column, abstained: Column, clarified: Column):
     ]
 
 
+# The kinds of error below and the order of their rules.
 def _first(rules, default: str) -> Column:
     return R.cascade([*[(c, {"kind": k}) for c, k in rules], (None, {"kind": default})])["kind"]
 
@@ -163,11 +164,11 @@ def claims_error(run_error, parse_warning, valid, final, expected, abstained, cl
     )
 
 
-def abstains(c: Column) -> Column:
-    """Does an answer abstain?"""
-    return says(c, L.ABSTENTION_MARKERS)
+def abstains(norm: Column, kind: str) -> Column:
+    """Does a normalised answer abstain, by the markers of one kind of evaluation?"""
+    return T.contains_any(norm, markers(L.ABSTENTION[kind]))
 
 
-def clarifies(c: Column) -> Column:
-    """Does an answer ask what is meant?"""
-    return says(c, L.CLARIFICATION_MARKERS)
+def clarifies(norm: Column, kind: str) -> Column:
+    """Does a normalised answer ask what is meant, by the markers of one kind of evaluation?"""
+    return T.contains_any(norm, markers(L.CLARIFICATION[kind]))

@@ -97,3 +97,72 @@ TOPICS = {
 
 # Fixed values.
 NEGATION_BEFORE = ("no", "not", "never", "nunca")
+
+# Marks of an abstention and of a request to clarify, as each kind of evaluation has them.
+ABSTENTION = {
+    "open": (
+        "no se", "no sé", "no estoy seguro", "no tengo informacion suficiente", "no tengo información suficiente",
+        "no hay informacion suficiente", "no hay información suficiente", "insufficient information",
+        "not enough information", "i don't know", "i do not know",
+        "cannot determine from the information provided", "can't determine from the information provided",
+    ),
+    "retrieved": (
+        "no se", "no sé", "no estoy seguro", "no tengo informacion suficiente", "no tengo información suficiente",
+        "no hay informacion suficiente", "no hay información suficiente", "informacion insuficiente",
+        "información insuficiente", "insufficient information", "not enough information", "i don't know",
+        "i do not know", "cannot determine", "can't determine",
+    ),
+    "adaptive": (
+        "no se", "no sé", "no estoy seguro", "no tengo informacion suficiente", "no tengo información suficiente",
+        "no hay informacion suficiente", "no hay información suficiente", "informacion insuficiente",
+        "información insuficiente", "insufficient information", "not enough information", "i don't know",
+        "i do not know", "cannot determine", "can't determine", "not enough evidence", "insufficient evidence",
+        "no evidence", "not supported by the context", "not supported by the available context",
+    ),
+    "active": (
+        "no se", "no sé", "no estoy seguro", "no tengo informacion suficiente", "no tengo información suficiente",
+        "no hay informacion suficiente", "no hay información suficiente", "informacion insuficiente",
+        "información insuficiente", "insufficient information", "not enough information", "i don't know",
+        "i do not know", "cannot determine", "can't determine", "not enough evidence", "insufficient evidence",
+        "no evidence", "not supported by the context", "not supported by the available context",
+        "not supported by the recovered evidence", "the retrieved evidence does not provide",
+        "the recovered evidence does not provide",
+    ),
+    "claims": (
+        "no se", "no sé", "no estoy seguro", "no tengo informacion suficiente", "no tengo información suficiente",
+        "no hay informacion suficiente", "no hay información suficiente", "informacion insuficiente",
+        "información insuficiente", "la evidencia recuperada no alcanza", "no puedo mantenerla",
+        "no puedo mantenerla como respuesta confiable", "insufficient information", "not enough information",
+        "not enough evidence", "insufficient evidence", "cannot determine", "can't determine", "i don't know",
+        "i do not know",
+    ),
+    "extraction": (
+        "not enough information", "insufficient information", "not enough evidence", "insufficient evidence",
+        "cannot determine", "can't determine", "cannot be determined", "i don't know", "i do not know",
+        "no evidence", "not supported by the context", "not supported by the available context",
+        "not supported by the recovered evidence", "no hay información suficiente", "no hay informacion suficiente",
+        "información insuficiente", "informacion insuficiente", "no tengo información suficiente",
+        "no tengo informacion suficiente", "no se puede determinar", "no puedo determinar",
+        "sin evidencia suficiente", "la evidencia recuperada no alcanza",
+    ),
+}
+CLARIFICATION = {
+    "adaptive": (
+        "necesito una aclaracion", "necesito una aclaración", "necesitaria una aclaracion",
+        "necesitaría una aclaración", "podrias aclarar", "podrías aclarar", "por favor aclar", "falta aclarar",
+        "pregunta ambigua", "no esta claro", "no está claro", "need clarification", "needs clarification",
+        "please clarify", "could you clarify", "ambiguous", "unclear", "not clear who", "not clear what",
+        "not clear which",
+    ),
+    "claims": (
+        "necesito una aclaracion", "necesito una aclaración", "podrias aclarar", "podrías aclarar",
+        "por favor aclar", "falta aclarar", "pregunta ambigua", "no esta claro", "no está claro",
+        "need clarification", "needs clarification", "please clarify", "could you clarify", "ambiguous", "unclear",
+    ),
+    "extraction": (
+        "need clarification", "needs clarification", "please clarify", "could you clarify", "ambiguous", "unclear",
+        "not clear who", "not clear what", "not clear which", "necesito una aclaración", "necesito una aclaracion",
+        "necesitaría una aclaración", "necesitaria una aclaracion", "podrías aclarar", "podrias aclarar",
+        "pregunta ambigua", "no está claro", "no esta claro", "indicá a qué", "indica a que",
+    ),
+}

@@ -176,12 +176,14 @@ def claims(answer: Column, most: int | None = 5) -> Column:
     """
     said = F.trim(F.coalesce(answer, F.lit("")))
 
+    low = lambda s: F.trim(F.regexp_replace(F.lower(s), r"\s+", " "))
+
     def kind(s: Column) -> Column:
         return T.let(
-            F.lower(s),
-            lambda low: F.when(T.contains_any(low, L.ABSTENTION_MARKERS), "abstention")
-            .when(T.contains_any(low, L.CLARIFICATION_MARKERS), "clarification")
-            .when(T.contains_any(low, L.META_MARKERS), "meta")
+            low(s),
+            lambda x: F.when(T.contains_any(x, L.ABSTENTION["extraction"]), "abstention")
+            .when(T.contains_any(x, L.CLARIFICATION["extraction"]), "clarification")
+            .when(T.contains_any(x, L.META_MARKERS), "meta")
             .when(s.rlike(CHOICE), "answer_choice")
             .otherwise("factual"),
         )
@@ -190,13 +192,13 @@ def claims(answer: Column, most: int | None = 5) -> Column:
     short = lambda c: (c["claim_type"] == "meta") & (F.size(F.split(c["claim_text"], r"\s+")) <= 5)
 
     def found(s: Column) -> Column:
-        each = F.filter(F.transform(F.filter(T.sentences(s), lambda x: F.length(x) >= 2), lambda x: one(x, kind(x))), lambda c: ~short(c))
+        each = F.filter(F.transform(T.claim_sentences(s), lambda x: one(x, kind(x))), lambda c: ~short(c))
         chosen = F.concat(F.lit("The selected answer is "), F.upper(F.regexp_extract(s, CHOICE, 1)), F.lit("."))
         return (
             F.when(s == "", F.array().cast("array<struct<claim_text:string,claim_type:string>>"))
             .when(s.rlike(CHOICE), F.array(one(chosen, F.lit("answer_choice"))))
-            .when(T.contains_any(F.lower(s), L.CLARIFICATION_MARKERS), F.array(one(s, F.lit("clarification"))))
-            .when(T.contains_any(F.lower(s), L.ABSTENTION_MARKERS), F.array(one(s, F.lit("abstention"))))
+            .when(T.contains_any(low(s), L.CLARIFICATION["extraction"]), F.array(one(T.claim_text(s), F.lit("clarification"))))
+            .when(T.contains_any(low(s), L.ABSTENTION["extraction"]), F.array(one(T.claim_text(s), F.lit("abstention"))))
             .otherwise(each if most is None else F.slice(each, 1, most))
         )
 
@@ -253,14 +255,22 @@ def route_error(expected: Column, predicted: Column, acceptable: Column, mode: C
     )
 
 
-def repair(n_claims: Column, core_refuted: Column, core_open: Column, n_supported: Column) -> Column:
-    """What becomes of an answer after its claims were verified."""
-    return (
-        F.when(n_claims == 0, "keep_without_claims")
-        .when(core_refuted, "replace")
-        .when(core_open, "abstain")
-        .when(n_supported == n_claims, "keep")
-        .otherwise("keep_supported_claims")
+def repair(n_claims: Column, clarification: Column, abstention: Column, refuted: Column, open_: Column, supported: Column) -> Column:
+    """Struct (decision, abstained, corrected, confidence): what becomes of an answer after its claims were verified.
+
+    The flags speak of its core claims: all of them ask to clarify, all abstain, one is refuted, one is open, all are supported.
+    """
+    as_ = lambda decision, abstained, corrected, confidence: {"decision": decision, "abstained": abstained, "corrected": corrected, "confidence": confidence}
+    return cascade(
+        [
+            (n_claims == 0, as_("no_claims", True, False, 0.7)),
+            (clarification, as_("clarification_kept", True, False, 0.95)),
+            (abstention, as_("abstained", True, False, 0.95)),
+            (refuted, as_("abstained", True, True, 0.85)),
+            (open_, as_("abstained", True, True, 0.8)),
+            (supported, as_("unchanged", False, False, 0.9)),
+            (None, as_("unchanged", False, False, 0.65)),
+        ]
     )
 
 

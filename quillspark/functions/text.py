@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -84,6 +86,12 @@ def normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"\p{Punct}+", ""), r"\s+", " "))
 
 
+def plain_phrase(phrase: str) -> str:
+    """``normal`` of a fixed phrase, worked out when the plan is made."""
+    low = "".join(ch for ch in unicodedata.normalize("NFKD", phrase.lower()) if not unicodedata.combining(ch))
+    return " ".join(low.replace("’", "'").translate(str.maketrans("", "", string.punctuation)).split())
+
+
 def rule_text(c: Column) -> Column:
     """For rules: lower case, anything but letters, digits and question marks blank, single spaces."""
     low = F.lower(F.coalesce(c, F.lit("")))
@@ -136,6 +144,27 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\n", -1), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def claim_text(c: Column) -> Column:
+    """A stated claim: single spaces, no bullet before it, no quotes around it, 600 characters and a mark at most."""
+    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"^[-*•]\s*", ""))
+    bare = F.trim(F.btrim(F.btrim(bare, F.lit('"')), F.lit("'")))
+    return let(bare, lambda x: truncated(x, 600))
+
+
+def claim_sentences(c: Column) -> Column:
+    """The statements of an answer: list items are sentences, lines are joined, then cut after . ! ? before white space.
+
+    Statements of one character are left out; if no other is left the whole text is one.
+    """
+    joined = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"\n+\s*[-*•]\s*", ". "), r"\n+", " ")
+
+    def cut(text: Column) -> Column:
+        pieces = F.transform(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n", -1), claim_text)
+        return let(F.filter(pieces, lambda p: F.length(p) >= 2), lambda found: F.when((F.size(found) > 0) | (text == ""), found).otherwise(F.array(claim_text(text))))
+
+    return let(joined, cut)
+
+
 def list_cell(c: Column) -> Column:
     """A cell's list: JSON, or separated by bars, or by commas, else the cell alone; trimmed, none empty."""
     raw = F.trim(F.coalesce(c, F.lit("")))

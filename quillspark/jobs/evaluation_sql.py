@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from quillspark.functions import lexicon as L
+from quillspark.functions.evaluate import markers
 from quillspark.jobs import evaluations as V
 from quillspark.jobs.oracles import _CLAIMS, _PAIRS, _POLICY, _ROUTES, _SURENESS, _any, _f1, _negated, _normal, _overlap, _q, _sentences, _tokens
 
 _ONCE = lambda xs: f"list_filter({xs}, lambda x, i: list_position({xs}, x) = i)"
 
-_RUNS = f"""
+_RUNS_OF = f"""
     gathered AS (
       SELECT p.*, l.text AS later, trim(coalesce(s.text, '')) AS source_answer, quality, toxic, lang, r.route AS used,
              list_concat(list_filter([trim(coalesce(question, '')), trim(coalesce(l.text, ''))], lambda x: x <> ''), {_sentences("question")}) AS listed
@@ -32,7 +33,7 @@ _RUNS = f"""
     gb AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, place) AS k FROM gs WHERE score > 0 AND a <> ''),
     matched AS (
       SELECT o.*, coalesce(gb.w = gb.a, FALSE) AS exact, coalesce(contains(gb.a, gb.w), FALSE) AS contains_gold, coalesce(contains(gb.w, gb.a), FALSE) AS gold_contains,
-             coalesce(gb.gf1, 0) AS best_f1, {_any("lower(coalesce(answer, ''))", L.ABSTENTION_MARKERS)} AS abstained, {_any("lower(coalesce(answer, ''))", L.CLARIFICATION_MARKERS)} AS asks,
+             coalesce(gb.gf1, 0) AS best_f1, {{gone}} AS abstained, {{asks}} AS asks,
              CASE WHEN toxic = 1 THEN 'abstain' WHEN quality = 0 THEN 'clarify' ELSE 'answer' END AS expected,
              CASE WHEN toxic = 1 THEN 'abstain' WHEN quality = 0 THEN 'clarify' WHEN lang = 'en' THEN 'retrieve' ELSE 'direct' END AS wanted,
              len(list_distinct(q_tokens)) AS n_gold, len(list_intersect(list_distinct(q_tokens), list_distinct(o.a_tokens))) AS n_met,
@@ -47,6 +48,12 @@ _RUNS = f"""
 """
 
 
+def _runs(kind: str) -> str:
+    """The runs as one kind of evaluation reads them."""
+    asks = L.CLARIFICATION["claims" if kind == "claims" else "adaptive"]
+    return _RUNS_OF.replace("{gone}", _any("o.a", markers(L.ABSTENTION[kind]))).replace("{asks}", _any("o.a", markers(asks)))
+
+
 def _picked(answer: str) -> str:
     return f"CASE expected WHEN 'abstain' THEN abstained WHEN 'clarify' THEN clarified ELSE {answer} END"
 
@@ -104,7 +111,8 @@ _EVIDENCE = f"""
         count(*) FILTER (verdict = 'not_enough_info') AS n_open, count(*) FILTER (claim_type = 'abstention') AS n_abstention,
         count(*) FILTER (claim_type = 'clarification') AS n_clarification, count(*) FILTER (claim_type = 'factual') AS n_requiring,
         bool_or(importance = 'core' AND verdict = 'refuted') AS core_refuted, bool_or(importance = 'core' AND verdict = 'not_enough_info') AS core_open,
-        bool_and(importance <> 'core' OR verdict = 'supported') AS core_supported,
+        bool_and(importance <> 'core' OR verdict = 'supported') AS core_supported, bool_and(importance <> 'core' OR claim_type = 'clarification') AS core_clarification,
+        bool_and(importance <> 'core' OR claim_type = 'abstention') AS core_abstention,
         coalesce(array_to_string(list_sort(list_distinct(list(evidence) FILTER (evidence IS NOT NULL))), '|'), '') AS evidence FROM evidence GROUP BY ALL
     )
 """
@@ -117,7 +125,7 @@ _CLAIMED = f"""
       SELECT conv_id, turn, expected, behaviour_correct, final_correct, round(CASE WHEN nc > 0 THEN ns / nc ELSE 0 END, 4) AS support_rate,
         round(CASE WHEN nc > 0 THEN nr / nc ELSE 0 END, 4) AS refuted_rate, round(CASE WHEN nc > 0 THEN no_ / nc ELSE 0 END, 4) AS open_rate, nc > 0 AND ns = nc AS all_supported,
         CASE WHEN trim(coalesce(answer, '')) <> '' AND source_answer <> '' THEN a <> {_normal("source_answer")} ELSE FALSE END AS changed_answer,
-        abstained <> {_any("lower(source_answer)", L.ABSTENTION_MARKERS)} AS changed_behaviour,
+        abstained <> {_any(_normal("source_answer"), markers(L.ABSTENTION["claims"]))} AS changed_behaviour,
         CASE WHEN run_error THEN 'run_error' WHEN NOT valid THEN 'format_error' WHEN final_correct THEN 'correct' {_BEHAVED} WHEN nr > 0 THEN 'claim_refuted' WHEN no_ > 0 THEN 'claim_nei'
           WHEN expected = 'answer' THEN 'answer_mismatch' ELSE 'behavior_error' END AS error_type FROM coutcomes
     )
@@ -142,12 +150,12 @@ _NESTED = f"""
 """
 
 EVALUATION_SQL = {
-    "adaptive_evaluation": f"WITH {_PAIRS}, {_ROUTES}, {_RUNS}, {_ADAPTIVE} SELECT * FROM adaptive",
-    "adaptive_summary": f"""WITH {_PAIRS}, {_ROUTES}, {_RUNS}, {_ADAPTIVE}
+    "adaptive_evaluation": f"WITH {_PAIRS}, {_ROUTES}, {_runs("adaptive")}, {_ADAPTIVE} SELECT * FROM adaptive",
+    "adaptive_summary": f"""WITH {_PAIRS}, {_ROUTES}, {_runs("adaptive")}, {_ADAPTIVE}
       SELECT 'overall' AS group_type, '' AS expected, '' AS used, '' AS error_type, {_SUMMED}
       UNION ALL SELECT 'expected', expected, '', '', {_SUMMED} GROUP BY expected UNION ALL SELECT 'used', '', used, '', {_SUMMED} GROUP BY used
       UNION ALL SELECT 'error_type', '', '', error_type, {_SUMMED} GROUP BY error_type""",
-    "active_evaluation": f"""WITH {_PAIRS}, {_ROUTES}, {_RUNS}, acted AS (SELECT *, asks AS clarified, used = 'retrieve' AS active FROM runs), ended AS (SELECT *, {_OUTCOME} FROM acted)
+    "active_evaluation": f"""WITH {_PAIRS}, {_ROUTES}, {_runs("active")}, acted AS (SELECT *, asks AS clarified, used = 'retrieve' AS active FROM runs), ended AS (SELECT *, {_OUTCOME} FROM acted)
       SELECT conv_id, turn, expected, CASE WHEN clarified THEN 'clarify' WHEN abstained THEN 'abstain' WHEN active THEN 'retrieve' ELSE 'direct' END AS action,
         CASE wanted WHEN 'retrieve' THEN active WHEN 'direct' THEN NOT active WHEN 'abstain' THEN abstained ELSE clarified END AS decision_correct, behaviour_correct, final_correct,
         CASE WHEN run_error THEN 'run_error' WHEN NOT valid THEN 'format_error' WHEN final_correct THEN 'correct' {_BEHAVED} WHEN under_ THEN 'under_retrieval' WHEN over_ THEN 'over_retrieval'
@@ -156,7 +164,15 @@ EVALUATION_SQL = {
           WHEN expected = 'answer' THEN 'answer_mismatch' ELSE 'behavior_error' END AS error_type FROM ended""",
     "claim_evidence": f"WITH {_PAIRS}, {_CLAIMS}, {_EVIDENCE} SELECT * FROM evidence",
     "claim_summary": f"WITH {_PAIRS}, {_CLAIMS}, {_EVIDENCE} SELECT * FROM csums",
-    "claims_evaluation": f"WITH {_PAIRS}, {_ROUTES}, {_RUNS}, {_CLAIMS}, {_EVIDENCE}, {_CLAIMED} SELECT * FROM claimed",
+    "answer_repairs": f"""WITH {_PAIRS}, {_CLAIMS}, {_EVIDENCE},
+      j AS (SELECT p.conv_id, p.turn, coalesce(n_claims, 0) AS n_claims, coalesce(n_supported, 0) AS n_supported, coalesce(n_refuted, 0) AS n_refuted, coalesce(n_open, 0) AS n_open,
+              core_refuted, core_open, core_supported, core_clarification, core_abstention
+            FROM pairs p LEFT JOIN csums s ON s.conv_id = p.conv_id AND s.turn = p.turn),
+      k AS (SELECT *, CASE WHEN n_claims = 0 THEN 1 WHEN core_clarification THEN 2 WHEN core_abstention THEN 3 WHEN core_refuted THEN 4 WHEN core_open THEN 5 WHEN core_supported THEN 6 ELSE 7 END AS rule FROM j)
+      SELECT conv_id, turn, n_claims, n_supported, n_refuted, (['no_claims', 'clarification_kept', 'abstained', 'abstained', 'abstained', 'unchanged', 'unchanged'])[rule] AS decision,
+        rule <= 5 AS abstained, rule IN (4, 5) AS corrected, CAST(([0.7, 0.95, 0.95, 0.85, 0.8, 0.9, 0.65])[rule] AS DOUBLE) AS confidence,
+        CASE rule WHEN 4 THEN n_refuted WHEN 5 THEN n_open ELSE 0 END AS n_removed FROM k""",
+    "claims_evaluation": f"WITH {_PAIRS}, {_ROUTES}, {_runs("claims")}, {_CLAIMS}, {_EVIDENCE}, {_CLAIMED} SELECT * FROM claimed",
     "choice_answers": r"""WITH g AS (SELECT *, substring('ABCD', CAST(length(text) % 4 + 1 AS BIGINT), 1) AS gold FROM conversations),
       r AS (SELECT *, trim(CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'The answer is ' || lower(gold) || '.' WHEN 2 THEN gold || ' ) ' ELSE text || chr(10) || 'opción ' || gold END) AS raw FROM g),
       l AS (SELECT *, upper(coalesce(nullif(regexp_extract(raw, '(?i)^\s*([ABCD])\s*[\.)]?\s*$', 1), ''),
@@ -188,7 +204,7 @@ EVALUATION_SQL = {
       )
       SELECT 'mc_' || item_id AS id, 'multiple_choice' AS case_type, md5(trim(coalesce(text, ''))) AS question_md5, md5(substring('ABCD', CAST(item_id % 4 + 1 AS BIGINT), 1)) AS gold_md5 FROM benchmark
       UNION ALL SELECT 'open_' || conv_id || '_' || turn, 'open_qa', md5(question), md5(gold) FROM q""",
-    "run_issues": f"""WITH {_PAIRS}, {_ROUTES}, {_RUNS}, {_CLAIMS}, {_EVIDENCE}, {_CLAIMED}, {", ".join(
+    "run_issues": f"""WITH {_PAIRS}, {_ROUTES}, {_runs("claims")}, {_CLAIMS}, {_EVIDENCE}, {_CLAIMED}, {", ".join(
         f"b{i} AS (SELECT '{level}' AS level, '{name}' AS category, conv_id || ':' || turn AS item FROM claimed WHERE {rule})" for i, (level, name, rule) in enumerate((
             ("critical", "run_error", "error_type = 'run_error'"), ("critical", "invalid_answer_format", "error_type = 'format_error'"), ("warning", "claim_refuted", "refuted_rate > 0"),
             ("warning", "claims_mostly_open", "open_rate > 0.5"), ("warning", "supported_but_wrong", "all_supported AND NOT final_correct"), ("info", "changed_behaviour", "changed_behaviour"),

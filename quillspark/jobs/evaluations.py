@@ -15,8 +15,8 @@ from quillspark.operators import nested
 from quillspark.operators import quality as DQ
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every answer as the outcome of a run.
+def _runs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Every answer as the outcome of a run, read by one kind of evaluation.
 
     The document and label of the conversation's number say what was expected; the question, its
     sentences and the turn after the answer are the gold answers; the question's words are the
@@ -44,8 +44,8 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.filter(F.transform(T.list_cell(cell), E.route_name), lambda r: r != "").alias("acceptable"),
         R.route(F.col("question"))["route"].alias("used"),
         E.gold_match(E.gold_answers([F.col("question"), F.col("later")], F.to_json(T.sentences(F.col("question")))), F.col("a"), F.col("a_tokens")).alias("m"),
-        E.abstains(F.col("answer")).alias("abstained"),
-        E.clarifies(F.col("answer")).alias("asks"),
+        E.abstains(F.col("a"), kind).alias("abstained"),
+        E.clarifies(F.col("a"), "claims" if kind == "claims" else "adaptive").alias("asks"),
         F.size(gold).alias("n_gold"),
         F.size(F.array_intersect(gold, got)).alias("n_met"),
         (F.size("a_tokens") >= 3).alias("valid"),
@@ -63,7 +63,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adaptive_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Behaviour, correctness and kind of error of every answer behind the router."""
-    d = _runs(spark, sf_dir).withColumn("clarified", F.col("asks") | (F.col("used") == "clarify"))
+    d = _runs(spark, sf_dir, "adaptive").withColumn("clarified", F.col("asks") | (F.col("used") == "clarify"))
     d = d.withColumn("o", E.outcome(F.col("expected"), F.col("abstained"), F.col("clarified"), F.col("right")))
     names = ("run_error", "valid", "o.final_correct", "expected", "abstained", "clarified", "under", "over", "fine", "used", "n_gold", "hit", "full")
     c = [F.col(x) for x in names]
@@ -85,7 +85,7 @@ def adaptive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def active_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same answers as of a system that retrieves while writing: action, retrieval decision, kind of error."""
-    d = _runs(spark, sf_dir).withColumn("active", F.col("used") == "retrieve").withColumnRenamed("asks", "clarified")
+    d = _runs(spark, sf_dir, "active").withColumn("active", F.col("used") == "retrieve").withColumnRenamed("asks", "clarified")
     d = d.withColumn("o", E.outcome(F.col("expected"), F.col("abstained"), F.col("clarified"), F.col("right")))
     action = F.when(F.col("clarified"), "clarify").when(F.col("abstained"), "abstain").when(F.col("active"), "retrieve").otherwise("direct")
     decided = F.when(F.col("wanted") == "retrieve", F.col("active")).when(F.col("wanted") == "direct", ~F.col("active"))
@@ -139,7 +139,7 @@ def claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _claim_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    core, is_ = F.col("importance") == "core", lambda v: F.col("verdict") == v
+    core, kind, is_ = F.col("importance") == "core", F.col("claim_type"), lambda v: F.col("verdict") == v
     of = lambda t: F.count_if(F.col("claim_type") == t)
     return _evidence(spark, sf_dir).groupBy("conv_id", "turn").agg(
         F.count("*").alias("n_claims"),
@@ -152,6 +152,8 @@ def _claim_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.bool_or(core & is_("refuted")).alias("core_refuted"),
         F.bool_or(core & is_("not_enough_info")).alias("core_open"),
         F.bool_and(~core | is_("supported")).alias("core_supported"),
+        F.bool_and(~core | (kind == "clarification")).alias("core_clarification"),
+        F.bool_and(~core | (kind == "abstention")).alias("core_abstention"),
         # one id for each claim of an answer at most
         F.array_join(F.array_sort(F.collect_set("evidence")).cast("array<string>"), "|").alias("evidence"),
     )
@@ -162,9 +164,20 @@ def claim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _claim_sums(spark, sf_dir)
 
 
+def answer_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of every answer after its claims were verified; answers without claims abstain."""
+    d = _turn_pairs(spark, sf_dir).select("conv_id", "turn").join(_claim_sums(spark, sf_dir).drop("evidence"), ["conv_id", "turn"], "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_claims", "n_supported", "n_refuted", "n_open")]
+    flags = ("core_clarification", "core_abstention", "core_refuted", "core_open", "core_supported")
+    d = d.select("conv_id", "turn", *counts, *[F.coalesce(c, F.lit(False)).alias(c) for c in flags])
+    d = d.withColumn("r", R.repair(F.col("n_claims"), *map(F.col, flags)))
+    removed = F.when(~F.col("r.corrected"), 0).when(F.col("core_refuted"), F.col("n_refuted")).otherwise(F.col("n_open"))
+    return d.select("conv_id", "turn", "n_claims", "n_supported", "n_refuted", "r.*", removed.cast("long").alias("n_removed"))
+
+
 def claims_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same answers as of a system that verifies its claims: alignment rates, changes against the answer before, kind of error."""
-    d = _runs(spark, sf_dir).withColumnRenamed("asks", "clarified").join(_claim_sums(spark, sf_dir).drop("evidence"), ["conv_id", "turn"], "left")
+    d = _runs(spark, sf_dir, "claims").withColumnRenamed("asks", "clarified").join(_claim_sums(spark, sf_dir).drop("evidence"), ["conv_id", "turn"], "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
     share = lambda c: F.round(F.when(count("n_claims") > 0, count(c) / count("n_claims")).otherwise(0.0), 4)
     d = d.withColumn("o", E.outcome(F.col("expected"), F.col("abstained"), F.col("clarified"), F.col("right")))
@@ -176,7 +189,7 @@ def claims_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         "conv_id", "turn", "expected", "o.behaviour_correct", "o.final_correct", share("n_supported").alias("support_rate"), share("n_refuted").alias("refuted_rate"),
         share("n_open").alias("open_rate"), ((count("n_claims") > 0) & (count("n_supported") == count("n_claims"))).alias("all_supported"),
-        changed.alias("changed_answer"), (F.col("abstained") != E.abstains(source)).alias("changed_behaviour"), kind.alias("error_type"),
+        changed.alias("changed_answer"), (F.col("abstained") != E.abstains(T.normal(source), "claims")).alias("changed_behaviour"), kind.alias("error_type"),
     )
 
 
@@ -345,7 +358,7 @@ def run_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVALUATIONS = {
     f.__name__: f
     for f in (
-        adaptive_evaluation, adaptive_summary, active_evaluation, claim_evidence, claim_summary, claims_evaluation, choice_answers, trace_fields,
+        adaptive_evaluation, adaptive_summary, active_evaluation, claim_evidence, claim_summary, answer_repairs, claims_evaluation, choice_answers, trace_fields,
         retrieval_loop, router_payloads, nested_chunks, nested_qrels, nested_questions, no_answer_rows, normalised_sources, run_issues,
     )
 }

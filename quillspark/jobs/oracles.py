@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspark.functions import lexicon as L
+from quillspark.functions.evaluate import markers
 
 
 def _q(s: str) -> str:
@@ -166,9 +167,19 @@ def _names(c: str) -> str:
       lambda m: regexp_extract(m, '^(\S+)', 1) NOT IN {_in(L.ENTITY_OPENERS)} AND length(m) > 2)))"""
 
 
+def _low(s: str) -> str:
+    return rf"trim(regexp_replace(lower({s}), '\s+', ' ', 'g'))"
+
+
 def _kind(s: str) -> str:
-    return f"""CASE WHEN {_any(f"lower({s})", L.ABSTENTION_MARKERS)} THEN 'abstention' WHEN {_any(f"lower({s})", L.CLARIFICATION_MARKERS)} THEN 'clarification'
-      WHEN {_any(f"lower({s})", L.META_MARKERS)} THEN 'meta' WHEN regexp_matches({s}, '{_CHOICE}', 'i') THEN 'answer_choice' ELSE 'factual' END"""
+    return f"""CASE WHEN {_any(_low(s), L.ABSTENTION["extraction"])} THEN 'abstention' WHEN {_any(_low(s), L.CLARIFICATION["extraction"])} THEN 'clarification'
+      WHEN {_any(_low(s), L.META_MARKERS)} THEN 'meta' WHEN regexp_matches({s}, '{_CHOICE}', 'i') THEN 'answer_choice' ELSE 'factual' END"""
+
+
+def _stated(c: str) -> str:
+    bare = rf"trim(regexp_replace(trim(regexp_replace({c}, '\s+', ' ', 'g')), '^[-*•]\s*', ''))"
+    bare = f"trim(trim(trim({bare}, {_q(chr(34))}), {_q(chr(39))}))"
+    return f"CASE WHEN length({bare}) > 600 THEN rtrim(({bare})[1:600]) || ' [...]' ELSE {bare} END"
 
 
 _POLICY = rf"""
@@ -208,15 +219,21 @@ _SURENESS = """CAST(CASE rule WHEN 'empty_candidate' THEN 1.0 WHEN 'abstention_s
 
 _CLAIMS = rf"""
     stated AS (SELECT *, trim(coalesce(answer, '')) AS said FROM pairs),
-    chosen AS (SELECT *, upper(regexp_extract(said, '{_CHOICE}', 1, 'i')) AS letter FROM stated),
+    chosen AS (
+      SELECT *, upper(regexp_extract(said, '{_CHOICE}', 1, 'i')) AS letter,
+             regexp_replace(regexp_replace(said, '\n+\s*[-*•]\s*', '. ', 'g'), '\n+', ' ', 'g') AS joined_ FROM stated
+    ),
+    cutup AS (
+      SELECT *, list_filter(list_transform(string_split(regexp_replace(joined_, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: {_stated("s")}), lambda s: length(s) >= 2) AS found_ FROM chosen
+    ),
     pieces AS (
       SELECT conv_id, turn, question, q, q_tokens, CASE
         WHEN said = '' THEN []
         WHEN letter <> '' THEN [{{'t': 'The selected answer is ' || letter || '.', 'k': 'answer_choice'}}]
-        WHEN {_any("lower(said)", L.CLARIFICATION_MARKERS)} THEN [{{'t': said, 'k': 'clarification'}}]
-        WHEN {_any("lower(said)", L.ABSTENTION_MARKERS)} THEN [{{'t': said, 'k': 'abstention'}}]
-        ELSE list_filter(list_transform(list_filter({_sentences("said")}, lambda s: length(s) >= 2), lambda s: {{'t': s, 'k': {_kind("s")}}}),
-                         lambda c: NOT (c.k = 'meta' AND len(regexp_split_to_array(c.t, '\s+')) <= 5)) END AS cs FROM chosen
+        WHEN {_any(_low("said"), L.CLARIFICATION["extraction"])} THEN [{{'t': {_stated("said")}, 'k': 'clarification'}}]
+        WHEN {_any(_low("said"), L.ABSTENTION["extraction"])} THEN [{{'t': {_stated("said")}, 'k': 'abstention'}}]
+        ELSE list_filter(list_transform(CASE WHEN len(found_) > 0 THEN found_ ELSE [{_stated("joined_")}] END, lambda s: {{'t': s, 'k': {_kind("s")}}}),
+                         lambda c: NOT (c.k = 'meta' AND len(regexp_split_to_array(c.t, '\s+')) <= 5)) END AS cs FROM cutup
     ),
     unnested AS (SELECT conv_id, turn, question, q, q_tokens, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS pos FROM pieces),
     claims AS (SELECT conv_id, turn, question, q, q_tokens, c.t AS claim, c.k AS claim_type, pos FROM unnested)
@@ -302,7 +319,7 @@ ORACLES = {
                CASE WHEN x = '' OR a = '' THEN 0 WHEN x = a THEN 1 WHEN length(x) >= 12 AND place > 0
                  THEN CASE WHEN list_has_any(before[-4:], [{", ".join(map(_q, L.NEGATION_BEFORE))}]) THEN 0.25 ELSE 0.98 END
                  ELSE CASE WHEN hp + hr > 0 THEN 2 * hp * hr / (hp + hr) ELSE 0 END END AS w2,
-               {_any("lower(answer)", L.ABSTENTION_MARKERS)} AS abstained FROM sh
+               {_any("a", markers(L.ABSTENTION["open"]))} AS abstained FROM sh
       ),
       done AS (
         SELECT *, CASE WHEN abstained THEN FALSE WHEN {_RIGHT} AND NOT ({_WRONG}) THEN na >= 3 WHEN {_WRONG} AND NOT ({_RIGHT}) THEN FALSE END AS correct FROM two
@@ -385,20 +402,11 @@ ORACLES = {
              CASE WHEN pos = 0 THEN 'core' ELSE 'supporting' END AS importance, md5(claim) AS claim_md5 FROM claims""",
     "verify_rounds": f"""WITH {_PAIRS}, {_CLAIMS}, {_ROUNDS}
       SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, verdict, rounds, md5(next_search) AS search_md5 FROM verified""",
-    "answer_repairs": f"""WITH {_PAIRS}, {_CLAIMS}, {_ROUNDS},
-      sums AS (
-        SELECT conv_id, turn, count(*) AS n_claims, count(*) FILTER (verdict = 'supported') AS n_supported, count(*) FILTER (verdict = 'refuted') AS n_refuted,
-               bool_or(pos = 0 AND verdict = 'refuted') AS cr, bool_or(pos = 0 AND verdict = 'not_enough_info') AS co FROM verified GROUP BY ALL
-      )
-      SELECT p.conv_id, p.turn, coalesce(n_claims, 0) AS n_claims, coalesce(n_supported, 0) AS n_supported, coalesce(n_refuted, 0) AS n_refuted,
-        CASE WHEN coalesce(n_claims, 0) = 0 THEN 'keep_without_claims' WHEN cr THEN 'replace' WHEN co THEN 'abstain' WHEN n_supported = n_claims THEN 'keep'
-             ELSE 'keep_supported_claims' END AS decision
-      FROM pairs p LEFT JOIN sums s ON s.conv_id = p.conv_id AND s.turn = p.turn""",
     "answer_errors": f"""WITH {_PAIRS},
       ids AS (
         SELECT *, list_filter(q_tokens, lambda x, i: list_position(q_tokens, x) = i) AS gold, list_filter(a_tokens, lambda x, i: list_position(a_tokens, x) = i) AS got FROM pairs
       ),
-      met AS (SELECT *, len(list_intersect(gold, got)) AS met, {_any("lower(answer)", L.ABSTENTION_MARKERS)} AS abstained FROM ids)
+      met AS (SELECT *, len(list_intersect(gold, got)) AS met, {_any("a", markers(L.ABSTENTION["retrieved"]))} AS abstained FROM ids)
       SELECT conv_id, turn, round(CASE WHEN len(gold) > 0 THEN met / len(gold) ELSE 0 END, 6) AS recall, round(CASE WHEN len(got) > 0 THEN met / len(got) ELSE 0 END, 6) AS precision,
         CASE WHEN conv_id % 11 = 0 THEN 'run_error' WHEN conv_id % 7 = 0 THEN 'format_error' WHEN f1 >= 0.3 THEN 'correct'
           WHEN abstained AND len(gold) > 0 AND met = len(gold) THEN 'wrong_abstention_despite_full_retrieval'

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import evaluate as E
 from quillspark.functions import lexicon as L
 from quillspark.functions import match as M
 from quillspark.functions import payload
@@ -136,7 +137,7 @@ def open_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.join(later, ["conv_id", "turn"], "left").withColumn("x", F.coalesce("x", F.lit("")))
     right = M.similarity(F.col("q"), F.col("q_tokens"), F.col("a"), F.col("a_tokens"))
     wrong = M.falsehood(F.col("x"), T.tokens(F.col("x")), F.col("a"), F.col("a_tokens"))
-    gone = T.contains_any(F.lower("answer"), L.ABSTENTION_MARKERS)
+    gone = E.abstains(F.col("a"), "open")
     d = d.select("conv_id", "turn", right.alias("r"), wrong.alias("w"), gone.alias("abstained"), F.size("a_tokens").alias("n"))
     verdict = R.open_answer(F.col("r"), F.col("w"), F.col("n"), F.col("abstained"))
     return d.select("conv_id", "turn", "abstained", verdict.alias("correct"), verdict.isNull().alias("needs_review"))
@@ -394,29 +395,6 @@ def verify_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", "turn", "pos", "verdict", "rounds", F.md5(F.col("next_search").cast("binary")).alias("search_md5"))
 
 
-def answer_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims' verdicts summed up for each answer, and what becomes of it; answers without claims stay."""
-    core = F.col("importance") == "core"
-    is_ = lambda v: F.col("verdict") == v
-    sums = (
-        _verified(spark, sf_dir)
-        .groupBy("conv_id", "turn")
-        .agg(
-            F.count("*").alias("n_claims"),
-            F.count_if(is_("supported")).alias("n_supported"),
-            F.count_if(is_("refuted")).alias("n_refuted"),
-            F.bool_or(core & is_("refuted")).alias("core_refuted"),
-            F.bool_or(core & is_("not_enough_info")).alias("core_open"),
-        )
-    )
-    d = _turn_pairs(spark, sf_dir).select("conv_id", "turn").join(sums, ["conv_id", "turn"], "left")
-    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_claims", "n_supported", "n_refuted")]
-    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("core_refuted", "core_open")]
-    d = d.select("conv_id", "turn", *counts, *flags)
-    decision = R.repair(F.col("n_claims"), F.col("core_refuted"), F.col("core_open"), F.col("n_supported"))
-    return d.select("conv_id", "turn", "n_claims", "n_supported", "n_refuted", decision.alias("decision"))
-
-
 def answer_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval overlap and kind of error of every answer: all words of the question are wanted, all of the answer are found."""
     d = _turn_pairs(spark, sf_dir).withColumn("gold", F.array_distinct("q_tokens")).withColumn("got", F.array_distinct("a_tokens"))
@@ -427,7 +405,7 @@ def answer_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id",
         "turn",
         (M.token_scores(F.col("a_tokens"), F.col("q_tokens"))["f1"] >= 0.3).alias("correct"),
-        T.contains_any(F.lower("answer"), L.ABSTENTION_MARKERS).alias("abstained"),
+        E.abstains(F.col("a"), "retrieved").alias("abstained"),
         (met > 0).alias("hit"),
         ((F.size(gold) > 0) & (met == F.size(gold))).alias("full"),
         share(gold).alias("recall"),
@@ -498,7 +476,7 @@ QUERIES = {
         best_match, claim_verdicts, open_answers, route_turns, routed_prompts, route_counts, coerce_confidences, json_payload_fields,
         list_cells, group_summary, confusion_quality, prf_quality, question_rollup, value_counts, dq_issue_counts, dq_status, dq_keys,
         reconcile_orders, review_reasons, resume_todo, head_n_per_group, hash_sample, qrels_remap, strata_union, turn_positions, retrieval_policy,
-        answer_claims, verify_rounds, answer_repairs, answer_errors, route_errors, json_answers,
+        answer_claims, verify_rounds, answer_errors, route_errors, json_answers,
         claim_rows, vec_merge_evidence, keyword_topics,
     )
 }
