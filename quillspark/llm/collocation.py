@@ -27,7 +27,7 @@ LONGEST, LEAST, FIRST = 3, 10, 2000
 #: A candidate is dropped if a longer one that holds it occurs in at least this percentage of its places.
 HELD_PERCENT = 50
 #: Words whose windows a task counts at once.
-CHUNK_WORDS = 500_000
+CHUNK_WORDS = 600_000
 #: Rows whose texts are split at once.
 SLICE_ROWS = 100
 #: Digits of a count: products of three counts' digits and the scale stay within 38.
@@ -35,9 +35,10 @@ COUNT = "decimal(14,0)"
 
 
 def _counted(longest: int):
-    """A task's windows, counted a chunk at a time: (lang, text) rows in, (lang, head, last, n) rows out, sorted within a chunk.
+    """A task's windows, counted a chunk at a time: (lang, text) rows in, (head, last, n) rows out, sorted within a chunk.
 
-    ``head``: the window's words but the last, as many as its piece has; ``last`` is null where the piece has ended.
+    ``head``: the window's words but the last, as many as its piece has, a line end (which no word holds) and
+    the language, in one string, as short rows shuffle; ``last`` is null where the piece has ended.
     """
 
     def windows(held):
@@ -61,8 +62,9 @@ def _counted(longest: int):
             _, first, number, n = np.unique(number * base + lead + 1, return_index=True, return_inverse=True, return_counts=True)
         columns = [words.dictionary.take(pa.array(lead[first], mask=lead[first] < 0)) for lead in leads]
         head = pc.binary_join_element_wise(*columns[:-1], pa.scalar(" ", columns[0].type), null_handling="skip") if longest > 2 else columns[0]
-        out = [langs.dictionary.take(pa.array(langs.indices.to_numpy()[first])), head, columns[-1]]
-        return pa.record_batch([*[c.cast(pa.string()) for c in out], pa.array(n)], names=["lang", "head", "last", "n"])
+        lang = langs.dictionary.take(pa.array(langs.indices.to_numpy()[first]))
+        head = pc.binary_join_element_wise(head, lang, pa.scalar("\n", head.type))
+        return pa.record_batch([head.cast(pa.string()), columns[-1].cast(pa.string()), pa.array(n)], names=["head", "last", "n"])
 
     def run(batches):
         import numpy as np
@@ -97,12 +99,13 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     if longest < 2:
         raise ValueError("the longest phrases must have two words at least")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    dealt = texts.mapInArrow(_counted(longest), "lang string, head string, last string, n long").repartition("lang", "head")
-    full = dealt.groupBy("lang", "head", "last").agg(F.sum("n").alias("f"))
+    dealt = texts.mapInArrow(_counted(longest), "head string, last string, n long").repartition("head")
+    full = dealt.groupBy("head", "last").agg(F.sum("n").alias("f"))
+    lang, words = F.substr("head", F.instr("head", "\n") + 1).alias("lang"), F.split(F.substring_index("head", "\n", 1), " ")
     # one condition over both columns: a condition on ``last`` alone would be moved below the shuffle, which then were made twice
-    top = full.select("lang", F.when(F.col("f") >= least, F.concat(F.split("head", " "), F.array("last"))).alias("words"), "f")
+    top = full.select(lang, F.when(F.col("f") >= least, F.concat(words, F.array("last"))).alias("words"), "f")
     top = top.where(F.size(F.filter("words", lambda w: w.isNotNull())) == longest)
-    heads = full.groupBy("lang", "head").agg(F.sum("f").alias("f")).select("lang", F.split("head", " ").alias("words"), "f")
+    heads = full.groupBy("head").agg(F.sum("f").alias("f")).select(lang, words.alias("words"), "f")
     names = [f"w{i}" for i in range(1, longest)]
     kept = lambda i: F.when((F.col("f") >= least) | (i < longest - 2) | (i == 0), F.get("words", F.lit(i)))
     below = heads.select("lang", *[kept(i).alias(n) for i, n in enumerate(names)], "f")

@@ -69,11 +69,12 @@ def test_chunks_and_slices(spark, docs, monkeypatch):
     monkeypatch.setattr(collocation, "CHUNK_WORDS", 50)
     monkeypatch.setattr(collocation, "SLICE_ROWS", 7)
     run = collocation._counted(3)
-    rows = docs.select("lang", "text").na.fill("und", ["lang"]).coalesce(1).mapInArrow(run, "lang string, head string, last string, n long").collect()
+    rows = docs.select("lang", "text").na.fill("und", ["lang"]).coalesce(1).mapInArrow(run, "head string, last string, n long").collect()
     texts = [(r["lang"], r["text"]) for r in docs.collect()]
     seen = Counter()
     for r in rows:
-        seen[r["lang"], r["head"], r["last"]] += r["n"]
+        head, lang = r["head"].split("\n", 1)
+        seen[lang, head, r["last"]] += r["n"]
     want = Counter()
     for lang, text in texts:
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
