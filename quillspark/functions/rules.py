@@ -85,6 +85,34 @@ def claim_verdict(claim_norm: Column, claim_tokens: Column, evidence_norm: Colum
     )
 
 
+#: Scores of a claim against a piece of evidence, below which no verdict but "not enough" follows.
+LEAST_LIKENESS = 0.34
+
+
+def scores_against(claim_norm: Column, claim_tokens: Column, norm: Column, tokens: Column) -> Column:
+    """Struct (f1, precision, recall) of a claim against a piece; .98 at least if the piece holds the claim."""
+    inside = (claim_norm != "") & norm.contains(claim_norm)
+    lift = lambda s, x: F.when(inside, F.greatest(s[x], F.lit(0.98))).otherwise(s[x]).alias(x)
+    return T.let(M.token_scores(claim_tokens, tokens), lambda s: F.struct(lift(s, "f1"), lift(s, "precision"), lift(s, "recall")))
+
+
+def verdict_on(claim_norm: Column, claim_type: Column, n_pieces: Column, best: Column, negated: Column) -> Column:
+    """Struct (verdict, confidence) of a claim from its best piece's scores and whether any piece negates."""
+    f1, unlike = F.coalesce(best["f1"], F.lit(0.0)), T.negated(claim_norm) != negated
+    within = lambda low, high: F.least(F.lit(high), F.greatest(F.lit(low), f1))
+    says = lambda v, c: {"verdict": v, "confidence": c}
+    return cascade(
+        [
+            (claim_norm == "", says("not_enough_info", 1.0)),
+            (claim_type != "factual", says("supported", 1.0)),
+            (n_pieces == 0, says("not_enough_info", 0.9)),
+            ((f1 >= 0.6) & unlike, says("refuted", within(0.55, 0.85))),
+            ((f1 >= 0.45) | ((best["precision"] >= 0.55) & (best["recall"] >= 0.25)), says("supported", within(0.55, 0.92))),
+            (None, says("not_enough_info", 0.72)),
+        ]
+    )
+
+
 def open_answer(correct: Column, incorrect: Column, n_tokens: Column, abstained: Column, low=0.35, high=0.45, margin=0.05, informative=3) -> Column:
     """Tri-state outcome of an open answer from its similarity to right and to wrong answers; null is undecided."""
     right = (correct >= low) & (correct >= incorrect + margin)

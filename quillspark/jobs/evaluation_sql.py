@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillspark.functions import lexicon as L
 from quillspark.functions.evaluate import markers
 from quillspark.jobs import evaluations as V
+from quillspark.operators import claim_loop as LOOP
 from quillspark.jobs.oracles import _CLAIMS, _PAIRS, _POLICY, _ROUTES, _SURENESS, _any, _f1, _negated, _normal, _overlap, _q, _sentences, _tokens
 
 _ONCE = lambda xs: f"list_filter({xs}, lambda x, i: list_position({xs}, x) = i)"
@@ -117,6 +118,56 @@ _EVIDENCE = f"""
     )
 """
 
+
+
+def _ruled(f1: str, p: str, r: str, negated: str, n: str) -> str:
+    """The number of the rule that gives a claim's verdict."""
+    return f"""CASE WHEN c = '' THEN 1 WHEN claim_type <> 'factual' THEN 2 WHEN {n} = 0 THEN 3 WHEN {f1} >= 0.6 AND {_negated("c")} <> {negated} THEN 4
+      WHEN {f1} >= 0.45 OR ({p} >= 0.55 AND {r} >= 0.25) THEN 5 ELSE 6 END"""
+
+
+def _judged(rule: str, f1: str) -> str:
+    return f"""CASE {rule} WHEN 2 THEN 'supported' WHEN 4 THEN 'refuted' WHEN 5 THEN 'supported' ELSE 'not_enough_info' END AS verdict,
+      round(CAST(CASE {rule} WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 WHEN 3 THEN 0.9 WHEN 4 THEN least(0.85, greatest(0.55, {f1})) WHEN 5 THEN least(0.92, greatest(0.55, {f1})) ELSE 0.72 END AS DOUBLE), 6) AS confidence"""
+
+
+# with two rounds a claim searches once at most, so the recursion goes from one searching claim of an answer to the next
+_LOOP = f"""
+    lstart AS (SELECT conv_id, turn, pos, piece, f1, p, r, en FROM elf WHERE piece = turn - 1 AND e <> ''),
+    lfirst AS (
+      SELECT k.conv_id, k.turn, k.pos, claim_type, c, s.piece AS start, s.f1, s.p, s.r, s.en, {_ruled("s.f1", "s.p", "s.r", "s.en", "CASE WHEN s.piece IS NULL THEN 0 ELSE 1 END")} AS rule
+      FROM ecn k LEFT JOIN lstart s ON s.conv_id = k.conv_id AND s.turn = k.turn AND s.pos = k.pos
+    ),
+    lwant AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS n FROM lfirst WHERE rule IN (3, 6)),
+    llist AS (
+      SELECT w.conv_id, w.turn, w.pos, list({{'piece': e.piece, 'f1': e.f1, 'p': e.p, 'r': e.r, 'en': e.en}} ORDER BY e.f1 DESC, e.piece) AS list
+      FROM lwant w JOIN elf e ON e.conv_id = w.conv_id AND e.turn = w.turn AND e.pos = w.pos WHERE w.n <= {LOOP.SEARCHES} AND e.f1 >= {LOOP.LEAST} GROUP BY ALL
+    ),
+    lsteps AS (SELECT w.*, list FROM lwant w LEFT JOIN llist l ON l.conv_id = w.conv_id AND l.turn = w.turn AND l.pos = w.pos WHERE n <= {LOOP.SEARCHES}),
+    lfold AS (
+      SELECT conv_id, turn, CAST(0 AS BIGINT) AS n, CASE WHEN any_value(start) IS NULL THEN [] ELSE [any_value(start)] END AS seen, NULL::BIGINT AS pos,
+             [{{'piece': 0::BIGINT, 'f1': 0::DOUBLE, 'p': 0::DOUBLE, 'r': 0::DOUBLE, 'en': FALSE}}][1:0] AS found FROM lsteps GROUP BY conv_id, turn
+      UNION ALL
+      SELECT conv_id, turn, n, CASE WHEN start IS NULL THEN seen ELSE list_concat(seen, list_transform(found, lambda x: x.piece)) END, pos, found FROM (
+        SELECT s.conv_id, s.turn, s.n, s.pos, s.start, f.seen,
+               coalesce(list_filter(s.list, lambda x: s.start IS NULL OR NOT list_contains(f.seen, x.piece)), [])[1:{LOOP.PER_ROUND}] AS found
+        FROM lfold f JOIN lsteps s ON s.conv_id = f.conv_id AND s.turn = f.turn AND s.n = f.n + 1
+      )
+    ),
+    lall AS (
+      SELECT conv_id, turn, pos, piece, f1, p, r, en FROM lstart
+      UNION ALL SELECT conv_id, turn, pos, x.piece, x.f1, x.p, x.r, x.en FROM (SELECT conv_id, turn, pos, unnest(found) AS x FROM lfold WHERE n > 0)
+    ),
+    lbest AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, pos ORDER BY f1 DESC, piece) AS k, bool_or(en) OVER (PARTITION BY conv_id, turn, pos) AS any_en FROM lall),
+    lend AS (
+      SELECT i.conv_id, i.turn, i.pos, i.start, w.n, f.n IS NOT NULL AS searched, list_transform(f.found, lambda x: x.piece) AS got,
+             {_ruled("b.f1", "b.p", "b.r", "b.any_en", "CASE WHEN b.piece IS NULL THEN 0 ELSE 1 END")} AS rule, b.f1
+      FROM lfirst i LEFT JOIN (SELECT conv_id, turn, pos, n FROM lwant) w ON w.conv_id = i.conv_id AND w.turn = i.turn AND w.pos = i.pos
+      LEFT JOIN lfold f ON f.conv_id = i.conv_id AND f.turn = i.turn AND f.pos = i.pos
+      LEFT JOIN lbest b ON b.conv_id = i.conv_id AND b.turn = i.turn AND b.pos = i.pos AND b.k = 1
+    )
+"""
+
 _CLAIMED = f"""
     cjoined AS (SELECT r.*, asks AS clarified, coalesce(n_claims, 0) AS nc, coalesce(n_supported, 0) AS ns, coalesce(n_refuted, 0) AS nr, coalesce(n_open, 0) AS no_
                 FROM runs r LEFT JOIN csums s ON s.conv_id = r.conv_id AND s.turn = r.turn),
@@ -172,6 +223,11 @@ EVALUATION_SQL = {
       SELECT conv_id, turn, n_claims, n_supported, n_refuted, (['no_claims', 'clarification_kept', 'abstained', 'abstained', 'abstained', 'unchanged', 'unchanged'])[rule] AS decision,
         rule <= 5 AS abstained, rule IN (4, 5) AS corrected, CAST(([0.7, 0.95, 0.95, 0.85, 0.8, 0.9, 0.65])[rule] AS DOUBLE) AS confidence,
         CASE rule WHEN 4 THEN n_refuted WHEN 5 THEN n_open ELSE 0 END AS n_removed FROM k""",
+    "claim_loop": f"""WITH RECURSIVE {_PAIRS}, {_CLAIMS}, {_EVIDENCE}, {_LOOP}
+      SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, {_judged("rule", "f1")}, CAST(CASE WHEN searched THEN 2 ELSE 1 END AS BIGINT) AS rounds,
+        coalesce(array_to_string(got, '|'), '') AS retrieved, array_to_string(list_concat(CASE WHEN start IS NULL THEN [] ELSE [start] END, coalesce(got, [])), '|') AS evidence,
+        CASE WHEN n > {LOOP.SEARCHES} THEN 'max_total_retrievals_reached' ELSE '' END AS blocked,
+        count(*) FILTER (searched) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS UNBOUNDED PRECEDING) AS counter FROM lend""",
     "claims_evaluation": f"WITH {_PAIRS}, {_ROUTES}, {_runs("claims")}, {_CLAIMS}, {_EVIDENCE}, {_CLAIMED} SELECT * FROM claimed",
     "choice_answers": r"""WITH g AS (SELECT *, substring('ABCD', CAST(length(text) % 4 + 1 AS BIGINT), 1) AS gold FROM conversations),
       r AS (SELECT *, trim(CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'The answer is ' || lower(gold) || '.' WHEN 2 THEN gold || ' ) ' ELSE text || chr(10) || 'opción ' || gold END) AS raw FROM g),

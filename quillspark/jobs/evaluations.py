@@ -10,9 +10,12 @@ from quillspark.functions import match as M
 from quillspark.functions import rules as R
 from quillspark.functions import text as T
 from quillspark.jobs.queries import _claims, _read, _turn_pairs
+from quillspark.operators import claim_loop as loop
+from quillspark.operators import lexical
 from quillspark.operators import metrics as AG
 from quillspark.operators import nested
 from quillspark.operators import quality as DQ
+from quillspark.sources.stored import stored
 
 
 def _runs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -97,40 +100,64 @@ def active_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _claim_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, id, claim_type, importance, c, tokens, inner, q, q_tokens): every claim, written once; ``id`` is its (turn, pos)."""
+    d = _claims(spark, sf_dir).select(
+        "conv_id", F.struct("turn", "pos").alias("id"), F.col("c.claim_type").alias("claim_type"), F.col("c.importance").alias("importance"),
+        T.normal(F.col("c.claim_text")).alias("c"), "q", "q_tokens",
+    )
+    # the words between the first and the last are whole in every text that holds the claim
+    inner = T.tokens(F.regexp_replace(F.regexp_replace("c", r"^\S+\s*", ""), r"\s*\S+$", ""))
+    return stored(d.select("*", T.tokens(F.col("c")).alias("tokens"), inner.alias("inner")), "claims")
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, piece, e, tokens, en): the user turns, which are the evidence of their conversation, written once."""
+    d = _read(spark, sf_dir, "conversations").where((F.col("role") == "user") & (F.trim("text") != ""))
+    d = d.select("conv_id", F.col("turn").alias("piece"), T.normal(F.col("text")).alias("e"))
+    return stored(d.select("*", T.tokens(F.col("e")).alias("tokens"), T.negated(F.col("e")).alias("en")), "pieces")
+
+
+def _scored(claims: DataFrame, pieces: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """(conv_id, id, piece, s, en): claims against those pieces of their conversation that hold them or have F1 ``least`` or more, and maybe some more.
+
+    Conversations of up to ``FEW`` pieces are met whole; in longer ones postings lead to the pieces.
+    """
+    left = claims.join(counts, "conv_id")
+    few = left.where(F.col("n_pieces") <= lexical.FEW).select("conv_id", "id").join(pieces.select("conv_id", "piece"), "conv_id")
+    many, long = left.where(F.col("n_pieces") > lexical.FEW), counts.where(F.col("n_pieces") > lexical.FEW)
+    posted = pieces.join(long, "conv_id", "left_semi")
+    met = few
+    if not long.isEmpty():
+        met = met.union(lexical.alike_candidates(many, posted, "conv_id", "id", "piece", least))
+        met = met.union(lexical.inside_candidates(many, posted, "conv_id", "id", "piece"))
+        # claims of one or two words have no inner word; their texts meet the pieces, each text once
+        bare = many.where((F.size("inner") == 0) & (F.col("c") != ""))
+        held = bare.select("conv_id", "c").distinct().join(posted.select("conv_id", "piece", "e"), "conv_id").where(F.col("e").contains(F.col("c")))
+        met = met.union(bare.join(held.select("conv_id", "c", "piece"), ["conv_id", "c"]).select("conv_id", "id", "piece")).distinct()
+    of_piece = pieces.select("conv_id", "piece", "e", F.col("tokens").alias("et"), "en")
+    d = met.join(claims.select("conv_id", "id", "c", "tokens"), ["conv_id", "id"]).join(of_piece, ["conv_id", "piece"])
+    return d.select("conv_id", "id", "piece", R.scores_against(F.col("c"), F.col("tokens"), F.col("e"), F.col("et")).alias("s"), "en")
+
+
+def _piece_counts(pieces: DataFrame) -> DataFrame:
+    return stored(pieces.groupBy("conv_id").agg(F.count("*").alias("n_pieces"), F.bool_or("en").alias("negated")), "piece-counts")
+
+
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every claim verified against all user turns of its conversation: the best piece, the polarity of all, the verdict.
 
-    Claims meet pieces on the conversation, an equi-join that is split where a conversation is long;
-    what is kept of a claim's pieces is one struct, found by a partial aggregate.
+    No piece below ``LEAST_LIKENESS`` can change a verdict, so only those that postings lead to are compared.
     """
-    claims = _claims(spark, sf_dir).select("conv_id", "turn", "pos", F.col("c.claim_type").alias("claim_type"), F.col("c.importance").alias("importance"), T.normal(F.col("c.claim_text")).alias("c"))
-    claims = claims.withColumn("ct", T.tokens(F.col("c")))
-    pieces = _read(spark, sf_dir, "conversations").where((F.col("role") == "user") & (F.trim("text") != ""))
-    pieces = pieces.select("conv_id", F.col("turn").alias("piece"), T.normal(F.col("text")).alias("e"))
-    pieces = pieces.select("*", T.tokens(F.col("e")).alias("et"), T.negated(F.col("e")).alias("en"))
-    met = claims.join(pieces, "conv_id", "left")
-    inside = (F.col("c") != "") & F.col("e").contains(F.col("c"))
-    lift = lambda s, x: F.when(inside, F.greatest(s[x], F.lit(0.98))).otherwise(s[x]).alias(x)
-    scored = T.let(M.token_scores(F.col("ct"), F.col("et")), lambda s: F.struct(lift(s, "f1"), (-F.col("piece")).alias("at"), lift(s, "precision"), lift(s, "recall")))
-    met = met.withColumn("s", F.when(F.col("e").isNotNull(), scored))
-    keys = ["conv_id", "turn", "pos", "claim_type", "importance", "c"]
-    d = met.groupBy(*keys).agg(F.max("s").alias("s"), F.coalesce(F.bool_or("en"), F.lit(False)).alias("en"), F.count("e").alias("n_pieces"))
-    f1, unlike = F.col("s.f1"), T.negated(F.col("c")) != F.col("en")
-    within = lambda low, high: F.least(F.lit(high), F.greatest(F.lit(low), f1))
-    says = lambda v, c: {"verdict": v, "confidence": c}
-    verdict = R.cascade(
-        [
-            (F.col("c") == "", says("not_enough_info", 1.0)),
-            (F.col("claim_type") != "factual", says("supported", 1.0)),
-            (F.col("n_pieces") == 0, says("not_enough_info", 0.9)),
-            ((f1 >= 0.6) & unlike, says("refuted", within(0.55, 0.85))),
-            ((f1 >= 0.45) | ((F.col("s.precision") >= 0.55) & (F.col("s.recall") >= 0.25)), says("supported", within(0.55, 0.92))),
-            (None, says("not_enough_info", 0.72)),
-        ]
-    )
-    d = d.withColumn("v", verdict)
+    claims, pieces = _claim_texts(spark, sf_dir), _pieces(spark, sf_dir)
+    counts = _piece_counts(pieces)
+    scored = _scored(claims.where("claim_type = 'factual'"), pieces, counts, R.LEAST_LIKENESS)
+    best = scored.groupBy("conv_id", "id").agg(F.max(F.struct("s.f1", (-F.col("piece")).alias("at"), "s.precision", "s.recall")).alias("s"))
+    d = claims.select("conv_id", "id", "claim_type", "importance", "c").join(counts, "conv_id", "left").join(best, ["conv_id", "id"], "left")
+    n, negated = F.coalesce("n_pieces", F.lit(0)), F.coalesce("negated", F.lit(False))
+    d = d.withColumn("v", R.verdict_on(F.col("c"), F.col("claim_type"), n, F.col("s"), negated))
     used = (F.col("claim_type") == "factual") & F.col("v.verdict").isin("supported", "refuted")
-    return d.select("conv_id", "turn", "pos", "claim_type", "importance", "v.verdict", "v.confidence", F.when(used & (f1 > 0), -F.col("s.at")).alias("evidence"))
+    return d.select("conv_id", "id.turn", "id.pos", "claim_type", "importance", "v.verdict", "v.confidence", F.when(used & (F.col("s.f1") > 0), -F.col("s.at")).alias("evidence"))
 
 
 def claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,6 +220,25 @@ def claims_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def claim_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every claim verified in rounds: its question first, then pieces of its conversation, two a search; searches are shared by the answer's claims.
+
+    A piece that one claim was given is not found again for another one of the answer if the answer began with evidence.
+    """
+    claims, pieces = _claim_texts(spark, sf_dir), _pieces(spark, sf_dir)
+    own = T.blank(F.col("q")) | (F.col("q") == "")
+    first = F.when(~own, R.scores_against(F.col("c"), F.col("tokens"), F.col("q"), F.col("q_tokens")))
+    start = F.array_compact(F.array(F.when(~own, F.struct((F.col("id.turn") - 1).alias("piece"), first.alias("s"), T.negated(F.col("q")).alias("en")))))
+    claims = claims.withColumn("start", start)
+    search = lambda wanting: _scored(wanting, pieces, _piece_counts(pieces), loop.LEAST)
+    d = loop.verify_claims(claims, search, "conv_id")
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), "|").alias(c)
+    return d.select(
+        "conv_id", "id.turn", "id.pos", "verdict", F.round("confidence", 6).alias("confidence"), F.col("rounds").cast("long").alias("rounds"),
+        listed("retrieved"), listed("evidence"), "blocked", F.col("counter").cast("long").alias("counter"),
+    )
+
+
 def choice_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn as raw output of a multiple-choice question (plain, stated, lettered, in passing): the letter read back, and whether it is the gold one."""
     c = _read(spark, sf_dir, "conversations").withColumn("gold", F.substring(F.lit("ABCD"), (F.length("text") % 4 + 1).cast("int"), F.lit(1)))
@@ -358,7 +404,7 @@ def run_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVALUATIONS = {
     f.__name__: f
     for f in (
-        adaptive_evaluation, adaptive_summary, active_evaluation, claim_evidence, claim_summary, answer_repairs, claims_evaluation, choice_answers, trace_fields,
+        adaptive_evaluation, adaptive_summary, active_evaluation, claim_evidence, claim_summary, answer_repairs, claim_loop, claims_evaluation, choice_answers, trace_fields,
         retrieval_loop, router_payloads, nested_chunks, nested_qrels, nested_questions, no_answer_rows, normalised_sources, run_issues,
     )
 }
