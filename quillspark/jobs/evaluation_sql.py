@@ -6,7 +6,7 @@ from quillspark.functions import lexicon as L
 from quillspark.functions.evaluate import markers
 from quillspark.jobs import evaluations as V
 from quillspark.operators import claim_loop as LOOP
-from quillspark.jobs.oracles import _CLAIMS, _PAIRS, _POLICY, _ROUTES, _SURENESS, _any, _f1, _negated, _normal, _overlap, _q, _sentences, _tokens
+from quillspark.jobs.oracles import _CLAIMS, _PAIRS, _POLICY, _ROUTES, _SURENESS, _any, _f1, _negated, _normal, _overlap, _q, _low, _sentences, _stated, _tokens
 
 _ONCE = lambda xs: f"list_filter({xs}, lambda x, i: list_position({xs}, x) = i)"
 
@@ -228,6 +228,31 @@ EVALUATION_SQL = {
         coalesce(array_to_string(got, '|'), '') AS retrieved, array_to_string(list_concat(CASE WHEN start IS NULL THEN [] ELSE [start] END, coalesce(got, [])), '|') AS evidence,
         CASE WHEN n > {LOOP.SEARCHES} THEN 'max_total_retrievals_reached' ELSE '' END AS blocked,
         count(*) FILTER (searched) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS UNBOUNDED PRECEDING) AS counter FROM lend""",
+    # the payloads are made of the claims, so what reading them must give follows from the claims
+    "claim_objects": f"""WITH {_PAIRS}, {_CLAIMS},
+      g AS (SELECT p.conv_id, p.turn, trim(coalesce(p.answer, '')) AS said, cs, len(cs) AS n, range(0, len(cs)) AS ns FROM pairs p JOIN pieces i ON i.conv_id = p.conv_id AND i.turn = p.turn),
+      r AS (SELECT *, flatten(list_transform(ns, lambda i: ['r' || (i % 2), 'r' || (i % 5)])) AS got, list_transform(ns, lambda i: 's' || (i % 3)) AS sup FROM g)
+      SELECT conv_id, turn, md5(said) AS answer_md5, CAST(CASE WHEN conv_id % 5 < 3 THEN 0.82 ELSE 0.5 END AS DOUBLE) AS confidence, FALSE AS abstained,
+        CASE WHEN conv_id % 5 < 3 THEN 'clarification_kept' ELSE 'unchanged' END AS final_decision, n AS num_claims, len(list_filter(ns, lambda i: i % 4 = 0)) AS num_supported_claims,
+        len(list_filter(ns, lambda i: i % 4 = 1)) AS num_refuted_claims, len(list_filter(ns, lambda i: i % 4 = 2)) AS num_nei_claims,
+        len(list_filter(cs, lambda c: c.k = 'factual')) AS num_claims_requiring_evidence, CAST(coalesce(list_sum(list_transform(ns, lambda i: i % 2 + 1)), 0) AS BIGINT) AS num_verification_rounds,
+        array_to_string(list_transform(list_filter(ns, lambda i: i % 4 = 0), lambda i: 'c' || (i + 1)), '|') AS supported_ids,
+        array_to_string(list_transform(list_filter(ns, lambda i: i % 4 = 2), lambda i: 'c' || (i + 1)), '|') AS open_ids,
+        array_to_string({_ONCE("sup")}, '|') AS supporting_chunk_ids, array_to_string({_ONCE("got")}, '|') AS retrieved_chunk_ids, len(list_distinct(got)) AS num_chunks_retrieved_total,
+        said <> '' AS valid, CASE WHEN conv_id % 5 < 3 THEN 'raw_output_json' WHEN conv_id % 5 = 3 THEN 'columns_after_parse_error' ELSE 'columns' END AS method,
+        concat_ws('; ', CASE WHEN conv_id % 5 = 3 THEN CASE WHEN n > 0 THEN 'invalid JSON' ELSE 'no JSON object' END END, CASE WHEN said = '' THEN 'no answer' END) AS parse_error FROM r""",
+    "claim_payloads": f"""WITH {_PAIRS}, {_CLAIMS},
+      g AS (SELECT p.conv_id, p.turn, trim(coalesce(p.answer, '')) AS said, cs, {_sentences("p.question")} AS qs FROM pairs p JOIN pieces i ON i.conv_id = p.conv_id AND i.turn = p.turn),
+      k AS (SELECT *, list_transform(cs, lambda c: lower(c.t)) AS low FROM g),
+      o AS (SELECT *, list_filter(cs, lambda c, i: list_position(low, lower(c.t)) = i)[1:5] AS kept FROM k),
+      w AS (SELECT *, CASE WHEN len(kept) > 0 THEN kept WHEN said = '' THEN [] ELSE [{{'t': {_stated("said")}, 'k': CASE WHEN {_any(_low("said"), L.CLARIFICATION["extraction"])} THEN 'clarification'
+              WHEN {_any(_low("said"), L.ABSTENTION["extraction"])} THEN 'abstention' ELSE 'factual' END}}] END AS xs,
+              list_transform(qs, lambda s, i: CASE WHEN i % 2 = 0 THEN 'q' || (i - 1) ELSE 'chunk_inline_' || i END) AS ids FROM o)
+      SELECT conv_id, turn, len(xs) AS n_claims, md5(array_to_string(list_transform(xs, lambda c, i: 'c' || i || ':' || c.k || ':' || lower(c.t)), chr(10))) AS claims_md5,
+        len(list_filter(xs, lambda c: c.k = 'factual')) > 0 AS needs_verification, array_to_string(ids, '|') AS chunk_ids,
+        (['supported', 'refuted', 'not_enough_info', 'not_enough_info'])[conv_id % 4 + 1] AS verdict, CAST(0.9 AS DOUBLE) AS confidence,
+        CASE WHEN list_contains(ids, 'q1') THEN 'q1' WHEN conv_id % 4 = 0 THEN coalesce(ids[1], '') ELSE '' END AS supporting, CASE WHEN conv_id % 4 = 1 THEN coalesce(ids[1], '') ELSE '' END AS refuting,
+        conv_id % 4 >= 2 AS needs_more, CASE WHEN conv_id % 4 >= 2 THEN 'more' END AS next_search FROM w""",
     "claims_evaluation": f"WITH {_PAIRS}, {_ROUTES}, {_runs("claims")}, {_CLAIMS}, {_EVIDENCE}, {_CLAIMED} SELECT * FROM claimed",
     "choice_answers": r"""WITH g AS (SELECT *, substring('ABCD', CAST(length(text) % 4 + 1 AS BIGINT), 1) AS gold FROM conversations),
       r AS (SELECT *, trim(CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'The answer is ' || lower(gold) || '.' WHEN 2 THEN gold || ' ) ' ELSE text || chr(10) || 'opción ' || gold END) AS raw FROM g),

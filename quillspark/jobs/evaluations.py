@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import claim_payload as C
 from quillspark.functions import evaluate as E
 from quillspark.functions import match as M
 from quillspark.functions import rules as R
@@ -252,6 +253,53 @@ def choice_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", "turn", "letter", "gold", (F.col("letter") == F.col("gold")).alias("correct"), (F.col("letter") != "").alias("valid"))
 
 
+# -- payloads of claims -------------------------------------------------------------------------
+
+
+def claim_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every answer's claims as a verified-answer object (plain, fenced, in prose, cut off, in columns only) with loose types, read back."""
+    d = _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.trim("answer").alias("answer"), R.claims(F.col("answer"), None).alias("cs"))
+    names = F.array(*map(F.lit, ("Supports", "contradicted", "NEI", "unsure")))
+    result = lambda c, i: F.struct(
+        F.concat(F.lit("c"), (i + 1).cast("string")).alias("claim_id"), c["claim_text"].alias("claim_text"), F.get(names, i % 4).alias("verdict"),
+        F.when(c["requires_evidence"], "yes").otherwise("no").alias("requires_evidence"), (i % 2 + 1).cast("string").alias("rounds"),
+        F.array(F.concat(F.lit("s"), (i % 3).cast("string"))).alias("supporting_chunk_ids"),
+        F.concat(F.lit("r"), (i % 2).cast("string"), F.lit("|r"), (i % 5).cast("string")).alias("retrieved_chunk_ids"),
+    )
+    d = d.withColumn("rs", F.transform("cs", result))
+    body = F.to_json(F.struct("answer", F.lit("82").alias("confidence"), F.lit("Clarification kept").alias("final_decision"), F.lit("many").alias("num_claims"), F.col("rs").alias("claim_results")))
+    d = d.withColumn("body", body)
+    kind = F.col("conv_id") % 5
+    raw = F.when(kind == 0, F.col("body")).when(kind == 1, F.concat(F.lit("```json\n"), "body", F.lit("\n```"))).when(kind == 2, F.concat(F.lit("So: "), "body", F.lit(" ok"))).when(kind == 3, F.left("body", F.length("body") - 2))
+    cells = {"answer": F.col("answer"), "confidence": F.lit("0,5"), "final_decision": F.lit("Unchanged"), "claim_results": F.to_json("rs")}
+    d = d.select("conv_id", "turn", C.claims_object(raw, cells).alias("o"))
+    kept = (
+        "confidence", "abstained", "final_decision", "num_claims", "num_supported_claims", "num_refuted_claims", "num_nei_claims", "num_claims_requiring_evidence", "num_verification_rounds",
+        "supported_ids", "open_ids", "supporting_chunk_ids", "retrieved_chunk_ids", "num_chunks_retrieved_total", "valid", "method", "parse_error",
+    )
+    return d.select("conv_id", "turn", F.md5(F.col("o.answer").cast("binary")).alias("answer_md5"), *[f"o.{c}" for c in kept])
+
+
+def claim_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every answer's claims as an extractor's payload with repeats, and its question's sentences as passages for a verifier's payload, validated."""
+    d = _turn_pairs(spark, sf_dir).select("conv_id", "turn", "answer", R.claims(F.col("answer"), None).alias("cs"), T.sentences(F.col("question")).alias("qs"))
+    again = F.concat("cs", F.transform(F.slice("cs", 1, 2), lambda c: c.withField("claim_text", F.concat(F.lit(" "), F.replace(c["claim_text"], F.lit(" "), F.lit("  "))))))
+    passage = lambda s, i: F.struct(s.alias("text"), F.when(i % 2 == 1, F.concat(F.lit("q"), i.cast("string"))).alias("chunk_id"))
+    names = F.array(*map(F.lit, ("entails", "Contradiction", "insufficient", "what")))
+    said = F.struct(F.get(names, (F.col("conv_id") % 4).cast("int")).alias("verdict"), F.lit("q1|zzz").alias("supporting_chunk_ids"), F.lit("more").alias("next_search_query"), F.lit("90").alias("confidence"))
+    d = d.select(
+        "conv_id", "turn", C.extraction(C.parsed(F.to_json(F.struct(again.alias("claims")))), F.col("answer")).alias("x"),
+        C.chunks(C.parsed(F.to_json(F.transform("qs", passage)))).alias("passages"), C.parsed(F.to_json(said)).alias("said"),
+    )
+    d = d.withColumn("ids", F.transform("passages", lambda p: p["chunk_id"])).withColumn("v", C.verification(F.col("said"), F.col("ids"), True))
+    texts = F.array_join(F.transform("x.claims", lambda c: F.concat(c["claim_id"], F.lit(":"), c["claim_type"], F.lit(":"), F.lower(c["claim_text"]))), "\n")
+    return d.select(
+        "conv_id", "turn", F.size("x.claims").cast("long").alias("n_claims"), F.md5(texts.cast("binary")).alias("claims_md5"), "x.needs_verification",
+        F.array_join("ids", "|").alias("chunk_ids"), "v.verdict", "v.confidence", F.array_join("v.supporting", "|").alias("supporting"), F.array_join("v.refuting", "|").alias("refuting"),
+        "v.needs_more", "v.next_search",
+    )
+
+
 # -- traces -------------------------------------------------------------------------------------
 
 _STEP = "array<struct<sentence:string,needs_retrieval:boolean,rule:string,confidence:double>>"
@@ -405,6 +453,6 @@ EVALUATIONS = {
     f.__name__: f
     for f in (
         adaptive_evaluation, adaptive_summary, active_evaluation, claim_evidence, claim_summary, answer_repairs, claim_loop, claims_evaluation, choice_answers, trace_fields,
-        retrieval_loop, router_payloads, nested_chunks, nested_qrels, nested_questions, no_answer_rows, normalised_sources, run_issues,
+        retrieval_loop, router_payloads, claim_objects, claim_payloads, nested_chunks, nested_qrels, nested_questions, no_answer_rows, normalised_sources, run_issues,
     )
 }
