@@ -41,13 +41,14 @@ TOGETHER = 128
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows whose vector takes part: none null, zero, or with a null or non-finite component; as doubles.
+    """(row, vec_id, v): rows whose vector takes part, none null, zero, or with a null or non-finite component; as doubles.
 
-    Of rows that repeat a vec_id one stays (the least vector); null vec_ids take no part.
+    Each has a number of its own, so null and repeated vec_ids are rows like any other.
     """
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    v = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return v.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).groupBy("vec_id").agg(F.min("v").alias("v"))
+    # dealt anew, so that blocks are full however small the table's files are
+    return v.where(F.coalesce(fine, F.lit(False))).repartition("row")
 
 
 def _symbols(y):
@@ -92,10 +93,10 @@ def _strings(x, extra):
 class Forest:
     """The trees of one block of rows, all of one width."""
 
-    def __init__(self, ids, x, top_norm: float, chances):
+    def __init__(self, rows, ids, x, top_norm: float, chances):
         import numpy as np
 
-        self.ids, self.x, self.top, self.chances = ids, x, top_norm, chances
+        self.rows, self.ids, self.x, self.top, self.chances = rows, ids, x, top_norm, chances
         strings = _strings(x, np.sqrt(np.maximum(top_norm**2 - (x**2).sum(axis=1), 0)))
         order = np.argsort(strings, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(strings, order, axis=0).T)
@@ -106,7 +107,7 @@ class Forest:
         import numpy as np
 
         if not length:
-            return np.zeros(strings.shape, dtype=np.int64), np.full(strings.shape, len(self.ids))
+            return np.zeros(strings.shape, dtype=np.int64), np.full(strings.shape, len(self.rows))
         rest = np.uint32((1 << (BITS - length)) - 1)
         cut = lambda s, side: np.column_stack([np.searchsorted(self.sorted[t], s[:, t], side) for t in range(TREES)])
         return cut(strings & ~rest, "left"), cut(strings | rest, "right")
@@ -118,7 +119,7 @@ class Forest:
         grid, p = self.chances
         return 1 - (1 - np.interp(angle, grid, p[length])) ** TREES
 
-    def search(self, q_ids, q, bounds, k: int, look_only: bool = False):
+    def search(self, q_rows, q, bounds, k: int, look_only: bool = False):
         """(query place, row place, score, rows scored) of the ``k`` nearest met that reach each query's bound.
 
         With ``look_only`` the ascent ends where it first scores.
@@ -127,13 +128,13 @@ class Forest:
 
         strings = _strings(q, np.zeros(len(q)))
         starts = range(0, len(q), TOGETHER)
-        parts = [self._together(np.arange(i, min(i + TOGETHER, len(q))), strings, q_ids, q, bounds, k, look_only) for i in starts]
+        parts = [self._together(np.arange(i, min(i + TOGETHER, len(q))), strings, q_rows, q, bounds, k, look_only) for i in starts]
         return tuple(np.concatenate([p[j] for p in parts]) for j in range(4))
 
-    def _together(self, places, strings, q_ids, q, bounds, k: int, look_only: bool):
+    def _together(self, places, strings, q_rows, q, bounds, k: int, look_only: bool):
         import numpy as np
 
-        n = len(self.ids)
+        n = len(self.rows)
         seen = np.zeros((len(places), n), dtype=bool)
         norms = np.sqrt((q[places] ** 2).sum(axis=1))
         tops = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(places)
@@ -152,7 +153,7 @@ class Forest:
                 new = np.flatnonzero(met & ~seen[i])
                 seen[i, new] = True
                 scores, slack = self.x[new] @ q[place], 1e-9 * max(1.0, abs(bounds[place]) if np.isfinite(bounds[place]) else 1.0)
-                fine = (self.ids[new] != q_ids[place]) & (scores >= bounds[place] - slack)
+                fine = (self.rows[new] != q_rows[place]) & (scores >= bounds[place] - slack)
                 rows, scores = np.concatenate([tops[i][0], new[fine]]), np.concatenate([tops[i][1], scores[fine]])
                 last = bounds[place]
                 if len(rows) >= k:
@@ -164,7 +165,7 @@ class Forest:
                 cosine = np.clip(last / max(norms[i] * self.top, 1e-300), -1, 1)
                 if look_only or not length or self.met_chance(length, np.arccos(cosine)) >= RECALL:
                     exact = _dot(self.x[rows], np.broadcast_to(q[place], (len(rows), q.shape[1])))
-                    first = np.lexsort((self.ids[rows], -exact))[:k]
+                    first = np.lexsort((self.rows[rows], self.ids[rows], -exact))[:k]
                     # one row more, of no vector, says how many rows were scored
                     found = [(place, -1, -np.inf, int(seen[i].sum())), *((place, r, s, 0) for r, s in zip(rows[first].tolist(), exact[first].tolist(), strict=True))]
                     out.append(tuple(np.array(c) for c in zip(*found, strict=True)))
@@ -183,17 +184,18 @@ def _dot(a, b):
 
 
 def _by_width(batch) -> dict:
-    """(places in the batch, ids, vectors) of a record batch (vec_id, v) for each width of its vectors."""
+    """(places in the batch, rows, ids, vectors) of a record batch (row, vec_id, v) for each width of its vectors; null ids come last."""
     import numpy as np
     import pyarrow.compute as pc
 
-    ids, lists = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("v")
+    rows, lists = batch.column("row").to_numpy(), batch.column("v")
+    ids = pc.fill_null(batch.column("vec_id"), np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
     out = {}
     for w in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == w)
-        out[w] = at, ids[at], flat[(ends[at] - w)[:, None] + np.arange(w)]
+        out[w] = at, rows[at], ids[at], flat[(ends[at] - w)[:, None] + np.arange(w)]
     return out
 
 
@@ -208,9 +210,9 @@ def _query_chunks(files: list[str]):
 
 
 def _met(rows: DataFrame, queries: DataFrame, top_norm: float, chances, k: int, look_only: bool) -> DataFrame:
-    """(query_id, vec_id, score, scored): what the forests of all blocks of ``rows`` find for stored ``queries (vec_id, v, bound)``.
+    """(query_row, row, vec_id, score, scored): what the forests of all blocks of ``rows`` find for stored ``queries (row, vec_id, v, bound)``.
 
-    For each query and block one row without vec_id counts the rows that were scored.
+    For each query and block one row without ``row`` counts the rows that were scored.
     """
     files = queries.inputFiles()  # names only, one for each task that wrote queries
 
@@ -220,16 +222,18 @@ def _met(rows: DataFrame, queries: DataFrame, top_norm: float, chances, k: int,
 
         blocks = {}
         for batch in held:
-            for width, (_, ids, x) in _by_width(batch).items():
-                blocks.setdefault(width, []).append((ids, x))
-        forests = {w: Forest(np.concatenate([i for i, _ in b]), np.concatenate([x for _, x in b]), top_norm, chances) for w, b in blocks.items()}
+            for width, (_, *part) in _by_width(batch).items():
+                blocks.setdefault(width, []).append(part)
+        forests = {w: Forest(*[np.concatenate(part) for part in zip(*b, strict=True)], top_norm, chances) for w, b in blocks.items()}
         for chunk in _query_chunks(files):
             bounds = chunk.column("bound").to_numpy(zero_copy_only=False)
-            for width, (at, q_ids, q) in _by_width(chunk).items():
+            for width, (at, q_rows, _, q) in _by_width(chunk).items():
                 if width in forests:
-                    places, found, score, scored = forests[width].search(q_ids, q, bounds[at], k, look_only)
-                    ids = pa.array(forests[width].ids[found], mask=found < 0)
-                    yield pa.record_batch([pa.array(q_ids[places]), ids, pa.array(score), pa.array(scored)], names=["query_id", "vec_id", "score", "scored"])
+                    forest = forests[width]
+                    places, found, score, scored = forest.search(q_rows, q, bounds[at], k, look_only)
+                    met, ids = pa.array(forest.rows[found], mask=found < 0), forest.ids[found]
+                    ids = pa.array(ids, mask=(found < 0) | (ids == np.iinfo(np.int64).max))
+                    yield pa.record_batch([pa.array(q_rows[places]), met, ids, pa.array(score), pa.array(scored)], names=["query_row", "row", "vec_id", "score", "scored"])
 
     def run(batches):
         held, n = [], 0
@@ -243,30 +247,34 @@ def _met(rows: DataFrame, queries: DataFrame, top_norm: float, chances, k: int,
         if n:
             yield from answers(held)
 
-    return rows.mapInArrow(run, "query_id long, vec_id long, score double, scored long")
+    return rows.mapInArrow(run, "query_row long, row long, vec_id long, score double, scored long")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score, n_scored): each query's ``k`` nearest of ``vectors (vec_id, embedding)``.
 
-    ``is_query`` is a condition on vec_id. A row is no candidate of its own vec_id. Nearest first,
-    ties to the smaller vec_id; with fewer candidates than ``k``, all of them. Vectors of different
+    ``is_query`` is a condition on vec_id; rows that share one are queries each by itself. Every other row
+    is a candidate, those with a null or the same vec_id too. Nearest first, ties to the smaller vec_id,
+    null last; with fewer candidates than ``k``, all of them. Vectors of different
     widths have no inner product: a query meets those of its own width only. ``n_scored`` is the
-    number of rows whose vectors the query was compared with. Null, zero and non-finite vectors, null
-    vec_ids and other columns take no part; an empty table gives no row.
+    number of rows whose vectors the query was compared with. Null, zero and non-finite vectors
+    and other columns take no part; an empty table gives no row.
     """
     rows = stored(usable(vectors), "vectors")
     top = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     top_norm, chances = float(top or 0.0) ** 0.5, collisions()
     asked = rows.where(is_query)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), F.asc_nulls_last("row"))
     looked = _met(rows, stored(asked.withColumn("bound", F.lit(float("-inf"))), "queries"), top_norm, chances, k, True)
-    bounds = looked.withColumn("rank", F.row_number().over(order)).where((F.col("rank") == k) & F.col("vec_id").isNotNull()).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
-    bounded = asked.join(bounds, "vec_id", "left").select("vec_id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    last = looked.withColumn("rank", F.row_number().over(order)).where((F.col("rank") == k) & F.col("row").isNotNull())
+    bounded = asked.join(last.select(F.col("query_row").alias("row"), F.col("score").alias("bound")), "row", "left")
+    bounded = bounded.select("row", "vec_id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
     met = _met(rows, stored(bounded, "bounded"), top_norm, chances, k, False)
-    each = Window.partitionBy("query_id")
+    each = Window.partitionBy("query_row")
     ranked = met.withColumn("n_scored", F.sum("scored").over(each)).withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("rank") <= k) & F.col("vec_id").isNotNull()).select("query_id", "rank", "vec_id", "score", "n_scored")
+    ranked = ranked.where((F.col("rank") <= k) & F.col("row").isNotNull())
+    names = asked.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
+    return ranked.join(names, "query_row").select("query_id", "rank", "vec_id", "score", "n_scored")
 
 
 def op9_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,14 +46,23 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def filesystem(uri: str):
-    """(pyarrow file system, path) of a location given as a path or as a URI of any supported store."""
+    """(pyarrow file system, path) of a location given as a path or as a URI of a store that executors share.
+
+    ``s3a`` and ``s3n`` are names of ``s3``, ``abfss`` of ``abfs``. A scheme that neither side knows is an
+    error, as it would else be taken for a folder of one machine.
+    """
     from pyarrow import fs
 
-    if re.match(r"file:/[^/]", uri):
-        uri = "file://" + uri[5:]
-    if "://" in uri:
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), uri
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", uri)
+    if not scheme:
+        return fs.LocalFileSystem(), uri
+    name = scheme[1].lower()
+    if name == "file":
+        return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", uri, flags=re.IGNORECASE)
+    name = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(name, name)
+    if name not in ("s3", "gs", "hdfs", "viewfs", "abfs"):
+        raise ValueError(f"no file system is known for {uri!r}; spark.checkpoint.dir must name a file, s3a, gs, hdfs or abfs location")
+    return fs.FileSystem.from_uri(f"{name}{uri[len(scheme[1]):]}")
 
 
 def words_of(text) -> "F.Column":

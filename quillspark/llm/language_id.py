@@ -31,13 +31,12 @@ HOST_WEIGHT, DOMAIN_WEIGHT, SUFFIX_WEIGHT = 5.0, 20.0, 50.0
 #: Imagined pages for each (declared code, language): these for agreement and for each of the others.
 TRUST, DISTRUST = 8.0, 0.5
 NONE = "none"
-#: Where a page names its language, best first; the bounded gaps keep unclosed tags cheap.
-_DECLARED = (
-    r"""(?i)<html\b[^<>]{0,2000}?\s(?:xml:)?lang\s*=\s*["']?([a-zA-Z]{2,3})""",
-    r"""(?i)<meta\b[^<>]{0,2000}?content-language[^<>]{0,2000}?content\s*=\s*["']?([a-zA-Z]{2,3})""",
-)
 #: Labels below a country's suffix under which names are given out.
 _SECOND = r"(?:co|com|org|net|ac|gov|edu)\.[a-z]{2}"
+_CODE = re.compile(r"\s*([a-zA-Z]{2,3})")
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s=>/"']+)\s*(=)?\s*""")
+_NAMING = re.compile(r"(?i)<(html|meta)(?=[\s/>])")
+_RAW = re.compile(r"(?i)<(script|style)\b")
 _HIDDEN = re.compile(r"(?i)<(script|style|head|nav)\b")
 _ENDS = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "head", "nav")}
 
@@ -74,6 +73,76 @@ def visible(html: str) -> str:
     return " ".join([*parts, html[at:]])
 
 
+def declared_language(html: str) -> str:
+    """The code that a page's ``<html lang>``, or else its content-language ``<meta>``, begins with, in lower case; "" if none does.
+
+    One pass over the tags: comments, scripts and styles are passed over, quoted values may hold ``>``, and
+    an end that was not found once is not looked for again.
+    """
+    at, missing, said = 0, set(), ""
+
+    def past(mark: str, place: int) -> int:
+        end = -1 if mark in missing else html.find(mark, place)
+        if end < 0:
+            missing.add(mark)
+        return end + len(mark) if end >= 0 else -1
+
+    def attributes(place: int):
+        """(name, value) pairs up to the tag's end, then (None, where it ends)."""
+        while place < len(html) and html[place] != ">":
+            found = _ATTRIBUTE.match(html, place)
+            if not found:  # a stray quote, slash or equals sign
+                place += 1
+                continue
+            place, value = found.end(), ""
+            if found[2]:
+                quote = html[place : place + 1]
+                end = past(quote, place + 1) if quote in ("'", '"') and quote else -1
+                if end >= 0:
+                    value, place = html[place + 1 : end - 1], end
+                else:
+                    start = place
+                    while place < len(html) and html[place] not in "> \t\r\n\f":
+                        place += 1
+                    value = html[start:place].strip("'\"")
+            yield found[1].lower(), value
+        yield None, place + 1
+
+    while (start := html.find("<", at)) >= 0:
+        at = start + 1
+        if html.startswith("<!--", start):
+            at = past("-->", start + 4)
+            if at < 0:
+                return said
+            continue
+        raw = _RAW.match(html, start)
+        if raw:
+            name = raw[1].lower()
+            end = None if name in missing else _ENDS[name].search(html, at)
+            if end:
+                at = end.end()
+            else:
+                missing.add(name)
+            continue
+        if not html[at : at + 1].isalpha():
+            continue
+        tag, held = _NAMING.match(html, start), {}
+        begin = tag.end() if tag else at
+        for name, value in attributes(begin):
+            if name is None:
+                at = value
+            else:
+                held.setdefault(name, value)
+        if tag and tag[1].lower() == "html":
+            code = _CODE.match(held.get("lang") or held.get("xml:lang") or "")
+            if code:
+                return code[1].lower()
+        elif tag and not said and "content-language" in (held.get("http-equiv", "").strip().lower(), held.get("name", "").strip().lower()):
+            code = _CODE.match(held.get("content", ""))
+            said = code[1].lower() if code else ""
+    return said
+
+
 def _trigrams(text: str):
     """Buckets of the trigrams of a text, lower-cased, with everything but letters read as spaces."""
     import numpy as np
@@ -134,20 +203,17 @@ def page_evidence(pages: DataFrame, model, languages: tuple[str, ...] = LANGUAGE
 
         logs = shared.value
         for batch in batches:
-            found = []
+            found, said = [], []
             for value in batch.column("html"):
-                buckets = _trigrams(html.unescape(visible(value.as_py() or "")))
-                found.append(np.bincount(buckets, minlength=BUCKETS) @ logs.T)
+                page = value.as_py() or ""
+                said.append(declared_language(page))
+                found.append(np.bincount(_trigrams(html.unescape(visible(page))), minlength=BUCKETS) @ logs.T)
             yield pa.record_batch(
-                [batch.column(c) for c in ("page_id", "url", "declared")] + [pa.array(found, pa.list_(pa.float64()))],
+                [batch.column("page_id"), batch.column("url"), pa.array(said, pa.string()), pa.array(found, pa.list_(pa.float64()))],
                 names=["page_id", "url", "declared", "text_log"],
             )
 
-    page = F.coalesce("html", F.lit(""))
-    said = [F.nullif(F.lower(F.regexp_extract(page, p, 1)), F.lit("")) for p in _DECLARED]
-    declared = F.coalesce(*said, F.lit(""))
-    d = pages.select("page_id", "url", "html", declared.alias("declared"))
-    d = d.mapInArrow(rows, f"page_id {kind}, url string, declared string, text_log array<double>")
+    d = pages.select("page_id", "url", "html").mapInArrow(rows, f"page_id {kind}, url string, declared string, text_log array<double>")
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     code = F.lower(F.regexp_extract(url, r"^[^?#]*?//[^/?#]*/([A-Za-z]{2})(?:[/?#_-]|$)", 1))
@@ -187,10 +253,10 @@ def _trust(d: DataFrame, column: str, belief: Column, languages: tuple[str, ...]
     return out
 
 
-def host_priors(d: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """(host, n, sums, above): a host's pages and beliefs, and the smoothed prior of the levels above it.
+def host_priors(d: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> tuple[DataFrame, Column]:
+    """((host, n, sums, above), prior of all pages): a host's pages and beliefs, and the smoothed prior of the levels above it.
 
-    ``d``: host, domain, suffix and belief of each page.
+    ``d``: host, domain, suffix and belief of each page. Pages without a host count for the prior of all alone.
     """
     size = range(len(languages))
     total = lambda c: F.array(*[F.sum(F.get(c, i)) for i in size])
@@ -200,14 +266,15 @@ def host_priors(d: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFra
     hosts = stored(
         d.groupBy("host", "domain", "suffix").agg(F.count("*").alias("n"), total(F.col("belief")).alias("sums")), "hosts"
     )
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), total(F.col("sums")).alias("ds"))
+    named = hosts.where("host <> ''")
+    domains = named.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), total(F.col("sums")).alias("ds"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), total(F.col("ds")).alias("ss"))
-    everything = suffixes.agg(F.sum("sn").alias("n"), total(F.col("ss")).alias("s")).first()
+    everything = hosts.agg(F.sum("n").alias("n"), total(F.col("sums")).alias("s")).first()
     n = everything["n"] or 0
     base = F.array(*[F.lit(((everything["s"][i] or 0.0) + 1.0) / (n + len(languages))) for i in size])
     suffixes = suffixes.select("suffix", mixed(F.col("ss"), F.col("sn"), SUFFIX_WEIGHT, base).alias("sp"))
     domains = domains.join(suffixes, "suffix").select("domain", "suffix", mixed(F.col("ds"), F.col("dn"), DOMAIN_WEIGHT, F.col("sp")).alias("above"))
-    return stored(hosts.join(domains, ["domain", "suffix"]).select("host", "n", "sums", "above"), "priors")
+    return stored(named.join(domains, ["domain", "suffix"]).select("host", "n", "sums", "above"), "priors"), base
 
 
 def identify(pages: DataFrame, docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
@@ -223,9 +290,12 @@ def identify(pages: DataFrame, docs: DataFrame, languages: tuple[str, ...] = LAN
     log = own.select("*", _add(text, markup).alias("log"))
     believed = stored(log.select("page_id", "host", "domain", "suffix", "declared", "text_log", "log", _belief(F.col("log")).alias("belief")), "beliefs")
     # both sides are stored tables, so the pages of a very large host can be split
-    d = believed.join(host_priors(believed, languages), "host")
+    priors, base = host_priors(believed, languages)
+    # a page without a host shares none with others: the prior of all pages is its own
+    d = believed.join(priors, "host", "left")
     others = F.transform(F.zip_with("sums", "belief", lambda s, b: F.greatest(s - b, F.lit(0.0))), lambda x: x)
     prior = F.transform(_add(others, F.transform("above", lambda p: p * HOST_WEIGHT)), lambda x: x / (F.col("n") - 1 + HOST_WEIGHT))
+    prior = F.coalesce(prior, base)
     d = d.withColumn("beliefs", _belief(F.zip_with("log", prior, lambda e, p: e + F.log(p))))
     first = lambda c: F.get(F.array(*map(F.lit, languages)), F.array_position(c, F.array_max(c)).cast("int") - 1)
     return d.select(
