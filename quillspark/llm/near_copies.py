@@ -30,7 +30,7 @@ LEAST_EQUAL = 78
 #: Texts of a block, of which a task compares two at once.
 BLOCK = 2048
 #: Shingles of the sets that a task keeps at hand while it compares pairs.
-SHINGLES_HELD = 4_000_000
+SHINGLES_HELD = 2_000_000
 
 
 def _mixed(x):

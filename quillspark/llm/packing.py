@@ -24,6 +24,8 @@ from quillspark.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
+#: Entries of a worker's caches: less than elsewhere, as the pipeline packs beside a heap that earlier stages have filled.
+CACHE_ENTRIES = 300_000
 #: Width of a length class in tokens, and the most pieces of a pattern.
 CLASS, MOST_IN_PATTERN = 8, 3
 
@@ -38,7 +40,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def rows(batches):
         import pyarrow as pa
 
-        enc, end, step = encoder(tokenizer), end_id.to_bytes(4, "little"), 4 * capacity
+        enc, end, step = encoder(tokenizer, CACHE_ENTRIES), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             at, number, start, length, crc = [], [], [], [], []
             for row, text in enumerate(batch.column("text")):

@@ -64,7 +64,7 @@ class TextEncoder:
     it gets that token's id as there. A null text is an empty one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         import json
 
         from tokenizers import Tokenizer
@@ -77,9 +77,9 @@ class TextEncoder:
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.table = _byte_letters()
-        self.chunks = _Cache(self._chunk)
-        self.spaced = _Cache(self._spaced)
-        self.pieces = _Cache(self._piece)
+        self.chunks = _Cache(self._chunk, entries)
+        self.spaced = _Cache(self._spaced, entries)
+        self.pieces = _Cache(self._piece, entries)
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -130,9 +130,9 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> TextEncoder:
     """One encoder for each tokenizer file and Python worker; its caches last from task to task."""
-    return TextEncoder(path)
+    return TextEncoder(path, entries)
 
 
 def tokenizer_path(name: str) -> str:
