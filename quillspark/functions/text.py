@@ -144,11 +144,26 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\n", -1), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def claim_text(c: Column) -> Column:
-    """A stated claim: single spaces, no bullet before it, no quotes around it, 600 characters and a mark at most."""
+def _bare(c: Column, most: int) -> Column:
     bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"^[-*•]\s*", ""))
     bare = F.trim(F.btrim(F.btrim(bare, F.lit('"')), F.lit("'")))
-    return let(bare, lambda x: truncated(x, 600))
+    return let(bare, lambda x: truncated(x, most))
+
+
+def claim_text(c: Column) -> Column:
+    """A stated claim: single spaces, no bullet before it, no quotes around it, 600 characters and a mark at most."""
+    return _bare(c, 600)
+
+
+def said_sentence(c: Column) -> Column:
+    """A sentence that is to be said: as a claim, 700 characters and a mark at most; null stays null."""
+    return _bare(c, 700)
+
+
+def appended(partial: Column, sentence: Column) -> Column:
+    """A text and one more sentence after it, with a full stop between them where the text has no end."""
+    ended = F.right(partial, F.lit(1)).isin(".", "!", "?")
+    return F.when(sentence == "", partial).when(partial == "", sentence).when(ended, F.concat(partial, F.lit(" "), sentence)).otherwise(F.concat(partial, F.lit(". "), sentence))
 
 
 def claim_sentences(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillspark.functions import lexicon as L
 from quillspark.functions.evaluate import markers
 from quillspark.jobs import evaluations as V
+from quillspark.operators import active_loop as ACTIVE
 from quillspark.operators import claim_loop as LOOP
 from quillspark.jobs.oracles import _CLAIMS, _PAIRS, _POLICY, _ROUTES, _SURENESS, _any, _f1, _negated, _normal, _overlap, _q, _low, _sentences, _stated, _tokens
 
@@ -168,6 +169,77 @@ _LOOP = f"""
     )
 """
 
+_NEEDS = "rule IN ('documental_cue', 'number_or_date', 'factual_relation_cue', 'comparison_cue', 'named_entity', 'question_multi_entity')"
+
+
+def _said(c: str) -> str:
+    bare = rf"trim(regexp_replace(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '^[-*•]\\s*', ''))"
+    bare = f"trim(trim(trim({bare}, {_q(chr(34))}), {_q(chr(39))}))"
+    return f"CASE WHEN length({bare}) > 700 THEN rtrim(({bare})[1:700]) || ' [...]' ELSE {bare} END"
+
+
+_TASK = """CASE (SELECT any_value(z.route) FROM routed z WHERE z.conv_id = parts.conv_id AND z.turn = parts.turn - 1)
+               WHEN 'retrieve' THEN 'open_retrieval' WHEN 'direct' THEN 'open_direct' ELSE 'open_qa' END AS task"""
+_WRITING = (
+    _POLICY.replace(_sentences("answer"), f"list_transform({_sentences('answer')}, lambda s: {_said('s')})")
+    .replace("CASE conv_id % 5 WHEN 0 THEN 'multiple_choice' WHEN 1 THEN 'open_direct' ELSE 'open_qa' END AS task", _TASK)
+    .replace("CASE turn % 3 WHEN 0 THEN 'conservative' WHEN 1 THEN 'balanced' ELSE 'aggressive' END AS bias", "'balanced' AS bias")
+)
+_F1_OF = lambda n, a, b: f"CASE WHEN {n} > 0 THEN 2.0 * {n} / (len({a}) + len({b})) ELSE 0 END"
+_ENDED = lambda partial, s: f"CASE WHEN {partial} = '' THEN {s} WHEN right({partial}, 1) IN ('.', '!', '?') THEN {partial} || ' ' || {s} ELSE {partial} || '. ' || {s} END"
+_MARKED = lambda c, marks: _any(_low(c), marks)
+
+# one sentence after the other: the recursion carries the text, the searches spent and the pieces seen
+_ACTIVE = f"""
+    apc AS (SELECT conv_id, turn AS piece, {_normal("text")} AS e FROM conversations WHERE role = 'user' AND trim(text) <> ''),
+    apt AS (SELECT *, {_tokens("e")} AS et, {_negated("e")} AS en FROM apc),
+    asaid AS (SELECT conv_id, turn, pos + 1 AS step, said, rule, task, {_NEEDS} AS needed, {_normal("coalesce(question, '') || ' ' || said")} AS w, {_normal("said")} AS c FROM decided WHERE pos < {ACTIVE.STEPS}),
+    atok AS (SELECT *, {_tokens("w")} AS wt, {_tokens("c")} AS ct FROM asaid),
+    amet AS (SELECT k.*, piece, e, et, en, {_overlap("wt", "et")} AS nw, {_overlap("ct", "et")} AS nc FROM atok k JOIN apt ON apt.conv_id = k.conv_id WHERE needed),
+    ascored AS (
+      SELECT conv_id, turn, step, piece, en, CASE WHEN w <> '' AND contains(e, w) THEN 0.98 ELSE {_F1_OF("nw", "wt", "et")} END AS fw, c <> '' AND contains(e, c) AS inside,
+             {_F1_OF("nc", "ct", "et")} AS f0, CASE WHEN len(ct) > 0 AND len(et) > 0 THEN nc / len(ct) ELSE 0 END AS p0, CASE WHEN len(ct) > 0 AND len(et) > 0 THEN nc / len(et) ELSE 0 END AS r0 FROM amet
+    ),
+    alist AS (
+      SELECT conv_id, turn, step, list({{'piece': piece, 'f1': CAST(CASE WHEN inside THEN greatest(f0, 0.98) ELSE f0 END AS DOUBLE), 'p': CAST(CASE WHEN inside THEN greatest(p0, 0.98) ELSE p0 END AS DOUBLE),
+             'r': CAST(CASE WHEN inside THEN greatest(r0, 0.98) ELSE r0 END AS DOUBLE), 'en': en}} ORDER BY fw DESC, piece) AS list FROM ascored WHERE fw >= {ACTIVE.LEAST} GROUP BY ALL
+    ),
+    asteps AS (SELECT k.*, list FROM atok k LEFT JOIN alist l ON l.conv_id = k.conv_id AND l.turn = k.turn AND l.step = k.step),
+    awrite AS (
+      SELECT conv_id, turn, CAST(0 AS BIGINT) AS step, '' AS rule, FALSE AS needed, FALSE AS searched, '' AS skipped, []::BIGINT[] AS retrieved, '' AS status, FALSE AS abstains,
+             CAST(0 AS DOUBLE) AS confidence, '' AS partial, '' AS stop, CAST(0 AS BIGINT) AS spent, []::BIGINT[] AS seen FROM pairs
+      UNION ALL
+      SELECT conv_id, turn, step, rule, needed, searched, skipped, retrieved, status, abstains, confidence, {_ENDED("partial", "sentence")} AS partial,
+             CASE WHEN task = 'open_retrieval' AND searched AND len(retrieved) > 0 AND status = 'supported' AND confidence >= {ACTIVE.SETTLED} AND NOT {_MARKED("sentence", L.CLARIFICATION_MARKERS)} THEN 'settled'
+               WHEN step >= {ACTIVE.STEPS} THEN 'max_steps' WHEN abstains THEN 'abstained' WHEN {_MARKED("sentence", L.CLARIFICATION_MARKERS)} THEN 'clarification' ELSE '' END AS stop,
+             spent + CAST(searched AS BIGINT) AS spent, list_concat(seen, retrieved) AS seen
+      FROM (
+        SELECT *, CASE WHEN NOT searched OR status = 'supported' THEN said ELSE '{ACTIVE.NOTHING_FOUND}' END AS sentence,
+               CASE WHEN searched THEN status <> 'supported' ELSE {_MARKED("said", L.ABSTENTION_MARKERS)} END AS abstains
+        FROM (
+          SELECT *, CASE WHEN NOT searched THEN 'not_checked' WHEN rule_no = 4 THEN 'refuted' WHEN rule_no = 5 THEN 'supported' ELSE 'not_enough_info' END AS status,
+                 CAST(CASE WHEN NOT searched THEN least(length(said) / 100.0, 1) WHEN rule_no = 1 THEN 1 WHEN rule_no = 3 THEN 0.9 WHEN rule_no = 4 THEN least(0.85, greatest(0.55, best.f1))
+                   WHEN rule_no = 5 THEN least(0.92, greatest(0.55, best.f1)) ELSE 0.72 END AS DOUBLE) AS confidence
+          FROM (
+            SELECT *, {_ruled("best.f1", "best.p", "best.r", "(len(list_filter(found, lambda x: x.en)) > 0)", "len(found)")} AS rule_no FROM (
+              SELECT *, 'factual' AS claim_type, list_transform(found, lambda x: x.piece) AS retrieved,
+                     list_sort(list_transform(found, lambda x: {{'f1': x.f1, 'at': -x.piece, 'p': x.p, 'r': x.r}}), 'DESC')[1] AS best
+              FROM (
+                SELECT *, CASE WHEN searched THEN coalesce(list_filter(list, lambda x: NOT list_contains(seen, x.piece)), [])[1:CAST(least({ACTIVE.PER_STEP}, {ACTIVE.MOST_PIECES} - len(seen)) AS BIGINT)] ELSE [] END AS found FROM (
+                  SELECT *, needed AND skipped = '' AS searched FROM (
+                    SELECT s.conv_id, s.turn, s.step, s.said, s.rule, s.task, s.needed, s.c, s.list, w.partial, w.spent, w.seen,
+                           CASE WHEN s.needed AND w.spent >= {ACTIVE.SEARCHES} THEN 'max_retrieval_steps_reached' WHEN s.needed AND len(w.seen) >= {ACTIVE.MOST_PIECES} THEN 'max_total_chunks_reached' ELSE '' END AS skipped
+                    FROM awrite w JOIN asteps s ON s.conv_id = w.conv_id AND s.turn = w.turn AND s.step = w.step + 1 WHERE w.stop = '' AND s.said <> ''
+                  )
+                )
+              )
+            )
+          )
+        )
+      )
+    )
+"""
+
 _CLAIMED = f"""
     cjoined AS (SELECT r.*, asks AS clarified, coalesce(n_claims, 0) AS nc, coalesce(n_supported, 0) AS ns, coalesce(n_refuted, 0) AS nr, coalesce(n_open, 0) AS no_
                 FROM runs r LEFT JOIN csums s ON s.conv_id = r.conv_id AND s.turn = r.turn),
@@ -185,7 +257,6 @@ _CLAIMED = f"""
 _EVEN = _POLICY.replace("CASE conv_id % 5 WHEN 0 THEN 'multiple_choice' WHEN 1 THEN 'open_direct' ELSE 'open_qa' END AS task", "'open_qa' AS task").replace(
     "CASE turn % 3 WHEN 0 THEN 'conservative' WHEN 1 THEN 'balanced' ELSE 'aggressive' END AS bias", "'balanced' AS bias"
 )
-_NEEDS = "rule IN ('documental_cue', 'number_or_date', 'factual_relation_cue', 'comparison_cue', 'named_entity', 'question_multi_entity')"
 _STEPS = f"steps AS (SELECT conv_id, turn, pos, rule, {_NEEDS} AS needs, {_SURENESS} FROM decided)".replace("AS confidence,", "AS confidence")
 
 _LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
@@ -253,6 +324,17 @@ EVALUATION_SQL = {
         (['supported', 'refuted', 'not_enough_info', 'not_enough_info'])[conv_id % 4 + 1] AS verdict, CAST(0.9 AS DOUBLE) AS confidence,
         CASE WHEN list_contains(ids, 'q1') THEN 'q1' WHEN conv_id % 4 = 0 THEN coalesce(ids[1], '') ELSE '' END AS supporting, CASE WHEN conv_id % 4 = 1 THEN coalesce(ids[1], '') ELSE '' END AS refuting,
         conv_id % 4 >= 2 AS needs_more, CASE WHEN conv_id % 4 >= 2 THEN 'more' END AS next_search FROM w""",
+    "active_steps": f"""WITH RECURSIVE {_PAIRS}, {_ROUTES}, {_WRITING}, {_ACTIVE}
+      SELECT conv_id, turn, step, rule, needed, searched, skipped, array_to_string(retrieved, '|') AS retrieved, status, abstains, round(confidence, 6) AS confidence, md5(partial) AS partial_md5, stop
+      FROM awrite WHERE step > 0""",
+    "active_answers": f"""WITH RECURSIVE {_PAIRS}, {_ROUTES}, {_WRITING}, {_ACTIVE},
+      ends AS (
+        SELECT conv_id, turn, arg_max(partial, step) AS said, round(avg(confidence) FILTER (step > 0), 4) AS confidence, coalesce(bool_or(step > 0 AND (abstains OR status IN ('not_enough_info', 'refuted'))), FALSE) AS open_,
+               count(*) FILTER (step > 0) AS n_steps, count(*) FILTER (searched) AS n_searches, flatten(list(retrieved ORDER BY step)) AS evidence, arg_max(stop, step) AS stop FROM awrite GROUP BY ALL
+      )
+      SELECT conv_id, turn, md5(CASE WHEN said = '' THEN '{ACTIVE.NOTHING_FOUND}' ELSE said END) AS answer_md5, coalesce(confidence, 0) AS confidence,
+        said = '' OR open_ OR {_MARKED("said", [*L.ABSTENTION_MARKERS, *L.CLARIFICATION_MARKERS])} AS abstained, n_steps, n_searches, array_to_string(evidence, '|') AS evidence,
+        CASE WHEN stop = '' THEN 'finished' ELSE stop END AS stop FROM ends""",
     "claims_evaluation": f"WITH {_PAIRS}, {_ROUTES}, {_runs("claims")}, {_CLAIMS}, {_EVIDENCE}, {_CLAIMED} SELECT * FROM claimed",
     "choice_answers": r"""WITH g AS (SELECT *, substring('ABCD', CAST(length(text) % 4 + 1 AS BIGINT), 1) AS gold FROM conversations),
       r AS (SELECT *, trim(CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'The answer is ' || lower(gold) || '.' WHEN 2 THEN gold || ' ) ' ELSE text || chr(10) || 'opción ' || gold END) AS raw FROM g),

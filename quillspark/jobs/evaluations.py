@@ -11,6 +11,7 @@ from quillspark.functions import match as M
 from quillspark.functions import rules as R
 from quillspark.functions import text as T
 from quillspark.jobs.queries import _claims, _read, _turn_pairs
+from quillspark.operators import active_loop as active
 from quillspark.operators import claim_loop as loop
 from quillspark.operators import lexical
 from quillspark.operators import metrics as AG
@@ -253,6 +254,46 @@ def choice_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", "turn", "letter", "gold", (F.col("letter") == F.col("gold")).alias("correct"), (F.col("letter") != "").alias("valid"))
 
 
+def _written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(answers, their trace): every answer's sentences written one by one, with searches among the pieces of its conversation."""
+    d = _turn_pairs(spark, sf_dir).select("conv_id", "turn", "question", R.question_signs(F.col("question")).alias("asked"), T.sentences(F.col("answer")).alias("sentences"))
+    route = R.route(F.col("question"))["route"]
+    task = T.let(route, lambda r: F.when(r == "retrieve", "open_retrieval").when(r == "direct", "open_direct").otherwise("open_qa"))
+    answers = stored(d.select("*", task.alias("task"), F.lit("balanced").alias("bias")), "answers")
+    pieces = _pieces(spark, sf_dir)
+    counts = _piece_counts(pieces)
+
+    def search(asking: DataFrame) -> DataFrame:
+        wanted = T.normal(F.concat_ws(" ", "question", "candidate"))
+        d = asking.select("conv_id", F.struct("turn").alias("id"), wanted.alias("c"), T.normal(F.col("candidate")).alias("own")).withColumn("tokens", T.tokens(F.col("c")))
+        d = d.withColumn("inner", F.array().cast("array<string>"))
+        met = _scored(d, pieces, counts, active.LEAST).select("conv_id", "id", "piece", F.col("s.f1").alias("rank_score"), "en")
+        of_piece = pieces.select("conv_id", "piece", "e", F.col("tokens").alias("et"))
+        both = met.join(d.select("conv_id", "id", "own"), ["conv_id", "id"]).join(of_piece, ["conv_id", "piece"])
+        scores = R.scores_against(F.col("own"), T.tokens(F.col("own")), F.col("e"), F.col("et"))
+        return both.select("conv_id", "id.turn", "piece", "rank_score", scores.alias("s"), "en")
+
+    return answers, active.write_answers(answers, ["conv_id", "turn"], search)
+
+
+def active_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence that is written: was evidence needed, by which rule, what was found, what became of the sentence."""
+    d = _written(spark, sf_dir)[1]
+    return d.select(
+        "conv_id", "turn", "step", "rule", "needed", "searched", "skipped", F.array_join(F.col("retrieved").cast("array<string>"), "|").alias("retrieved"), "status", "abstains",
+        F.round("confidence", 6).alias("confidence"), F.md5(F.col("partial").cast("binary")).alias("partial_md5"), "stop",
+    )
+
+
+def active_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every answer as it ends."""
+    d = active.final_answers(*_written(spark, sf_dir), ["conv_id", "turn"])
+    return d.select(
+        "conv_id", "turn", F.md5(F.col("answer").cast("binary")).alias("answer_md5"), "confidence", "abstained", "n_steps", "n_searches",
+        F.array_join(F.col("evidence").cast("array<string>"), "|").alias("evidence"), "stop",
+    )
+
+
 # -- payloads of claims -------------------------------------------------------------------------
 
 
@@ -452,7 +493,7 @@ def run_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVALUATIONS = {
     f.__name__: f
     for f in (
-        adaptive_evaluation, adaptive_summary, active_evaluation, claim_evidence, claim_summary, answer_repairs, claim_loop, claims_evaluation, choice_answers, trace_fields,
+        adaptive_evaluation, adaptive_summary, active_evaluation, claim_evidence, claim_summary, answer_repairs, claim_loop, active_steps, active_answers, claims_evaluation, choice_answers, trace_fields,
         retrieval_loop, router_payloads, claim_objects, claim_payloads, nested_chunks, nested_qrels, nested_questions, no_answer_rows, normalised_sources, run_issues,
     )
 }
