@@ -87,7 +87,7 @@ def whole(value: Column, path: str) -> Column:
     return F.replace(text(value, path), F.lit(","), F.lit(".")).try_cast("double").cast("long")
 
 
-def _share(c: Column) -> Column:
+def share(c: Column) -> Column:
     """A number as a share: over 1 and up to 100 is a percentage; brought into [0, 1]; null if it is none."""
     x = F.replace(F.trim(c), F.lit(","), F.lit(".")).try_cast("double")
     x = F.when((x > 1) & (x <= 100), x / 100).otherwise(x)
@@ -185,7 +185,7 @@ def verification(value: Column, chunk_ids: Column, needs_more: Column | bool = F
         rationale = F.coalesce(text(value, "rationale"), E.canonical(v, RATIONALES))
         more = F.coalesce(T.boolean(text(value, "needs_more_evidence")), needs_more if isinstance(needs_more, Column) else F.lit(needs_more))
         return F.struct(
-            v.alias("verdict"), F.coalesce(_share(text(value, "confidence")), F.lit(0.0)).alias("confidence"), rationale.alias("rationale"),
+            v.alias("verdict"), F.coalesce(share(text(value, "confidence")), F.lit(0.0)).alias("confidence"), rationale.alias("rationale"),
             of("supported", "supporting_chunk_ids").alias("supporting"), of("refuted", "refuting_chunk_ids").alias("refuting"),
             (more & ~decided).alias("needs_more"), F.when(~decided, text(value, "next_search_query")).alias("next_search"),
         )
@@ -236,7 +236,7 @@ def claims_object(raw: Column, cells: dict[str, Column]) -> Column:
             odd = (decision != "") & ~decision.isin(*DECISIONS)
             why = F.concat_ws("; ", F.when(raw_given & ~fine, o["error"]), F.when(answer == "", "no answer"), F.when(odd, F.concat(F.lit("unknown decision "), decision)))
             return F.struct(
-                answer.alias("answer"), _share(pick("confidence")).alias("confidence"), T.boolean(pick("abstained"), False).alias("abstained"), decision.alias("final_decision"),
+                answer.alias("answer"), share(pick("confidence")).alias("confidence"), T.boolean(pick("abstained"), False).alias("abstained"), decision.alias("final_decision"),
                 T.boolean(pick("correction_applied"), False).alias("correction_applied"),
                 n("num_claims", F.size(rs)), n("num_supported_claims", of("supported")), n("num_refuted_claims", of("refuted")), n("num_nei_claims", of("not_enough_info")),
                 n("num_claims_requiring_evidence", F.size(F.filter(rs, lambda r: r["requires_evidence"]))),

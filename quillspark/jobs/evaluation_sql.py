@@ -367,6 +367,23 @@ EVALUATION_SQL = {
       )
       SELECT 'mc_' || item_id AS id, 'multiple_choice' AS case_type, md5(trim(coalesce(text, ''))) AS question_md5, md5(substring('ABCD', CAST(item_id % 4 + 1 AS BIGINT), 1)) AS gold_md5 FROM benchmark
       UNION ALL SELECT 'open_' || conv_id || '_' || turn, 'open_qa', md5(question), md5(gold) FROM q""",
+    "seeded_order": "SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) - 1 AS place FROM documents",
+    "task_profiles": f"""WITH w AS (SELECT conv_id, turn, list_filter(string_split({_normal("trim(coalesce(text, ''))")}, ' '), lambda x: x <> '') AS ws, (conv_id + turn) % 5 AS kind FROM conversations WHERE role = 'user'),
+      o AS (SELECT *, CASE kind WHEN 0 THEN list_filter([{{'l': 'A', 't': ws[1]}}, {{'l': 'B', 't': ws[2]}}, {{'l': 'C', 't': ws[3]}}, {{'l': 'D', 't': ws[4]}}], lambda x: coalesce(x.t, '') <> '')
+          WHEN 1 THEN list_filter([{{'l': 'A', 't': ws[1]}}, {{'l': 'B', 't': ws[2]}}, {{'l': 'C', 't': ws[3]}}, {{'l': 'D', 't': ws[4]}}], lambda x: coalesce(x.t, '') <> '')
+          WHEN 2 THEN list_filter([{{'l': 'A', 't': ws[1]}}, {{'l': 'C', 't': ws[3]}}], lambda x: coalesce(x.t, '') <> '') ELSE [] END AS os,
+        CASE kind WHEN 0 THEN len(ws) >= 4 WHEN 1 THEN len(ws) >= 2 ELSE FALSE END AS fine FROM w),
+      t AS (SELECT *, CASE WHEN fine THEN 'multiple_choice' WHEN conv_id % 4 = 0 OR turn % 4 = 0 THEN 'open_retrieval' WHEN conv_id % 4 = 1 THEN 'open_direct' WHEN turn % 4 = 1 THEN 'ambiguous' ELSE 'open_qa' END AS task_type,
+        CASE WHEN turn % 3 = 1 THEN upper(coalesce(ws[2], '')) ELSE 'IT IS (C).' END AS said FROM o)
+      SELECT conv_id, turn, len(os) AS n_options, fine AS has_options,
+        CASE WHEN turn % 3 = 0 AND turn % 7 <= 3 THEN substring('ABCD', CAST(turn % 7 + 1 AS BIGINT), 1) WHEN turn % 3 = 0 AND turn % 7 = 4 THEN 'D'
+          WHEN said IN ('A', 'B', 'C', 'D') THEN said WHEN regexp_extract(said, '\\b([ABCD])\\b', 1) <> '' THEN regexp_extract(said, '\\b([ABCD])\\b', 1)
+          ELSE coalesce(list_filter(os, lambda x: x.t = {_normal("said")} AND x.t <> '')[1].l, '') END AS gold,
+        task_type, CASE task_type WHEN 'open_retrieval' THEN 'aggressive' WHEN 'open_qa' THEN 'balanced' ELSE 'conservative' END AS retrieval_bias,
+        CASE WHEN task_type = 'multiple_choice' THEN 'multiple_choice' ELSE 'open' END AS question_format FROM t""",
+    "router_decisions": """WITH r AS (SELECT conv_id, turn, (['retrieve', 'abstain', 'direct', 'direct', 'clarify', 'retrieve', 'direct', 'direct'])[(conv_id + turn) % 8 + 1] AS route FROM conversations WHERE role = 'user')
+      SELECT conv_id, turn, route, CASE WHEN route <> 'retrieve' THEN 'none' WHEN turn % 5 IN (0, 3) THEN 'multi_step' ELSE 'single_step' END AS retrieval_mode,
+        CAST(([0.82, 0.5, 0.0, 0.0, 1.0])[conv_id % 5 + 1] AS DOUBLE) AS confidence, CASE WHEN turn % 2 = 0 THEN 'No reason given by the router.' ELSE 'said so' END AS reason FROM r""",
     "run_issues": f"""WITH {_PAIRS}, {_ROUTES}, {_runs("claims")}, {_CLAIMS}, {_EVIDENCE}, {_CLAIMED}, {", ".join(
         f"b{i} AS (SELECT '{level}' AS level, '{name}' AS category, conv_id || ':' || turn AS item FROM claimed WHERE {rule})" for i, (level, name, rule) in enumerate((
             ("critical", "run_error", "error_type = 'run_error'"), ("critical", "invalid_answer_format", "error_type = 'format_error'"), ("warning", "claim_refuted", "refuted_rate > 0"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import claim_payload as C
 from quillspark.functions import evaluate as E
 from quillspark.functions import match as M
+from quillspark.functions import profile as P
 from quillspark.functions import rules as R
 from quillspark.functions import text as T
 from quillspark.jobs.queries import _claims, _read, _turn_pairs
@@ -16,6 +17,7 @@ from quillspark.operators import claim_loop as loop
 from quillspark.operators import lexical
 from quillspark.operators import metrics as AG
 from quillspark.operators import nested
+from quillspark.operators import prep
 from quillspark.operators import quality as DQ
 from quillspark.sources.stored import stored
 
@@ -452,11 +454,44 @@ NO_ANSWER = ("What is missing from %s?", "Who rejected %s?", "When will %s end?"
 def no_answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question without an answer for each source, by templates in turn; sources are far fewer than documents."""
     d = _read(spark, sf_dir, "documents").where(F.col("source").isNotNull()).select("source").distinct()
-    d = d.withColumn("place", F.row_number().over(Window.orderBy("source")) - 1)
+    d = prep.numbered(d, "source")
     text = F.replace(F.get(F.array(*map(F.lit, NO_ANSWER)), F.col("place") % len(NO_ANSWER)), F.lit("%s"), F.col("source"))
     return d.select(F.format_string("none_%04d", "place").alias("id"), text.alias("question"), F.lit("abstain").alias("expected_behavior"))
 
 
+def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in one seeded order."""
+    return prep.seeded_order(_read(spark, sf_dir, "documents").select("doc_id"), "doc_id", "42")
+
+
+def task_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a question of some data set, some with options in columns or a cell: its options, gold letter by number, letter or text, task and bias."""
+    c = _read(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", T.clean(F.col("text")).alias("text"))
+    d = c.withColumn("words", F.filter(F.split(T.normal(F.col("text")), " "), lambda w: w != ""))
+    word = lambda i: F.coalesce(F.get("words", F.lit(i)), F.lit(""))
+    kind = (F.col("conv_id") + F.col("turn")) % 5
+    columns = [F.when(kind == 0, word(i)).otherwise("") for i in range(4)]
+    cell = F.when(kind == 1, F.to_json(F.slice("words", 1, 6))).when(kind == 2, F.to_json(F.struct(word(0).alias("A"), word(2).alias("C")))).otherwise("")
+    data = F.get(F.array(*map(F.lit, ("HotpotQA mini", "TruthfulQA", "", "other"))), (F.col("conv_id") % 4).cast("int"))
+    case = F.get(F.array(*map(F.lit, ("rag_bridge", "ambiguous_x", "", "direct"))), (F.col("turn") % 4).cast("int"))
+    choices, fine = P.options(columns, cell), P.has_options(columns, cell)
+    number = F.when(F.col("turn") % 3 == 0, (F.col("turn") % 7).cast("string")).otherwise("")
+    said = F.when(F.col("turn") % 3 == 1, F.concat(F.lit(" "), F.upper(word(1)))).otherwise("It is (c).")
+    d = d.select("conv_id", "turn", choices.alias("o"), fine.alias("fine"), number.alias("number"), said.alias("said"), P.task_profile(fine, data, case, F.lit("")).alias("p"))
+    return d.select("conv_id", "turn", F.size("o").cast("long").alias("n_options"), F.col("fine").alias("has_options"), P.gold_letter([F.col("number")], [F.col("said")], F.col("o")).alias("gold"), "p.*")
+
+
+def router_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn with a router's loose answer, validated: unknown routes, modes and shares take their defaults."""
+    c = _read(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    pick = lambda xs, at: F.get(F.array(*[F.lit(x) for x in xs]), at.cast("int"))
+    route = pick(("Use RAG", "no-answer", "sideways", "", " clarification ", "RETRIEVE", "direct answer", "active"), (F.col("conv_id") + F.col("turn")) % 8)
+    mode = pick(("Multi hop", "simple", "none", "iterative", "??"), F.col("turn") % 5)
+    share = pick(("82", "0,5", "x", "-3", "1.0"), F.col("conv_id") % 5)
+    d = c.select("conv_id", "turn", P.decision(route, mode, share, F.when(F.col("turn") % 2 == 0, " ").otherwise("said so")).alias("d"))
+    return d.select("conv_id", "turn", "d.*")
+
+
 def normalised_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as multiple-choice and user turns as open questions, in one schema."""
     b = _read(spark, sf_dir, "benchmark").select(
@@ -494,6 +529,6 @@ EVALUATIONS = {
     f.__name__: f
     for f in (
         adaptive_evaluation, adaptive_summary, active_evaluation, claim_evidence, claim_summary, answer_repairs, claim_loop, active_steps, active_answers, claims_evaluation, choice_answers, trace_fields,
-        retrieval_loop, router_payloads, claim_objects, claim_payloads, nested_chunks, nested_qrels, nested_questions, no_answer_rows, normalised_sources, run_issues,
+        retrieval_loop, router_payloads, claim_objects, claim_payloads, nested_chunks, nested_qrels, nested_questions, no_answer_rows, seeded_order, task_profiles, router_decisions, normalised_sources, run_issues,
     )
 }
