@@ -290,6 +290,8 @@ ORACLES = {
     "vec_index_check": """SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_ids, CAST(min(len(embedding)) AS INTEGER) AS min_dim,
       CAST(max(len(embedding)) AS INTEGER) AS max_dim,
       round(max(abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1)), 6) AS max_norm_error FROM embeddings""",
+    "vec_index_parts": """WITH n AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, len(embedding) AS dim, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm FROM embeddings)
+      SELECT place // 150 AS part, count(*) AS n_rows, min(place) AS "first", max(place) AS "last", min(dim) AS min_dim, round(max(abs(norm - 1)), 6) > 0.001 AS norm_is_off, CAST(0 AS BIGINT) AS n_issues FROM n GROUP BY ALL""",
     "text_normalise_stats": f"""WITH n AS (SELECT doc_id, {_words("text")} AS n_words, {_normal("text")} AS norm FROM documents),
       t AS (SELECT *, {_tokens("norm")} AS tokens FROM n)
       SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(length(norm) AS BIGINT) AS norm_chars, CAST(len(tokens) AS BIGINT) AS n_tokens,

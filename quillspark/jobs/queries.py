@@ -15,6 +15,8 @@ from quillspark.operators import metrics as AG
 from quillspark.operators import prep as DP
 from quillspark.operators import quality as DQ
 from quillspark.operators import vector as VE
+from quillspark.sources import vector_index
+from quillspark.sources.stored import location
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +69,15 @@ def vec_index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VE.index_check(_vectors(spark, sf_dir)[1])
 
 
+def vec_index_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors written as an index of small parts: what its manifest says, and what a check of the written parts finds."""
+    path = location(spark, "index")
+    manifest = vector_index.write_index(_vectors(spark, sf_dir)[1], path, part=150)
+    issues = vector_index.check_index(spark, path).groupBy("part").agg(F.count("*").alias("n_issues"))
+    d = manifest.join(issues, "part", "left")
+    return d.select("part", "n_rows", "first", "last", F.col("min_dim").cast("long").alias("min_dim"), (F.col("norm_error") > vector_index.TOLERANCE).alias("norm_is_off"), F.coalesce("n_issues", F.lit(0)).alias("n_issues"))
+
+
 # -- text and matching --------------------------------------------------------------------------
 
 
@@ -472,7 +483,7 @@ def keyword_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        vec_ir_metrics, vec_topk, vec_topk_exclude_seen, vec_index_check, text_normalise_stats, sentence_stats, turn_token_f1, text_ladder,
+        vec_ir_metrics, vec_topk, vec_topk_exclude_seen, vec_index_check, vec_index_parts, text_normalise_stats, sentence_stats, turn_token_f1, text_ladder,
         best_match, claim_verdicts, open_answers, route_turns, routed_prompts, route_counts, coerce_confidences, json_payload_fields,
         list_cells, group_summary, confusion_quality, prf_quality, question_rollup, value_counts, dq_issue_counts, dq_status, dq_keys,
         reconcile_orders, review_reasons, resume_todo, head_n_per_group, hash_sample, qrels_remap, strata_union, turn_positions, retrieval_policy,

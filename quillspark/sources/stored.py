@@ -5,15 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet under ``spark.checkpoint.dir`` and reread: what follows is computed once and survives lost executors.
-
-    Where that setting is absent a local folder is used, in local mode only.
-    """
-    spark = df.sparkSession
+def location(spark: SparkSession, name: str) -> str:
+    """A new place under ``spark.checkpoint.dir``; where that is absent under a local folder, in local mode only."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
@@ -21,6 +17,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and reread: what follows is computed once and survives lost executors."""
+    path = location(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
