@@ -57,6 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 + [pa.array(x, pa.int64()) for x in (start, length, crc)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        enc.forget()  # the worker goes on to other stages
 
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -81,6 +81,12 @@ class TextEncoder:
         self.spaced = _Cache(self._spaced, entries)
         self.pieces = _Cache(self._piece, entries)
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        for cache in (self.chunks, self.spaced, self.pieces):
+            cache.clear()
+            cache.before = {}
+
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
