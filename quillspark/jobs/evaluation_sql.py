@@ -347,11 +347,11 @@ EVALUATION_SQL = {
              coalesce(array_to_string({_ONCE("rs")}, '|'), '') AS rules, round(mc, 6) AS mean_confidence FROM pairs p LEFT JOIN s ON s.conv_id = p.conv_id AND s.turn = p.turn""",
     "retrieval_loop": f"""WITH {_PAIRS}, {_EVEN}, {_STEPS},
       ends AS (SELECT conv_id, turn, count(*) AS n, min(pos + 1) FILTER (rule = 'abstention_sentence') AS first_abstention FROM steps GROUP BY ALL),
-      taken AS (SELECT *, least(n, {V.MAX_STEPS}, coalesce(first_abstention, n)) AS k FROM ends),
+      taken AS (SELECT *, least(n, coalesce(first_abstention, n)) AS k FROM ends),
       asked_for AS (SELECT t.conv_id, t.turn, k, first_abstention, count(*) FILTER (needs AND pos < k) AS wants FROM taken t JOIN steps s ON s.conv_id = t.conv_id AND s.turn = t.turn GROUP BY ALL)
       SELECT p.conv_id, p.turn, CAST(coalesce(k, 0) AS INTEGER) AS steps, CAST(coalesce(least(wants, {V.MAX_RETRIEVALS}), 0) AS INTEGER) AS retrievals,
              CAST(coalesce(greatest(wants - {V.MAX_RETRIEVALS}, 0), 0) AS INTEGER) AS denied,
-             CASE WHEN k = first_abstention THEN 'abstained' WHEN k = {V.MAX_STEPS} THEN 'max_steps' ELSE 'finished' END AS stop
+             CASE WHEN k = first_abstention THEN 'abstained' ELSE 'finished' END AS stop
       FROM pairs p LEFT JOIN asked_for f ON f.conv_id = p.conv_id AND f.turn = p.turn""",
     "router_payloads": f"""WITH {_ROUTES}, n AS (SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 AND turn % 5 = 0 THEN '' ELSE route END AS route, retrieval_mode AS mode, trunc(confidence * 100) / 100 AS c FROM routed)
       SELECT conv_id, turn, route, mode, round(c, 6) AS confidence, route <> '' AND (CASE WHEN route = 'retrieve' THEN mode IN ('single_step', 'multi_step') ELSE mode = 'none' END) AS valid FROM n""",

@@ -346,8 +346,8 @@ def claim_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- traces -------------------------------------------------------------------------------------
 
 _STEP = "array<struct<sentence:string,needs_retrieval:boolean,rule:string,confidence:double>>"
-#: Budgets of the loop: sentences, and retrievals among them.
-MAX_STEPS, MAX_RETRIEVALS = 8, 3
+#: Retrievals among an answer's sentences; the sentences themselves are all walked.
+MAX_RETRIEVALS = 3
 
 
 def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,14 +377,15 @@ def trace_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def retrieval_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every answer written sentence by sentence under budgets, as a fold over its trace: steps taken, retrievals, why it ended."""
+def retrieval_loop(spark: SparkSession, sf_dir: str, steps: int | None = None, retrievals: int | None = MAX_RETRIEVALS) -> DataFrame:
+    """Every answer written sentence by sentence under budgets (None: no bound), as a fold over its trace: steps taken, retrievals, why it ended."""
     d = _traces(spark, sf_dir).select("conv_id", "turn", F.from_json("trace", _STEP).alias("t"))
     start = F.struct(F.lit(0).alias("steps"), F.lit(0).alias("retrievals"), F.lit(0).alias("denied"), F.lit("").alias("stop"))
 
     def step(acc, s):
-        granted = s["needs_retrieval"] & (acc["retrievals"] < MAX_RETRIEVALS)
-        stop = F.when(s["rule"] == "abstention_sentence", "abstained").when(acc["steps"] + 1 >= MAX_STEPS, "max_steps").otherwise("")
+        granted = s["needs_retrieval"] if retrievals is None else s["needs_retrieval"] & (acc["retrievals"] < retrievals)
+        last = F.lit(False) if steps is None else acc["steps"] + 1 >= steps
+        stop = F.when(s["rule"] == "abstention_sentence", "abstained").when(last, "max_steps").otherwise("")
         taken = F.struct(
             (acc["steps"] + 1).alias("steps"),
             (acc["retrievals"] + granted.cast("int")).alias("retrievals"),
