@@ -20,27 +20,43 @@ from quillspark.llm.tokens import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base checks and the certified cutoffs."""
+    """Documents that pass the base checks and the certified cutoffs.
+
+    Null and empty texts fail the base checks; repeated rows are judged each by itself; an empty table
+    gives an empty one; further columns, of any name, are kept.
+    """
     return apply_rules(docs, read(spark, sf_dir, "labels"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine, fitted on those that are left, scores as good."""
+    """Documents that the factorisation machine, fitted on those that are left, scores as good.
+
+    Without labelled documents of both kinds every document has one score, the share of good labels. Null
+    texts are scored as empty ones; repeated rows have one verdict; an empty table gives an empty one.
+    """
     return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: by SimHash, or by 0.8 of five-word shingles and more."""
+    """One document of each group of near duplicates: by SimHash, or by 0.8 of five-word shingles and more.
+
+    The smallest doc_id of a group stays, of groups without any one of its rows; of repeated rows one. Null,
+    empty and wordless texts are one group. An empty table gives an empty one; further columns are kept.
+    """
     return drop_near_duplicates(docs, similarity=0.8, shingle=5)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced."""
+    """All documents, secrets replaced; null texts stay null, repeated rows stay, further columns are kept."""
     return redact_secrets(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    """Where each piece of each document goes.
+
+    Null texts are empty and have the end id alone; rows that share a doc_id are packed each by itself; an
+    empty table gives no row. Which of several documents of one length takes which place is free.
+    """
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
