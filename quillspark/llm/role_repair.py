@@ -13,7 +13,7 @@ step depends on the rows' kind, the open stacks, their costs above the least and
 worked out once for each such case and looked up after that.
 
 Rows go to the partition of their conversation in one shuffle and are sorted there; a task reads them
-as a stream and keeps, of a conversation, a number for each row and a hash state for each open reading,
+as a stream and keeps, of a conversation, a reference for each row and a hash state for each open reading,
 no texts. A very long conversation is thus one sorted stream: the digest of its repaired text is
 sequential by its nature.
 
