@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most bytes of an Arrow batch of whole texts. Spark's default is 64 MB, of which the JVM and the Python worker of each
+#: running task hold one going in and one coming out.
+BATCH_BYTES = "8m"
 #: Words of every word-based operator: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The ASCII white space that ends a word.
@@ -40,6 +43,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session's plans hold ``BATCH_BYTES`` at most, where it has no setting of its own.
+
+    No result depends on it; it stays set, as plans are run after they are declared.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new, empty location of files under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

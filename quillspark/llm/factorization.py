@@ -21,7 +21,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read
+from quillspark.llm.common import read, small_batches
 from quillspark.llm.tokens import _Cache
 
 BUCKETS, RANK = 1 << 16, 8
@@ -169,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
             lists = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())))]
             yield pa.record_batch([*lists, batch.column("label"), batch.column("doc_id")], names=["idx", "val", "stats", "label", "doc_id"])
 
+    small_batches(docs.sparkSession)
     # at most `rows` rows of two numbers are broadcast
     sample = _with_length(docs).select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")
     # of rows that share a doc_id one teaches, so what is gathered stays within the bound
@@ -182,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """``docs`` with ``score`` as the last column, in place of any column of that name; repeated rows are scored each."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     names = [c for c in docs.columns if c != "score"]
 

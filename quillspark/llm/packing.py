@@ -19,13 +19,13 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read, stored
+from quillspark.llm.common import read, small_batches, stored
 from quillspark.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
 #: Entries of a worker's caches: less than elsewhere, as the pipeline packs beside a heap that earlier stages have filled.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 60_000
 #: Width of a length class in tokens, and the most pieces of a pattern.
 CLASS, MOST_IN_PATTERN = 8, 3
 
@@ -43,8 +43,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         enc, end, step = encoder(tokenizer, CACHE_ENTRIES), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             at, number, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column("text")):
-                ids = enc.encode(text.as_py()) + end
+            for row, found in enumerate(enc.encode_all(batch.column("text"))):
+                ids = found + end
                 for k, i in enumerate(range(0, len(ids), step)):
                     part = ids[i : i + step]
                     at.append(row)
@@ -59,6 +59,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             )
         enc.forget()  # the worker goes on to other stages
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 

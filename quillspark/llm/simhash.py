@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from quillspark.llm.common import read, stored
+from quillspark.llm.common import read, small_batches, stored
 from quillspark.llm.components import connected_components
 from quillspark.llm.near_copies import copy_links, sketch
 
@@ -267,6 +267,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float | None = None, shing
     component without any doc_id keeps one of its rows; of repeated rows one stays; null, empty and
     wordless texts are one component.
     """
+    small_batches(docs.sparkSession)
     names = docs.columns
     packed = docs.select(F.struct("*").alias("_doc"), "doc_id", "text")
     rows = stored(_tagged(packed, shingle if similarity is not None else None).withColumn("_row", F.monotonically_increasing_id()), "tagged")

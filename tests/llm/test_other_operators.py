@@ -9,13 +9,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillspark.llm import ann_forest, factorization, language_id, sentencepiece_codec, token_file, warc
-from quillspark.llm.common import work_dir
+from quillspark.llm import ann_forest, factorization, language_id, packing, sentencepiece_codec, token_file, tokens, warc
+from quillspark.llm.common import small_batches, work_dir
 from quillspark.llm.tokens import encoder, tokenizer_path
 from tests.llm import fixtures
 
@@ -131,6 +132,53 @@ def test_ids_are_the_library_s(name):
     assert enc.encode(None) == b""
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_batches_are_the_library_s(name, monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 300)  # several groups, and texts that are longer than one
+    enc, plain, rnd = tokens.TextEncoder(tokenizer_path(name), 100), Tokenizer.from_file(tokenizer_path(name)), random.Random(3)
+    words = [*PARTS, "The", "Über.", "und,", "ÿ!", " ", " ", " ", "\nWas", "\r\n", "\x0b", "\u2003", "×", "don't", "A.B", "#***", "\"So", "<|endofTEXT|>"]
+    texts = ["".join(rnd.choice(words) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
+    texts += [None, "", " ", "a " * 200 + "b", "<|endoftext|>", "a <|startoftext|> b", "x\n", "a\nb\tc\rd", "\nA b"]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        got = enc.encode_all(pa.array([None, *texts], kind).slice(1))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert list(enc.encode_all(pa.array([], pa.string()))) == []
+    assert list(enc.encode_all(pa.array([None, ""], pa.string()))) == [b"", b""]
+
+
+def test_a_batch_asks_for_each_word_once():
+    enc, asked = tokens.TextEncoder(tokenizer_path("byte_bpe_50k.json")), Counter()
+
+    class Asked(dict):
+        def __missing__(self, word):
+            asked[word] += 1
+            return enc._piece(" " + word)
+
+    enc.after_space = Asked()
+    texts = pa.array(["the more the more, the merrier"] * 50)
+    assert set(enc.encode_all(texts)) == {enc.encode(texts[0].as_py())}
+    assert asked == {"the": 1, "more": 1, "merrier": 1}
+
+
+def test_batches_of_whole_texts_are_small(spark, docs):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    spark.conf.unset(name)
+    packing.pieces(docs, tokenizer_path("word_bpe_49k.json"))
+    texts = spark.range(0, 5000, 1, 1).select(F.repeat(F.lit("text "), 1000).alias("text"))
+    found = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) >= 5000 * 5000 and max(found) <= 9_000_000
+    spark.conf.set(name, "1m")
+    small_batches(spark)
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
+
+
 def test_token_crcs_are_the_library_s(spark, small):
     plain = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     at = 0
