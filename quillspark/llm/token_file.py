@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import checkpoint, filesystem, read, work_dir
+from quillspark.llm.common import checkpoint, filesystem, read, small_batches, work_dir
 from quillspark.llm.tokens import encoder, tokenizer_path
 
 SEQUENCE = 1024
@@ -130,8 +130,8 @@ def write_token_files(
                 sinks = store.open_output_stream(where), store.open_output_stream(filesystem(index_name)[1])
                 stream, index = _Stream(sinks[0], dtype, sequence), pa.ipc.new_file(sinks[1], index_schema)
             starts, counts = [], []
-            for text in batch.column("text"):
-                ids = np.frombuffer(enc.encode(text.as_py()), dtype="<u4").astype(dtype)
+            for found in enc.encode_all(batch.column("text")):
+                ids = np.frombuffer(found, dtype="<u4").astype(dtype)
                 starts.append(stream.total)
                 counts.append(len(ids) + 1)
                 stream.add(ids)
@@ -151,6 +151,7 @@ def write_token_files(
             row = {"part": part, "path": name, "index_path": index_name, "n_docs": n_docs, "n_tokens": stream.total}
             yield pa.RecordBatch.from_pylist([row])
 
+    small_batches(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     schema = "part long, path string, index_path string, n_docs long, n_tokens long"
     manifest = checkpoint(ordered.mapInArrow(write, schema))
