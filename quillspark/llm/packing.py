@@ -26,6 +26,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Entries of a worker's caches: less than elsewhere, as the pipeline packs beside a heap that earlier stages have filled.
 CACHE_ENTRIES = 60_000
+#: Likewise the bytes of the texts whose words a worker numbers together.
+GROUP_BYTES = 4_000_000
 #: Width of a length class in tokens, and the most pieces of a pattern.
 CLASS, MOST_IN_PATTERN = 8, 3
 
@@ -43,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         enc, end, step = encoder(tokenizer, CACHE_ENTRIES), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             at, number, start, length, crc = [], [], [], [], []
-            for row, found in enumerate(enc.encode_all(batch.column("text"))):
+            for row, found in enumerate(enc.encode_all(batch.column("text"), GROUP_BYTES)):
                 ids = found + end
                 for k, i in enumerate(range(0, len(ids), step)):
                     part = ids[i : i + step]

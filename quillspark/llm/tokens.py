@@ -179,20 +179,21 @@ class TextEncoder:
         order[is_quick], order[~is_quick] = np.arange(len(ids)), np.arange(len(ids), len(quick))
         return pa.concat_arrays([ids, rare]).take(pa.array(order))
 
-    def encode_all(self, texts) -> Iterator[bytes]:
-        """``encode`` of each text of an Arrow array of strings, in order."""
+    def encode_all(self, texts, group_bytes: int | None = None) -> Iterator[bytes]:
+        """``encode`` of each text of an Arrow array of strings, in order; words are numbered in so many bytes of texts."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        most = group_bytes or GROUP_BYTES
         texts = texts.cast(pa.large_string()).fill_null("")
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-        alone = pc.match_substring_regex(texts, self.unlike).to_numpy(zero_copy_only=False) | (sizes > GROUP_BYTES)
+        alone = pc.match_substring_regex(texts, self.unlike).to_numpy(zero_copy_only=False) | (sizes > most)
         ends = np.cumsum(np.where(alone, 0, sizes))
         at = 0
         while at < len(texts):
             start = ends[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(ends, start + GROUP_BYTES, side="right")))
+            end = max(at + 1, int(np.searchsorted(ends, start + most, side="right")))
             yield from self._group(texts.slice(at, end - at), alone[at:end])
             at = end
 
