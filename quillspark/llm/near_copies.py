@@ -8,8 +8,9 @@ put far below it (at 0.8 that happens to 1 pair in 20 000).
 
 A group of n copies has n^2 pairs, but n - 1 links connect it. So the texts of a key are first
 compared with one of them, the key's pivot: the one that shares most keys with others. Keys whose texts are connected after that are done: no
-further link of theirs could join anything. In the others all pairs of texts of unlike components are
-compared, however many they are.
+further link of theirs could join anything. The texts of the others fall into families, which keys
+connect. All pairs of texts of unlike components in a family are compared, however many they are, but
+inside of tasks that hold two blocks of it: rows are texts and links there, never pairs.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ BANDS, ROWS, SEED = 24, 5, 42
 LEAST = 0.8
 #: Minima (their low bytes) that a pair has in common at least: 4 deviations below the mean at 0.8.
 LEAST_EQUAL = 78
-#: Texts of a block, of which a task compares two at once.
+#: Texts of a block of a family, of which a task compares two at once.
 BLOCK = 2048
-#: Shingles of the sets that a task keeps at hand while it compares pairs.
+#: Shingles of the sets that a task keeps at hand while it compares pairs; of a block about as many at most.
 SHINGLES_HELD = 2_000_000
+#: Keys of texts that are sent to all tasks at most; more are joined, and all texts shuffled for that.
+MOST_SENT = 1_000_000
 
 
 def _mixed(x):
@@ -118,6 +121,12 @@ def sketch(text: str | None, length: int) -> tuple[int, int, int, list[int], byt
     return key, fp, len(x), bands, least.astype(np.uint8).tobytes()
 
 
+def _of_keys(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """(_key and the columns): one row for each of the stored, distinct ``keys (_key)``."""
+    d = rows.select("_key", *columns).join(F.broadcast(keys) if keys.count() <= MOST_SENT else keys, "_key", "left_semi")
+    return d.groupBy("_key").agg(*[F.any_value(c).alias(c) for c in columns])
+
+
 def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, length: int) -> DataFrame:
     """Those ``pairs (a, b)`` of keys whose ``texts (_key, text)`` have at least the similarity."""
     of = lambda key, name: texts.select(F.col("_key").alias(key), F.col("text").alias(name))
@@ -148,56 +157,62 @@ def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, length: int) -
     return both.mapInArrow(near, "a long, b long")
 
 
-def _promising(left: DataFrame, similarity: float) -> DataFrame:
-    """(e, o): pairs of texts of ``left (band, e, root, s)`` that share a band and lie in unlike components, whose sizes and minima allow for the similarity.
+def _family_links(left: DataFrame, rows: DataFrame, similarity: float, length: int) -> DataFrame:
+    """(a, b): links of at least the similarity that connect all such texts of ``left (band, e, root)`` in unlike components.
 
-    Texts of a band are dealt into blocks by a hash; each block goes to the tasks of its pairs of blocks.
+    A family is what the bands connect. Its texts are dealt into blocks by a hash, and each block goes to the tasks
+    of its pairs of blocks. A task leaves out pairs that its own links have connected.
     """
-    size = left.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    d = left.join(size, "band").withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int"))
+    least = left.groupBy("band").agg(F.min("e._key").alias("b"))
+    family = connected_components(left.join(least, "band").select(F.col("e._key").alias("a"), "b"))
+    members = left.groupBy(F.col("e._key").alias("_key")).agg(F.any_value("e._n").alias("n"), F.any_value("root").alias("root"))
+    members = stored(members.join(family.select(F.col("node").alias("_key"), F.col("root").alias("family")), "_key"), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES_HELD)).cast("int")
+    texts = _of_keys(rows, members.select("_key"), "text", "_sig").withColumnRenamed("_sig", "s")
+    d = members.join(members.groupBy("family").agg(blocks.alias("blocks")), "family").join(texts, "_key")
+    d = d.withColumn("block", F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     pairs = F.transform(other, lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
-    d = d.select("band", F.col("e._key").alias("key"), F.col("e._n").alias("n"), F.col("e.h").alias("h"), "root", "s", "block", F.inline(pairs))
-    dealt = d.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    d = d.select("family", F.inline(pairs), "block", F.col("_key").alias("key"), "n", "root", "s", "text")
+    dealt = d.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
 
-    def alike(rows):
+    def linked(at, rows):
         import numpy as np
 
-        key, n, h, root, block, x, y = (np.array([r[k] for r in rows], dtype=np.int64) for k in ("key", "n", "h", "root", "block", "x", "y"))
-        minima = np.frombuffer(b"".join(r["s"] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
-        first, second = np.flatnonzero(block == x[0]), np.flatnonzero(block == y[0])
+        key, n, root, block = (np.array(v, dtype=np.int64) for v in list(zip(*rows, strict=True))[:4])
+        minima = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+        _, x, y = at
+        first, second = np.flatnonzero(block == x), np.flatnonzero(block == y)
         for k, i in enumerate(first):
             # within one block each pair once
-            met = second[k + 1 :] if x[0] == y[0] else second
+            met = second[k + 1 :] if x == y else second
             met = met[(root[met] != root[i]) & (np.minimum(n[met], n[i]) >= (similarity - 1e-9) * np.maximum(n[met], n[i]))]
             met = met[(minima[met] == minima[i]).sum(axis=1) >= LEAST_EQUAL]
             for j in met:
-                yield (h[i], key[i], n[i]), (h[j], key[j], n[j])
+                if root[i] != root[j] and jaccard(rows[i][5], rows[j][5]) >= similarity:
+                    root[root == root[j]] = root[i]
+                    yield int(key[i]), int(key[j])
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        def out(found):
-            part = lambda side: pa.array([dict(zip(("h", "_key", "_n"), map(int, f[side]), strict=True)) for f in found], shape)
-            return pa.record_batch([part(0), part(1)], names=["e", "o"])
+        def out(at, held):
+            found = list(linked(at, held)) if len(held) > 1 else []
+            return pa.record_batch([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        shape = pa.struct([("h", pa.int64()), ("_key", pa.int64()), ("_n", pa.int64())])
-        held, at, found = [], None, []
+        held, at = [], None
         for batch in batches:
-            for r in batch.to_pylist():
-                if (r["band"], r["x"], r["y"]) != at:
-                    found += alike(held) if held else []
-                    held, at = [], (r["band"], r["x"], r["y"])
-                    if len(found) > 10_000:
-                        yield out(found)
-                        found = []
-                held.append(r)
-        found += alike(held) if held else []
-        if found:
-            yield out(found)
-
-    kind = dict(left.dtypes)["e"]
-    return dealt.mapInArrow(run, f"e {kind}, o {kind}")
+            places = zip(*(batch.column(c).to_pylist() for c in ("family", "x", "y")), strict=True)
+            numbers = zip(*(batch.column(c).to_pylist() for c in ("key", "n", "root", "block", "s")), strict=True)
+            for place, own, text in zip(places, numbers, batch.column("text"), strict=True):
+                if place != at:
+                    yield out(at, held)
+                    held, at = [], place
+                held.append((*own, np.unique(shingle_hashes(text.as_py(), length))))
+        yield out(at, held)
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def copy_links(rows: DataFrame, near: DataFrame, similarity: float, length: int) -> DataFrame:
@@ -208,8 +223,8 @@ def copy_links(rows: DataFrame, near: DataFrame, similarity: float, length: int)
     """
     if similarity < LEAST:
         raise ValueError(f"the bands find similarities of {LEAST} and more")
-    texts = rows.where("_n > 0").groupBy("_key").agg(*[F.any_value(c).alias(c) for c in ("_fp", "_n", "_bands", "_sig")])
-    texts = stored(texts.select(F.struct(F.xxhash64("_key").alias("h"), "_key", "_n").alias("e"), "_fp", "_bands", "_sig"), "texts")
+    texts = rows.where("_n > 0").groupBy("_key").agg(*[F.any_value(c).alias(c) for c in ("_fp", "_n", "_bands")])
+    texts = stored(texts.select(F.struct(F.xxhash64("_key").alias("h"), "_key", "_n").alias("e"), "_fp", "_bands"), "texts")
     cells = texts.select("e", F.explode("_bands").alias("band"))
     met = cells.groupBy("band").agg(F.count("*").alias("met")).where("met > 1")
     alive = stored(cells.join(met, "band"), "cells")
@@ -218,30 +233,19 @@ def copy_links(rows: DataFrame, near: DataFrame, similarity: float, length: int)
     weighed = stored(alive.join(weight, "e").select("band", "e", "weight"), "weighed")
     pivots = weighed.groupBy("band").agg(F.max_by("e", F.struct("weight", "e")).alias("p"))
     live = stored(weighed.join(pivots, "band").select("band", "e", "p"), "candidates")
-
-    def pairs_of(met: DataFrame) -> DataFrame:
-        # the smaller set's share of the larger bounds the similarity
-        able = F.least("e._n", "o._n") >= F.lit(similarity - 1e-9) * F.greatest("e._n", "o._n")
-        met = met.where((F.col("e._key") != F.col("o._key")) & able)
-        pairs = met.select(F.least("e._key", "o._key").alias("a"), F.greatest("e._key", "o._key").alias("b"))
-        return stored(pairs.distinct(), "pairs")
-
-    def held(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-        return stored(rows.select("_key", "text").join(named, "_key", "left_semi").groupBy("_key").agg(F.any_value("text").alias("text")), "held")
-
     first = texts.groupBy("_fp").agg(F.min("e").alias("o"))
     of = lambda fp, e: first.select(F.col("_fp").alias(fp), F.col("o").alias(e))
     met = live.select("e", F.col("p").alias("o")).union(texts.join(first, "_fp").select("e", "o"))
     met = met.union(near.join(of("a", "e"), "a").join(of("b", "o"), "b").select("e", "o"))
-    pairs = pairs_of(met)
-    links = stored(_alike(pairs, held(pairs), similarity, length), "links")
+    # the smaller set's share of the larger bounds the similarity
+    able = F.least("e._n", "o._n") >= F.lit(similarity - 1e-9) * F.greatest("e._n", "o._n")
+    met = met.where((F.col("e._key") != F.col("o._key")) & able)
+    pairs = stored(met.select(F.least("e._key", "o._key").alias("a"), F.greatest("e._key", "o._key").alias("b")).distinct(), "pairs")
+    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("_key")).distinct(), "named")
+    links = stored(_alike(pairs, stored(_of_keys(rows, named, "text"), "held"), similarity, length), "links")
     roots = connected_components(links)
     placed = live.join(roots.select(F.col("node").alias("key"), "root"), F.col("e._key") == F.col("key"), "left")
     placed = stored(placed.select("band", "e", F.coalesce("root", "e._key").alias("root")), "placed")
     open_bands = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    left = placed.join(open_bands, "band", "left_semi")
-    left = stored(left.join(texts.select("e", F.col("_sig").alias("s")), "e"), "open")
-    rest = pairs_of(_promising(left, similarity))
-    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    return links.union(_alike(rest, held(rest), similarity, length))
+    left = stored(placed.join(open_bands, "band", "left_semi"), "open")
+    return links.union(stored(_family_links(left, rows, similarity, length), "links"))
