@@ -32,13 +32,19 @@ def _repeated_overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.aggregate(both, zero, step, lambda acc: acc["n"]), F.lit(0))
 
 
-def token_scores(answer: Column, gold: Column) -> Column:
-    """Struct of precision, recall and f1 of two token lists; all 0 without a shared token."""
+def token_scores(answer: Column, gold: Column, by_counts: bool = False) -> Column:
+    """Struct of precision, recall and f1 of two token lists; all 0 without a shared token.
+
+    ``by_counts``: f1 is 2 * shared / (n + m), rounded once, so equal ones are equal and a threshold met exactly is met;
+    from precision and recall it may lie a last digit beside.
+    """
     some = (F.size(answer) > 0) & (F.size(gold) > 0)
     share = lambda n, xs: F.when(some, n / F.size(xs)).otherwise(0.0)
-    f1 = lambda p, r: F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    parts = T.let(overlap(answer, gold), lambda n: F.struct(share(n, answer).alias("p"), share(n, gold).alias("r")))
-    return T.let(parts, lambda s: F.struct(s["p"].alias("precision"), s["r"].alias("recall"), f1(s["p"], s["r"]).alias("f1")))
+    counted = lambda n: F.when(n > 0, 2.0 * n / (F.size(answer) + F.size(gold))).otherwise(0.0)
+    of_shares = lambda p, r: F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    f1 = lambda s: counted(s["n"]) if by_counts else of_shares(s["p"], s["r"])
+    parts = T.let(overlap(answer, gold), lambda n: F.struct(n.alias("n"), share(n, answer).alias("p"), share(n, gold).alias("r")))
+    return T.let(parts, lambda s: F.struct(s["p"].alias("precision"), s["r"].alias("recall"), f1(s).alias("f1")))
 
 
 def coverage(wanted: Column, answer: Column) -> Column:

@@ -89,11 +89,11 @@ def claim_verdict(claim_norm: Column, claim_tokens: Column, evidence_norm: Colum
 LEAST_LIKENESS = 0.34
 
 
-def scores_against(claim_norm: Column, claim_tokens: Column, norm: Column, tokens: Column) -> Column:
-    """Struct (f1, precision, recall) of a claim against a piece; .98 at least if the piece holds the claim."""
+def scores_against(claim_norm: Column, claim_tokens: Column, norm: Column, tokens: Column, by_counts: bool = False) -> Column:
+    """Struct (f1, precision, recall) of a claim against a piece; .98 at least if the piece holds the claim. ``by_counts`` as in ``token_scores``."""
     inside = (claim_norm != "") & norm.contains(claim_norm)
     lift = lambda s, x: F.when(inside, F.greatest(s[x], F.lit(0.98))).otherwise(s[x]).alias(x)
-    return T.let(M.token_scores(claim_tokens, tokens), lambda s: F.struct(lift(s, "f1"), lift(s, "precision"), lift(s, "recall")))
+    return T.let(M.token_scores(claim_tokens, tokens, by_counts), lambda s: F.struct(lift(s, "f1"), lift(s, "precision"), lift(s, "recall")))
 
 
 def verdict_on(claim_norm: Column, claim_type: Column, n_pieces: Column, best: Column, negated: Column) -> Column:
