@@ -5,6 +5,7 @@ import pytest
 
 from quillspark.jobs.evaluation_sql import EVALUATION_SQL
 from quillspark.jobs.evaluations import EVALUATIONS
+from quillspark.operators import lexical
 
 #: A question of six tokens and an answer of three, so a search has nine.
 QUESTION, ANSWER = "alpha bravo carol delta echo foxes", "Marie painted rivers."
@@ -42,3 +43,10 @@ EXACT = [((2, 11), (0, 5), "0|2"), ((3, 9), (4, 15), "0|2")]
 def test_active_answers_take_pieces_of_exactly_the_least_and_the_smaller_of_equals(spark, tmp_path, first, second, evidence):
     folder = conversation(spark, tmp_path, QUESTION, ANSWER, piece(*first), "", piece(*second))
     assert both(spark, folder, "active_answers", "turn", "evidence")[0] == (1, evidence)
+
+
+@pytest.mark.parametrize(("first", "second", "evidence"), EXACT)
+def test_active_steps_take_the_same_pieces_in_long_conversations(spark, tmp_path, first, second, evidence):
+    more = [t for i in range(lexical.FEW) for t in ("", f"filler{i} words")]
+    folder = conversation(spark, tmp_path, QUESTION, ANSWER, piece(*first), "", piece(*second), *more)
+    assert both(spark, folder, "active_steps", "turn", "step", "retrieved")[0] == (1, 1, evidence)
