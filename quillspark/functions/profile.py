@@ -11,6 +11,8 @@ from quillspark.functions import text as T
 
 # Fixed values.
 LETTERS = ("A", "B", "C", "D")
+#: A letter between characters that are no letters or digits of any script; of ASCII only, so the A of "ßA" stands alone.
+ALONE, ALONE_ASCII = r"\b([ABCD])\b", r"(?<![A-Za-z0-9_])([ABCD])(?![A-Za-z0-9_])"
 MODE_ALIASES = {
     "no_retrieval": "none", "no_retrieve": "none", "single": "single_step", "single_step_retrieval": "single_step", "one_step": "single_step", "simple": "single_step",
     "multi": "multi_step", "multi_hop": "multi_step", "multihop": "multi_step", "multi_step_retrieval": "multi_step", "iterative": "multi_step",
@@ -49,11 +51,11 @@ def letter_of_index(c: Column) -> Column:
     return F.coalesce(F.when(at.between(0, 3), F.substring(F.lit("ABCD"), at + 1, F.lit(1))).when(at == 4, "D"), F.lit(""))
 
 
-def letter(c: Column) -> Column:
+def letter(c: Column, alone: str = ALONE) -> Column:
     """A letter as it stands, by its number, or the first that stands alone in a text; "" if there is none."""
     return T.let(
-        F.upper(T.clean(c)),
-        lambda x: F.when(x.isin(*LETTERS), x).otherwise(F.coalesce(F.nullif(letter_of_index(x), F.lit("")), F.nullif(F.regexp_extract(x, r"\b([ABCD])\b", 1), F.lit("")), F.lit(""))),
+        T.upper(T.clean(c)),
+        lambda x: F.when(x.isin(*LETTERS), x).otherwise(F.coalesce(F.nullif(letter_of_index(x), F.lit("")), F.nullif(F.regexp_extract(x, alone, 1), F.lit("")), F.lit(""))),
     )
 
 
@@ -62,11 +64,11 @@ def letter_of_text(choices: Column, c: Column) -> Column:
     return T.let(T.normal(c), lambda want: F.coalesce(F.get(F.filter(choices, lambda o: (want != "") & (T.normal(o["text"]) == want)), F.lit(0))["label"], F.lit("")))
 
 
-def gold_letter(indices: list[Column], texts: list[Column], choices: Column) -> Column:
+def gold_letter(indices: list[Column], texts: list[Column], choices: Column, alone: str = ALONE) -> Column:
     """The gold option: by the first readable number, else by the first text that names a letter or is an option."""
     found = [letter_of_index(c) for c in indices]
     for c in texts:
-        found += [letter(c), letter_of_text(choices, c)]
+        found += [letter(c, alone), letter_of_text(choices, c)]
     return F.coalesce(*[F.nullif(x, F.lit("")) for x in found], F.lit(""))
 
 

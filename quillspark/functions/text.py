@@ -75,6 +75,12 @@ def first_filled(*cs: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c.cast("string")), F.lit("")) for c in cs])
 
 
+def upper(c: Column) -> Column:
+    """Capitals letter by letter: one whose capital is several letters (ß) stays, so that lower case gives the text back."""
+    one = lambda x: F.when(F.length(F.upper(x)) == 1, F.upper(x)).otherwise(x)
+    return let(c, lambda x: F.when(F.length(F.upper(x)) == F.length(x), F.upper(x)).otherwise(F.array_join(F.transform(F.split(x, ""), one), "")))
+
+
 def plain_letters(c: Column) -> Column:
     """Lower-case accented Latin-1 letters become their base letters."""
     return F.translate(c, L.ACCENTED, L.PLAIN)

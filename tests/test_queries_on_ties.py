@@ -2,7 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from quillspark.functions import profile as P
+from quillspark.functions import text as T
 from quillspark.jobs.evaluation_sql import EVALUATION_SQL
 from quillspark.jobs.evaluations import EVALUATIONS
 from quillspark.operators import lexical
@@ -50,3 +53,19 @@ def test_active_steps_take_the_same_pieces_in_long_conversations(spark, tmp_path
     more = [t for i in range(lexical.FEW) for t in ("", f"filler{i} words")]
     folder = conversation(spark, tmp_path, QUESTION, ANSWER, piece(*first), "", piece(*second), *more)
     assert both(spark, folder, "active_steps", "turn", "step", "retrieved")[0] == (1, 1, evidence)
+
+
+def test_task_profiles_find_options_in_capitals_of_several_letters(spark, tmp_path):
+    # turns 1, 4, 7, ... name the second word in capitals; (8 + turn) % 5 says where the options are
+    texts = ["zu weiß dem grün", "der aßo enera auf", "in ßa nicht", "ein weiß weiß da", "Straße STRASSE", "ßß ß", "eins", ""]
+    rows = [(8, 3 * i + 1, "user", t) for i, t in enumerate(texts * 5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    gold = dict(both(spark, str(tmp_path), "task_profiles", "turn", "gold"))
+    assert [gold[t] for t in (4, 7, 28, 85, 88)] == ["A", "A", "A", "", "B"]
+
+
+def test_letterwise_capitals(spark):
+    d = spark.createDataFrame([("weiß é ŉ a𐐨 𐐨ß",), ("plain",), ("",), (None,)], "x string")
+    assert [r[0] for r in d.select(T.upper(F.col("x"))).collect()] == ["WEIß É ŉ A𐐀 𐐀ß", "PLAIN", "", None]
+    # among letters of any script no letter of such a word stands alone
+    assert [d.select(P.letter(F.lit(v), a)).first()[0] for v in ("aßo", "ça") for a in (P.ALONE, P.ALONE_ASCII)] == ["", "A", "", "A"]
