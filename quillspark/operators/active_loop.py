@@ -51,10 +51,11 @@ def write_answers(
         wants, over, full = F.col("p.needs_retrieval"), F.col("spent") >= searches, F.size("seen") >= most
         skipped = F.when(wants & over, "max_retrieval_steps_reached").when(wants & full, "max_total_chunks_reached").otherwise("")
         d = d.withColumn("skipped", skipped).withColumn("searched", wants & (F.col("skipped") == ""))
-        asking = d.where("searched")
         room = F.least(F.lit(per_step), most - F.size("seen"))
+        # few sentences need evidence; stored, so the policy is not worked out again wherever a search reads them
+        asking = stored(d.where("searched").select(*keys, "question", "candidate", "seen", room.alias("room")), f"asking-{step}")
         found = search(asking.select(*keys, "question", "candidate")).where(F.col("rank_score") >= LEAST)
-        found = found.join(asking.select(*keys, "seen", room.alias("room")), keys).where(~F.array_contains("seen", F.col("piece")))
+        found = found.join(asking.select(*keys, "seen", "room"), keys).where(~F.array_contains("seen", F.col("piece")))
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("rank_score"), "piece"))
         found = found.withColumn("place", place).where(F.col("place") <= F.col("room"))
         found = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "piece", "s", "en"))).alias("found"))

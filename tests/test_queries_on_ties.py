@@ -55,6 +55,14 @@ def test_active_steps_take_the_same_pieces_in_long_conversations(spark, tmp_path
     assert both(spark, folder, "active_steps", "turn", "step", "retrieved")[0] == (1, 1, evidence)
 
 
+def test_active_steps_find_a_long_piece_that_holds_question_and_sentence(spark, tmp_path):
+    # nine of 109 tokens: below the least, but the text is held whole
+    holding = " ".join([QUESTION, ANSWER, *(f"other{i}" for i in range(100))])
+    more = [t for i in range(lexical.FEW) for t in ("", f"filler{i} words")]
+    folder = conversation(spark, tmp_path, QUESTION, ANSWER, holding, *more)
+    assert both(spark, folder, "active_steps", "turn", "retrieved", "status")[0] == (1, "2|0", "supported")
+
+
 def test_task_profiles_find_options_in_capitals_of_several_letters(spark, tmp_path):
     # turns 1, 4, 7, ... name the second word in capitals; (8 + turn) % 5 says where the options are
     texts = ["zu weiß dem grün", "der aßo enera auf", "in ßa nicht", "ein weiß weiß da", "Straße STRASSE", "ßß ß", "eins", ""]
